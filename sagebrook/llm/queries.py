@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, quality, sharding
 
 QUERIES = {
     "op2_minhash": minhash.op2,
+    "op9_quality": quality.op9,
+    "op10_sharding": sharding.op10,
 }
 
 
 def oracles() -> dict[str, str]:
     """DuckDB SQL by query; operators that SQL cannot express have none."""
-    return {}
+    return {
+        "op10_sharding": sharding.op10_sql(),
+    }
