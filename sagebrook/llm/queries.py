@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash, quality, sharding
+from . import decontaminate, minhash, mixing, quality, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
     "op2_minhash": minhash.op2,
+    "op4_mixing": mixing.op4,
     "op9_quality": quality.op9,
     "op10_sharding": sharding.op10,
 }
