@@ -1,12 +1,84 @@
-"""Corpus preparation, stage by stage."""
+"""Corpus preparation in five stages, each a training-data operator over all that the stage
+before it kept: quality, near duplicates, benchmark leaks, mixing, sharding.
+
+Each function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return
+the columns of ``docs``; the last adds ``slot`` and ``shard``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sagebrook.llm import decontaminate, minhash, mixing, quality, sharding
+from sagebrook.llm.common import materialize, table
+
+
+def _named(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier does not reject.  Repeated rows and null ids are judged alike."""
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_column(docs, weights, quality.BITS, docs.columns)
+    return scored.filter(F.col("score") >= quality.THRESHOLD).select(*_named(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the least doc_id.
+
+    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    """
+    found = minhash.near_duplicates(docs)
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
+    kept = materialize(kept.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")), "kept")
+    own = docs.join(kept, docs["doc_id"] == kept["__id"])
+    once = own.filter("__n = 1").select(*_named(docs))
+    again = own.filter("__n > 1").select(*_named(docs)).dropDuplicates(["doc_id"])
+    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+
+
+def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    leaked = found.filter("contaminated").select(F.coalesce("doc_id", F.lit(decontaminate.NO_ID)).alias("__id")).distinct()
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(decontaminate.NO_ID))
+    return docs.join(leaked, id_ == leaked["__id"], "left_anti").select(*_named(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those it doesn't take are left out."""
+    takes = mixing.mix(docs).filter("taken > 0 and doc_id is not null")
+    takes = takes.select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = docs.join(takes, docs["doc_id"] == takes["__id"])
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    return taken.withColumn("__copy", copies).select(*_named(docs))
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every document that is left."""
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", not_in_benchmarks),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
 
-STAGES: list = []
+#: The classifier, the near duplicates and the mix have no SQL; tests check the stages
+#: against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs
