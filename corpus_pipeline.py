@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebrook.llm import decontaminate, minhash, mixing, quality, sharding
-from sagebrook.llm.common import materialize, table
+from sagebrook.llm.common import as_text, materialize, table
 
 
 def _named(docs: DataFrame) -> list:
@@ -48,12 +48,22 @@ def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those it doesn't take are left out."""
-    takes = mixing.mix(docs).filter("taken > 0 and doc_id is not null")
-    takes = takes.select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = docs.join(takes, docs["doc_id"] == takes["__id"])
+    """Documents as often as the mix takes them; those it doesn't take are left out.
+
+    Rows without a doc_id are told apart by their texts.  Of rows that share a doc_id one
+    stands for all, as often as the mix takes them together.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(as_text(), F.lit("no id")))
+    takes = mixing.mix(docs.select(key.alias("doc_id"), "source", "text"))
+    times = F.coalesce(F.col("taken") / F.col("size"), F.lit(0)).cast("int")
+    takes = takes.groupBy(F.col("doc_id").alias("__id")).agg(
+        F.sum(times).cast("int").alias("__times"), F.count(F.lit(1)).alias("__n")
+    )
+    takes = materialize(takes.filter("__times > 0"), "takes")
+    taken = docs.withColumn("__key", key).join(takes, F.col("__key") == F.col("__id"))
+    rows = taken.filter("__n = 1").unionByName(taken.filter("__n > 1").dropDuplicates(["__key"]))
     copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return taken.withColumn("__copy", copies).select(*_named(docs))
+    return rows.withColumn("__copy", copies).select(*_named(docs))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
