@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality, sharding
+from . import decontaminate, minhash, mixing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_minhash": minhash.op2,
     "op4_mixing": mixing.op4,
+    "op5_warc": warc.op5,
+    "op7_pii": pii.op7,
     "op9_quality": quality.op9,
     "op10_sharding": sharding.op10,
 }
@@ -16,5 +18,6 @@ QUERIES = {
 def oracles() -> dict[str, str]:
     """DuckDB SQL by query; operators that SQL cannot express have none."""
     return {
+        "op5_warc": warc.op5_sql(),
         "op10_sharding": sharding.op10_sql(),
     }
