@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, pii, quality, sharding, warc
+from . import decontaminate, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_minhash": minhash.op2,
+    "op3_vectors": vectors.op3,
     "op4_mixing": mixing.op4,
     "op5_warc": warc.op5,
     "op7_pii": pii.op7,
+    "op8_suffixes": suffixes.op8,
     "op9_quality": quality.op9,
     "op10_sharding": sharding.op10,
 }
