@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
+from . import chunks, decontaminate, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_vectors": vectors.op3,
     "op4_mixing": mixing.op4,
     "op5_warc": warc.op5,
+    "op6_chunks": chunks.op6,
     "op7_pii": pii.op7,
     "op8_suffixes": suffixes.op8,
     "op9_quality": quality.op9,

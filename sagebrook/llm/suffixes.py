@@ -39,7 +39,7 @@ BROADCAST_ROWS = 1_000_000
 U64 = np.uint64
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, text): equal rows have equal keys."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.col(id_col).cast("long")
@@ -136,7 +136,7 @@ def _leaders(length: int, gram: int):
     return run
 
 
-def _with_text(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+def with_text(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``grouped`` (k1, k2, ...), one row per document, with the texts of its documents."""
     keys = grouped.select("k1", "k2")
     if small_enough(keys, BROADCAST_ROWS):
@@ -249,7 +249,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     split = classes.join(several, "h").select("k1", "k2", "a", "lo", "hi", "h", "n")
     lists = materialize(_by_text(split), f"{name}-split")
     blocks = batched(
-        _with_text(docs, lists).select("k1", "k2", "text", "es"),
+        with_text(docs, lists).select("k1", "k2", "text", "es"),
         _blocks(length, block),
         "k1 long, k2 long, h long, a long, b long, core long, whole long, lo long, hi long, n long",
     )
@@ -268,7 +268,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     mixed = unions.groupBy("h", "b", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     lists = materialize(_by_text(unions.join(mixed, ["h", "b", "core"])), f"{name}-mixed")
     windows = batched(
-        _with_text(docs, lists).select("k1", "k2", "text", "es"), _windows(length), "k1 long, k2 long, h long, d long, name long, i long, n long"
+        with_text(docs, lists).select("k1", "k2", "text", "es"), _windows(length), "k1 long, k2 long, h long, d long, name long, i long, n long"
     )
     windows = materialize(windows, f"{name}-windows")
     again = windows.groupBy("h", "d", "name").agg(F.sum("n").alias("w")).filter("w > 1").drop("w")
@@ -315,11 +315,11 @@ def _remove(length: int):
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", name: str = "suffixes") -> tuple[DataFrame, DataFrame]:
     """(texts, changed): (k1, k2, size, sha) of all rows, and (k1, k2, n_bytes, n_removed,
     n_spans, kept) of the texts that lose bytes, once for equal rows."""
-    keyed = _keyed(docs, id_col, text_col)
-    texts, ranges = repeated_windows(keyed, length, name=name)
+    rows_ = keyed(docs, id_col, text_col)
+    texts, ranges = repeated_windows(rows_, length, name=name)
     lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("es"))
     lists = materialize(lists, f"{name}-ranges")
-    rows = _with_text(keyed, lists).select("k1", "k2", "text", "es")
+    rows = with_text(rows_, lists).select("k1", "k2", "text", "es")
     return texts, batched(rows, _remove(length), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
