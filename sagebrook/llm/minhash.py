@@ -10,9 +10,11 @@ Only sub-keys that at least two different sets share are paired: a text that sha
 sub-key of either collection can meet nobody, so nothing is lost and most texts never
 produce a table key.
 
-Copies (equal sets) are one class.  Within a bucket, classes are compared with a leader; then
-only classes that are still in different components are compared with each other, so a group
-of thousands of near copies costs a star, not all pairs.
+Copies (equal sets) are one class.  Within a bucket, classes are compared with a leader, then
+those still apart and still able to link with a second one.  What is left is compared by
+blocks: pairs that meet in a table and are in different components are judged inside a task
+over two bounded blocks, and only links come out of it.  No group of near copies is expanded
+into pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import batched, materialize, table
+from .common import arrow_limits, batched, materialize, table
 from .components import components
 
 M = 14
@@ -31,6 +33,9 @@ A = 2
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Classes of a block, and shingles of a piece, when groups are compared by blocks.
+BLOCK = 512
+PIECE = 4096
 U64 = np.uint64
 
 
@@ -76,10 +81,6 @@ SKETCH = "doc_id long, n long, d1 long, d2 long, a array<long>, b array<long>"
 
 
 def _sketch(m: int, a: int, k: int):
-    hashes = 2 * m * a
-    factor = kernel.stream(21, hashes) | U64(1)
-    shift = kernel.stream(22, hashes)
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.num_rows
         n, d1, d2 = (np.zeros(rows, dtype=np.int64) for _ in range(3))
@@ -89,31 +90,45 @@ def _sketch(m: int, a: int, k: int):
             n[part] = np.diff(at)
             d1[part] = _reduce(np.add, kernel.mix(sets), at).view(np.int64)
             d2[part] = _reduce(np.add, kernel.mix(sets ^ U64(0x5BF03635)), at).view(np.int64)
-            for i in range(2 * m):
-                key = np.zeros(len(at) - 1, dtype=U64)
-                for j in range(i * a, i * a + a):
-                    least = _reduce(np.minimum, sets * factor[j] + shift[j], at)
-                    key = kernel.mix(key + least + U64(j + 1))
-                keys[part, i] = key.view(np.int64)
-        step = np.arange(rows + 1, dtype=np.int32) * m
-        arrays = [
-            pa.ListArray.from_arrays(pa.array(step), pa.array(np.ascontiguousarray(x).ravel()))
-            for x in (keys[:, :m], keys[:, m:])
-        ]
+            keys[part] = _sub_keys(sets, at, m, a)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), *arrays],
+            [batch.column(0), pa.array(n), pa.array(d1), pa.array(d2), _lists(keys[:, :m]), _lists(keys[:, m:])],
             names=["doc_id", "n", "d1", "d2", "a", "b"],
         )
 
     return run
 
 
-def _sets(k: int):
+def _sub_keys(sets: np.ndarray, at: np.ndarray, m: int, a: int) -> np.ndarray:
+    """The 2 * m sub-keys of each set, first collection first."""
+    hashes = 2 * m * a
+    factor = kernel.stream(21, hashes) | U64(1)
+    shift = kernel.stream(22, hashes)
+    keys = np.zeros((len(at) - 1, 2 * m), dtype=np.int64)
+    for i in range(2 * m):
+        key = np.zeros(len(at) - 1, dtype=U64)
+        for j in range(i * a, i * a + a):
+            least = _reduce(np.minimum, sets * factor[j] + shift[j], at)
+            key = kernel.mix(key + least + U64(j + 1))
+        keys[:, i] = key.view(np.int64)
+    return keys
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    step = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(step), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def _sets(m: int, a: int, k: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for _, sets, at in shingle_sets(batch.column(1), k):
+        out, keys = [], np.zeros((batch.num_rows, 2 * m), dtype=np.int64)
+        for first, sets, at in shingle_sets(batch.column(1), k):
             out += [sets[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "s"])
+            keys[first : first + len(at) - 1] = _sub_keys(sets, at, m, a)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(out, pa.binary()), _lists(keys[:, :m]), _lists(keys[:, m:])],
+            names=["doc_id", "s", "a", "b"],
+        )
 
     return run
 
@@ -185,6 +200,187 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return judged.groupBy("x", "y").agg(F.max("linked").alias("linked"))
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component."""
+    several = (
+        placed.groupBy("key")
+        .agg(F.min("part").alias("p0"), F.max("part").alias("p1"))
+        .filter("p0 < p1")
+        .select("key")
+    )
+    return placed.join(several, "key")
+
+
+def _open(buckets: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "rep")
+    return _mixed(placed.select("key", "rep", "n_min", "n_max", "texts", F.coalesce("component", "rep").alias("part")))
+
+
+def _reopen(open_: DataFrame, found: DataFrame) -> DataFrame:
+    placed = open_.drop("part").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    return _mixed(placed.withColumn("part", F.coalesce("component", "rep")).drop("component"))
+
+
+def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+    ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["rep", "t"])
+
+
+def _lone(sets: DataFrame, open_: DataFrame) -> DataFrame:
+    """(rep, u): how many shingles of a class in an open bucket no other such class has."""
+    some = open_.select("rep").distinct()
+    tokens = batched(
+        sets.join(some, sets["doc_id"] == some["rep"], "left_semi").select("doc_id", "s"), _tokens, "rep long, t long"
+    )
+    once = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).filter("c = 1")
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
+def _hopeful(open_: DataFrame, percent: int) -> DataFrame:
+    """Open rows of classes that can still link with a class of the sizes in their buckets."""
+    least = open_.groupBy("key").agg(F.min("n_min").alias("s"))
+    per_rep = open_.join(least, "key").groupBy("rep").agg(F.min("s").alias("s"))
+    both = "(n_max - u)"
+    possible = f"100 * {both} >= {percent} * (n_min + greatest(s, {both}) - {both})"
+    able = open_.join(per_rep, "rep").filter(f"texts > 1 or {possible}").drop("s")
+    return _mixed(able)
+
+
+def _bound(percent: int) -> str:
+    """What sizes and lone shingles say of a pair: false only where no link is possible."""
+    both = "least(n_max - u, y_n_max - y_u)"
+    return (
+        f"100 * n_max >= {percent} * y_n_min and 100 * y_n_max >= {percent} * n_min"
+        f" and 100 * {both} >= {percent} * (n_min + y_n_min - {both})"
+    )
+
+
+def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every x with every y, by products of 0/1 matrices over
+    pieces of the shingles that occur on both sides."""
+    out = np.zeros((len(xs), len(ys)), dtype=np.float32)
+    flat_x, flat_y = np.concatenate(xs), np.concatenate(ys)
+    both = np.intersect1d(flat_x, flat_y)
+    row_x = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
+    row_y = np.repeat(np.arange(len(ys)), [len(y) for y in ys])
+    for lo in range(0, len(both), PIECE):
+        piece = both[lo : lo + PIECE]
+        sides = []
+        for flat, row, n in ((flat_x, row_x, len(xs)), (flat_y, row_y, len(ys))):
+            at = np.searchsorted(piece, flat)
+            at[at == len(piece)] = 0
+            hit = piece[at] == flat
+            side = np.zeros((n, len(piece)), dtype=np.float32)
+            side[row[hit], at[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_links(i: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links within one block, or between two, of the classes that agree on sub-key i.
+
+    Rows are (rep, part, first block, set, a, b).  A pair is judged where its first common
+    sub-key of the first collection is the i-th, and only if it has one of the second too.
+    """
+    xs = rows if same else [r for r in rows if r[2]]
+    ys = rows if same else [r for r in rows if not r[2]]
+    if not xs or not ys:
+        return []
+    ax, ay = np.array([r[4] for r in xs]), np.array([r[4] for r in ys])
+    bx, by = np.array([r[5] for r in xs]), np.array([r[5] for r in ys])
+    rep_x, rep_y = np.array([r[0] for r in xs]), np.array([r[0] for r in ys])
+    ask = np.array([r[1] for r in xs])[:, None] != np.array([r[1] for r in ys])[None, :]
+    if same:
+        ask &= rep_x[:, None] < rep_y[None, :]
+    for j in range(i):
+        ask &= ax[:, j][:, None] != ay[:, j][None, :]
+    if not ask.any():
+        return []
+    meet = np.zeros_like(ask)
+    for j in range(bx.shape[1]):
+        meet |= bx[:, j][:, None] == by[:, j][None, :]
+    ask &= meet
+    in_x, in_y = np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
+    if not len(in_x):
+        return []
+    sx, sy = [xs[q][3] for q in in_x], [ys[q][3] for q in in_y]
+    both = _intersections(sx, sy).astype(np.int64)
+    either = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
+    linked = ask[np.ix_(in_x, in_y)] & (100 * both >= percent * either) & (both > 0)
+    return [(int(rep_x[in_x[p]]), int(rep_y[in_y[q]])) for p, q in zip(*np.nonzero(linked))]
+
+
+def _judge_blocks(percent: int):
+    """Streams rows sorted by block pair; holds one block pair at a time."""
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            names = [batch.column(c).to_numpy() for c in range(4)]
+            rep, part, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (8, 9))
+            found = []
+            for q in range(batch.num_rows):
+                now = tuple(int(x[q]) for x in names)
+                if now != key:
+                    if held:
+                        found += _block_links(key[0], key[2] == key[3], held, percent)
+                    held, key = [], now
+                s = np.frombuffer(batch.column(7)[q].as_py(), dtype=U64)
+                held.append((int(rep[q]), int(part[q]), bool(first[q]), s, a[q].copy(), b[q].copy()))
+            if found:
+                yield _pairs(found)
+        if held and (found := _block_links(key[0], key[2] == key[3], held, percent)):
+            yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    flat = np.array(found, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["u", "v"])
+
+
+def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among open classes in different components.
+
+    The classes that agree on a sub-key of the first collection are dealt into blocks of
+    about BLOCK by the hash of their ids, and each pair of blocks is compared as a whole, so
+    neither a task nor a shuffle ever holds more than two blocks of a group, and only links
+    come out.
+    """
+    members = open_.groupBy("rep").agg(F.first("part").alias("part"))
+    mine = sets.withColumnRenamed("doc_id", "rep").join(members, "rep")
+    slim = mine.select("rep", "part", F.posexplode("a").alias("i", "k"))
+    groups = (
+        slim.groupBy("i", "k")
+        .agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n"))
+        .filter("p0 < p1")
+        .select("i", "k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("rep", "i"), F.col("blocks")).cast("int")
+    tasks = (
+        slim.join(groups, ["i", "k"])
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "rep", "i", "k", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+            (F.col("block") <= F.col("other")).alias("first"),
+        )
+        .distinct()
+    )
+    rows = tasks.join(mine, "rep").select("i", "k", "p", "q", "rep", "part", "first", "s", "a", "b")
+    arrow_limits(open_.sparkSession)
+    return (
+        rows.repartition("i", "k", "p", "q")
+        .sortWithinPartitions("i", "k", "p", "q")
+        .mapInArrow(_judge_blocks(percent), "u long, v long")
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -214,9 +410,11 @@ def near_duplicates(
     reps = classes.select("rep", "a", "b")
     buckets = materialize(candidates_of(reps, name).distinct(), f"{name}-buckets")
     # A rep that stands for several classes is there with each size.
-    sizes = classes.groupBy("rep").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    sizes = classes.groupBy("rep").agg(
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("texts")
+    )
     sets = materialize(
-        batched(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(k), "doc_id long, s binary"),
+        batched(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(m, a, k), "doc_id long, s binary, a array<long>, b array<long>"),
         f"{name}-sets",
     )
 
@@ -237,19 +435,28 @@ def near_duplicates(
     links = judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = components(links, f"{name}-parts")
 
-    # The rest: classes of one bucket that are not yet connected, each with those of the
-    # bucket's other components.
-    placed = (
-        buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    )
-    mixed = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1").select("key")
-    open_ = materialize(placed.join(mixed, "key"), f"{name}-open")
-    left = open_.select("key", F.col("rep").alias("x"), F.col("part").alias("px"))
-    right = open_.select("key", F.col("rep").alias("y"), F.col("part").alias("py"))
-    rest = left.join(right, "key").filter("x < y and px <> py").select("x", "y").distinct()
-    rest = rest.join(judged.select("x", "y"), ["x", "y"], "left_anti")
-    more = materialize(_verify(sized(rest), sets, percent).filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), f"{name}-rest")
+    # What is left: classes of one bucket that are not yet connected.  A shingle that no other
+    # class in question has can be in no intersection, which bounds what a class can link
+    # with; most classes that stayed alone are settled by that, without a pair.
+    open_ = materialize(_open(buckets, found, sizes), f"{name}-open")
+    lone = materialize(_lone(sets, open_), f"{name}-lone")
+    # Of a rep that stands for several texts nothing is known.
+    alone = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0))
+    open_ = open_.join(lone, "rep", "left").withColumn("u", alone)
+    open_ = materialize(_hopeful(open_, percent), f"{name}-hopeful")
+    # A second star, around the class of each bucket with the fewest shingles of its own.
+    core = open_.groupBy("key").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
+    core = core.select("key", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "u", "n_min", "n_max", "part")])
+    star = open_.join(core, "key").filter(f"part <> y_part and {_bound(percent)}")
+    star = star.select(F.least("rep", "y_rep").alias("x"), F.greatest("rep", "y_rep").alias("y")).distinct()
+    star = star.join(judged.select("x", "y"), ["x", "y"], "left_anti")
+    second = materialize(_verify(star, sets, percent), f"{name}-star")
+    judged = judged.unionByName(second)
+    links = links.union(second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    found = components(links, f"{name}-parts")
+    # Then the classes still apart, with those of the bucket's other components, by blocks.
+    open_ = materialize(_reopen(open_, found), f"{name}-open")
+    more = materialize(_blocked(open_, sets, percent), f"{name}-rest")
     again = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     same = (
         sketch.select("doc_id", "n", "d1", "d2")
