@@ -1,7 +1,7 @@
 """A content-addressed WARC archive.
 
 An archive is two tables in one folder.  ``payloads`` holds the bytes of every distinct
-payload once, under its SHA-256; ``records`` holds the exact header of every record (the WARC
+payload once, compressed, under its SHA-256; ``records`` holds the exact header of every record (the WARC
 header and the HTTP header of its block) and the digest of its payload.  ``restore`` joins
 them to the original records and checks every payload against its digest.
 
@@ -12,10 +12,12 @@ exchange records as plain .warc files.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,24 @@ def _headers(date: str) -> Column:
     )
 
 
+def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    packer = zstandard.ZstdCompressor(level=3)
+    packed = pa.array([packer.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["page_id", "sha256", "packed"])
+
+
+def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out, unpacker = [], zstandard.ZstdDecompressor()
+    for digest, packed in zip(batch.column(1), batch.column(2)):
+        if not packed.is_valid:
+            raise ValueError(f"the payload of {digest.as_py()} is missing")
+        data = unpacker.decompress(packed.as_buffer())
+        if hashlib.sha256(data).hexdigest() != digest.as_py():
+            raise ValueError(f"the stored payload does not have its digest {digest.as_py()}")
+        out.append(data)
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["header", "payload"])
+
+
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """Archive ``pages`` (page_id, url, html) in the folder ``path``.
 
@@ -106,27 +126,21 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
         .withColumn("refers_to", F.when(~is_first, F.col("first")))
     )
     records.select(F.encode(_headers(date), "UTF-8").alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
-    stored = rows.join(
-        first.select(F.col("sha256").alias("digest"), "first"),
-        (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("first")),
-        "left_semi",
-    )
-    stored.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # Payloads travel compressed.  The page is compared beside the join, not as one of its
+    # keys, so that what follows finds the digests already together.
+    is_it = F.expr("page_id - first = 0 or (page_id is null and first is null)")
+    packed = batched(rows.select("page_id", "sha256", "payload"), _pack, "page_id long, sha256 string, packed binary")
+    stored = packed.join(first.select(F.col("sha256").alias("digest"), "first"), (F.col("sha256") == F.col("digest")) & is_it)
+    stored.select("sha256", "packed").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """(header, payload) of every record of an archive; a payload that does not have its
     digest, or is missing, is an error."""
-    payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
+    payloads = spark.read.schema("sha256 string, packed binary").parquet(f"{path}/payloads")
     records = spark.read.schema("header binary, sha256 string").parquet(f"{path}/records")
-    sound = F.sha2("payload", 256) == F.col("sha256")
-    checked = payloads.select(
-        F.col("sha256").alias("digest"),
-        F.when(sound, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload does not have its digest"))).alias("payload"),
-    )
-    joined = records.join(checked, records["sha256"] == checked["digest"], "left")
-    there = F.when(F.col("digest").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is missing")))
-    return joined.select("header", there.alias("payload"))
+    joined = records.join(payloads, "sha256", "left").select("header", "sha256", "packed")
+    return batched(joined, _unpack, "header binary, payload binary")
 
 
 def _field(header: Column, name: str) -> Column:
