@@ -40,7 +40,6 @@ def pdf_text(data: bytes) -> str:
     return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
-@F.pandas_udf("struct<text:string,error:string>")
 def _decoded(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
     rows = []
     for content, suffix in zip(data, kind):
@@ -69,7 +68,7 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = None, recu
     files = reader.load(path)
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    read = files.select("path", name.alias("name"), suffix.alias("kind"), _decoded("content", suffix).alias("r"))
+    read = files.select("path", name.alias("name"), suffix.alias("kind"), F.pandas_udf(_decoded, "struct<text:string,error:string>")("content", suffix).alias("r"))
     return read.select(
         F.md5("name").alias("document_id"), title_of(F.col("path")).alias("title"), F.col("kind").alias("document_type"), "path", F.col("r.text").alias("text"), F.col("r.error").alias("error")
     )
