@@ -50,7 +50,7 @@ def compile_pages(entities: DataFrame, edges: DataFrame, type_: str | None = Non
         "\n",
         F.concat(F.lit("# "), "title"),
         F.concat(F.lit("Type: "), "entity_type"),
-        F.concat(F.lit("Confidence: "), F.format_string("%.4f", "confidence_avg")),
+        F.concat(F.lit("Confidence: "), F.floor(F.col("confidence_avg") * 100 + 0.5).cast("string"), F.lit("%")),
         F.lit("## Relationships"),
         F.coalesce(F.array_join("lines", "\n"), F.lit("None")),
         F.lit("## Sources"),

@@ -1,0 +1,6 @@
+"""The questions that the registered queries ask: (query_id, query, vec_id, session_id)."""
+
+QUESTIONS = [
+    (1, "Which small ring, ATIONED or ASIA is onble in thonnd Customer#000000012?", 7, "3"),
+    (2, "Who has the blue bolt of NATION_7 and the erth with Thonnd Ertion?", 11, "5"),
+]

@@ -15,16 +15,11 @@ from ..sources import sinks
 from ..sources.fixtures import AS_OF, Tables
 from . import oracles as oracles_
 from . import pipeline
+from .questions import QUESTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-QUESTIONS = [
-    (1, "Which small ring, ATIONED or ASIA is onble in thonnd Customer#000000012?", 7, "3"),
-    (2, "Who has the blue bolt of NATION_7 and the erth with Thonnd Ertion?", 11, "5"),
-]
-
-
 def _query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     _QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
     return fn
