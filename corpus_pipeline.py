@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagebrook.llm import decontaminate, minhash, mixing, quality, sharding
-from sagebrook.llm.common import as_text, materialize, table
+from sagebrook.llm.common import as_text, materialize, narrow, table
 
 
 def _named(docs: DataFrame) -> list:
@@ -30,13 +30,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that share a doc_id one stays; rows without a doc_id all stay.
     """
-    found = minhash.near_duplicates(docs)
-    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
-    kept = materialize(kept.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")), "kept")
-    own = docs.join(kept, docs["doc_id"] == kept["__id"])
-    once = own.filter("__n = 1").select(*_named(docs))
-    again = own.filter("__n > 1").select(*_named(docs)).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.filter("doc_id is null"))
+    found = minhash.near_duplicates(docs).filter("doc_id is not null")
+    by_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    odd = materialize(by_id.filter("not __kept or __n > 1"), "odd")
+    # Most ids are alone and kept: only the others are looked up.
+    gone = odd.filter("not __kept").select("__id")
+    again = odd.filter("__kept").select("__id")
+    id_ = docs["doc_id"].cast("long")
+    left = docs.join(narrow(gone), id_ == gone["__id"], "left_anti")
+    once = left.join(narrow(again), id_ == again["__id"], "left_anti")
+    repeated = docs.join(narrow(again), id_ == again["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated)
 
 
 def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +48,8 @@ def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     leaked = found.filter("contaminated").select(F.coalesce("doc_id", F.lit(decontaminate.NO_ID)).alias("__id")).distinct()
     id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(decontaminate.NO_ID))
-    return docs.join(leaked, id_ == leaked["__id"], "left_anti").select(*_named(docs))
+    leaked = materialize(leaked, "leaked")
+    return docs.join(narrow(leaked), id_ == leaked["__id"], "left_anti").select(*_named(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.sum(times).cast("int").alias("__times"), F.count(F.lit(1)).alias("__n")
     )
     takes = materialize(takes.filter("__times > 0"), "takes")
-    taken = docs.withColumn("__key", key).join(takes, F.col("__key") == F.col("__id"))
+    taken = docs.withColumn("__key", key).join(narrow(takes), F.col("__key") == F.col("__id"))
     rows = taken.filter("__n = 1").unionByName(taken.filter("__n > 1").dropDuplicates(["__key"]))
     copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
     return rows.withColumn("__copy", copies).select(*_named(docs))
