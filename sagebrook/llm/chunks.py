@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import NO_ID, batched, materialize, table
+from .common import NO_ID, batched, discard, materialize, table
 from .suffixes import keyed, with_text
 
 #: Bytes that a cut depends on, and bits of the hash that must be zero: a cut every
@@ -142,18 +142,26 @@ def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_i
     rows = keyed(docs, id_col, text_col)
     every = materialize(batched(rows, _chunk, ROWS), f"{name}-all")
     texts = every.filter("c1 is null").select("k1", "k2", F.col("start").alias("n_bytes"), "sha", F.col("chunks").alias("n_chunks"))
+    texts = materialize(texts, f"{name}-texts")
     chunks = every.filter("c1 is not null").select("k1", "k2", "c1", "c2", "start", "size")
     often = chunks.groupBy("c1").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("c1")
+    # A table of its own, so that the join's sides are plain and a hot chunk can be split.
+    often = materialize(often, f"{name}-often")
     shared = materialize(chunks.join(often, "c1"), f"{name}-shared")
+    discard(often, every)
     first = shared.groupBy("c1", "c2").agg(
         F.min(F.struct("k1", "k2", "start")).alias("f"), F.max(F.struct("k1", "k2", "start")).alias("l")
     )
     first = first.filter("f <> l").select("c1", "c2", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"), F.col("f.start").alias("fs"))
+    first = materialize(first, f"{name}-first")
     found = materialize(shared.join(first, ["c1", "c2"]), f"{name}-found")
+    discard(shared, first)
     where = found.groupBy("k1", "k2").agg(F.sum("size").alias("n_shared"), F.min("f1").alias("f1"))
+    where = materialize(where, f"{name}-where")
     again = found.filter("k1 <> f1 or k2 <> f2 or start <> fs")
     entry = F.struct("start", F.col("size").cast("long").alias("size"))
     lists = materialize(again.groupBy("k1", "k2").agg(F.collect_set(entry).alias("es")), f"{name}-lists")
+    discard(found)
     changed = batched(
         with_text(rows, lists).select("k1", "k2", "text", "es"),
         _remove(min_run),

@@ -54,7 +54,19 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made and that nothing still to be read rests on."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +94,16 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: The most rows of a narrow side that are sent to every executor to spare the shuffle of
+#: whole texts: some 64 MB at two numbers a row.
+NARROW_ROWS = 2_000_000
+
+
+def narrow(df: DataFrame, rows: int = NARROW_ROWS) -> DataFrame:
+    """``df`` broadcast if it is within bounds; beyond them the join shuffles both sides."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def as_text(column: str = "text"):
     """A text column with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

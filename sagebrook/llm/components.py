@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: More rounds than any graph needs: the method ends after O(log n) of them.
 MAX_ROUNDS = 60
@@ -57,7 +57,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not was[0]:
             break
-        now = materialize(_small_star(_large_star(now)), name)
+        before, now = now, materialize(_small_star(_large_star(now)), name)
+        discard(before)
         is_now = _checksum(now)
         if is_now == was:
             break

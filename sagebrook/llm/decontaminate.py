@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialize, small_enough, table
+from .common import NO_ID, discard, materialize, small_enough, table
 
 #: Words of a window.
 WINDOW = 10
@@ -145,7 +145,9 @@ def occurrences(index: DataFrame, found: DataFrame, name: str = "postings") -> D
         .filter("c = len - 2")
         .drop("c")
     )
-    return full.union(pairs.filter("len = 2").distinct()).union(one_term.distinct())
+    out = materialize(full.union(pairs.filter("len = 2").distinct()).union(one_term.distinct()), f"{name}-hits")
+    discard(pairs, plan)
+    return out
 
 
 def proximity(index: DataFrame, left: str, right: str, within: int) -> DataFrame:
@@ -185,7 +187,9 @@ def contamination(
     found = materialize(found.withColumn("phrase", F.monotonically_increasing_id()), f"{name}-phrases")
     terms = found.select(F.explode("terms").alias("term")).distinct()
     index = build_index(docs, terms, id_col, text_col, name)
-    hits = materialize(occurrences(index, found, name), f"{name}-hits")
+    hits = occurrences(index, found, name)
+    rows = materialize(index.filter("term = ''").select("k1", "k2", F.col("pos").cast("long").alias("n_words")), f"{name}-texts")
+    discard(index)
 
     spans = hits.groupBy("k1", "k2", "start").agg(F.max(F.col("start") + F.col("len")).alias("end"))
     earlier = Window.partitionBy("k1", "k2").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -200,7 +204,6 @@ def contamination(
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     judged = covered.join(which, ["k1", "k2"])
-    rows = index.filter("term = ''").select("k1", "k2", F.col("pos").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(judged, ["k1", "k2"], "left").select(

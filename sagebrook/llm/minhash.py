@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import arrow_limits, batched, materialize, table
+from .common import arrow_limits, batched, discard, materialize, narrow, table
 from .components import components
 
 M = 14
@@ -161,6 +161,8 @@ def _shared(keys: DataFrame, column: str) -> DataFrame:
     """(rep, the sub-keys of a collection that another set has too)."""
     long = keys.select("rep", F.posexplode(column).alias("i", "k"))
     often = long.groupBy("i", "k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # A table of its own, so that the join's sides are plain and a hot sub-key can be split.
+    often = materialize(often, "minhash-often")
     return (
         long.join(often, ["i", "k"])
         .groupBy("rep")
@@ -168,15 +170,19 @@ def _shared(keys: DataFrame, column: str) -> DataFrame:
     )
 
 
-def candidates_of(reps: DataFrame, name: str) -> DataFrame:
-    """Buckets (key, rep, n) with at least two classes, one bucket of each equal membership."""
+def candidate_rows(reps: DataFrame, name: str) -> DataFrame:
+    """(key, rep): the table keys of every class that shares sub-keys of both collections."""
     pairs = _shared(reps, "a").join(_shared(reps, "b"), "rep")
     rows = (
         pairs.select("rep", F.explode("a").alias("a"), "b")
         .select("rep", "a", F.explode("b").alias("b"))
         .select(F.xxhash64("a.i", "a.k", "b.i", "b.k").alias("key"), "rep")
     )
-    rows = materialize(rows, f"{name}-rows")
+    return materialize(rows, f"{name}-rows")
+
+
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """(key, rep) of buckets with at least two classes, one bucket of each equal membership."""
     sizes = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("c"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"),
@@ -408,13 +414,15 @@ def near_duplicates(
     )
     classes = materialize(classes, f"{name}-classes")
     reps = classes.select("rep", "a", "b")
-    buckets = materialize(candidates_of(reps, name).distinct(), f"{name}-buckets")
+    rows = candidate_rows(reps, name)
+    buckets = materialize(buckets_of(rows).distinct(), f"{name}-buckets")
+    discard(rows)
     # A rep that stands for several classes is there with each size.
     sizes = classes.groupBy("rep").agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("texts")
     )
     sets = materialize(
-        batched(docs.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), _sets(m, a, k), "doc_id long, s binary, a array<long>, b array<long>"),
+        batched(docs.join(narrow(buckets.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi"), _sets(m, a, k), "doc_id long, s binary, a array<long>, b array<long>"),
         f"{name}-sets",
     )
 
@@ -431,19 +439,21 @@ def near_duplicates(
     # Star: every class of a bucket with the bucket's least class.
     least = buckets.groupBy("key").agg(F.min("rep").alias("x"))
     star = buckets.join(least, "key").filter("rep <> x").select("x", F.col("rep").alias("y")).distinct()
-    judged = materialize(_verify(sized(star), sets, percent), f"{name}-star")
+    first = judged = materialize(_verify(sized(star), sets, percent), f"{name}-star")
     links = judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = components(links, f"{name}-parts")
 
     # What is left: classes of one bucket that are not yet connected.  A shingle that no other
     # class in question has can be in no intersection, which bounds what a class can link
     # with; most classes that stayed alone are settled by that, without a pair.
-    open_ = materialize(_open(buckets, found, sizes), f"{name}-open")
+    met = open_ = materialize(_open(buckets, found, sizes), f"{name}-open")
     lone = materialize(_lone(sets, open_), f"{name}-lone")
     # Of a rep that stands for several texts nothing is known.
     alone = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0))
     open_ = open_.join(lone, "rep", "left").withColumn("u", alone)
-    open_ = materialize(_hopeful(open_, percent), f"{name}-hopeful")
+    hopeful = materialize(_hopeful(open_, percent), f"{name}-hopeful")
+    discard(met, lone, buckets)
+    open_ = hopeful
     # A second star, around the class of each bucket with the fewest shingles of its own.
     core = open_.groupBy("key").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
     core = core.select("key", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "u", "n_min", "n_max", "part")])
@@ -455,8 +465,9 @@ def near_duplicates(
     links = links.union(second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
     found = components(links, f"{name}-parts")
     # Then the classes still apart, with those of the bucket's other components, by blocks.
-    open_ = materialize(_reopen(open_, found), f"{name}-open")
+    open_ = materialize(_reopen(hopeful, found), f"{name}-open")
     more = materialize(_blocked(open_, sets, percent), f"{name}-rest")
+    discard(hopeful, open_, sets)
     again = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     same = (
         sketch.select("doc_id", "n", "d1", "d2")
@@ -466,6 +477,7 @@ def near_duplicates(
     )
     found = components(links.union(more).union(same), f"{name}-parts").withColumnRenamed("node", "rep")
     found = materialize(found, f"{name}-found")
+    discard(first, second, more)
 
     # Copies follow their class.
     where = classes.select("n", "d1", "d2", "rep").join(found, "rep", "left").select(

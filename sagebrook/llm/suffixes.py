@@ -29,13 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import NO_ID, batched, materialize, small_enough, table
+from .common import NO_ID, batched, discard, materialize, narrow, table
 
 LENGTH = 200
 GRAM = 64
 BLOCK = 8
-#: The most document keys that are sent to every executor to pick texts out.
-BROADCAST_ROWS = 1_000_000
 U64 = np.uint64
 
 
@@ -138,10 +136,7 @@ def _leaders(length: int, gram: int):
 
 def with_text(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """``grouped`` (k1, k2, ...), one row per document, with the texts of its documents."""
-    keys = grouped.select("k1", "k2")
-    if small_enough(keys, BROADCAST_ROWS):
-        docs = docs.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
-    return docs.join(grouped, ["k1", "k2"])
+    return docs.join(narrow(grouped.select("k1", "k2")), ["k1", "k2"], "left_semi").join(grouped, ["k1", "k2"])
 
 
 def _flat(batch: pa.RecordBatch, column: int):
@@ -226,18 +221,22 @@ def _by_text(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, name: str = "suffixes"):
-    """(texts, ranges): texts (k1, k2, size, sha), one row per document, and the ranges
-    (k1, k2, first, last) of starts whose ``length`` bytes also start elsewhere.
+    """(texts, ranges, tables): texts (k1, k2, size, sha), one row per document, the ranges
+    (k1, k2, first, last) of starts whose ``length`` bytes also start elsewhere, and the
+    tables that the ranges rest on, to be discarded once these are stored.
 
     ``docs`` has the columns k1, k2 and text.
     """
     every = materialize(batched(docs, _leaders(length, gram), LEADERS), f"{name}-leaders")
-    texts = every.filter("h is null").select("k1", "k2", F.col("a").alias("size"), "sha")
+    texts = materialize(every.filter("h is null").select("k1", "k2", F.col("a").alias("size"), "sha"), f"{name}-texts")
     found = every.filter("h is not null").drop("sha")
 
     # Leaders whose gram is not alone.
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
+    # A table of its own, so that the join's sides are plain and a hot gram can be split.
+    often = materialize(often, f"{name}-often")
     shared = materialize(found.join(often, "h"), f"{name}-shared")
+    discard(often, every)
     classes = shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "lo", "hi")).alias("r"))
     classes = materialize(classes.select("h", "u", "n", "r.*"), f"{name}-classes")
     settled = shared.join(classes.filter("n > 1").select("h", "u"), ["h", "u"]).select(
@@ -247,13 +246,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     # Grams with several surroundings: blocks of windows.
     several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
     split = classes.join(several, "h").select("k1", "k2", "a", "lo", "hi", "h", "n")
-    lists = materialize(_by_text(split), f"{name}-split")
+    cut = lists = materialize(_by_text(split), f"{name}-split")
     blocks = batched(
         with_text(docs, lists).select("k1", "k2", "text", "es"),
         _blocks(length, block),
         "k1 long, k2 long, h long, a long, b long, core long, whole long, lo long, hi long, n long",
     )
     blocks = materialize(blocks, f"{name}-blocks")
+    discard(cut)
     unions = blocks.groupBy("h", "b", "core", "whole").agg(
         F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "a")).alias("r"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
@@ -271,13 +271,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
         with_text(docs, lists).select("k1", "k2", "text", "es"), _windows(length), "k1 long, k2 long, h long, d long, name long, i long, n long"
     )
     windows = materialize(windows, f"{name}-windows")
+    discard(lists)
     again = windows.groupBy("h", "d", "name").agg(F.sum("n").alias("w")).filter("w > 1").drop("w")
     alone = (
         windows.filter("n = 1")
         .join(again, ["h", "d", "name"])
         .select("k1", "k2", F.col("i").alias("first"), F.col("i").alias("last"))
     )
-    return texts, settled.unionByName(in_blocks).unionByName(alone)
+    ranges = settled.unionByName(in_blocks).unionByName(alone)
+    return texts, ranges, (shared, classes, blocks, unions, windows)
 
 
 def _remove(length: int):
@@ -316,9 +318,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(texts, changed): (k1, k2, size, sha) of all rows, and (k1, k2, n_bytes, n_removed,
     n_spans, kept) of the texts that lose bytes, once for equal rows."""
     rows_ = keyed(docs, id_col, text_col)
-    texts, ranges = repeated_windows(rows_, length, name=name)
+    texts, ranges, used = repeated_windows(rows_, length, name=name)
     lists = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("es"))
     lists = materialize(lists, f"{name}-ranges")
+    discard(*used)
     rows = with_text(rows_, lists).select("k1", "k2", "text", "es")
     return texts, batched(rows, _remove(length), "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
