@@ -60,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(as_text(), F.lit("no id")))
     takes = mixing.mix(docs.select(key.alias("doc_id"), "source", "text"))
-    times = F.coalesce(F.col("taken") / F.col("size"), F.lit(0)).cast("int")
+    times = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
     takes = takes.groupBy(F.col("doc_id").alias("__id")).agg(
         F.sum(times).cast("int").alias("__times"), F.count(F.lit(1)).alias("__n")
     )
