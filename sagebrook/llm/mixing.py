@@ -27,7 +27,7 @@ SHARE = 1.5
 REPEATS = 2
 SEED = 17
 #: The largest remainder left to dynamic programming.
-LAST = 4096
+LAST = 1 << 15
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -61,37 +61,43 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many items of each length to take for a sum as near below ``budget`` as possible.
+    """How many items of each length to take for a sum as near to ``budget`` as possible.
 
-    Proportional shares first, then longest first while more than LAST is left, then exact
-    bounded-knapsack dynamic programming.
+    A budget over LAST is first shared out in proportion, then longest first until LAST is
+    left; the rest is exact bounded-knapsack dynamic programming, for the sum nearest to what
+    is left, below it at equal distance.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int((lengths * counts).sum())
+    taken = np.zeros(len(lengths), dtype=np.int64)
     if budget <= 0 or not total:
-        return np.zeros(len(lengths), dtype=np.int64)
+        return taken
     if budget >= total:
         return counts.copy()
-    taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
-    left = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if left <= LAST:
-            break
-        more = min(int(counts[i] - taken[i]), (left - LAST + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
-        taken[i] += more
-        left -= more * int(lengths[i])
-    left = min(left, LAST)
+    left = budget
+    if left > LAST:
+        taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
+        left -= int((lengths * taken).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if left <= LAST:
+                break
+            size = int(lengths[i])
+            more = min(int(counts[i] - taken[i]), -((LAST - left) // size), left // size)
+            taken[i] += more
+            left -= more * size
     # came[s]: the length whose item, added last, first reached the sum s.
-    reached = np.zeros(left + 1, dtype=bool)
+    spare = counts - taken
+    top = left + min(left, int(lengths[spare > 0].max()) if (spare > 0).any() else 0) + 1
+    reached = np.zeros(top, dtype=bool)
     reached[0] = True
-    came = np.full(left + 1, -1, dtype=np.int64)
+    came = np.full(top, -1, dtype=np.int64)
     for i in np.argsort(lengths, kind="stable"):
-        size, have = int(lengths[i]), int(counts[i] - taken[i])
-        if size > left or have <= 0 or reached.all():
+        size, have = int(lengths[i]), int(spare[i])
+        if size >= top or have <= 0 or reached[left]:
             continue
         front = reached.copy()
-        for _ in range(min(have, left // size)):
-            step = np.zeros(left + 1, dtype=bool)
+        for _ in range(min(have, top // size)):
+            step = np.zeros(top, dtype=bool)
             step[size:] = front[:-size]
             step &= ~reached
             if not step.any():
@@ -99,7 +105,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             reached |= step
             came[step] = i
             front = step
-    best = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    best = int(sums[np.lexsort((sums, np.abs(sums - left)))[0]])
     while best:
         taken[came[best]] += 1
         best -= int(lengths[came[best]])

@@ -177,9 +177,14 @@ def score_column(docs: DataFrame, weights: np.ndarray, bits: int, columns: list[
         for first, grams, valid, at in features(batch.column(batch.num_columns - 1), bits):
             total = np.full(len(at) - 1, w[-1])
             for i in range(FAMILIES):
-                sums = np.concatenate(([0.0], np.cumsum(w[grams[i]] * valid[i])))
-                many = np.concatenate(([0], np.cumsum(valid[i])))
-                total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(many[at[1:]] - many[at[:-1]], 1)
+                # Sums by text, which no neighbour in the batch can sway.
+                sums = np.zeros(len(at) - 1)
+                many = np.zeros(len(at) - 1)
+                full = np.diff(at) > 0
+                if full.any():
+                    sums[full] = np.add.reduceat(w[grams[i]] * valid[i], at[:-1][full])
+                    many[full] = np.add.reduceat(valid[i].astype(np.int64), at[:-1][full])
+                total += sums / np.maximum(many, 1)
             out[first : first + len(total)] = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
         arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
         return pa.RecordBatch.from_arrays([*arrays, pa.array(out)], names=[*columns, "score"])
