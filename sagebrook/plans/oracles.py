@@ -75,7 +75,7 @@ FEEDBACK = """
 fbk AS (
   SELECT event_id AS feedback_id, 'Customer:' || user_id AS entity_id, ts AS created_at,
          CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'error' THEN 'incorrect' WHEN 'click' THEN 'partial' ELSE 'uncertain' END AS judgment
-  FROM events WHERE event_type <> 'signup' AND ts < TIMESTAMP '2024-01-08')"""
+  FROM events WHERE event_type <> 'signup')"""
 
 MEMORY = """
 wrt AS (
@@ -361,7 +361,7 @@ def oracles() -> dict[str, str]:
     a, e = _asked(), ENTITIES
     ee = (e, EDGES)
     customers = "lifecycle_state = 'TRUSTED' AND confidence >= 0.3 AND entity_type = 'Customer'"
-    small_edges = "edges_ AS (SELECT * FROM edg WHERE relationship_type <> 'SUPPLIES')"
+    all_edges = "edges_ AS (SELECT * FROM edg)"
     out = {
         "entity_list": _with(e) + f"""SELECT entity_id, confidence, row_number() OVER (ORDER BY confidence DESC, entity_id) AS position FROM (
   SELECT entity_id, confidence FROM ent WHERE {customers} AND (contains(lower(coalesce(extracted_text, '')), 'customer#0000') OR contains(lower(coalesce(source_sentence, '')), 'customer#0000'))
@@ -404,8 +404,8 @@ UNION ALL SELECT 'unresolved', 'high', entity_type, entity_id FROM ent WHERE lif
     + CAST(regexp_extract(entity_id, ':(\\d+)', 1) AS BIGINT) * 10 + CAST(ends_with(entity_id, ':dup') AS BIGINT) AS seq FROM ent)
 SELECT lower(trim(entity_type)) AS k_type, lower(trim(nm)) AS k_name, min(seq) AS seq, arg_min(nm, seq) AS canonical_name, max(confidence) AS confidence,
   first(source_sentence ORDER BY confidence DESC, seq) AS source_sentence, count(*) AS extraction_count FROM x GROUP BY 1, 2""",
-        "dedup_relationships": _with(*ee) + """, x AS (SELECT *, CAST(regexp_extract(source_entity_id, ':(\\d+)', 1) AS BIGINT) * 1000 + CAST(regexp_extract(target_entity_id, ':(\\d+)', 1) AS BIGINT) AS seq
-  FROM whole WHERE relationship_type <> 'SUPPLIES')
+        "dedup_relationships": _with(*ee) + """, x AS (SELECT *, CAST(regexp_extract(source_entity_id, ':(\\d+)', 1) AS BIGINT) * 1000000 + CAST(regexp_extract(target_entity_id, ':(\\d+)', 1) AS BIGINT) AS seq
+  FROM whole)
 SELECT lower(trim(source_type)) AS k_source, upper(relationship_type) AS k_type, lower(trim(target_name)) AS k_target, min(seq) AS seq, max(confidence) AS confidence,
   first(relationship_id ORDER BY confidence DESC, seq) AS source_sentence, count(*) AS extraction_count FROM x GROUP BY 1, 2, 3""",
         "merge_duplicates_entities": _with(e, MERGE) + """SELECT entity_id, CASE WHEN survivor <> entity_id THEN 'ARCHIVED' ELSE lifecycle_state END AS lifecycle_state,
@@ -440,7 +440,7 @@ FROM (VALUES ('Customer:1'), ('Customer:6'), ('Nobody:1')) AS i(entity_id) LEFT
 ORDER BY access_count, last_accessed NULLS FIRST, entity_id LIMIT 100""",
         "feedback_fold": _with(e, FEEDBACK, _fold("""chg AS (SELECT entity_id, created_at AS s1, feedback_id AS s2, CAST(CASE judgment WHEN 'correct' THEN 0.03 WHEN 'incorrect' THEN -0.05 WHEN 'partial' THEN -0.02 ELSE 0 END AS DOUBLE) AS delta FROM fbk)"""), recursive=True)
         + "SELECT entity_id, s AS lifecycle_state, round(c, 6) AS confidence, n_changes FROM folded",
-        "fileback_fold": _with(e, _fold("""resp AS (SELECT event_id, user_id, CAST(CASE WHEN event_id % 10 / 10.0 < 0.4 THEN -0.02 ELSE 0.01 END AS DOUBLE) AS delta FROM events WHERE event_id % 3 = 0),
+        "fileback_fold": _with(e, _fold("""resp AS (SELECT event_id, user_id, CAST(CASE WHEN event_id % 10 / 10.0 < 0.4 THEN -0.02 ELSE 0.01 END AS DOUBLE) AS delta FROM events),
 chg AS (SELECT 'Customer:' || user_id AS entity_id, event_id AS s1, 0 AS s2, delta FROM resp UNION ALL SELECT 'Supplier:' || (user_id % 10), event_id, 0, delta FROM resp)"""), recursive=True)
         + "SELECT entity_id, round(c, 6) AS confidence, n_changes FROM folded",
         "confidence_calibration": _with(e, FEEDBACK) + """SELECT CAST(least(floor(confidence * 10), 9) AS INTEGER) AS bucket, count(*) AS n, round(avg(confidence), 6) AS predicted, round(avg(CAST(judgment = 'correct' AS DOUBLE)), 6) AS actual,
@@ -461,7 +461,7 @@ SELECT query_id, rule_name, kind, CASE WHEN kind = 'owner' AND u IS NOT NULL THE
 SELECT rule_name, CAST(times_applied + coalesce(c, 0) AS INTEGER) AS times_applied, CAST(times_violated + coalesce(v, 0) AS INTEGER) AS times_violated FROM rul LEFT JOIN t USING (rule_name)""",
         "char_chunks": _with(_chars(800, 100), recursive=True) + """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, md5(piece) AS digest, CAST(length(piece) AS INTEGER) AS chars FROM pieces WHERE piece <> ''""",
         "extract_chunks": _with(_chars(1000, 100), recursive=True) + "SELECT doc_id, count(*) AS chunks, CAST(sum(length(piece)) AS BIGINT) AS chars FROM pieces WHERE piece <> '' GROUP BY doc_id",
-        "wiki_pages": _with(*ee, small_edges) + """, mem AS (SELECT *, lower(extracted_text) AS k FROM ent WHERE lifecycle_state = 'TRUSTED' AND extracted_text IS NOT NULL),
+        "wiki_pages": _with(*ee, all_edges) + """, mem AS (SELECT *, lower(extracted_text) AS k FROM ent WHERE lifecycle_state = 'TRUSTED' AND extracted_text IS NOT NULL),
 pg AS (SELECT DISTINCT entity_type, extracted_text AS title, k FROM mem),
 fc AS (SELECT entity_type, k, round(avg(confidence), 6) AS confidence_avg, count(*) AS n_entities, string_agg(DISTINCT '- ' || source_document_id, chr(10) ORDER BY '- ' || source_document_id) AS src, count(DISTINCT source_document_id) AS n_sources FROM mem GROUP BY 1, 2),
 tch AS (SELECT m.entity_type, m.k, e.relationship_id, e.relationship_type, e.confidence, e.target_entity_id AS other, '->' AS arrow FROM edges_ e JOIN mem m ON m.entity_id = e.source_entity_id WHERE e.lifecycle_state = 'TRUSTED'
@@ -478,10 +478,10 @@ FROM pg JOIN fc USING (entity_type, k) LEFT JOIN ln USING (entity_type, k)""",
         "wm_get_all": _with(MEMORY) + "SELECT key, value, step_number, row_number() OVER (ORDER BY step_number, created_at, key) AS position FROM mem WHERE session_id = '7' AND expires_at > TIMESTAMP '2024-01-20'",
         "wm_delete": _with(MEMORY) + "SELECT count(*) AS deleted FROM mem WHERE session_id = '7'",
         "ttl_cleanup": _with(MEMORY) + "SELECT session_id, count(*) AS n FROM mem WHERE NOT expires_at < TIMESTAMP '2024-01-20' GROUP BY session_id",
-        "cache_lookup": _with(SESSIONS) + f""", pl AS (SELECT *, CAST(session_id AS BIGINT) AS vec_id, regexp_replace(query_text, '[^ -~]', '', 'g') AS plain FROM ses WHERE turn < 2),
+        "cache_lookup": _with(SESSIONS) + f""", pl AS (SELECT *, CAST(session_id AS BIGINT) AS vec_id, regexp_replace(query_text, '[^ -~]', '', 'g') AS plain FROM ses),
 cch AS (SELECT session_id || ':' || turn AS id, sha256(lower(trim(plain))) AS h, embedding AS qe, 'answer ' || session_id AS rj, created_at, created_at + to_days(CAST(vec_id % 40 AS INTEGER)) AS expires_at FROM pl LEFT JOIN embeddings USING (vec_id)),
 live AS (SELECT * FROM cch WHERE expires_at > TIMESTAMP '2024-01-20'),
-q AS (SELECT CAST(vec_id AS INTEGER) AS query_id, regexp_replace(CASE WHEN vec_id % 3 = 0 THEN upper(query_text) ELSE 'x' || query_text END, '[^ -~]', '', 'g') AS query, embedding AS v FROM pl JOIN embeddings USING (vec_id)),
+q AS (SELECT vec_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN upper(plain) ELSE 'x' || plain END AS query, embedding AS v FROM pl JOIN embeddings USING (vec_id)),
 ex AS (SELECT h, first(rj ORDER BY created_at DESC, id DESC) AS rj FROM live GROUP BY h),
 nr AS (SELECT query_id, rj, {COSINE.format('qe', 'v')} AS sim, created_at, id FROM live, q WHERE qe IS NOT NULL),
 nb AS (SELECT query_id, first(rj ORDER BY sim DESC, created_at DESC, id DESC) AS rj, max(sim) AS sim FROM nr WHERE sim >= 0.95 GROUP BY query_id)
@@ -492,10 +492,10 @@ FROM q LEFT JOIN ex ON ex.h = sha256(lower(trim(query))) LEFT JOIN nb USING (que
   round(avg(CAST(latency_s AS DOUBLE)), 6) AS avg_latency FROM scored""",
         "eval_breakdown": _with(_answers(), _score()) + """SELECT 'category' AS dimension, lower(category) AS level, count(*) AS total, count(*) FILTER (pass) AS passed FROM scored GROUP BY 2
 UNION ALL SELECT 'difficulty', lower(difficulty), count(*), count(*) FILTER (pass) FROM scored GROUP BY 2""",
-        "khop_2": _with(*ee, small_edges, """both_ AS (SELECT source_entity_id AS x, target_entity_id AS y FROM edges_ WHERE lifecycle_state = 'TRUSTED' UNION SELECT target_entity_id, source_entity_id FROM edges_ WHERE lifecycle_state = 'TRUSTED'),
+        "khop_2": _with(*ee, all_edges, """both_ AS (SELECT source_entity_id AS x, target_entity_id AS y FROM edges_ WHERE lifecycle_state = 'TRUSTED' UNION SELECT target_entity_id, source_entity_id FROM edges_ WHERE lifecycle_state = 'TRUSTED'),
 walk AS (SELECT s AS seed, s AS entity_id, 0 AS hop FROM (VALUES ('Region:2'), ('Supplier:3')) AS v(s) UNION SELECT seed, y, hop + 1 FROM walk JOIN both_ ON x = entity_id WHERE hop < 2)""", recursive=True)
         + "SELECT seed, entity_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2",
-        "insert_entities": _with(e) + """, fresh AS (SELECT 'Customer:' || (c_custkey + 500) AS id FROM customer WHERE c_custkey % 3 = 0)
+        "insert_entities": _with(e) + """, fresh AS (SELECT 'Customer:' || (c_custkey + 500) AS id FROM customer)
 SELECT entity_type, lifecycle_state, count(*) AS n, round(sum(confidence), 4) AS confidence FROM (SELECT entity_type, lifecycle_state, confidence FROM ent
   UNION ALL SELECT 'Customer', 'STAGING', 0.95::DOUBLE FROM fresh WHERE id NOT IN (SELECT entity_id FROM ent)) GROUP BY 1, 2""",
         "insert_edges": """SELECT DISTINCT 'o>' || o_custkey AS relationship_id, CASE WHEN o_custkey % 7 < 5 THEN 'stored' ELSE 'error' END AS status FROM orders""",

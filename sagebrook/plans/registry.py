@@ -202,9 +202,9 @@ def _extracted_numbered(t: Tables) -> DataFrame:
 
 @_query
 def dedup_relationships(t):
-    named = listing.with_endpoints(t.edges.filter("relationship_type <> 'SUPPLIES'"), t.entities)
+    named = listing.with_endpoints(t.edges, t.entities)
     rows = named.select(
-        (F.regexp_extract("source_entity_id", r":(\d+)", 1).cast("long") * 1000 + F.regexp_extract("target_entity_id", r":(\d+)", 1).cast("long")).alias("seq"),
+        (F.regexp_extract("source_entity_id", r":(\d+)", 1).cast("long") * 1_000_000 + F.regexp_extract("target_entity_id", r":(\d+)", 1).cast("long")).alias("seq"),
         F.col("source_type").alias("source_name"), F.lower("relationship_type").alias("relationship_type"), "target_name", "confidence", F.col("relationship_id").alias("source_sentence"),
     )
     return resolution.dedup_relationships(rows).select("k_source", "k_type", "k_target", "seq", "confidence", "source_sentence", "extraction_count")
@@ -300,7 +300,7 @@ def feedback_fold(t):
 
 @_query
 def fileback_fold(t):
-    responses = t.raw("events").filter("event_id % 3 = 0").select(
+    responses = t.raw("events").select(
         F.col("event_id").alias("response_id"), (F.col("event_id") % 10 / 10.0).alias("confidence"),
         F.array(F.concat(F.lit("Customer:"), F.col("user_id")), F.concat(F.lit("Supplier:"), F.col("user_id") % 10)).alias("entity_ids"),
     )
@@ -374,7 +374,7 @@ def document_embedding(t):
 
 @_query
 def wiki_pages(t):
-    return wiki.compile_pages(t.entities, t.edges.filter("relationship_type <> 'SUPPLIES'"))
+    return wiki.compile_pages(t.entities, t.edges)
 
 
 @_query
@@ -405,39 +405,24 @@ def ttl_cleanup(t):
     return memory.cleanup(memory.upsert(t.memory_writes), as_of())[0].groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cache(t: Tables) -> DataFrame:
-    """Answers to past questions: session turns, with the vector of their number."""
-    turns = t.sessions.filter("turn < 2").withColumn("vec_id", F.col("session_id").cast("long"))
-    return turns.join(t.raw("embeddings").select("vec_id", F.col("embedding").alias("query_embedding")), "vec_id", "left").select(
-        F.concat_ws(":", "session_id", "turn").alias("id"), text_.query_hash(F.col("query_text")).alias("query_hash"), "query_embedding",
-        F.concat(F.lit("answer "), F.col("session_id")).alias("response_json"), "created_at", F.expr("created_at + make_dt_interval(cast(vec_id % 40 as int))").alias("expires_at"),
-    )
+def _turns(t: Tables) -> DataFrame:
+    """Past questions in ASCII, which alone has the same upper and lower case everywhere."""
+    return t.sessions.withColumns({"vec_id": F.col("session_id").cast("long"), "plain": F.regexp_replace("query_text", "[^ -~]", "")})
 
 
 @_query
 def cache_lookup(t):
-    past = t.sessions.filter("turn < 2").select(
-        F.col("session_id").cast("int").alias("query_id"),
-        F.when(F.col("session_id").cast("int") % 3 == 0, F.upper("query_text")).otherwise(F.concat(F.lit("x"), "query_text")).alias("query"),
-        F.col("session_id").cast("long").alias("vec_id"),
+    vectors = t.raw("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    turns = _turns(t).join(vectors, "vec_id", "left")
+    cache = turns.select(
+        F.concat_ws(":", "session_id", "turn").alias("id"), text_.query_hash(F.col("plain")).alias("query_hash"), F.col("vector").alias("query_embedding"),
+        F.concat(F.lit("answer "), "session_id").alias("response_json"), "created_at", F.expr("created_at + make_dt_interval(cast(vec_id % 40 as int))").alias("expires_at"),
     )
-    # ASCII alone has the same upper and lower case everywhere.
-    past = past.withColumn("query", F.regexp_replace("query", "[^ -~]", ""))
-    queries = past.dropDuplicates(["query_id"]).join(t.raw("embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
-    plain = _cache_plain(t)
-    return retrieval.cache_lookup(queries, plain, as_of())
-
-
-def _cache_plain(t: Tables) -> DataFrame:
-    plain = F.regexp_replace("query_text", "[^ -~]", "")
-    turns = t.sessions.filter("turn < 2").withColumns({"query_text": plain, "vec_id": F.col("session_id").cast("long")})
-    return _cache(_with_sessions(t, turns))
-
-
-def _with_sessions(t: Tables, turns: DataFrame) -> Tables:
-    out = Tables(t.spark, t.sf_dir)
-    out.__dict__["sessions"] = turns
-    return out
+    again = F.when(F.col("turn") % 3 == 0, F.upper("plain")).otherwise(F.concat(F.lit("x"), "plain"))
+    asked_ = turns.filter("vector is not null").select(
+        (F.col("vec_id") * 1000 + F.col("turn")).alias("query_id"), again.alias("query"), "vector"
+    )
+    return retrieval.cache_lookup(asked_, cache, as_of())
 
 
 @_query
@@ -469,12 +454,12 @@ def eval_breakdown(t):
 @_query
 def khop_2(t):
     seeds = t.spark.createDataFrame([("Region:2",), ("Supplier:3",)], "entity_id string")
-    return graph.k_hop(t.edges.filter("relationship_type <> 'SUPPLIES'"), seeds, 2)
+    return graph.k_hop(t.edges, seeds, 2)
 
 
 @_query
 def insert_entities(t):
-    new = t.raw("customer").filter("c_custkey % 3 = 0").select(
+    new = t.raw("customer").select(
         F.concat(F.lit("Customer:"), F.col("c_custkey") + 500).alias("entity_id"), F.lit("Customer").alias("entity_type"), F.col("c_name").alias("name")
     )
     return sinks.insert_entities(t.entities, new, as_of()).groupBy("entity_type", "lifecycle_state").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
@@ -501,7 +486,7 @@ def ingest_documents(t):
         F.col("doc_id").cast("string").alias("document_id"),
         F.concat(F.lit("The AlphaTeam owns the PayService. PayService uses the LedgerDB. PayService depends on the LedgerDB. "), "text").alias("text"),
     )
-    out = pipeline.ingest(docs, t.entities, t.edges.filter("relationship_type <> 'SUPPLIES'"), as_of())
+    out = pipeline.ingest(docs, t.entities, t.edges, as_of())
     return out["entities"].groupBy("entity_type", "lifecycle_state").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -172,9 +172,9 @@ class Tables:
 
     @cached_property
     def feedback(self) -> DataFrame:
-        """Feedback on customers over the first days; signups say nothing."""
+        """Feedback on customers; signups say nothing."""
         judgment = F.create_map(*[F.lit(x) for p in (("purchase", "correct"), ("error", "incorrect"), ("click", "partial"), ("view", "uncertain")) for x in p])
-        return self.raw("events").filter("event_type <> 'signup' and ts < timestamp_ntz'2024-01-08 00:00:00'").select(
+        return self.raw("events").filter("event_type <> 'signup'").select(
             F.col("event_id").alias("feedback_id"),
             F.concat(F.lit("Customer:"), F.col("user_id").cast("string")).alias("entity_id"),
             judgment[F.col("event_type")].alias("judgment"),
