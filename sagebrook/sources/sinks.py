@@ -70,3 +70,16 @@ def truncate(spark: SparkSession, path: str, confirm: bool = False) -> None:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def store_response(bundles: DataFrame, answers: DataFrame, bundle_path: str, response_path: str, as_of: Column) -> None:
+    """Append the contexts of questions and their answers, joined by ids that depend on the
+    question and the moment."""
+    key = F.md5(F.concat_ws("|", F.col("query_id").cast("string"), as_of.cast("string")))
+    append(bundles.withColumns({"id": key, "created_at": as_of}), bundle_path)
+    append(answers.withColumns({"bundle_id": key, "created_at": as_of}), response_path)
+
+
+def store_turn(turns: DataFrame, path: str, as_of: Column, ttl_days: int = 30) -> None:
+    """Append session turns (session_id, query_text, response_text) with their expiry."""
+    append(turns.withColumns({"created_at": as_of, "expires_at": as_of + F.make_dt_interval(F.lit(ttl_days))}), path)

@@ -325,3 +325,44 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(writes.schema).parquet(str(tmp_path / "w"))
     state.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "state")).first()["value"] == "b"
+
+
+def test_report_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from sagebrook import __main__ as cli
+
+    rows = [{"q_id": "1", "question": "q", "expected": "42", "actual": "it is 42", "category": "a", "difficulty": "Easy", "latency_s": 1.0}, {"q_id": "2", "question": "q", "expected": "[NOT IN DOCUMENTS]", "actual": "four", "category": "a", "difficulty": "hard", "latency_s": 3.0}]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+    cli.main(["score", str(tmp_path / "a.json"), "--report", str(tmp_path / "r.txt")])
+    assert "Pass rate: 50.0%" in (tmp_path / "r.txt").read_text() and "failed 2" in capsys.readouterr().out
+    assert json.loads((tmp_path / "r.json").read_text())["summary"]["avg_latency"] == 2.0
+    cli.main(["list"])
+    assert "hybrid_search" in capsys.readouterr().out
+
+
+def test_stored_answers(spark, tmp_path):
+    bundles = spark.createDataFrame([(1, "q")], "query_id int, query string")
+    answers = spark.createDataFrame([(1, "a", 0.5)], "query_id int, answer string, confidence double")
+    sinks.store_response(bundles, answers, str(tmp_path / "b"), str(tmp_path / "r"), as_of())
+    assert spark.read.parquet(str(tmp_path / "b")).first()["id"] == spark.read.parquet(str(tmp_path / "r")).first()["bundle_id"]
+    sinks.store_turn(spark.createDataFrame([("s", "q", "a")], "session_id string, query_text string, response_text string"), str(tmp_path / "t"), as_of())
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_prompts_and_reasoners(spark, sf_dir):
+    from sagebrook.plans import pipeline, registry
+    from sagebrook.sources.fixtures import Tables
+
+    t = Tables(spark, sf_dir)
+    parts = pipeline.context(registry.asked(t), t.entities, t.edges, t.chunks, t.rules, t.sessions)
+    prompted = pipeline.prompts(registry.asked(t), parts, t.chunks)
+    text = prompted.filter("query_id = 1").first()["prompt"]
+    assert text.startswith("# Question") and "## Entities" in text and "## Documents" in text
+    got = pipeline.answers(prompted, Echo()).filter("query_id = 1").first()
+    assert (got["answer"], got["confidence_level"]) == ("seen", "high")
+
+
+class Echo:
+    def answer(self, prompt):
+        return '{"answer": "seen", "confidence": 0.9}'
