@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch handed to a Python worker.
-ARROW_RECORDS = 2000
-ARROW_BYTES = 8 << 20
+ARROW_RECORDS = 1000
+ARROW_BYTES = 4 << 20
 
 #: The folder used where the session names none.
 _own: list[str] = []
@@ -95,8 +95,8 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 #: The most rows of a narrow side that are sent to every executor to spare the shuffle of
-#: whole texts: some 64 MB at two numbers a row.
-NARROW_ROWS = 2_000_000
+#: whole texts: some tens of MB at two numbers a row.
+NARROW_ROWS = 1_000_000
 
 
 def narrow(df: DataFrame, rows: int = NARROW_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 
