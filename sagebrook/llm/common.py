@@ -74,17 +74,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batched(
-    docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """mapInArrow with a function of one record batch."""
+    """mapInArrow with a function of one record batch, to one batch or to several."""
     arrow_limits(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+                for part in (out,) if isinstance(out, pa.RecordBatch) else out:
+                    if part.num_rows:
+                        yield part
 
     return docs.mapInArrow(run, schema)
 

@@ -22,6 +22,7 @@ To sort far fewer positions than there are bytes, without losing one:
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,12 +166,12 @@ def _ranges(low: np.ndarray, high: np.ndarray):
 def _blocks(length: int, block: int):
     """Rows (k1, k2, h, a, b, core, whole, lo, hi, n) for the blocks of classes to be split."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, (a, lo, hi, h, n) = _flat(batch, 3)
-        out = []
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for spans, at, size, here in _pieces(batch, row):
             i, b = _ranges(lo[here] // block, hi[here] // block)
-            lead = a[here][i]
+            lead, r = a[here][i], row[here][i]
             start = lead - block * b
             core = spans(at[i] + start, at[i] + start - block + 1 + length)
             inside = (start - block + 1 >= 0) & (start + length <= size[i])
@@ -178,16 +179,12 @@ def _blocks(length: int, block: int):
             high = np.where(inside, start + length, start)
             whole = spans(at[i] + low, at[i] + high)
             # A union that leaves its text equals no other.
-            own = kernel.mix(batch.column(0).to_numpy()[row[here][i]].view(U64) * U64(31) + batch.column(1).to_numpy()[row[here][i]].view(U64) + lead.astype(U64))
+            own = kernel.mix(k1[r].view(U64) * U64(31) + k2[r].view(U64) + lead.astype(U64))
             whole = np.where(inside, whole, own)
-            out.append((row[here][i], h[here][i], lead, b, core.view(np.int64), whole.view(np.int64), np.maximum(lo[here][i], b * block), np.minimum(hi[here][i], b * block + block - 1), n[here][i]))
-        if not out:
-            return None
-        r, *rest = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(batch.column(0).to_numpy()[r]), pa.array(batch.column(1).to_numpy()[r]), *[pa.array(x.astype(np.int64)) for x in rest]],
-            names=["k1", "k2", "h", "a", "b", "core", "whole", "lo", "hi", "n"],
-        )
+            yield _rows(
+                ["k1", "k2", "h", "a", "b", "core", "whole", "lo", "hi", "n"],
+                [k1[r], k2[r], h[here][i], lead, b, core.view(np.int64), whole.view(np.int64), np.maximum(lo[here][i], b * block), np.minimum(hi[here][i], b * block + block - 1), n[here][i]],
+            )
 
     return run
 
@@ -195,25 +192,22 @@ def _blocks(length: int, block: int):
 def _windows(length: int):
     """Rows (k1, k2, h, d, name, i, n) for the windows of blocks to be split."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, (a, lo, hi, h, n) = _flat(batch, 3)
-        out = []
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for spans, at, _, here in _pieces(batch, row):
             i, d = _ranges(lo[here], hi[here])
-            start = a[here][i] - d
+            start, r = a[here][i] - d, row[here][i]
             name = spans(at[i] + start, at[i] + start + length)
-            out.append((row[here][i], h[here][i], d, name.view(np.int64), start, n[here][i]))
-        if not out:
-            return None
-        r, *rest = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(batch.column(0).to_numpy()[r]), pa.array(batch.column(1).to_numpy()[r]), *[pa.array(x.astype(np.int64)) for x in rest]],
-            names=["k1", "k2", "h", "d", "name", "i", "n"],
-        )
+            yield _rows(["k1", "k2", "h", "d", "name", "i", "n"], [k1[r], k2[r], h[here][i], d, name.view(np.int64), start, n[here][i]])
 
     return run
 
 
+def _rows(names: list[str], arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in arrays], names=names)
+
+
 def _by_text(rows: DataFrame) -> DataFrame:
     """(k1, k2, list of (a, lo, hi, h, n)): no more entries than a text has windows."""
     entry = F.struct("a", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "h", "n")
