@@ -17,9 +17,14 @@ from .listing import display_name, with_endpoints
 QUERY_ROWS = 20_000
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df`` broadcast if it is within bounds."""
-    return F.broadcast(df) if df.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else df
+def within_bounds(df: DataFrame) -> bool:
+    return df.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+
+
+def small_side(df: DataFrame, bounded: bool | None = None) -> DataFrame:
+    """``df`` broadcast if it is within bounds.  A caller that has counted the queries says so
+    by ``bounded``: what is kept of each query is at most a constant number of rows."""
+    return F.broadcast(df) if (within_bounds(df) if bounded is None else bounded) else df
 
 
 def _needles(queries: DataFrame, list_: Column, limit: int) -> DataFrame:
@@ -36,13 +41,13 @@ def _top(df: DataFrame, order: list[Column], n: int, *by: str, name: str = "rank
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= n)
 
 
-def entity_matches(queries: DataFrame, entities: DataFrame, config: Config = CONFIG) -> DataFrame:
+def entity_matches(queries: DataFrame, entities: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Trusted entities by keyword, at most so many each: rows (query_id, pos, rank, ...)."""
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     trusted = entities.filter("lifecycle_state = 'TRUSTED'")
     hit = text.contains(F.col("extracted_text"), F.col("needle")) | text.contains(F.col("source_sentence"), F.col("needle"))
     order = [F.col("confidence").desc(), F.col("access_count").desc(), F.col("entity_id")]
-    return _top(trusted.join(small_side(needles), hit), order, config.entities_per_keyword, "query_id", "pos")
+    return _top(trusted.join(small_side(needles, bounded), hit), order, config.entities_per_keyword, "query_id", "pos")
 
 
 def _merged(matches: DataFrame, key: str, n: int) -> DataFrame:
@@ -51,8 +56,8 @@ def _merged(matches: DataFrame, key: str, n: int) -> DataFrame:
     return _top(once, [F.col("pos"), F.col("rank")], n, "query_id", name="position").drop("pos", "rank", "needle")
 
 
-def retrieve_entities(queries: DataFrame, entities: DataFrame, config: Config = CONFIG) -> DataFrame:
-    return _merged(entity_matches(queries, entities, config), "entity_id", config.entities_per_keyword)
+def retrieve_entities(queries: DataFrame, entities: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
+    return _merged(entity_matches(queries, entities, config, bounded), "entity_id", config.entities_per_keyword)
 
 
 def access_updates(queries: DataFrame, entities: DataFrame, config: Config = CONFIG) -> DataFrame:
@@ -71,7 +76,7 @@ def with_access(entities: DataFrame, hits: DataFrame, as_of: Column) -> DataFram
     ).drop("hits")
 
 
-def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, config: Config = CONFIG) -> DataFrame:
+def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Trusted edges with a keyword in their type or in the name of an end."""
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     joined = with_endpoints(edges.filter("lifecycle_state = 'TRUSTED'"), entities)
@@ -79,33 +84,33 @@ def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, co
     for column in ("source_name", "target_name", "relationship_type"):
         hit = hit | text.contains(F.col(column), F.col("needle"))
     order = [F.col("confidence").desc(), F.col("relationship_id")]
-    matches = _top(joined.join(small_side(needles), hit), order, config.edges_per_keyword, "query_id", "pos")
+    matches = _top(joined.join(small_side(needles, bounded), hit), order, config.edges_per_keyword, "query_id", "pos")
     return _merged(matches, "relationship_id", config.edges_per_keyword)
 
 
-def vector_top_k(chunks: DataFrame, vectors: DataFrame, k: int = CONFIG.vector_top_k, doc_type: str | None = None) -> DataFrame:
+def vector_top_k(chunks: DataFrame, vectors: DataFrame, k: int = CONFIG.vector_top_k, doc_type: str | None = None, bounded: bool | None = None) -> DataFrame:
     """The k chunks nearest to each query vector (query_id, vector), with a rank."""
     rows = chunks.filter("embedding is not null")
     if doc_type is not None:
         rows = rows.filter(F.col("document_type") == doc_type)
-    scored = rows.join(small_side(vectors), F.size("embedding") == F.size("vector"))
+    scored = rows.join(small_side(vectors, bounded), F.size("embedding") == F.size("vector"))
     scored = scored.withColumn("similarity", F.round(vector.cosine(F.col("embedding"), F.col("vector")), 6)).drop("vector", "embedding")
     order = [F.col("similarity").desc(), F.col("document_id"), F.col("chunk_index")]
     return _top(scored.filter("similarity is not null"), order, k, "query_id")
 
 
-def expand_context(chunks: DataFrame, hits: DataFrame, config: Config = CONFIG) -> DataFrame:
+def expand_context(chunks: DataFrame, hits: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """All other chunks of the first documents among ``hits``, at a fraction of the
     similarity of their document's best hit: (query_id, doc_rank, ...)."""
     per = hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("best"), F.max("similarity").alias("doc_similarity"))
     first = _top(per, [F.col("best")], config.expanded_documents, "query_id", name="doc_rank")
-    there = chunks.drop("embedding").join(small_side(first.select("query_id", "document_id", "doc_rank", "doc_similarity")), "document_id")
+    there = chunks.drop("embedding").join(small_side(first.select("query_id", "document_id", "doc_rank", "doc_similarity"), bounded), "document_id")
     known = hits.select("query_id", "document_id", "chunk_index")
-    fresh = there.join(small_side(known), ["query_id", "document_id", "chunk_index"], "left_anti")
+    fresh = there.join(small_side(known, bounded), ["query_id", "document_id", "chunk_index"], "left_anti")
     return fresh.withColumn("similarity", F.round(F.col("doc_similarity") * config.expansion_factor, 6)).drop("doc_similarity")
 
 
-def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keyword_results, config: Config = CONFIG) -> DataFrame:
+def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keyword_results, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Chunks by weighted hits of phrases, keywords and title words: the best k, with rank."""
     words = text.search_keywords(F.col("query"))
     kinds = [
@@ -121,7 +126,7 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
         needles = part if needles is None else needles.unionByName(part)
     where = F.when(F.col("side") == "title", F.col("document_title")).otherwise(F.col("chunk_text"))
     slim = chunks.select("document_id", "chunk_index", "document_title", "chunk_text")
-    hits = slim.join(small_side(needles), text.contains(where, F.col("needle"))).select(
+    hits = slim.join(small_side(needles, bounded), text.contains(where, F.col("needle"))).select(
         "query_id", "kind", "pos", "rows", "weight", "document_id", "chunk_index"
     )
     # Without an order of their own, the rows of a needle are the first by document and place.
@@ -134,12 +139,12 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
     return _top(scored, [F.col("keyword_hits").desc(), F.col("document_id"), F.col("chunk_index")], k, "query_id")
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = CONFIG.vector_top_k, config: Config = CONFIG) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = CONFIG.vector_top_k, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Vector hits, their documents' context, and keyword hits that neither has, in order of
     ``position``: expanded documents first, then other hits, then keyword hits."""
-    hits = vector_top_k(chunks, vectors, k)
-    context = expand_context(chunks, hits, config)
-    ranks = context.select("query_id", "document_id", "doc_rank").distinct()
+    bounded = within_bounds(queries) if bounded is None else bounded
+    hits = vector_top_k(chunks, vectors, k, bounded=bounded)
+    context = expand_context(chunks, hits, config, bounded)
     per = hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("best"))
     ranks = _top(per, [F.col("best")], config.expanded_documents, "query_id", name="doc_rank").drop("best")
     key = ["query_id", "document_id", "chunk_index"]
@@ -147,7 +152,7 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k:
     merged = found.unionByName(context.select(*key, "similarity", "doc_rank")).withColumn(
         "section", F.when(F.col("doc_rank").isNotNull(), F.lit(0)).otherwise(F.lit(1))
     )
-    extra = keyword_chunks(queries, chunks, config.keyword_results, config).select(*key, "similarity", F.col("rank").alias("doc_rank"))
+    extra = keyword_chunks(queries, chunks, config.keyword_results, config, bounded).select(*key, "similarity", F.col("rank").alias("doc_rank"))
     extra = extra.join(merged.select(*key), key, "left_anti").withColumn("section", F.lit(2))
     everything = merged.unionByName(extra)
     inner = F.when(F.col("section") == 0, F.col("chunk_index"))
@@ -157,12 +162,12 @@ def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k:
     return everything.withColumn("position", F.row_number().over(order)).select(*key, "similarity", "section", "position")
 
 
-def applicable_rules(bundle_types: DataFrame, rules: DataFrame, config: Config = CONFIG) -> DataFrame:
+def applicable_rules(bundle_types: DataFrame, rules: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Enabled rules whose scope is open or shares a type with (query_id, types)."""
     scope = F.col("applies_to_entity_types")
     open_ = scope.isNull() | (F.size(scope) == 0)
     fits = F.coalesce(F.arrays_overlap(scope, F.col("types")), F.lit(False)) | open_
-    joined = rules.filter("enabled").join(small_side(bundle_types.filter(F.size("types") > 0)), fits)
+    joined = rules.filter("enabled").join(small_side(bundle_types.filter(F.size("types") > 0), bounded), fits)
     return _top(joined, [F.col("priority").desc(), F.col("rule_name")], config.max_rules, "query_id").drop("types")
 
 

@@ -363,6 +363,15 @@ def test_prompts_and_reasoners(spark, sf_dir):
     assert (got["answer"], got["confidence_level"]) == ("seen", "high")
 
 
+def test_ingestion_totals(spark, entities, edges):
+    from sagebrook.plans import pipeline
+
+    docs = spark.createDataFrame([("d1", "The CoreTeam owns the PayService. PayService uses nothing."), ("d2", None)], "document_id string, text string")
+    out = pipeline.ingest(docs, entities, edges, as_of())
+    assert {r["metric"]: r["n"] for r in out["totals"].collect()} == {"documents": 2, "chunks": 1, "entities": 2, "relationships": 1, "orphans": 0}
+    assert out["entities"].count() == 5 and out["edges"].count() == 2
+
+
 class Echo:
     def answer(self, prompt):
         return '{"answer": "seen", "confidence": 0.9}'
