@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, shared_dir, table
+from .common import batched, materialize, narrow, shared_dir, table
 
 #: Payloads under this many bytes are stored with every record's type left at response.
 MIN_BYTES = 0
@@ -118,7 +118,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
         ),
         "warc-known",
     )
-    first = known.groupBy("sha256").agg(F.max("page_id").alias("first"))
+    first = materialize(known.groupBy("sha256").agg(F.max("page_id").alias("first")), "warc-first")
     is_first = F.col("page_id").eqNullSafe(F.col("first")) | (F.col("payload_bytes") < min_bytes)
     records = (
         known.join(first, "sha256")
@@ -126,12 +126,15 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
         .withColumn("refers_to", F.when(~is_first, F.col("first")))
     )
     records.select(F.encode(_headers(date), "UTF-8").alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
-    # Payloads travel compressed.  The page is compared beside the join, not as one of its
-    # keys, so that what follows finds the digests already together.
-    is_it = F.expr("page_id - first = 0 or (page_id is null and first is null)")
+    # Payloads travel compressed.  Copies are told by digest and page together, so those of
+    # one payload are spread over all tasks; what is left holds a payload more than once only
+    # where whole rows repeat.
+    others = known.join(first, "sha256").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("sha256", "page_id").distinct()
+    others = narrow(materialize(others, "warc-copies").select(F.col("sha256").alias("digest"), F.col("page_id").alias("copy")))
     packed = batched(rows.select("page_id", "sha256", "payload"), _pack, "page_id long, sha256 string, packed binary")
-    stored = packed.join(first.select(F.col("sha256").alias("digest"), "first"), (F.col("sha256") == F.col("digest")) & is_it)
-    stored.select("sha256", "packed").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    is_copy = (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("copy"))
+    stored = packed.join(others, is_copy, "left_anti").select("sha256", "packed")
+    stored.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
