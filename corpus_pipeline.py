@@ -44,12 +44,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_in_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = found.filter("contaminated").select(F.coalesce("doc_id", F.lit(decontaminate.NO_ID)).alias("__id")).distinct()
-    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(decontaminate.NO_ID))
-    leaked = materialize(leaked, "leaked")
-    return docs.join(narrow(leaked), id_ == leaked["__id"], "left_anti").select(*_named(docs))
+    """Documents that hold no window of a benchmark item.
+
+    Each row is judged by its own text, whatever other rows have its doc_id or none.
+    """
+    found = decontaminate.judged_rows(docs, table(spark, sf_dir, "benchmark"))
+    leaked = materialize(found.filter("contaminated").select("k1", "k2").distinct(), "leaked")
+    k1, k2 = decontaminate.row_key(docs["doc_id"], docs["text"])
+    same = (k1 == leaked["k1"]) & (k2 == leaked["k2"])
+    return docs.join(narrow(leaked), same, "left_anti").select(*_named(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,15 +40,16 @@ def lowered(word: Column) -> Column:
     )
 
 
+def row_key(doc: Column, text: Column) -> tuple[Column, Column]:
+    """A key of two numbers for a row with this id and text; equal rows have equal keys."""
+    doc = doc.cast("long")
+    return F.coalesce(doc, F.lit(NO_ID)), F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), doc.isNull())
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, text): a key of two numbers for each row; equal rows have equal keys."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc = F.col(id_col).cast("long")
-    return docs.select(
-        F.coalesce(doc, F.lit(NO_ID)).alias("k1"),
-        F.xxhash64(text, doc.isNull()).alias("k2"),
-        text.alias("text"),
-    )
+    """(k1, k2, text): the rows with their keys."""
+    k1, k2 = row_key(F.col(id_col), F.col(text_col))
+    return docs.select(k1.alias("k1"), k2.alias("k2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def phrases(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
@@ -166,7 +167,7 @@ def proximity(index: DataFrame, left: str, right: str, within: int) -> DataFrame
     )
 
 
-def contamination(
+def judged_rows(
     docs: DataFrame,
     items: DataFrame,
     window: int = WINDOW,
@@ -176,13 +177,7 @@ def contamination(
     item_text_col: str = "text",
     name: str = "postings",
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
-
-    Null and empty texts have no words and no hits.  Rows with a null doc_id are judged like
-    any other; repeated rows get equal results; an item without words has no window; a null
-    item_id counts as the empty string.  Other columns are ignored, whatever they are called.
-    Without documents the result is empty, without items nothing is contaminated.
-    """
+    """What ``contamination`` finds, under the keys (k1, k2) of ``row_key`` in place of doc_id."""
     found = phrases(items, item_col, item_text_col, window)
     found = materialize(found.withColumn("phrase", F.monotonically_increasing_id()), f"{name}-phrases")
     terms = found.select(F.explode("terms").alias("term")).distinct()
@@ -207,7 +202,8 @@ def contamination(
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(judged, ["k1", "k2"], "left").select(
-        F.when(F.col("k1") != NO_ID, F.col("k1")).alias("doc_id"),
+        "k1",
+        "k2",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(items_).cast("long").alias("n_items"),
@@ -216,6 +212,28 @@ def contamination(
     )
 
 
+def contamination(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    name: str = "postings",
+) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    Null and empty texts have no words and no hits.  Rows with a null doc_id are judged like
+    any other; repeated rows get equal results; an item without words has no window; a null
+    item_id counts as the empty string.  Other columns are ignored, whatever they are called.
+    Without documents the result is empty, without items nothing is contaminated.
+    """
+    found = judged_rows(docs, items, window, id_col, text_col, item_col, item_text_col, name)
+    doc = F.when(F.col("k1") != NO_ID, F.col("k1"))
+    return found.select(doc.alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -79,3 +79,15 @@ def test_pipeline(spark, documents, rows, sf_dir, tmp_path):
     result = corpus_pipeline.run(spark, source)
     assert result.count() > 0 and set(result.columns) == {*docs.columns, "slot", "shard"}
     assert minhash.PERCENT == 75
+
+
+def test_leaks_go_by_their_own_text(spark, tmp_path):
+    import corpus_pipeline
+
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs = [(None, f"so {leak} on"), (None, "clean without an id"), (None, None), (5, leak.upper()), (5, "clean under a repeated id"), (5, leak), (6, "clean"), (6, "clean"), (-(2**63), "least id")]
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = [r[5] for r in helpers.contamination(docs, [(1, leak)])]
+    assert bad.count(True) == 3
+    clean = corpus_pipeline.not_in_benchmarks(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(map(str, map(tuple, clean.collect()))) == sorted(str(d) for d, b in zip(docs, bad) if not b)
