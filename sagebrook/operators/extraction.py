@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 from typing import Protocol
 
 import pandas as pd
@@ -22,7 +23,11 @@ EDGE_SCHEMA = "source_name string, relationship_type string, target_name string,
 
 
 class Extractor(Protocol):
-    """Finds entities and relationships in a text; must be picklable."""
+    """Finds entities and relationships in a text; must be picklable.
+
+    One without a prompt, so that any length of text and of names will do, says so by
+    ``prompted = False``.
+    """
 
     def entities(self, text: str) -> list[tuple[str, str, float, str]]: ...
 
@@ -32,6 +37,7 @@ class Extractor(Protocol):
 class PatternExtractor:
     """The default: names by their endings, relationships by verbs between two names."""
 
+    prompted = False
     NAMES = re.compile(r"\b([A-Z][A-Za-z]*(?:Service|Team|DB|Cache|Queue))\b")
     KINDS = {"Service": "Service", "Team": "Team", "DB": "Database", "Cache": "Cache", "Queue": "Queue"}
     VERBS = {"owns": "OWNS", "depends on": "DEPENDS_ON", "calls": "CALLS", "supports": "SUPPORTS"}
@@ -48,28 +54,72 @@ class PatternExtractor:
         return out
 
     def relationships(self, text: str, names: list[str]) -> list[tuple[str, str, str, float, str]]:
-        out = []
+        out, known = [], set(names)
         for sentence in self._sentences(text):
             for verb, kind in self.VERBS.items():
-                for m in re.finditer(rf"(\w+) {verb} (?:the )?(\w+)", sentence):
-                    if m[1] in names and m[2] in names:
+                for m in re.finditer(rf"\b(\w+) {verb} (?:the )?(\w+)", sentence):
+                    if m[1] in known and m[2] in known:
                         out.append((m[1], kind, m[2], 0.7, sentence))
         return out
 
 
-def extract(chunks: DataFrame, extractor: Extractor | None = None, max_chars: int = CONFIG.extract_chars, max_names: int = CONFIG.extract_names) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of chunks (document_id, chunk_index, chunk_text), with seq."""
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def pieces(text: str, size: int) -> list[str]:
+    """Pieces of at most ``size`` characters that cover a text, cut at ends of sentences.
+
+    A longer sentence is cut between words, and each of its pieces begins in the middle of
+    the one before, so that what lies within half a piece is whole in one of them.
+    """
+    out, start = [], 0
+    while len(text) - start > size:
+        window = text[start : start + size]
+        ends = [m.end() for m in SENTENCE_END.finditer(window)]
+        cut = ends[-1] if ends else max(window.rfind(" ") + 1, window.rfind("\t") + 1) or size
+        out.append(window[:cut])
+        if not ends:
+            half = window.rfind(" ", 0, size // 2) + 1 or size // 2
+            cut = min(cut, max(half, 1))
+        start += cut
+    return [*out, text[start:]]
+
+
+def name_groups(names: list[str], size: int) -> list[list[str]]:
+    """Groups of at most ``size`` names, two at least, such that any two names share one."""
+    if len(names) <= size:
+        return [names]
+    half = max(size // 2, 1)
+    blocks = [names[i : i + half] for i in range(0, len(names), half)]
+    return [a + b for a, b in combinations(blocks, 2)] or [names]
+
+
+def extract(
+    chunks: DataFrame, extractor: Extractor | None = None, max_chars: int = CONFIG.extract_chars, max_names: int = CONFIG.extract_names, compat: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of chunks (document_id, chunk_index, chunk_text), with seq.
+
+    Whole chunks are read.  Extractors with a prompt are given pieces of at most ``max_chars``
+    and groups of at most ``max_names`` of a chunk's names; with ``compat`` any extractor
+    is given the first piece and the first names only.
+    """
     model = extractor or PatternExtractor()
+    prompted = getattr(model, "prompted", True)
 
     @F.pandas_udf(f"struct<e:array<struct<{_as_struct(ENTITY_SCHEMA)}>>,r:array<struct<{_as_struct(EDGE_SCHEMA)}>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         found, linked = [], []
         for text in texts:
-            head = (text or "")[:max_chars]
-            entities = model.entities(head)
-            names = list(dict.fromkeys(e[0] for e in entities))[:max_names]
+            text = text or ""
+            parts = [text[:max_chars]] if compat else pieces(text, max_chars) if prompted else [text]
+            entities = [e for part in parts for e in model.entities(part)]
+            names = list(dict.fromkeys(e[0] for e in entities))
+            groups = [names[:max_names]] if compat else name_groups(names, max_names) if prompted else [names]
+            links = [r for part in parts for group in groups for r in model.relationships(part, group)]
+            if len(parts) * len(groups) > 1:
+                links = list(dict.fromkeys(map(tuple, links)))
             found.append([dict(zip(("canonical_name", "entity_type", "confidence", "source_sentence"), e)) for e in entities])
-            linked.append([dict(zip(("source_name", "relationship_type", "target_name", "confidence", "source_sentence"), r)) for r in model.relationships(head, names)])
+            linked.append([dict(zip(("source_name", "relationship_type", "target_name", "confidence", "source_sentence"), r)) for r in links])
         return pd.DataFrame({"e": found, "r": linked})
 
     done = chunks.select("document_id", "chunk_index", run("chunk_text").alias("x"))

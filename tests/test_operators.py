@@ -240,6 +240,41 @@ def test_extraction(spark, entities):
     assert (new.count(), new_edges.count(), errors.count()) == (2, 1, 0)
 
 
+class Prompted(extraction.PatternExtractor):
+    """Like the default, with room for 1200 characters and 20 names."""
+
+    prompted = True
+
+    def entities(self, text):
+        assert len(text) <= 1200
+        return super().entities(text)
+
+    def relationships(self, text, names):
+        assert len(text) <= 1200 and len(names) <= 20
+        return super().relationships(text, names)
+
+
+@pytest.mark.parametrize("extractor", [None, Prompted()])
+@pytest.mark.parametrize("end", [".", ""])
+def test_extraction_reads_whole_chunks(spark, extractor, end):
+    names = [f"{a}{b}Team" for a in "ABCDEF" for b in "abcdefghij"]
+    wanted = {(a, "OWNS", b) for a, b in zip(names, names[::-1])}
+    text = " ".join(f"then {a} owns the {b}{end} some more words" for a, _, b in sorted(wanted))
+    assert len(text) > 2 * 1200
+    chunks = spark.createDataFrame([("d", 0, text), ("e", 0, None), ("f", 0, "x" * 200_000 + " ATeam")], "document_id string, chunk_index int, chunk_text string")
+    found, linked = extraction.extract(chunks, extractor)
+    assert {r["canonical_name"] for r in found.collect()} == {*names, "ATeam"}
+    assert {(r["source_name"], r["relationship_type"], r["target_name"]) for r in linked.collect()} == wanted
+    assert extraction.extract(chunks, extractor, compat=True)[1].count() < 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 21, 45])
+def test_any_two_names_share_a_group(n):
+    groups = extraction.name_groups(list(range(n)), 20)
+    assert all(len(g) <= 20 for g in groups)
+    assert {(a, b) for g in groups for a in g for b in g} == {(a, b) for a in range(n) for b in range(n)}
+
+
 def test_validity(spark):
     rows = spark.createDataFrame([("a", "Service|Team", 1.7, None), ("b", "Planet", 0.5, "s"), ("", "Team", 0.5, "s")], "canonical_name string, entity_type string, confidence double, source_sentence string")
     assert [tuple(r) for r in extraction.valid_entities(rows).collect()] == [("a", "Service", 1.0, "")]
