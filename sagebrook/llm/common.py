@@ -26,10 +26,13 @@ NO_ID = -(2**63)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a local folder is chosen.
+    Only where that is unset and Spark runs on one machine (tests) a local folder is chosen;
+    on a cluster a missing setting is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="sagebrook-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -91,8 +94,8 @@ def batched(
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; looks at no more than rows + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df``, best a stored table, has at most ``rows`` rows; every task counts its own."""
+    return df.count() <= rows
 
 
 #: The most rows of a narrow side that are sent to every executor to spare the shuffle of

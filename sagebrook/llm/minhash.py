@@ -6,15 +6,14 @@ Two collections of ``M`` sub-keys (``A`` minhashes each) are computed.  The key
 agreeing sub-key: probability at most 2 * (1 - s**A)**M, which is 1.9e-5 at s = 0.75 for the
 defaults.
 
-Only sub-keys that at least two different sets share are paired: a text that shares no
-sub-key of either collection can meet nobody, so nothing is lost and most texts never
-produce a table key.
-
-Copies (equal sets) are one class.  Within a bucket, classes are compared with a leader, then
-those still apart and still able to link with a second one.  What is left is compared by
-blocks: pairs that meet in a table and are in different components are judged inside a task
-over two bounded blocks, and only links come out of it.  No group of near copies is expanded
-into pairs.
+Copies (equal sets) are one class.  The tables (i, i) come first: the classes of a bucket are
+compared with its least one, which joins most groups of near copies.  The other tables matter
+only where a bucket still holds two components, so they are not written out for all: a class
+stays in question while sub-keys of both collections are shared with another component.  Such
+classes are compared with the one of each group that has the fewest shingles of its own, and
+what is then still apart is compared by blocks, where a pair is judged if it meets in any
+table.  A group's largest component is compared with the rest and never with itself, so no
+group of near copies is expanded into pairs, and only links come out of a task.
 """
 
 from __future__ import annotations
@@ -33,37 +32,39 @@ A = 2
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Classes of a block, and shingles of a piece, when groups are compared by blocks.
+#: Classes and shingles of a block, and shingles of a piece, when groups are compared by blocks.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 22
 PIECE = 4096
+#: A group of one sub-key whose rest fills more blocks than this is cut by the second collection.
+CUT = 8
 U64 = np.uint64
 
 
 def shingle_sets(column: pa.Array, k: int = WORDS):
     """Per slice of a text column: (first row, sorted distinct 64-bit shingle hashes of all
     its rows one after another, offsets)."""
-    weights = kernel.stream(5, k) | U64(1)
     for first, end, data, offsets in kernel.slices(column):
         data = kernel.LOWER[data]
         starts, ends, at = kernel.word_spans(data, offsets)
         words = kernel.span_hashes(data, starts, ends) if len(starts) else np.zeros(0, U64)
-        if len(words) >= k:
-            grams = np.zeros(len(words) - k + 1, dtype=U64)
-            for j in range(k):
-                grams += words[j : len(words) - k + 1 + j] * weights[j]
-            grams = kernel.mix(grams)
-        else:
-            grams = np.zeros(0, dtype=U64)
+        # Mixed after each word, so that sums of hashes mean nothing.
+        grams = np.full(max(len(words) - k + 1, 0), k, dtype=U64)
+        for j in range(k if len(grams) else 0):
+            grams = kernel.mix(grams ^ words[j : len(words) - k + 1 + j])
+        size = np.diff(at)
+        few = (size > 0) & (size < k)
+        whole = size.astype(U64)
+        for j in range(k - 1):
+            on = few & (size > j)
+            whole[on] = kernel.mix(whole[on] ^ words[at[:-1][on] + j])
         sets = []
-        for lo, hi in zip(at[:-1], at[1:]):
+        for i, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
             if hi - lo >= k:
                 one = np.sort(grams[lo : hi - k + 1])
                 sets.append(one[np.concatenate(([True], one[1:] != one[:-1]))])
-            elif hi > lo:
-                short = words[lo:hi] * weights[: hi - lo]
-                sets.append(kernel.mix(short.sum(dtype=U64, keepdims=True) + U64(hi - lo)))
             else:
-                sets.append(grams[:0])
+                sets.append(whole[i : i + 1] if few[i] else grams[:0])
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         yield first, np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
 
@@ -157,42 +158,16 @@ def _confirm(percent: int):
     return run
 
 
-def _shared(keys: DataFrame, column: str) -> DataFrame:
-    """(rep, the sub-keys of a collection that another set has too)."""
-    long = keys.select("rep", F.posexplode(column).alias("i", "k"))
-    often = long.groupBy("i", "k").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    # A table of its own, so that the join's sides are plain and a hot sub-key can be split.
-    often = materialize(often, "minhash-often")
-    return (
-        long.join(often, ["i", "k"])
-        .groupBy("rep")
-        .agg(F.collect_list(F.struct("i", "k")).alias(column))
+def _star(classes: DataFrame, name: str) -> DataFrame:
+    """(x, y): every class of a bucket of the tables (i, i) with the bucket's least class."""
+    both = F.arrays_zip("a", "b")
+    rows = classes.select("rep", F.posexplode(both).alias("i", "p")).select(
+        F.xxhash64("i", "p.a", "p.b").alias("key"), "rep"
     )
-
-
-def candidate_rows(reps: DataFrame, name: str) -> DataFrame:
-    """(key, rep): the table keys of every class that shares sub-keys of both collections."""
-    pairs = _shared(reps, "a").join(_shared(reps, "b"), "rep")
-    rows = (
-        pairs.select("rep", F.explode("a").alias("a"), "b")
-        .select("rep", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a.i", "a.k", "b.i", "b.k").alias("key"), "rep")
-    )
-    return materialize(rows, f"{name}-rows")
-
-
-def buckets_of(rows: DataFrame) -> DataFrame:
-    """(key, rep) of buckets with at least two classes, one bucket of each equal membership."""
-    sizes = rows.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"),
-        F.min("rep").alias("least"),
-    )
-    # Tables agree on most groups: of buckets with the same members one is enough.
-    chosen = (
-        sizes.filter("c > 1").groupBy("c", "members", "least").agg(F.min("key").alias("key")).select("key")
-    )
-    return rows.join(chosen, "key")
+    least = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("x"))
+    # A table of its own, so that the join's sides are plain and a hot bucket can be split.
+    least = materialize(least.filter("c > 1").select("key", "x"), f"{name}-least")
+    return rows.join(narrow(least), "key").filter("rep <> x").select("x", F.col("rep").alias("y")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,25 +181,36 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return judged.groupBy("x", "y").agg(F.max("linked").alias("linked"))
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    several = (
-        placed.groupBy("key")
-        .agg(F.min("part").alias("p0"), F.max("part").alias("p1"))
-        .filter("p0 < p1")
-        .select("key")
-    )
-    return placed.join(several, "key")
+def _parted(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """``reps`` with the component of each, as ``part``."""
+    nodes = found.select(F.col("node").alias("rep"), "component")
+    return reps.join(narrow(nodes), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
 
 
-def _open(buckets: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
-    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(sizes, "rep")
-    return _mixed(placed.select("key", "rep", "n_min", "n_max", "texts", F.coalesce("component", "rep").alias("part")))
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of the sub-keys (i, k) that more than one component has."""
+    several = rows.groupBy("i", "k").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1")
+    several = materialize(several.select("i", "k"), f"{name}-several")
+    return materialize(rows.join(narrow(several), ["i", "k"]), f"{name}-mixed")
 
 
-def _reopen(open_: DataFrame, found: DataFrame) -> DataFrame:
-    placed = open_.drop("part").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return _mixed(placed.withColumn("part", F.coalesce("component", "rep")).drop("component"))
+def _open(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(rep, n, part, i, k): the sub-keys of the first collection that another component
+    shares, of the classes that share one of the second collection too."""
+    placed = _parted(classes.select("rep", "n", "a", "b"), found)
+    first = _mixed(placed.select("rep", "n", "part", F.posexplode("a").alias("i", "k")), name)
+    some = materialize(first.select("rep").distinct(), f"{name}-some")
+    second = _mixed(
+        placed.join(narrow(some), "rep", "left_semi").select("rep", "part", F.posexplode("b").alias("i", "k")), name
+    )
+    both = materialize(second.select("rep").distinct(), f"{name}-some")
+    out = _mixed(first.join(narrow(both), "rep", "left_semi"), name)
+    discard(first, some, second, both)
+    return out
+
+
+def _reopen(open_: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    return _mixed(_parted(open_.drop("part"), found), name)
 
 
 def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -233,24 +219,20 @@ def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["rep", "t"])
 
 
-def _lone(sets: DataFrame, open_: DataFrame) -> DataFrame:
-    """(rep, u): how many shingles of a class in an open bucket no other such class has."""
-    some = open_.select("rep").distinct()
-    tokens = batched(
-        sets.join(some, sets["doc_id"] == some["rep"], "left_semi").select("doc_id", "s"), _tokens, "rep long, t long"
-    )
+def _lone(sets: DataFrame) -> DataFrame:
+    """(rep, u): how many shingles of a class no other class of ``sets`` has."""
+    tokens = batched(sets.select("doc_id", "s"), _tokens, "rep long, t long")
     once = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep")).filter("c = 1")
     return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
 
 def _hopeful(open_: DataFrame, percent: int) -> DataFrame:
-    """Open rows of classes that can still link with a class of the sizes in their buckets."""
-    least = open_.groupBy("key").agg(F.min("n_min").alias("s"))
-    per_rep = open_.join(least, "key").groupBy("rep").agg(F.min("s").alias("s"))
+    """Open rows of classes that can still link with a class of the sizes in their groups."""
+    least = open_.groupBy("i", "k").agg(F.min("n_min").alias("s"))
+    per_rep = open_.join(least, ["i", "k"]).groupBy("rep").agg(F.min("s").alias("s"))
     both = "(n_max - u)"
     possible = f"100 * {both} >= {percent} * (n_min + greatest(s, {both}) - {both})"
-    able = open_.join(per_rep, "rep").filter(f"texts > 1 or {possible}").drop("s")
-    return _mixed(able)
+    return open_.join(per_rep, "rep").filter(f"texts > 1 or {possible}").drop("s")
 
 
 def _bound(percent: int) -> str:
@@ -284,11 +266,12 @@ def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(i: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def _block_links(i: int, j: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     """Links within one block, or between two, of the classes that agree on sub-key i.
 
     Rows are (rep, part, first block, set, a, b).  A pair is judged where its first common
-    sub-key of the first collection is the i-th, and only if it has one of the second too.
+    sub-key of the first collection is the i-th, and only if it has one of the second too:
+    the j-th as the first, where the group was cut by it.
     """
     xs = rows if same else [r for r in rows if r[2]]
     ys = rows if same else [r for r in rows if not r[2]]
@@ -297,23 +280,26 @@ def _block_links(i: int, same: bool, rows: list[tuple], percent: int) -> list[tu
     ax, ay = np.array([r[4] for r in xs]), np.array([r[4] for r in ys])
     bx, by = np.array([r[5] for r in xs]), np.array([r[5] for r in ys])
     rep_x, rep_y = np.array([r[0] for r in xs]), np.array([r[0] for r in ys])
+    nx, ny = np.array([len(r[3]) for r in xs]), np.array([len(r[3]) for r in ys])
     ask = np.array([r[1] for r in xs])[:, None] != np.array([r[1] for r in ys])[None, :]
+    ask &= 100 * np.minimum(nx[:, None], ny[None, :]) >= percent * np.maximum(nx[:, None], ny[None, :])
     if same:
         ask &= rep_x[:, None] < rep_y[None, :]
-    for j in range(i):
-        ask &= ax[:, j][:, None] != ay[:, j][None, :]
+    for t in range(i):
+        ask &= ax[:, t][:, None] != ay[:, t][None, :]
     if not ask.any():
         return []
     meet = np.zeros_like(ask)
-    for j in range(bx.shape[1]):
-        meet |= bx[:, j][:, None] == by[:, j][None, :]
+    for t in range(j + 1 if j >= 0 else bx.shape[1]):
+        equal = bx[:, t][:, None] == by[:, t][None, :]
+        meet = equal & ~meet if t == j else meet | equal
     ask &= meet
     in_x, in_y = np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
     if not len(in_x):
         return []
     sx, sy = [xs[q][3] for q in in_x], [ys[q][3] for q in in_y]
     both = _intersections(sx, sy).astype(np.int64)
-    either = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :] - both
+    either = nx[in_x][:, None] + ny[in_y][None, :] - both
     linked = ask[np.ix_(in_x, in_y)] & (100 * both >= percent * either) & (both > 0)
     return [(int(rep_x[in_x[p]]), int(rep_y[in_y[q]])) for p, q in zip(*np.nonzero(linked))]
 
@@ -324,21 +310,21 @@ def _judge_blocks(percent: int):
     def run(batches):
         held, key = [], None
         for batch in batches:
-            names = [batch.column(c).to_numpy() for c in range(4)]
-            rep, part, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
-            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (8, 9))
+            names = [batch.column(c).to_numpy() for c in range(6)]
+            rep, part, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in (6, 7, 8))
+            a, b = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in (10, 11))
             found = []
             for q in range(batch.num_rows):
                 now = tuple(int(x[q]) for x in names)
                 if now != key:
                     if held:
-                        found += _block_links(key[0], key[2] == key[3], held, percent)
+                        found += _block_links(key[0], key[2], key[4] == key[5], held, percent)
                     held, key = [], now
-                s = np.frombuffer(batch.column(7)[q].as_py(), dtype=U64)
+                s = np.frombuffer(batch.column(9)[q].as_py(), dtype=U64)
                 held.append((int(rep[q]), int(part[q]), bool(first[q]), s, a[q].copy(), b[q].copy()))
             if found:
                 yield _pairs(found)
-        if held and (found := _block_links(key[0], key[2] == key[3], held, percent)):
+        if held and (found := _block_links(key[0], key[2], key[4] == key[5], held, percent)):
             yield _pairs(found)
 
     return run
@@ -349,39 +335,71 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["u", "v"])
 
 
-def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among open classes in different components.
+GROUP = ["i", "k", "j", "l"]
 
-    The classes that agree on a sub-key of the first collection are dealt into blocks of
-    about BLOCK by the hash of their ids, and each pair of blocks is compared as a whole, so
-    neither a task nor a shuffle ever holds more than two blocks of a group, and only links
-    come out.
-    """
-    members = open_.groupBy("rep").agg(F.first("part").alias("part"))
-    mine = sets.withColumnRenamed("doc_id", "rep").join(members, "rep")
-    slim = mine.select("rep", "part", F.posexplode("a").alias("i", "k"))
-    groups = (
-        slim.groupBy("i", "k")
-        .agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n"))
-        .filter("p0 < p1")
-        .select("i", "k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+def _groups(members: DataFrame, block: int, name: str) -> DataFrame:
+    """Groups of several components: their largest one (``main``) and how many blocks that
+    one (``d``) and the rest (``r``) are dealt into."""
+    parts = members.groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    groups = parts.groupBy(*GROUP).agg(
+        F.max(F.struct("c", "w", "part")).alias("m"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("parts")
     )
-    block = F.pmod(F.xxhash64("rep", "i"), F.col("blocks")).cast("int")
-    tasks = (
-        slim.join(groups, ["i", "k"])
+
+    def blocks(c: str, w: str):
+        return F.expr(f"cast(ceil(greatest(({c}) / {block}, ({w}) / {BLOCK_SHINGLES})) as int)")
+
+    return materialize(
+        groups.filter("parts > 1").select(
+            *GROUP, F.col("m.part").alias("main"), blocks("c - m.c", "w - m.w").alias("r"), blocks("m.c", "m.w").alias("d")
+        ),
+        f"{name}-groups",
+    )
+
+
+def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members under every block pair that they are part of: blocks of the rest come first
+    and meet each other and those of the main component, which do not meet each other."""
+    main = F.col("part") == F.col("main")
+    spread = F.xxhash64("rep", "i")
+    block = F.when(main, F.col("r") + F.pmod(spread, F.col("d"))).otherwise(F.pmod(spread, F.col("r"))).cast("int")
+    last = F.when(main, F.col("r") - 1).otherwise(F.col("r") + F.col("d") - 1)
+    return (
+        members.join(groups, GROUP)
         .withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select(
-            "rep", "i", "k", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-            (F.col("block") <= F.col("other")).alias("first"),
+            *GROUP, F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+            "rep", "part", (F.col("block") <= F.col("other")).alias("first"),
         )
-        .distinct()
     )
-    rows = tasks.join(mine, "rep").select("i", "k", "p", "q", "rep", "part", "first", "s", "a", "b")
+
+
+def _blocked(open_: DataFrame, sets: DataFrame, percent: int, name: str, block: int = BLOCK, cut: int = CUT) -> DataFrame:
+    """Links (u, v) among open classes in different components.
+
+    The classes that agree on a sub-key of the first collection are a group; a large one is
+    cut by the sub-keys of the second.  A group's largest component is dealt into blocks, and
+    so is the rest, by the hash of their ids.  Every block of the rest is compared with every
+    other block, so a task never holds more than two blocks of a group, a set is sent once for
+    each block of the rest, and only links come out.
+    """
+    members = materialize(
+        open_.groupBy("i", "k", "rep", "part").agg(F.max("n").alias("n")).select("i", "k", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("l"), "rep", "part", "n"),
+        f"{name}-members",
+    )
+    groups = _groups(members, block, name)
+    large = groups.filter(f"r > {cut}").select("i", "k")
+    keys = sets.select(F.col("doc_id").alias("rep"), F.posexplode("b").alias("j", "l"))
+    pieces = members.drop("j", "l").join(large, ["i", "k"]).join(keys, "rep").select(*GROUP, "rep", "part", "n").distinct()
+    pieces = materialize(pieces, f"{name}-pieces")
+    tasks = _dealt(members, groups.filter(f"r <= {cut}")).unionByName(_dealt(pieces, _groups(pieces, block, name)))
+    mine = sets.withColumnRenamed("doc_id", "rep")
+    rows = tasks.join(mine, "rep").select(*GROUP, "p", "q", "rep", "part", "first", "s", "a", "b")
     arrow_limits(open_.sparkSession)
     return (
-        rows.repartition("i", "k", "p", "q")
-        .sortWithinPartitions("i", "k", "p", "q")
+        rows.repartition(*GROUP, "p", "q")
+        .sortWithinPartitions(*GROUP, "p", "q")
         .mapInArrow(_judge_blocks(percent), "u long, v long")
         .distinct()
     )
@@ -413,18 +431,15 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
     )
     classes = materialize(classes, f"{name}-classes")
-    reps = classes.select("rep", "a", "b")
-    rows = candidate_rows(reps, name)
-    buckets = materialize(buckets_of(rows).distinct(), f"{name}-buckets")
-    discard(rows)
     # A rep that stands for several classes is there with each size.
     sizes = classes.groupBy("rep").agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("texts")
     )
-    sets = materialize(
-        batched(docs.join(narrow(buckets.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi"), _sets(m, a, k), "doc_id long, s binary, a array<long>, b array<long>"),
-        f"{name}-sets",
-    )
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        some = docs.join(narrow(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+        schema = "doc_id long, s binary, a array<long>, b array<long>"
+        return materialize(batched(some, _sets(m, a, k), schema), f"{name}-sets")
 
     def sized(pairs: DataFrame) -> DataFrame:
         x = sizes.select(F.col("rep").alias("x"), F.col("n_min").alias("x0"), F.col("n_max").alias("x1"))
@@ -436,38 +451,40 @@ def near_duplicates(
             .select("x", "y")
         )
 
-    # Star: every class of a bucket with the bucket's least class.
-    least = buckets.groupBy("key").agg(F.min("rep").alias("x"))
-    star = buckets.join(least, "key").filter("rep <> x").select("x", F.col("rep").alias("y")).distinct()
-    first = judged = materialize(_verify(sized(star), sets, percent), f"{name}-star")
+    # The tables (i, i): every class of a bucket with the bucket's least class.
+    star = materialize(sized(_star(classes, name)), f"{name}-pairs")
+    met = materialize(star.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), f"{name}-met")
+    sets = sets_of(met)
+    first = judged = materialize(_verify(star, sets, percent), f"{name}-star")
     links = judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = components(links, f"{name}-parts")
-
-    # What is left: classes of one bucket that are not yet connected.  A shingle that no other
-    # class in question has can be in no intersection, which bounds what a class can link
-    # with; most classes that stayed alone are settled by that, without a pair.
-    met = open_ = materialize(_open(buckets, found, sizes), f"{name}-open")
-    lone = materialize(_lone(sets, open_), f"{name}-lone")
+    found = materialize(components(links, f"{name}-parts"), f"{name}-found")
+    discard(star, met, sets)
+
+    # All tables: classes that still share sub-keys of both collections with other components.
+    # A shingle that no other class in question has can be in no intersection, which bounds
+    # what a class can link with; most are settled by that, without a pair.
+    met = _open(classes, found, f"{name}-open")
+    sets = sets_of(materialize(met.select("rep").distinct(), f"{name}-met"))
+    lone = materialize(_lone(sets), f"{name}-lone")
     # Of a rep that stands for several texts nothing is known.
     alone = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0))
-    open_ = open_.join(lone, "rep", "left").withColumn("u", alone)
-    hopeful = materialize(_hopeful(open_, percent), f"{name}-hopeful")
-    discard(met, lone, buckets)
-    open_ = hopeful
-    # A second star, around the class of each bucket with the fewest shingles of its own.
-    core = open_.groupBy("key").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
-    core = core.select("key", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "u", "n_min", "n_max", "part")])
-    star = open_.join(core, "key").filter(f"part <> y_part and {_bound(percent)}")
+    placed = met.join(narrow(lone), "rep", "left").join(sizes, "rep").withColumn("u", alone)
+    hopeful = _mixed(materialize(_hopeful(materialize(placed, f"{name}-placed"), percent), f"{name}-able"), f"{name}-hopeful")
+    discard(met, lone)
+    # A second star, around the class of each group with the fewest shingles of its own.
+    core = hopeful.groupBy("i", "k").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
+    core = core.select("i", "k", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "u", "n_min", "n_max", "part")])
+    core = materialize(core, f"{name}-core")
+    star = hopeful.join(narrow(core), ["i", "k"]).filter(f"part <> y_part and {_bound(percent)}")
     star = star.select(F.least("rep", "y_rep").alias("x"), F.greatest("rep", "y_rep").alias("y")).distinct()
-    star = star.join(judged.select("x", "y"), ["x", "y"], "left_anti")
+    star = materialize(star.join(judged.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
     second = materialize(_verify(star, sets, percent), f"{name}-star")
-    judged = judged.unionByName(second)
     links = links.union(second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    found = components(links, f"{name}-parts")
-    # Then the classes still apart, with those of the bucket's other components, by blocks.
-    open_ = materialize(_reopen(hopeful, found), f"{name}-open")
-    more = materialize(_blocked(open_, sets, percent), f"{name}-rest")
-    discard(hopeful, open_, sets)
+    found = materialize(components(links, f"{name}-parts"), f"{name}-found")
+    # Then the classes still apart, with those of their groups' other components, by blocks.
+    open_ = _reopen(hopeful, found, f"{name}-open")
+    more = materialize(_blocked(open_, sets, percent, name), f"{name}-rest")
+    discard(hopeful, core, star, open_, sets)
     again = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     same = (
         sketch.select("doc_id", "n", "d1", "d2")

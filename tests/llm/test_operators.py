@@ -95,8 +95,51 @@ def test_large_group_of_near_copies(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
-def test_blocks_find_all_links(spark, monkeypatch):
-    """Small blocks and pieces give what one block gives."""
+def thue_morse(n):
+    """Two different words of n letters whose polynomial hashes modulo 2**64 are equal from
+    n = 1024 on, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_forged_words_do_not_link(spark):
+    rows = []
+    for i, n in enumerate((1024, 2048, 4096)):
+        a, b = thue_morse(n)
+        rows += [(10 * i, a), (10 * i + 1, b), (10 * i + 2, f"one two {a} three four"), (10 * i + 3, f"one two {b} three four")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d for d, _ in rows}
+
+
+@pytest.mark.parametrize("block, cut", [(512, 8), (7, 8), (7, 1), (3, 0)])
+def test_block_pairs_find_all_links(spark, block, cut):
+    """Whatever the size of blocks and where groups are cut: the links of any two classes that
+    meet in a table and are in different components."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        copy = list(words)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(copy), i % 7 if i % 3 else 0))
+    docs = spark.createDataFrame(texts, "doc_id long, text string, part long")
+    sets = common.materialize(common.batched(docs.select("doc_id", "text"), minhash._sets(14, 2, 5), "doc_id long, s binary, a array<long>, b array<long>"), "test")
+    open_ = sets.join(docs.select("doc_id", "part"), "doc_id").select(F.col("doc_id").alias("rep"), "part", (F.octet_length("s") / 8).cast("long").alias("n"), F.posexplode("a").alias("i", "k"))
+    got = [(r["u"], r["v"]) for r in minhash._blocked(open_, sets, 75, "test", block, cut).collect()]
+    keys = {r["doc_id"]: (r["a"], r["b"]) for r in sets.collect()}
+    want = set()
+    for i, t, p in texts:
+        for j, u, q in texts[:i]:
+            meet = all(any(x == y for x, y in zip(keys[i][c], keys[j][c])) for c in (0, 1))
+            s, r = helpers.shingles(t), helpers.shingles(u)
+            if p != q and meet and 100 * len(s & r) >= 75 * len(s | r):
+                want.add((j, i))
+    assert want and len(got) == len(set(got)) and {tuple(sorted(x)) for x in got} == want
+
+
+def test_pieces_find_all_links(monkeypatch):
+    """Small pieces give what one piece gives."""
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, 120).astype(np.uint64)) for _ in range(40)]
     monkeypatch.setattr(minhash, "PIECE", 7)
@@ -148,6 +191,12 @@ def test_vectors(spark, monkeypatch, pivots, block):
     assert all(r["component_id"] == parts[r["vec_id"]] and r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
 
 
+def test_vectors_of_one_id_count_their_own_links(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (7, [1.0, 0.01, 0.0]), (8, [0.0, 1.0, 0.01]), (9, [0.0, 1.0, 0.02])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == Counter([(5, 1, 5), (5, 2, 5), (7, 1, 5), (8, 2, 5), (9, 2, 5)])
+
+
 def test_vectors_of_nothing(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -438,3 +487,13 @@ def test_span_hashes_depend_on_bytes_alone():
     data = np.frombuffer(b"abc xabc abc", dtype=np.uint8)
     a, b, c = kernel.span_hashes(data, np.array([0, 5, 9]), np.array([3, 8, 12]))
     assert a == b == c != kernel.span_hashes(data, np.array([4]), np.array([7]))[0]
+
+
+def test_span_hashes_of_every_length():
+    data = np.frombuffer(bytes(random.Random(1).choices(range(256), k=300)), dtype=np.uint8)
+    starts, ends = (x.ravel() for x in np.meshgrid(np.arange(0, 150, 7), np.arange(150, 300, 11)))
+    twice = np.concatenate((np.zeros(5, np.uint8), data, data[:3]))
+    assert (kernel.span_hashes(data, starts, ends) == kernel.span_hashes(twice, starts + 5, ends + 5)).all()
+    short = np.arange(60)
+    hashes = kernel.span_hashes(data, short * 0 + 100, short + 100)
+    assert len(set(hashes.tolist())) == 60
