@@ -131,8 +131,9 @@ def _cells(pivots: np.ndarray, eps: float):
                 batch.column(0).take(take),
                 batch.column(1).take(take),
                 batch.column(2).take(take),
+                batch.column(3).take(take),
             ],
-            names=["dim", "cell", "home", "rep", "many", "v"],
+            names=["dim", "cell", "home", "rep", "many", "v", "tie"],
         )
 
     return run
@@ -155,12 +156,14 @@ TILE = 512
 
 
 def _compare(same: bool, rows: list[tuple], cosine: float):
-    """(u, v, links) rows of one block pair: sums of links (v null) and forest edges."""
+    """(u, v, links, tie) rows of one block pair: sums of links (v null) of the class (u, tie),
+    and forest edges."""
     first = np.array([r[0] for r in rows])
     home = np.array([r[1] for r in rows])
     rep = np.array([r[2] for r in rows])
     many = np.array([r[3] for r in rows])
     exact = unpack([r[4] for r in rows])
+    tie = np.array([r[5] for r in rows])
     exact /= np.abs(exact).max(axis=1, keepdims=True)
     norm = np.linalg.norm(exact, axis=1)
     quick = (exact / norm[:, None]).astype(np.float32)
@@ -192,7 +195,10 @@ def _compare(same: bool, rows: list[tuple], cosine: float):
     hung = np.flatnonzero(label != np.arange(len(rows)))
     u = np.concatenate((rep[some], rep[hung]))
     v = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[label[hung]], pa.int64())])
-    return pa.RecordBatch.from_arrays([pa.array(u), v, pa.array(np.concatenate((links[some], hung * 0)))], names=["u", "v", "links"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(u), v, pa.array(np.concatenate((links[some], hung * 0))), pa.array(np.concatenate((tie[some], tie[hung])))],
+        names=["u", "v", "links", "tie"],
+    )
 
 
 def _join(cosine: float):
@@ -202,7 +208,7 @@ def _join(cosine: float):
         held, key = [], None
         for batch in batches:
             names = [batch.column(c).to_numpy() for c in range(4)]
-            columns = [batch.column(c).to_pylist() for c in range(4, 9)]
+            columns = [batch.column(c).to_pylist() for c in range(4, 10)]
             for i in range(batch.num_rows):
                 now = tuple(int(x[i]) for x in names)
                 if now != key:
@@ -221,8 +227,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     Null, empty and zero vectors and those with null or non-finite components link with
     nothing, and so do rows without a vec_id (component null, kept) and vectors of different
-    lengths.  Repeated rows are vectors of their own that link with each other.  Other
-    columns are ignored; an empty table gives an empty result.
+    lengths.  Repeated rows are vectors of their own that link with each other.  Different
+    vectors of one vec_id count their own links and share its component.  Other columns are
+    ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -242,8 +249,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     chosen = unpack([c for c, s in zip(packed, sizes) if s == usual]) if sizes else np.ones((1, 1))
     pivots = choose_pivots(units(chosen), n, eps)
 
-    # Classes are told apart by digest: rows of one vec_id may hold several vectors.
-    celled = batched(classes.select("rep", "many", "v"), _cells(pivots, eps), "dim long, cell long, home boolean, rep long, many long, v binary")
+    # Rows of one vec_id may hold several vectors, so a rep may stand for several classes: one
+    # node of the components, but each with links of its own, told apart by ``tie``.
+    tied = classes.select("rep", "many", "v", F.xxhash64("digest").alias("tie"))
+    celled = batched(tied, _cells(pivots, eps), "dim long, cell long, home boolean, rep long, many long, v binary, tie long")
     celled = materialize(celled, f"{name}-cells")
     counts = celled.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int")
@@ -253,23 +262,23 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "dim", "cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-            (F.col("block") <= F.col("other")).alias("first"), "home", "rep", "many", "v",
+            (F.col("block") <= F.col("other")).alias("first"), "home", "rep", "many", "v", "tie",
         )
     )
     arrow_limits(spark)
     judged = (
         tasks.repartition("dim", "cell", "p", "q")
         .sortWithinPartitions("dim", "cell", "p", "q")
-        .mapInArrow(_join(cosine), "u long, v long, links long")
+        .mapInArrow(_join(cosine), "u long, v long, links long, tie long")
     )
     judged = materialize(judged, f"{name}-judged")
-    links = judged.filter("v is null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
+    links = judged.filter("v is null").groupBy(F.col("u").alias("rep"), "tie").agg(F.sum("links").alias("links"))
     again = able.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     same = able.join(again, "vec_id").join(classes.select("digest", "rep"), "digest").select(F.col("vec_id").alias("u"), F.col("rep").alias("v"))
     parts = components(judged.filter("v is not null").select("u", "v").union(same), f"{name}-parts")
     where = (
-        classes.select("digest", "rep", "many")
-        .join(links, "rep", "left")
+        classes.select("digest", "rep", "many", F.xxhash64("digest").alias("tie"))
+        .join(links, ["rep", "tie"], "left")
         .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
         .select("digest", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
