@@ -165,10 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_train: int = M
     return np.frombuffer(bytes(out[0]["w"]), dtype=np.float64) if out else np.zeros((1 << bits) + 1)
 
 
-def score_column(docs: DataFrame, weights: np.ndarray, bits: int, columns: list[str]) -> DataFrame:
-    """``columns`` of docs and the score of column ``text``."""
+def score_column(docs: DataFrame, weights: np.ndarray, bits: int, columns: list[str], text_col: str = "text") -> DataFrame:
+    """``columns`` of docs, none of them named ``score``, and the score of a text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    picked = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    picked = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
     schema = picked.drop("__text").schema.simpleString()[len("struct<") : -1]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
