@@ -13,6 +13,8 @@ Scoring covers every row.  The model is ``2**BITS`` doubles (2 MB) at any corpus
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -129,13 +131,27 @@ def _sparse(bits: int):
 
 
 def _fit(bits: int, epochs: int):
+    """Trains on all batches of one task, held as a few flat arrays."""
+
     def run(batches):
-        rows = []
+        order, labels, sizes, index, value = [], [], [], [], []
         for batch in batches:
-            for o, label, i, v in zip(*(c for c in batch.columns)):
-                rows.append((o.as_py(), i.values.to_numpy(), v.values.to_numpy(), float(label.as_py())))
-        rows.sort(key=lambda r: (r[0], r[3], len(r[1]), r[1].tobytes()))
-        w = train([r[1:] for r in rows], bits, epochs)
+            o, label, i, v = batch.columns
+            order.append(o.to_numpy().copy())
+            labels.append(label.to_numpy().copy())
+            sizes.append(np.diff(i.offsets.to_numpy()))
+            index.append(i.flatten().to_numpy().astype(np.int32))
+            value.append(v.flatten().to_numpy().copy())
+        if not order:
+            yield pa.RecordBatch.from_arrays([pa.array([np.zeros((1 << bits) + 1).tobytes()], pa.binary())], names=["w"])
+            return
+        order, labels, sizes, index, value = map(np.concatenate, (order, labels, sizes, index, value))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        # Rows of one doc_id and label come in an order that their features alone decide.
+        tie = np.array([zlib.crc32(index[lo:hi].tobytes()) for lo, hi in zip(at[:-1], at[1:])])
+        by = np.lexsort((tie, sizes, labels, order))
+        rows = [(index[at[r] : at[r + 1]], value[at[r] : at[r + 1]], labels[r]) for r in by]
+        w = train(rows, bits, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     return run
