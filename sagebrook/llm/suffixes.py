@@ -1,22 +1,26 @@
 """Repeated passages: every byte covered by a LENGTH-byte string that also starts elsewhere.
 
-Prefix doubling, distributed: positions are named by the string of a certain length that
-starts there, Spark sorts (name, next name) pairs, names that stay alone drop out and the
-others go on at a greater length, until they are alone or the threshold is passed.  A name is
-a 64-bit fingerprint and is always compared together with the name before it.
+Prefix doubling, distributed: positions are ranked by the GRAM bytes that start there, Spark
+sorts the pairs (rank, rank at an offset), and a position's new rank is that of its pair, which
+is equal only where both ranks are.  Offsets double (64, 128) until two overlapping halves
+make up the threshold; positions whose rank is alone drop out on the way.
 
-To sort far fewer positions than there are bytes, without losing one:
+To rank far fewer positions than there are bytes, without losing one:
 
 * Every LENGTH-byte window is led by the position in it whose GRAM-byte string has the least
   hash.  Equal windows are led from the same place, so only leaders (about one in 70 bytes)
-  are sorted at length GRAM, each with all the windows that it leads.  A leader that is alone
-  has only windows that are alone.
+  are compared at length GRAM, each with all the windows that it leads.  A leader that is
+  alone has only windows that are alone.
 * Leaders that stand in equal surroundings (the union of their windows) are one class with a
   count: all windows of a class of two or more are repeated.
 * Classes that share a leader's name but not its surroundings go on in blocks of BLOCK
   windows: a block whose common part (LENGTH - BLOCK + 1 bytes) is alone is settled, and so
   is a block whose union is not.
-* What is left of the blocks is sorted at the full length, window by window.
+* The positions that are left are ranked by doubling.
+
+A 64-bit fingerprint may only ever keep a position in question.  What takes bytes out is
+equality of ranks, or of 128-bit digests of the bytes themselves.  ``every_position`` ranks
+all positions without that reduction.
 """
 
 from __future__ import annotations
@@ -48,14 +52,25 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Spans:
-    """Fingerprints of spans of one piece of bytes."""
+    """Fingerprints and digests of spans of one piece of bytes."""
 
     def __init__(self, data: np.ndarray):
+        self.raw = data.tobytes()
         self.prefix = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum(kernel.BYTE_VALUE[data] * kernel.powers(kernel.BASE, len(data)), out=self.prefix[1:])
         self.back = kernel.powers(kernel.BASE_INVERSE, len(data) + 1)
 
+    def digests(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+        """128 bits of a digest of each span, and of a number with it, as two columns."""
+        salts = np.zeros(len(start), np.int64) if salt is None else salt
+        out = [
+            hashlib.blake2b(self.raw[lo:hi], digest_size=16, salt=x.to_bytes(8, "little")).digest()
+            for lo, hi, x in zip(start.tolist(), end.tolist(), salts.tolist())
+        ]
+        return np.frombuffer(b"".join(out), dtype=np.int64).reshape(-1, 2)
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit fingerprint of each span: equal for equal bytes, and no proof of them."""
         return kernel.mix((self.prefix[end] - self.prefix[start]) * self.back[start] + (end - start).astype(U64))
 
 
@@ -88,13 +103,13 @@ def leaders(spans: Spans, offsets: np.ndarray, length: int, gram: int):
     return lead[first], window[first], window[last]
 
 
-LEADERS = "k1 long, k2 long, h long, u long, a long, lo int, hi int, sha binary"
+LEADERS = "k1 long, k2 long, h long, u long, w long, a long, lo int, hi int, sha binary"
 
 
 def _leaders(length: int, gram: int):
-    """Leaders of every text (place ``a``, its windows start ``hi``..``lo`` bytes before it,
-    names h and u of its gram and its windows' union), and one row without h for the text
-    itself: a is its size, sha its digest."""
+    """Leaders of every text (place ``a``, its windows start ``hi``..``lo`` bytes before it, the
+    fingerprint h of its gram, the digest (u, w) of its windows' union), and one row without h
+    for the text itself: a is its size, sha its digest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = []
@@ -103,33 +118,33 @@ def _leaders(length: int, gram: int):
         sizes = np.zeros(batch.num_rows, dtype=np.int64)
         for begin, _, data, offsets in kernel.slices(batch.column(2)):
             sizes[begin : begin + len(offsets) - 1] = np.diff(offsets)
-            raw = data.tobytes()
-            sha += [hashlib.sha256(raw[lo:hi]).digest() for lo, hi in zip(offsets[:-1], offsets[1:])]
+            spans = Spans(data)
+            sha += [hashlib.sha256(spans.raw[lo:hi]).digest() for lo, hi in zip(offsets[:-1], offsets[1:])]
             if int(offsets[-1]) < length:
                 continue
-            spans = Spans(data)
             lead, first, last = leaders(spans, offsets, length, gram)
             if len(lead):
                 doc = np.searchsorted(offsets, lead, side="right") - 1
-                union = kernel.mix(spans(first, last + length) ^ ((lead - first).astype(U64) << U64(17)))
-                parts.append((doc + begin, spans(lead, lead + gram), union, lead - offsets[doc], lead - last, lead - first))
+                union = spans.digests(first, last + length, lead - first)
+                parts.append((doc + begin, spans(lead, lead + gram), union[:, 0], union[:, 1], lead - offsets[doc], lead - last, lead - first))
         if parts:
-            doc, h, u, a, lo, hi = (np.concatenate(x) for x in zip(*parts))
+            doc, h, u, w, a, lo, hi = (np.concatenate(x) for x in zip(*parts))
         else:
-            doc = h = u = a = lo = hi = np.zeros(0, dtype=np.int64)
+            doc = h = u = w = a = lo = hi = np.zeros(0, dtype=np.int64)
         n = batch.num_rows
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate((ids[0][doc], ids[0]))),
                 pa.array(np.concatenate((ids[1][doc], ids[1]))),
                 pa.concat_arrays([pa.array(h.view(np.int64)), pa.nulls(n, pa.int64())]),
-                pa.concat_arrays([pa.array(u.view(np.int64)), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.array(u), pa.nulls(n, pa.int64())]),
+                pa.concat_arrays([pa.array(w), pa.nulls(n, pa.int64())]),
                 pa.array(np.concatenate((a, sizes))),
                 pa.array(np.concatenate((lo, np.zeros(n, np.int64))).astype(np.int32)),
                 pa.array(np.concatenate((hi, np.zeros(n, np.int64))).astype(np.int32)),
                 pa.concat_arrays([pa.nulls(len(doc), pa.binary()), pa.array(sha, pa.binary())]),
             ],
-            names=["k1", "k2", "h", "u", "a", "lo", "hi", "sha"],
+            names=["k1", "k2", "h", "u", "w", "a", "lo", "hi", "sha"],
         )
 
     return run
@@ -164,7 +179,7 @@ def _ranges(low: np.ndarray, high: np.ndarray):
 
 
 def _blocks(length: int, block: int):
-    """Rows (k1, k2, h, a, b, core, whole, lo, hi, n) for the blocks of classes to be split."""
+    """Rows (k1, k2, h, a, b, core, u, w, lo, hi, n) for the blocks of classes to be split."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         row, (a, lo, hi, h, n) = _flat(batch, 3)
@@ -175,35 +190,105 @@ def _blocks(length: int, block: int):
             start = lead - block * b
             core = spans(at[i] + start, at[i] + start - block + 1 + length)
             inside = (start - block + 1 >= 0) & (start + length <= size[i])
-            low = np.where(inside, start - block + 1, start)
-            high = np.where(inside, start + length, start)
-            whole = spans(at[i] + low, at[i] + high)
+            whole = np.empty((len(i), 2), dtype=np.int64)
+            whole[inside] = spans.digests((at[i] + start - block + 1)[inside], (at[i] + start + length)[inside])
             # A union that leaves its text equals no other.
-            own = kernel.mix(k1[r].view(U64) * U64(31) + k2[r].view(U64) + lead.astype(U64))
-            whole = np.where(inside, whole, own)
+            own = kernel.mix(k1[r].view(U64) * U64(31) + k2[r].view(U64) + lead.astype(U64)).view(np.int64)
+            whole[~inside] = np.stack((own, k1[r]), axis=1)[~inside]
             yield _rows(
-                ["k1", "k2", "h", "a", "b", "core", "whole", "lo", "hi", "n"],
-                [k1[r], k2[r], h[here][i], lead, b, core.view(np.int64), whole.view(np.int64), np.maximum(lo[here][i], b * block), np.minimum(hi[here][i], b * block + block - 1), n[here][i]],
+                ["k1", "k2", "h", "a", "b", "core", "u", "w", "lo", "hi", "n"],
+                [k1[r], k2[r], h[here][i], lead, b, core.view(np.int64), whole[:, 0], whole[:, 1], np.maximum(lo[here][i], b * block), np.minimum(hi[here][i], b * block + block - 1), n[here][i]],
             )
 
     return run
 
 
-def _windows(length: int):
-    """Rows (k1, k2, h, d, name, i, n) for the windows of blocks to be split."""
+def slot_offsets(length: int, gram: int) -> np.ndarray:
+    """Where the grams start that make up ``length`` bytes: two halves of the greatest
+    gram * 2**t below it, each of 2**t grams; the halves overlap."""
+    size = gram
+    while size * 2 < length:
+        size *= 2
+    return np.concatenate((np.arange(0, size, gram), np.arange(0, size, gram) + length - size))
+
+
+def _windows(length: int, gram: int):
+    """Rows (k1, k2, i, n, slot, x, y): the names (x, y) of the grams of windows to be ranked."""
+    offsets = slot_offsets(length, gram)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        row, (a, lo, hi, h, n) = _flat(batch, 3)
+        row, (a, lo, hi, _, n) = _flat(batch, 3)
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for spans, at, _, here in _pieces(batch, row):
             i, d = _ranges(lo[here], hi[here])
             start, r = a[here][i] - d, row[here][i]
-            name = spans(at[i] + start, at[i] + start + length)
-            yield _rows(["k1", "k2", "h", "d", "name", "i", "n"], [k1[r], k2[r], h[here][i], d, name.view(np.int64), start, n[here][i]])
+            grams = (at[i] + start)[:, None] + offsets[None, :]
+            places, which = np.unique(grams.ravel(), return_inverse=True)
+            names = spans.digests(places, places + gram)[which]
+            r, start, many = (np.repeat(x, len(offsets)) for x in (r, start, n[here][i]))
+            slot = np.tile(np.arange(len(offsets)), len(i))
+            yield _rows(["k1", "k2", "i", "n", "slot", "x", "y"], [k1[r], k2[r], start, many, slot, names[:, 0], names[:, 1]])
 
     return run
 
 
+def _everywhere(gram: int):
+    """Rows (k1, k2, i, x, y): the name of the gram at every position of a text."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for begin, _, data, offsets in kernel.slices(batch.column(2)):
+            spans = Spans(data)
+            r, i = _ranges(np.zeros(len(offsets) - 1, np.int64), np.maximum(np.diff(offsets) - gram, -1))
+            names = spans.digests(offsets[r] + i, offsets[r] + i + gram)
+            yield _rows(["k1", "k2", "i", "x", "y"], [k1[r + begin], k2[r + begin], i, names[:, 0], names[:, 1]])
+
+    return run
+
+
+def _ranked(names: DataFrame, name: str) -> DataFrame:
+    """(x, y, r): the pairs that more than one position has, sorted, and their ranks."""
+    often = names.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("x", "y")
+    return materialize(often.sort("x", "y").withColumn("r", F.monotonically_increasing_id()), f"{name}-ranks")
+
+
+def _doubled(named: DataFrame, slots: int, name: str) -> DataFrame:
+    """(k1, k2, i, n) of windows that another one equals, from the names of their grams."""
+    while slots > 1:
+        before, ranks = named, _ranked(named, name)
+        pair = [F.max(F.when(F.col("slot") % 2 == side, F.col("r"))).alias(c) for side, c in enumerate("xy")]
+        named = (
+            before.join(ranks, ["x", "y"])
+            .groupBy("k1", "k2", "i", "n", F.floor(F.col("slot") / 2).cast("long").alias("slot"))
+            .agg(*pair)
+            .filter("x is not null and y is not null")
+        )
+        named = materialize(named, f"{name}-pairs")
+        discard(before, ranks)
+        slots //= 2
+    again = named.groupBy("x", "y").agg(F.sum("n").alias("w")).filter("w > 1").drop("w")
+    return materialize(named.join(materialize(again, f"{name}-again"), ["x", "y"]).select("k1", "k2", "i", "n"), f"{name}-found")
+
+
+def every_position(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, name: str = "suffixes") -> DataFrame:
+    """(k1, k2, first, last) of starts whose ``length`` bytes also start elsewhere, by prefix
+    doubling over every position of ``docs`` (k1, k2, text): some 30 bytes a byte of text go
+    through each of several shuffles.  Rows equal in k1 and k2 must not be there."""
+    named = materialize(batched(docs, _everywhere(gram), "k1 long, k2 long, i long, x long, y long"), f"{name}-names")
+    size = gram
+    while True:
+        before, ranks = named, _ranked(named, name)
+        rank = materialize(before.join(ranks, ["x", "y"]).select("k1", "k2", "i", "r"), f"{name}-ranked")
+        discard(before, ranks)
+        if size == length:
+            return rank.select("k1", "k2", F.col("i").alias("first"), F.col("i").alias("last"))
+        step = min(size, length - size)
+        ahead = rank.select("k1", "k2", (F.col("i") - step).alias("i"), F.col("r").alias("y"))
+        named = materialize(rank.withColumnRenamed("r", "x").join(ahead, ["k1", "k2", "i"]), f"{name}-pairs")
+        discard(rank)
+        size += step
+
+
 def _rows(names: list[str], arrays: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in arrays], names=names)
 
@@ -231,9 +316,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     often = materialize(often, f"{name}-often")
     shared = materialize(found.join(often, "h"), f"{name}-shared")
     discard(often, every)
-    classes = shared.groupBy("h", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "lo", "hi")).alias("r"))
-    classes = materialize(classes.select("h", "u", "n", "r.*"), f"{name}-classes")
-    settled = shared.join(classes.filter("n > 1").select("h", "u"), ["h", "u"]).select(
+    classes = shared.groupBy("h", "u", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "lo", "hi")).alias("r"))
+    classes = materialize(classes.select("h", "u", "w", "n", "r.*"), f"{name}-classes")
+    settled = shared.join(classes.filter("n > 1").select("h", "u", "w"), ["h", "u", "w"]).select(
         "k1", "k2", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last")
     )
 
@@ -244,36 +329,33 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     blocks = batched(
         with_text(docs, lists).select("k1", "k2", "text", "es"),
         _blocks(length, block),
-        "k1 long, k2 long, h long, a long, b long, core long, whole long, lo long, hi long, n long",
+        "k1 long, k2 long, h long, a long, b long, core long, u long, w long, lo long, hi long, n long",
     )
     blocks = materialize(blocks, f"{name}-blocks")
     discard(cut)
-    unions = blocks.groupBy("h", "b", "core", "whole").agg(
+    unions = blocks.groupBy("h", "b", "core", "u", "w").agg(
         F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "a")).alias("r"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    unions = materialize(unions.select("h", "b", "core", "whole", "n", "lo", "hi", "r.*"), f"{name}-unions")
+    unions = materialize(unions.select("h", "b", "core", "u", "w", "n", "lo", "hi", "r.*"), f"{name}-unions")
     in_blocks = (
         blocks.filter("n = 1")
-        .join(unions.filter("n > 1").select("h", "b", "core", "whole"), ["h", "b", "core", "whole"])
+        .join(unions.filter("n > 1").select("h", "b", "core", "u", "w"), ["h", "b", "core", "u", "w"])
         .select("k1", "k2", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
     )
 
-    # Common parts with several unions: windows.
+    # Common parts with several unions: windows, by doubling.
     mixed = unions.groupBy("h", "b", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    mixed = materialize(mixed, f"{name}-several")
     lists = materialize(_by_text(unions.join(mixed, ["h", "b", "core"])), f"{name}-mixed")
     windows = batched(
-        with_text(docs, lists).select("k1", "k2", "text", "es"), _windows(length), "k1 long, k2 long, h long, d long, name long, i long, n long"
+        with_text(docs, lists).select("k1", "k2", "text", "es"), _windows(length, gram), "k1 long, k2 long, i long, n long, slot long, x long, y long"
     )
     windows = materialize(windows, f"{name}-windows")
-    discard(lists)
-    again = windows.groupBy("h", "d", "name").agg(F.sum("n").alias("w")).filter("w > 1").drop("w")
-    alone = (
-        windows.filter("n = 1")
-        .join(again, ["h", "d", "name"])
-        .select("k1", "k2", F.col("i").alias("first"), F.col("i").alias("last"))
-    )
+    discard(mixed, lists)
+    doubled = _doubled(windows, len(slot_offsets(length, gram)), name)
+    alone = doubled.filter("n = 1").select("k1", "k2", F.col("i").alias("first"), F.col("i").alias("last"))
     ranges = settled.unionByName(in_blocks).unionByName(alone)
-    return texts, ranges, (shared, classes, blocks, unions, windows)
+    return texts, ranges, (shared, classes, blocks, unions, doubled)
 
 
 def _remove(length: int):

@@ -415,6 +415,34 @@ def test_repeats_at_edges(spark, seed):
     assert bag(suffixes.deduplicate(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_forged_passages_stay(spark):
+    """Strings that a polynomial hash modulo 2**64 takes for equal."""
+    a, b = thue_morse(1024)
+    rows = [(1, a), (2, b), (3, "x" + a[:900]), (4, None)]
+    got = bag(suffixes.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == Counter((r[0], *x) for r, x in zip(rows, helpers.repeats([r[1] for r in rows])))
+
+
+@pytest.mark.parametrize("length, gram", [(200, 64), (64, 64), (65, 64), (128, 64), (150, 16), (129, 64)])
+def test_every_position(spark, length, gram):
+    """Doubling over all positions, and over what leaders leave, finds what counting does."""
+    rng = random.Random(length)
+    passage = "".join(rng.choices("ab ", k=330))
+    texts = []
+    for i in range(40):
+        at, size = rng.randrange(0, 60), rng.choice([30, 150, 199, 200, 201, 230, 260])
+        texts.append("".join(rng.choices("xyz", k=rng.randrange(0, 50))) + passage[at : at + size])
+    texts += ["", "é" * 90, "ab" * 200]
+    often = Counter(b[i : i + length] for b in map(str.encode, texts) for i in range(len(b) - length + 1))
+    want = {(d, i) for d, t in enumerate(texts) for i in range(len(t.encode()) - length + 1) if often[t.encode()[i : i + length]] > 1}
+    docs = suffixes.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    got = [(r["k1"], r["first"]) for r in suffixes.every_position(docs, length, gram).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+    if gram < length:
+        _, ranges, _ = suffixes.repeated_windows(docs, length, gram)
+        assert {(r["k1"], i) for r in ranges.collect() for i in range(r["first"], r["last"] + 1)} == want
+
+
 # 9
 
 
