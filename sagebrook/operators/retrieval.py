@@ -1,12 +1,15 @@
 """Retrieval over entities, edges, chunks, rules and sessions.
 
 Queries are a DataFrame (query_id, query), so any number of questions share each scan.  Only
-its keywords and phrases, a few per query, meet the corpus; that side is broadcast where it
-has at most QUERY_ROWS rows, and is otherwise left to the planner.
+its keywords and phrases, a few per query, meet the corpus: up to NEEDLES different ones are
+searched for in one pass that lower-cases a text once, and more are joined.  Query vectors are
+sent to every task where there are at most QUERY_ROWS.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,12 @@ from ..functions import text, vector
 from .listing import display_name, with_endpoints
 
 QUERY_ROWS = 20_000
+#: The most different needles that one pass over texts looks for.
+NEEDLES = 2_000
+#: Vectors of a batch and queries of a slice whose similarities are held at once.
+SLICE = 1024
+#: Blocks that more query vectors are dealt into.
+QUERY_BLOCKS = 64
 
 
 def within_bounds(df: DataFrame) -> bool:
@@ -32,9 +41,30 @@ def _needles(queries: DataFrame, list_: Column, limit: int) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.slice(list_, 1, limit)).alias("pos", "needle"))
 
 
-def _first(order: list[Column], n: int, *by: str) -> tuple[Column, Column]:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rank, rank <= n
+def with_needles(rows: DataFrame, fields: list[Column], needles: DataFrame, bounded: bool | None = None) -> DataFrame:
+    """``rows`` once for each row of ``needles`` (needle, in lower case, ...) that one of the
+    fields contains, with its columns; a null field is empty."""
+    words = [r[0] for r in needles.select("needle").distinct().limit(NEEDLES + 1).collect()]
+    if len(words) > NEEDLES:
+        hit = F.lit(False)
+        for field in fields:
+            hit = hit | text.contains(field, F.col("needle"))
+        return rows.join(small_side(needles, bounded), hit)
+    all_ = F.lit(sorted(words)) if words else F.array().cast("array<string>")
+    # A list of one entry, so that the lower-cased fields are made once a row.
+    lowered = F.array(F.struct(*[F.lower(F.coalesce(f, F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)]))
+
+    def found(row: Column) -> Column:
+        def hit(needle: Column) -> Column:
+            out = F.lit(False)
+            for i in range(len(fields)):
+                out = out | F.contains(row[f"f{i}"], needle)
+            return out
+
+        return F.filter(all_, hit)
+
+    hits = rows.withColumn("needle", F.explode(F.flatten(F.transform(lowered, found))))
+    return hits.join(small_side(needles, bounded), "needle")
 
 
 def _top(df: DataFrame, order: list[Column], n: int, *by: str, name: str = "rank") -> DataFrame:
@@ -45,9 +75,9 @@ def entity_matches(queries: DataFrame, entities: DataFrame, config: Config = CON
     """Trusted entities by keyword, at most so many each: rows (query_id, pos, rank, ...)."""
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     trusted = entities.filter("lifecycle_state = 'TRUSTED'")
-    hit = text.contains(F.col("extracted_text"), F.col("needle")) | text.contains(F.col("source_sentence"), F.col("needle"))
+    hits = with_needles(trusted, [F.col("extracted_text"), F.col("source_sentence")], needles, bounded)
     order = [F.col("confidence").desc(), F.col("access_count").desc(), F.col("entity_id")]
-    return _top(trusted.join(small_side(needles, bounded), hit), order, config.entities_per_keyword, "query_id", "pos")
+    return _top(hits, order, config.entities_per_keyword, "query_id", "pos")
 
 
 def _merged(matches: DataFrame, key: str, n: int) -> DataFrame:
@@ -77,25 +107,83 @@ def with_access(entities: DataFrame, hits: DataFrame, as_of: Column) -> DataFram
 
 
 def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
-    """Trusted edges with a keyword in their type or in the name of an end."""
+    """Trusted edges with a keyword in their type or in the name of an end.
+
+    Names are searched once an entity, and only edges of those found meet both of their ends.
+    """
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
-    joined = with_endpoints(edges.filter("lifecycle_state = 'TRUSTED'"), entities)
-    hit = F.lit(False)
-    for column in ("source_name", "target_name", "relationship_type"):
-        hit = hit | text.contains(F.col(column), F.col("needle"))
+    words = needles.select("needle").distinct()
+    trusted = edges.filter("lifecycle_state = 'TRUSTED'")
+    named = with_needles(entities.select("entity_id", display_name().alias("__name")), [F.col("__name")], words, bounded).select("entity_id", "needle")
+    hits = with_needles(trusted, [F.col("relationship_type")], words, bounded)
+    for end in ("source_entity_id", "target_entity_id"):
+        hits = hits.unionByName(trusted.join(named.withColumnRenamed("entity_id", end), end))
+    joined = with_endpoints(hits.dropDuplicates(["relationship_id", "needle"]), entities).join(small_side(needles, bounded), "needle")
     order = [F.col("confidence").desc(), F.col("relationship_id")]
-    matches = _top(joined.join(small_side(needles, bounded), hit), order, config.edges_per_keyword, "query_id", "pos")
+    matches = _top(joined, order, config.edges_per_keyword, "query_id", "pos")
     return _merged(matches, "relationship_id", config.edges_per_keyword)
 
 
+def _nearest(queries: list[tuple], k: int):
+    """The k nearest rows of a task for each query (id, vector): one matrix product a slice."""
+    groups: dict[int, tuple[list, list]] = {}
+    for id_, v in queries:
+        if v is not None and None not in v and np.isfinite(v).all() and np.any(v):
+            ids, rows = groups.setdefault(len(v), ([], []))
+            ids.append(id_)
+            rows.append(np.asarray(v, dtype=np.float64) / np.linalg.norm(v))
+    sides = {size: (ids, np.array(rows)) for size, (ids, rows) in groups.items()}
+
+    def run(frames):
+        best: dict[tuple, list[tuple]] = {}
+        for frame in frames:
+            sizes = frame["embedding"].map(len).to_numpy()
+            for size, (ids, asked) in sides.items():
+                at = np.flatnonzero(sizes == size)
+                for lo in range(0, len(at), SLICE):
+                    some = at[lo : lo + SLICE]
+                    rows = np.stack(frame["embedding"].to_numpy()[some]).astype(np.float64)
+                    documents, places = frame["document_id"].to_numpy()[some], frame["chunk_index"].to_numpy()[some]
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+                    for q in range(0, len(ids), SLICE):
+                        alike = np.round(rows @ asked[q : q + SLICE].T, 6)
+                        alike[np.isnan(alike)] = -2.0
+                        for j in range(alike.shape[1]):
+                            have = best.get((size, q + j), [])
+                            column = alike[:, j]
+                            least = -have[-1][0] if len(have) == k else -1.5
+                            if len(column) > k:
+                                least = max(least, float(np.partition(column, len(column) - k)[len(column) - k]))
+                            new = np.flatnonzero(column >= least)
+                            have = have + [(-float(column[i]), documents[i], int(places[i])) for i in new if column[i] > -1.5]
+                            best[size, q + j] = sorted(have)[:k]
+        out = [(sides[size][0][i], d, c, -s) for (size, i), rows in best.items() for s, d, c in rows]
+        yield pd.DataFrame(out, columns=["query_id", "document_id", "chunk_index", "similarity"])
+
+    return run
+
+
 def vector_top_k(chunks: DataFrame, vectors: DataFrame, k: int = CONFIG.vector_top_k, doc_type: str | None = None, bounded: bool | None = None) -> DataFrame:
-    """The k chunks nearest to each query vector (query_id, vector), with a rank."""
+    """(query_id, document_id, chunk_index, similarity, rank): the k chunks nearest to each
+    query vector (query_id, vector).  A task keeps its k best for each query."""
     rows = chunks.filter("embedding is not null")
     if doc_type is not None:
         rows = rows.filter(F.col("document_type") == doc_type)
-    scored = rows.join(small_side(vectors, bounded), F.size("embedding") == F.size("vector"))
-    scored = scored.withColumn("similarity", F.round(vector.cosine(F.col("embedding"), F.col("vector")), 6)).drop("vector", "embedding")
+    rows = rows.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
     order = [F.col("similarity").desc(), F.col("document_id"), F.col("chunk_index")]
+    if within_bounds(vectors) if bounded is None else bounded:
+        asked = [(r["query_id"], r["vector"]) for r in vectors.select("query_id", "vector").collect()]
+        kind = vectors.schema["query_id"].dataType.simpleString()
+        scored = rows.mapInPandas(_nearest(asked, k), f"query_id {kind}, document_id string, chunk_index int, similarity double")
+        return _top(scored, order, k, "query_id")
+    # Beyond the bound queries are dealt into blocks, and every block meets all rows.
+    blocks = vectors.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)).cast("int"))
+    blocks = blocks.withColumn("__norm", vector.norm(F.col("vector")))
+    spread = rows.withColumn("__length", vector.norm(F.col("embedding"))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))))
+    scored = spread.join(blocks, (spread["__block"] == blocks["__block"]) & (F.size("embedding") == F.size("vector")))
+    cosine = F.try_divide(vector.dot(F.col("embedding"), F.col("vector")), F.col("__length") * F.col("__norm"))
+    scored = scored.select("query_id", "document_id", "chunk_index", F.round(cosine, 6).alias("similarity"))
     return _top(scored.filter("similarity is not null"), order, k, "query_id")
 
 
@@ -124,11 +212,11 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
             "query_id", F.lit(i).alias("kind"), "pos", "needle", F.lit(rows).alias("rows"), F.lit(weight).alias("weight"), F.lit(where).alias("side")
         )
         needles = part if needles is None else needles.unionByName(part)
-    where = F.when(F.col("side") == "title", F.col("document_title")).otherwise(F.col("chunk_text"))
-    slim = chunks.select("document_id", "chunk_index", "document_title", "chunk_text")
-    hits = slim.join(small_side(needles, bounded), text.contains(where, F.col("needle"))).select(
-        "query_id", "kind", "pos", "rows", "weight", "document_id", "chunk_index"
-    )
+    hits = None
+    for side, column in (("text", "chunk_text"), ("title", "document_title")):
+        slim = chunks.select("document_id", "chunk_index", column)
+        part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), bounded).drop(column, "needle")
+        hits = part if hits is None else hits.unionByName(part)
     # Without an order of their own, the rows of a needle are the first by document and place.
     most = max(rows for _, _, rows, _, _ in kinds)
     kept = _top(hits, [F.col("document_id"), F.col("chunk_index")], most, "query_id", "kind", "pos").filter("rank <= rows")

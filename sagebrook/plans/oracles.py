@@ -94,10 +94,17 @@ SEARCH_STOP = (
 )
 
 
-def _asked() -> str:
+#: Query vectors: all stored ones whose id is divisible by 100.
+VECTORS = "qvec AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+def _asked(many: bool = False) -> str:
     rows = ", ".join(f"({i}, '{q}', {v}, '{s}')" for i, q, v, s in QUESTIONS)
+    source = f"(VALUES {rows}) AS v(query_id, query, vec_id, session_id)"
+    if many:
+        source = f"(SELECT e.vec_id AS query_id, query, e.vec_id, session_id FROM embeddings e JOIN (SELECT * FROM {source}) s ON s.query_id = 1 + e.vec_id // 100 % {len(QUESTIONS)} WHERE e.vec_id % 100 = 0)"
     return f"""
-qry AS (SELECT * FROM (VALUES {rows}) AS v(query_id, query, vec_id, session_id)),
+qry AS (SELECT * FROM {source}),
 qvec AS (SELECT query_id, embedding AS vector FROM qry JOIN embeddings USING (vec_id)),
 ekw AS (
   SELECT query_id, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS needle FROM (
@@ -258,14 +265,15 @@ def _answers() -> str:
     return """
 ans AS (
   SELECT doc_id AS q_id, CASE WHEN doc_id % 3 = 0 THEN 'Name one of the parts' ELSE 'What is thatnd of the onesen?' END AS question,
-         CASE k WHEN 0 THEN substr(text, 5, 30) WHEN 1 THEN 'Yes, ' || p WHEN 2 THEN '[NOT IN DOCUMENTS]' WHEN 3 THEN '[Answer depends on document content]'
-           WHEN 4 THEN '2024-' || (2025 + doc_id % 3) WHEN 5 THEN substr(passage, 1, 20) || ' (or ' || substr(text, 1, 12) || ')'
-           WHEN 6 THEN 'about 12 ' || substr(passage, 1, 30) ELSE p END AS expected,
-         CASE WHEN doc_id % 11 = 0 THEN 'The context does not provide this.' WHEN k = 1 THEN 'Yes. ' || substr(text, 1, 200)
-           WHEN k = 4 THEN 'It ran from 2024 to ' || (2025 + doc_id % 2) WHEN k = 6 THEN 'Some 12.1 ' || substr(text, 1, 200) ELSE substr(text, 1, 300) END AS actual,
+         CASE k WHEN 0 THEN text WHEN 1 THEN 'Yes, ' || passage WHEN 2 THEN '[NOT IN DOCUMENTS]' WHEN 3 THEN '[Answer depends on document content]'
+           WHEN 4 THEN '2024-' || (2025 + doc_id % 3) WHEN 5 THEN passage || ' (or ' || lang || ')'
+           WHEN 6 THEN 'about 12 ' || passage ELSE passage END AS expected,
+         CASE WHEN doc_id % 11 = 0 THEN 'The context does not provide this.' WHEN k = 0 THEN 'It says: ' || text WHEN k = 1 THEN 'Yes. ' || text
+           WHEN k = 4 THEN 'It ran from 2024 to ' || (2025 + doc_id % 2) WHEN k = 6 THEN 'Some 12.1 ' || text ELSE text END AS actual,
          lang AS category, CASE WHEN k < 3 THEN 'Easy' WHEN k < 6 THEN 'medium' ELSE 'hard' END AS difficulty, doc_id % 17 / 10.0 AS latency_s
-  FROM (SELECT d.doc_id, d.lang, d.text, b.text AS passage, d.doc_id % 8 AS k, substr(b.text, 1, 120) AS p
-        FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id) x)"""
+  FROM (SELECT d.doc_id, d.lang, d.text, b.text AS passage, d.doc_id % 8 AS k
+        FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id, text) - 1 AS place FROM benchmark) b
+          ON d.doc_id % (SELECT count(*) FROM benchmark) = place) x)"""
 
 
 def _score() -> str:
@@ -383,11 +391,11 @@ UNION ALL SELECT 'edge', relationship_type, count(*) FROM edg WHERE source_docum
         "keyword_entities": _with(e, a, R1) + "SELECT query_id, entity_id, confidence, position FROM efound",
         "keyword_edges": _with(*ee, a, R2) + "SELECT query_id, relationship_id, confidence, position FROM rfound",
         "access_stat_update": _with(e, a, R1) + "SELECT entity_id, CAST(any_value(access_count) + count(*) AS INTEGER) AS access_count FROM ekept GROUP BY entity_id",
-        "vector_topk": _with(CHUNKS, a, _vector("hits", 20)) + "SELECT query_id, document_id, chunk_index, similarity, rank FROM hits",
-        "vector_topk_typed": _with(CHUNKS, a, _vector("hits", 20, "document_type = 'src3'")) + "SELECT query_id, document_id, chunk_index, similarity, rank FROM hits",
-        "context_expansion": _with(CHUNKS, a, _vector("hits", 6), _expansion("hits")) + "SELECT query_id, document_id, chunk_index, doc_rank, similarity FROM ctx",
+        "vector_topk": _with(CHUNKS, VECTORS, _vector("hits", 20)) + "SELECT query_id, document_id, chunk_index, similarity, rank FROM hits",
+        "vector_topk_typed": _with(CHUNKS, VECTORS, _vector("hits", 20, "document_type = 'src3'")) + "SELECT query_id, document_id, chunk_index, similarity, rank FROM hits",
+        "context_expansion": _with(CHUNKS, VECTORS, _vector("hits", 6), _expansion("hits")) + "SELECT query_id, document_id, chunk_index, doc_rank, similarity FROM ctx",
         "keyword_chunks": _with(CHUNKS, a, KEYWORDS) + "SELECT query_id, document_id, chunk_index, keyword_hits, similarity, rank FROM kfound",
-        "hybrid_search": _with(CHUNKS, a, _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID) + "SELECT * FROM hyb",
+        "hybrid_search": _with(CHUNKS, _asked(many=True), _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID) + "SELECT * FROM hyb",
         "applicable_rules": _with(e, a, R1, RULES, APPLICABLE) + "SELECT query_id, rule_name, priority, rank FROM app",
         "session_context": _with(SESSIONS) + """SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn) AS position FROM (
   SELECT * FROM ses QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, turn DESC) <= 5)""",

@@ -36,6 +36,18 @@ def asked(t: Tables) -> DataFrame:
     return rows.join(vectors, "vec_id").drop("vec_id")
 
 
+def asked_vectors(t: Tables) -> DataFrame:
+    """(query_id, vector): every stored vector whose id is divisible by 100."""
+    return t.raw("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def asked_many(t: Tables) -> DataFrame:
+    """(query_id, query): a question for each of ``asked_vectors``, in turns."""
+    rows = t.spark.createDataFrame([(i - 1, q) for i, q, *_ in QUESTIONS], "turn long, query string")
+    turn = (F.col("query_id") / 100).cast("long") % len(QUESTIONS)
+    return asked_vectors(t).select("query_id", turn.alias("turn")).join(F.broadcast(rows), "turn").select("query_id", "query")
+
+
 def texts(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([q[:2] for q in QUESTIONS], "query_id int, query string")
 
@@ -113,19 +125,19 @@ def access_stat_update(t):
 
 @_query
 def vector_topk(t):
-    found = retrieval.vector_top_k(t.chunks, asked(t).select("query_id", "vector"))
+    found = retrieval.vector_top_k(t.chunks, asked_vectors(t))
     return found.select("query_id", "document_id", "chunk_index", "similarity", "rank")
 
 
 @_query
 def vector_topk_typed(t):
-    found = retrieval.vector_top_k(t.chunks, asked(t).select("query_id", "vector"), doc_type="src3")
+    found = retrieval.vector_top_k(t.chunks, asked_vectors(t), doc_type="src3")
     return found.select("query_id", "document_id", "chunk_index", "similarity", "rank")
 
 
 @_query
 def context_expansion(t):
-    hits = retrieval.vector_top_k(t.chunks, asked(t).select("query_id", "vector"), k=6)
+    hits = retrieval.vector_top_k(t.chunks, asked_vectors(t), k=6)
     return retrieval.expand_context(t.chunks, hits).select("query_id", "document_id", "chunk_index", "doc_rank", "similarity")
 
 
@@ -137,7 +149,7 @@ def keyword_chunks(t):
 
 @_query
 def hybrid_search(t):
-    return retrieval.hybrid_search(texts(t), asked(t).select("query_id", "vector"), t.chunks)
+    return retrieval.hybrid_search(asked_many(t), asked_vectors(t), t.chunks)
 
 
 @_query
