@@ -226,10 +226,10 @@ def _lone(sets: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
 
-def _hopeful(open_: DataFrame, percent: int) -> DataFrame:
+def _hopeful(open_: DataFrame, percent: int, name: str) -> DataFrame:
     """Open rows of classes that can still link with a class of the sizes in their groups."""
-    least = open_.groupBy("i", "k").agg(F.min("n_min").alias("s"))
-    per_rep = open_.join(least, ["i", "k"]).groupBy("rep").agg(F.min("s").alias("s"))
+    least = materialize(open_.groupBy("i", "k").agg(F.min("n_min").alias("s")), f"{name}-sizes")
+    per_rep = open_.join(narrow(least), ["i", "k"]).groupBy("rep").agg(F.min("s").alias("s"))
     both = "(n_max - u)"
     possible = f"100 * {both} >= {percent} * (n_min + greatest(s, {both}) - {both})"
     return open_.join(per_rep, "rep").filter(f"texts > 1 or {possible}").drop("s")
@@ -469,7 +469,7 @@ def near_duplicates(
     # Of a rep that stands for several texts nothing is known.
     alone = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0))
     placed = met.join(narrow(lone), "rep", "left").join(sizes, "rep").withColumn("u", alone)
-    hopeful = _mixed(materialize(_hopeful(materialize(placed, f"{name}-placed"), percent), f"{name}-able"), f"{name}-hopeful")
+    hopeful = _mixed(materialize(_hopeful(materialize(placed, f"{name}-placed"), percent, name), f"{name}-able"), f"{name}-hopeful")
     discard(met, lone)
     # A second star, around the class of each group with the fewest shingles of its own.
     core = hopeful.groupBy("i", "k").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
