@@ -41,30 +41,36 @@ def _needles(queries: DataFrame, list_: Column, limit: int) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.slice(list_, 1, limit)).alias("pos", "needle"))
 
 
-def with_needles(rows: DataFrame, fields: list[Column], needles: DataFrame, bounded: bool | None = None) -> DataFrame:
-    """``rows`` once for each row of ``needles`` (needle, in lower case, ...) that one of the
-    fields contains, with its columns; a null field is empty."""
+def words_of(needles: DataFrame) -> list[str] | None:
+    """The different needles, or None where they are too many to be spelt out in a plan."""
     words = [r[0] for r in needles.select("needle").distinct().limit(NEEDLES + 1).collect()]
-    if len(words) > NEEDLES:
-        hit = F.lit(False)
-        for field in fields:
-            hit = hit | text.contains(field, F.col("needle"))
-        return rows.join(small_side(needles, bounded), hit)
-    all_ = F.lit(sorted(words)) if words else F.array().cast("array<string>")
+    return sorted(words) if len(words) <= NEEDLES else None
+
+
+def found_words(fields: list[Column], words: list[str]) -> Column:
+    """Those of the words (in lower case) that one of the fields contains; a null field is empty."""
+    all_ = F.lit(words) if words else F.array().cast("array<string>")
     # A list of one entry, so that the lower-cased fields are made once a row.
     lowered = F.array(F.struct(*[F.lower(F.coalesce(f, F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)]))
 
-    def found(row: Column) -> Column:
-        def hit(needle: Column) -> Column:
-            out = F.lit(False)
-            for i in range(len(fields)):
-                out = out | F.contains(row[f"f{i}"], needle)
-            return out
+    def hit(row: Column, needle: Column) -> Column:
+        out = F.lit(False)
+        for i in range(len(fields)):
+            out = out | F.contains(row[f"f{i}"], needle)
+        return out
 
-        return F.filter(all_, hit)
+    return F.flatten(F.transform(lowered, lambda row: F.filter(all_, lambda needle: hit(row, needle))))
 
-    hits = rows.withColumn("needle", F.explode(F.flatten(F.transform(lowered, found))))
-    return hits.join(small_side(needles, bounded), "needle")
+
+def with_needles(rows: DataFrame, fields: list[Column], needles: DataFrame, words: list[str] | None, bounded: bool | None = None) -> DataFrame:
+    """``rows`` once for each row of ``needles`` (needle, in lower case, ...) that one of the
+    fields contains, with its columns.  ``words`` are the different needles."""
+    if words is None:
+        hit = F.lit(False)
+        for field in fields:
+            hit = hit | text.contains(field, F.col("needle"))
+        return rows.join(small_side(needles, bounded), hit)
+    return rows.withColumn("needle", F.explode(found_words(fields, words))).join(small_side(needles, bounded), "needle")
 
 
 def _top(df: DataFrame, order: list[Column], n: int, *by: str, name: str = "rank") -> DataFrame:
@@ -75,7 +81,7 @@ def entity_matches(queries: DataFrame, entities: DataFrame, config: Config = CON
     """Trusted entities by keyword, at most so many each: rows (query_id, pos, rank, ...)."""
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     trusted = entities.filter("lifecycle_state = 'TRUSTED'")
-    hits = with_needles(trusted, [F.col("extracted_text"), F.col("source_sentence")], needles, bounded)
+    hits = with_needles(trusted, [F.col("extracted_text"), F.col("source_sentence")], needles, words_of(needles), bounded)
     order = [F.col("confidence").desc(), F.col("access_count").desc(), F.col("entity_id")]
     return _top(hits, order, config.entities_per_keyword, "query_id", "pos")
 
@@ -112,13 +118,24 @@ def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, co
     Names are searched once an entity, and only edges of those found meet both of their ends.
     """
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
-    words = needles.select("needle").distinct()
+    words = words_of(needles)
     trusted = edges.filter("lifecycle_state = 'TRUSTED'")
-    named = with_needles(entities.select("entity_id", display_name().alias("__name")), [F.col("__name")], words, bounded).select("entity_id", "needle")
-    hits = with_needles(trusted, [F.col("relationship_type")], words, bounded)
-    for end in ("source_entity_id", "target_entity_id"):
-        hits = hits.unionByName(trusted.join(named.withColumnRenamed("entity_id", end), end))
-    joined = with_endpoints(hits.dropDuplicates(["relationship_id", "needle"]), entities).join(small_side(needles, bounded), "needle")
+    different = needles.select("needle").distinct()
+    named = with_needles(entities.select("entity_id", display_name().alias("__name")), [F.col("__name")], different, words, bounded)
+    named = named.groupBy("entity_id").agg(F.collect_set("needle").alias("__words"))
+    if words is None:
+        kinds = with_needles(trusted.select("relationship_type").distinct(), [F.col("relationship_type")], different, words, bounded)
+        kinds = kinds.groupBy("relationship_type").agg(F.collect_set("needle").alias("__of_type"))
+        hits = trusted.join(kinds, "relationship_type", "left")
+    else:
+        hits = trusted.withColumn("__of_type", found_words([F.col("relationship_type")], words))
+    for end in ("source", "target"):
+        side = named.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("__words").alias(f"__of_{end}"))
+        hits = hits.join(side, f"{end}_entity_id", "left")
+    none = F.array().cast("array<string>")
+    sets = [F.coalesce(f"__of_{c}", none) for c in ("type", "source", "target")]
+    hits = hits.withColumn("needle", F.explode(F.array_distinct(F.concat(*sets)))).drop("__of_type", "__of_source", "__of_target")
+    joined = with_endpoints(hits, entities).join(small_side(needles, bounded), "needle")
     order = [F.col("confidence").desc(), F.col("relationship_id")]
     matches = _top(joined, order, config.edges_per_keyword, "query_id", "pos")
     return _merged(matches, "relationship_id", config.edges_per_keyword)
@@ -212,10 +229,10 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
             "query_id", F.lit(i).alias("kind"), "pos", "needle", F.lit(rows).alias("rows"), F.lit(weight).alias("weight"), F.lit(where).alias("side")
         )
         needles = part if needles is None else needles.unionByName(part)
-    hits = None
+    hits, words = None, words_of(needles)
     for side, column in (("text", "chunk_text"), ("title", "document_title")):
         slim = chunks.select("document_id", "chunk_index", column)
-        part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), bounded).drop(column, "needle")
+        part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), words, bounded).drop(column, "needle")
         hits = part if hits is None else hits.unionByName(part)
     # Without an order of their own, the rows of a needle are the first by document and place.
     most = max(rows for _, _, rows, _, _ in kinds)
