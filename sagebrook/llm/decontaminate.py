@@ -237,3 +237,20 @@ def contamination(
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op1_sql(window: int = WINDOW) -> str:
+    """The same by comparing the windows of all texts as strings."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""WITH docs AS (SELECT doc_id, {words} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, len(x) AS n, array_to_string(x, ' ') AS g FROM (
+  SELECT item, unnest(list_transform(range(1, greatest(len(w) - {window - 1}, 1) + 1), lambda s: w[s:s + {window - 1}])) AS x FROM items WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM wins),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM docs, lens WHERE len(w) >= n),
+hits AS (SELECT DISTINCT doc_id, s, n, item FROM (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM starts) JOIN wins USING (n, g)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -513,3 +513,20 @@ def near_duplicates(
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_sql(percent: int = PERCENT, k: int = WORDS) -> str:
+    """The same by counting the common shingles of all pairs that have any."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+')"
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id, {words} AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - {k - 1}, 1) + 1), lambda s: array_to_string(w[s:s + {k - 1}], ' '))) AS g
+  FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * m >= {percent} * (p.n + q.n - m)),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT reach.v, links.y FROM reach JOIN links ON links.x = reach.r),
+parts AS (SELECT v AS doc_id, min(r) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN parts USING (doc_id)"""

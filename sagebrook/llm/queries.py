@@ -21,6 +21,10 @@ QUERIES = {
 def oracles() -> dict[str, str]:
     """DuckDB SQL by query; operators that SQL cannot express have none."""
     return {
+        "op1_decontaminate": decontaminate.op1_sql(),
+        "op2_minhash": minhash.op2_sql(),
+        "op3_vectors": vectors.op3_sql(),
         "op5_warc": warc.op5_sql(),
+        "op8_suffixes": suffixes.op8_sql(),
         "op10_sharding": sharding.op10_sql(),
     }

@@ -424,3 +424,19 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of all documents, taken out."""
     return deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op8_sql(length: int = LENGTH) -> str:
+    """The same by counting the windows of all texts, spelt as hexadecimal digits."""
+    return f"""WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS d FROM (SELECT doc_id, h, unnest(range(n - {length - 1})) AS i FROM docs WHERE n >= {length})),
+again AS (SELECT d FROM starts GROUP BY d HAVING count(*) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS fresh FROM starts JOIN again USING (d)),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS e FROM numbered GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+kept AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS text
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE text || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)"""

@@ -295,3 +295,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all embeddings."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_sql(cosine: float = COSINE) -> str:
+    """The same by comparing all pairs."""
+    return f"""WITH RECURSIVE able AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {cosine}),
+many AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x),
+reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT reach.v, links.y FROM reach JOIN links ON links.x = reach.r),
+parts AS (SELECT v AS vec_id, min(r) AS component_id FROM reach GROUP BY v)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN many USING (vec_id) JOIN parts USING (vec_id)"""
