@@ -54,6 +54,27 @@ def feedback(entities: DataFrame, records: DataFrame, config: Config = CONFIG) -
     return fold(entities, changes, config)
 
 
+def feedback_by_response(
+    entities: DataFrame, records: DataFrame, responses: DataFrame, bundles: DataFrame, config: Config = CONFIG
+) -> tuple[DataFrame, DataFrame]:
+    """(entities, errors) after feedback (feedback_id, response_id, judgment, created_at) on
+    responses (response_id, bundle_id): each judgment counts for every entity of the response's
+    bundle (bundle_id, entity_ids).
+
+    Errors (feedback_id, response_id, error) are unknown judgments and responses that are not
+    there, or whose bundle is not; an entity that a bundle repeats counts once.
+    """
+    held = responses.select("response_id", "bundle_id").join(bundles.select("bundle_id", "entity_ids"), "bundle_id")
+    joined = records.join(held, "response_id", "left")
+    delta = feedback_delta(F.col("judgment"), config)
+    error = F.when(delta.isNull(), F.lit("unknown judgment")).when(F.col("bundle_id").isNull(), F.lit("unknown response"))
+    judged = joined.withColumns({"delta": delta, "error": error})
+    changes = judged.filter("error is null").select(
+        F.explode(F.array_distinct("entity_ids")).alias("entity_id"), F.struct("created_at", "feedback_id").alias("seq"), "delta"
+    )
+    return fold(entities, changes, config), judged.filter("error is not null").select("feedback_id", "response_id", "error")
+
+
 def invalid_feedback(records: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Records whose judgment is not one of the known ones."""
     return records.filter(F.col("judgment").isNull() | ~F.col("judgment").isin(*[n for n, _ in config.feedback_deltas]))

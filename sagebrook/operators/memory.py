@@ -11,14 +11,27 @@ from ..functions.text import query_hash, stable_id
 VALUES = ("value", "agent", "step_number", "expires_at")
 
 
-def upsert(writes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def upsert(writes: DataFrame, stored: DataFrame | None = None, keep_seq: bool = False) -> DataFrame:
     """State after writes (session_id, key, value, agent, step_number, created_at, expires_at,
-    seq): the last write's values, the first one's time of creation."""
-    rows = writes if stored is None else stored.withColumn("seq", F.lit(-1).cast("long")).unionByName(writes.select(*stored.columns, "seq"))
+    seq): the last write's values, the first one's time of creation.
+
+    With ``keep_seq`` the state also has ``seq`` and ``first_seq``, so that a write that comes
+    late finds its place; a stored state without them is before every write.
+    """
+    columns = ["session_id", "key", *VALUES, "created_at"]
+    rows = writes.select(*columns, "seq", F.col("seq").alias("first_seq"))
+    if stored is not None:
+        known = [F.col(c) if c in stored.columns else F.lit(-1).cast("long").alias(c) for c in ("seq", "first_seq")]
+        rows = stored.select(*columns, *known).unionByName(rows)
     return (
         rows.groupBy("session_id", "key")
-        .agg(F.max_by(F.struct(*VALUES), "seq").alias("v"), F.min_by("created_at", "seq").alias("created_at"))
-        .select("session_id", "key", "v.*", "created_at")
+        .agg(
+            F.max_by(F.struct(*VALUES), "seq").alias("v"),
+            F.min_by("created_at", "first_seq").alias("created_at"),
+            F.max("seq").alias("seq"),
+            F.min("first_seq").alias("first_seq"),
+        )
+        .select("session_id", "key", "v.*", "created_at", *(("seq", "first_seq") if keep_seq else ()))
     )
 
 

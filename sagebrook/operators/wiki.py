@@ -17,20 +17,25 @@ def candidates(entities: DataFrame, type_: str | None = None) -> DataFrame:
     return named.select("entity_type", F.col("extracted_text").alias("title")).distinct()
 
 
-def compile_pages(entities: DataFrame, edges: DataFrame, type_: str | None = None) -> DataFrame:
+def compile_pages(entities: DataFrame, edges: DataFrame, type_: str | None = None, documents: DataFrame | None = None) -> DataFrame:
     """(entity_type, title, confidence_avg, n_entities, n_edges, n_sources, markdown).
 
     A page covers the trusted entities of its type with its name, whatever their case, and
-    the trusted edges at them; an arrow leads away from an entity of the page.
+    the trusted edges at them; an arrow leads away from an entity of the page.  Sources are
+    named by their titles in ``documents`` (document_id, title), or else by their ids.
     """
     pages = candidates(entities, type_).withColumn("k", F.lower("title"))
     members = entities.filter("lifecycle_state = 'TRUSTED' and extracted_text is not null").select(
         "entity_id", "entity_type", F.lower("extracted_text").alias("k"), "confidence", "source_document_id"
     )
+    members = members.withColumn("shown", F.col("source_document_id"))
+    if documents is not None:
+        titles = documents.groupBy(F.col("document_id").alias("source_document_id")).agg(F.min("title").alias("__title"))
+        members = members.join(titles, "source_document_id", "left").withColumn("shown", F.coalesce("__title", "shown")).drop("__title")
     facts = members.groupBy("entity_type", "k").agg(
         F.round(F.avg("confidence"), 6).alias("confidence_avg"),
         F.count(F.lit(1)).alias("n_entities"),
-        F.array_sort(F.collect_set("source_document_id")).alias("sources"),
+        F.array_sort(F.collect_set(F.when(F.col("source_document_id").isNotNull(), F.struct("source_document_id", "shown")))).alias("sources"),
     )
     names = entities.select("entity_id", display_name().alias("other"))
     live = edges.filter("lifecycle_state = 'TRUSTED'").select("relationship_id", "source_entity_id", "target_entity_id", "relationship_type", "confidence")
@@ -54,7 +59,7 @@ def compile_pages(entities: DataFrame, edges: DataFrame, type_: str | None = Non
         F.lit("## Relationships"),
         F.coalesce(F.array_join("lines", "\n"), F.lit("None")),
         F.lit("## Sources"),
-        F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- "), s)), "\n"),
+        F.array_join(F.transform("sources", lambda s: F.concat(F.lit("- "), s["shown"])), "\n"),
     )
     return joined.select(
         "entity_type",

@@ -448,6 +448,11 @@ FROM (VALUES ('Customer:1'), ('Customer:6'), ('Nobody:1')) AS i(entity_id) LEFT
 ORDER BY access_count, last_accessed NULLS FIRST, entity_id LIMIT 100""",
         "feedback_fold": _with(e, FEEDBACK, _fold("""chg AS (SELECT entity_id, created_at AS s1, feedback_id AS s2, CAST(CASE judgment WHEN 'correct' THEN 0.03 WHEN 'incorrect' THEN -0.05 WHEN 'partial' THEN -0.02 ELSE 0 END AS DOUBLE) AS delta FROM fbk)"""), recursive=True)
         + "SELECT entity_id, s AS lifecycle_state, round(c, 6) AS confidence, n_changes FROM folded",
+        "feedback_by_response": _with(e, _fold("""j AS (SELECT event_id, ts, CAST(CASE event_type WHEN 'purchase' THEN 0.03 WHEN 'error' THEN -0.05 WHEN 'click' THEN -0.02 WHEN 'view' THEN 0 END AS DOUBLE) AS delta, event_id % 500 AS b FROM events WHERE event_id % 7 <> 0),
+chg AS (SELECT 'Customer:' || b AS entity_id, ts AS s1, event_id AS s2, delta FROM j WHERE b < 400 UNION ALL SELECT 'Supplier:' || (b % 10), ts, event_id, delta FROM j WHERE b < 400)"""), recursive=True)
+        + "SELECT entity_id, s AS lifecycle_state, round(c, 6) AS confidence, n_changes FROM folded",
+        "feedback_errors": """SELECT event_id AS feedback_id, CASE WHEN event_id % 7 = 0 THEN 'none' ELSE 'r' || event_id END AS response_id,
+  CASE WHEN event_type = 'signup' THEN 'unknown judgment' ELSE 'unknown response' END AS error FROM events WHERE event_type = 'signup' OR event_id % 7 = 0 OR event_id % 500 >= 400""",
         "fileback_fold": _with(e, _fold("""resp AS (SELECT event_id, user_id, CAST(CASE WHEN event_id % 10 / 10.0 < 0.4 THEN -0.02 ELSE 0.01 END AS DOUBLE) AS delta FROM events),
 chg AS (SELECT 'Customer:' || user_id AS entity_id, event_id AS s1, 0 AS s2, delta FROM resp UNION ALL SELECT 'Supplier:' || (user_id % 10), event_id, 0, delta FROM resp)"""), recursive=True)
         + "SELECT entity_id, round(c, 6) AS confidence, n_changes FROM folded",
@@ -471,15 +476,18 @@ SELECT rule_name, CAST(times_applied + coalesce(c, 0) AS INTEGER) AS times_appli
         "extract_chunks": _with(_chars(1000, 100), recursive=True) + "SELECT doc_id, count(*) AS chunks, CAST(sum(length(piece)) AS BIGINT) AS chars FROM pieces WHERE piece <> '' GROUP BY doc_id",
         "wiki_pages": _with(*ee, all_edges) + """, mem AS (SELECT *, lower(extracted_text) AS k FROM ent WHERE lifecycle_state = 'TRUSTED' AND extracted_text IS NOT NULL),
 pg AS (SELECT DISTINCT entity_type, extracted_text AS title, k FROM mem),
-fc AS (SELECT entity_type, k, round(avg(confidence), 6) AS confidence_avg, count(*) AS n_entities, string_agg(DISTINCT '- ' || source_document_id, chr(10) ORDER BY '- ' || source_document_id) AS src, count(DISTINCT source_document_id) AS n_sources FROM mem GROUP BY 1, 2),
+fc AS (SELECT entity_type, k, round(avg(confidence), 6) AS confidence_avg, count(*) AS n_entities, count(DISTINCT source_document_id) AS n_sources FROM mem GROUP BY 1, 2),
+titles AS (SELECT 'doc-' || doc_id AS source_document_id, min('Document ' || lang || ' ' || doc_id) AS title FROM documents WHERE doc_id < 50 AND doc_id % 2 = 0 GROUP BY 1),
+srcs AS (SELECT entity_type, k, string_agg('- ' || coalesce(title, source_document_id), chr(10) ORDER BY source_document_id) AS src
+  FROM (SELECT DISTINCT entity_type, k, source_document_id FROM mem WHERE source_document_id IS NOT NULL) LEFT JOIN titles USING (source_document_id) GROUP BY 1, 2),
 tch AS (SELECT m.entity_type, m.k, e.relationship_id, e.relationship_type, e.confidence, e.target_entity_id AS other, '->' AS arrow FROM edges_ e JOIN mem m ON m.entity_id = e.source_entity_id WHERE e.lifecycle_state = 'TRUSTED'
   UNION ALL SELECT m.entity_type, m.k, e.relationship_id, e.relationship_type, e.confidence, e.source_entity_id, '<-' FROM edges_ e JOIN mem m ON m.entity_id = e.target_entity_id WHERE e.lifecycle_state = 'TRUSTED'),
 one AS (SELECT * FROM tch QUALIFY row_number() OVER (PARTITION BY entity_type, k, relationship_id ORDER BY arrow DESC, other DESC) = 1),
 ln AS (SELECT one.entity_type, one.k, count(*) AS n_edges, string_agg('- ' || arrow || ' **' || relationship_type || '** ' || coalesce(o.extracted_text, o.source_sentence, ''), chr(10) ORDER BY one.confidence DESC, relationship_id) AS txt
   FROM one JOIN ent o ON o.entity_id = other GROUP BY 1, 2)
-SELECT pg.entity_type, title, confidence_avg, n_entities, coalesce(n_edges, 0) AS n_edges, n_sources,
-  '# ' || title || chr(10) || 'Type: ' || pg.entity_type || chr(10) || 'Confidence: ' || CAST(floor(confidence_avg * 100 + 0.5) AS INTEGER) || '%' || chr(10) || '## Relationships' || chr(10) || coalesce(txt, 'None') || chr(10) || '## Sources' || chr(10) || src AS markdown
-FROM pg JOIN fc USING (entity_type, k) LEFT JOIN ln USING (entity_type, k)""",
+SELECT pg.entity_type, pg.title, confidence_avg, n_entities, coalesce(n_edges, 0) AS n_edges, n_sources,
+  '# ' || pg.title || chr(10) || 'Type: ' || pg.entity_type || chr(10) || 'Confidence: ' || CAST(floor(confidence_avg * 100 + 0.5) AS INTEGER) || '%' || chr(10) || '## Relationships' || chr(10) || coalesce(txt, 'None') || chr(10) || '## Sources' || chr(10) || src AS markdown
+FROM pg JOIN fc USING (entity_type, k) LEFT JOIN srcs USING (entity_type, k) LEFT JOIN ln USING (entity_type, k)""",
         "wiki_list": _with(e) + """SELECT title, row_number() OVER (ORDER BY title) AS position FROM (
   SELECT DISTINCT extracted_text AS title FROM ent WHERE lifecycle_state = 'TRUSTED' AND entity_type = 'Part' AND contains(lower(extracted_text), 'ring') ORDER BY title LIMIT 20)""",
         "wm_upsert": _with(MEMORY) + "SELECT * FROM mem",

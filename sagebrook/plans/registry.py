@@ -310,6 +310,17 @@ def feedback_fold(t):
     return out.select("entity_id", "lifecycle_state", F.round("confidence", 6).alias("confidence"), "n_changes")
 
 
+@_query
+def feedback_by_response(t):
+    out, _ = folds.feedback_by_response(t.entities, t.response_feedback, t.responses, t.bundles)
+    return out.filter("n_changes > 0").select("entity_id", "lifecycle_state", F.round("confidence", 6).alias("confidence"), "n_changes")
+
+
+@_query
+def feedback_errors(t):
+    return folds.feedback_by_response(t.entities, t.response_feedback, t.responses, t.bundles)[1]
+
+
 @_query
 def fileback_fold(t):
     responses = t.raw("events").select(
@@ -386,7 +397,7 @@ def document_embedding(t):
 
 @_query
 def wiki_pages(t):
-    return wiki.compile_pages(t.entities, t.edges)
+    return wiki.compile_pages(t.entities, t.edges, documents=t.titles)
 
 
 @_query

@@ -179,6 +179,38 @@ class Tables:
             F.col("ts").alias("created_at"),
         )
 
+    @cached_property
+    def responses(self) -> DataFrame:
+        """An answer for every event; its bundle is one of 500 ids."""
+        return self.raw("events").select(
+            F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response_id"), F.concat(F.lit("b"), (F.col("event_id") % 500).cast("string")).alias("bundle_id")
+        )
+
+    @cached_property
+    def bundles(self) -> DataFrame:
+        """The contexts of answers: 400 of the 500 that answers name, with two entities each."""
+        k = F.col("id").cast("string")
+        return self.spark.range(400).select(
+            F.concat(F.lit("b"), k).alias("bundle_id"),
+            F.array(F.concat(F.lit("Customer:"), k), F.concat(F.lit("Supplier:"), (F.col("id") % 10).cast("string"))).alias("entity_ids"),
+        )
+
+    @cached_property
+    def response_feedback(self) -> DataFrame:
+        """A judgment of every answer; signups judge nothing, and every 7th names no answer."""
+        judgment = F.create_map(*[F.lit(x) for p in (("purchase", "correct"), ("error", "incorrect"), ("click", "partial"), ("view", "uncertain")) for x in p])
+        at = F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise(F.concat(F.lit("r"), F.col("event_id").cast("string")))
+        return self.raw("events").select(
+            F.col("event_id").alias("feedback_id"), at.alias("response_id"), judgment[F.col("event_type")].alias("judgment"), F.col("ts").alias("created_at")
+        )
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """Titles of the documents with an even id that entities come from."""
+        return self.raw("documents").filter("doc_id < 50 and doc_id % 2 = 0").select(
+            F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), F.concat_ws(" ", F.lit("Document"), "lang", "doc_id").alias("title")
+        )
+
     @cached_property
     def memory_writes(self) -> DataFrame:
         """Writes of working memory: a session per user, a key per k of the event."""

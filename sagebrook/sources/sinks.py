@@ -1,4 +1,4 @@
-"""Inserts and snapshots: new rows by key, errors apart, atomic replacement."""
+"""Inserts and snapshots: new rows by key, errors apart, replacement as a whole."""
 
 from __future__ import annotations
 
@@ -46,26 +46,53 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path, path of the snapshot before it) of a snapshot."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    at = make(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at, make(f"{path}.old")
+
+
+def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The snapshot at ``path``, or None where there has never been one.
+
+    Where a writer stopped between its two renames, the snapshot before it is put back.  A
+    snapshot that cannot be read is an error, never taken for a missing one.
+    """
+    fs, at, old = _files(spark, path)
+    if not fs.exists(at):
+        if not fs.exists(old):
+            return None
+        if not fs.rename(old, at):
+            raise OSError(f"{path}.old could not be put back")
+    return spark.read.parquet(path)
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Replace a snapshot as a whole: written beside it, then renamed."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    """Replace a snapshot as a whole: written beside it, then put in its place by two renames.
+
+    One writer at a time.  If it is stopped between the renames, ``snapshot`` finds the one
+    before; ``df`` may read the snapshot that it replaces.
+    """
+    fresh = f"{path}.{uuid.uuid4().hex}.new"
     df.write.parquet(fresh)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, at, old = _files(df.sparkSession, path)
     if fs.exists(at):
-        fs.rename(at, jvm.org.apache.hadoop.fs.Path(old))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), at)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+        fs.delete(old, True)
+        if not fs.rename(at, old):
+            raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(df.sparkSession._jvm.org.apache.hadoop.fs.Path(fresh), at):
+        raise OSError(f"{fresh} could not be put in place")
+    fs.delete(old, True)
 
 
 def truncate(spark: SparkSession, path: str, confirm: bool = False) -> None:
     """Empty a snapshot; asks to be meant."""
     if not confirm:
         raise ValueError("truncation needs confirm=True")
-    stored = spark.read.parquet(path)
-    swap(stored.limit(0), path)
+    stored = snapshot(spark, path)
+    if stored is not None:
+        swap(stored.limit(0), path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -5,26 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CONFIG, Config
-from ..operators.memory import upsert
-from ..sources.sinks import swap
+from ..operators.memory import cleanup, upsert
+from ..sources.sinks import snapshot, swap
 
 
-def upsert_stream(writes: DataFrame, path: str, checkpoint: str):
-    """Keeps the snapshot at ``path`` current with a stream of writes, a batch at a time.  A
-    batch that is run again gives the same snapshot."""
+def upsert_stream(writes: DataFrame, path: str, checkpoint: str, as_of: Column | None = None):
+    """Keeps the snapshot at ``path`` current with a stream of writes, a batch at a time.
+
+    A batch that is run again gives the same snapshot, and a late write with an older seq
+    changes nothing but, if it is the first, the time of creation.  With ``as_of`` what expired
+    before it goes with every batch.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - the first batch finds no snapshot
-            stored = None
-        swap(upsert(batch, stored), path)
+        state = upsert(batch, snapshot(batch.sparkSession, path), keep_seq=True)
+        swap(state if as_of is None else cleanup(state, as_of)[0], path)
 
     return writes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

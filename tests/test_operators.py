@@ -177,6 +177,9 @@ def test_wiki(spark, entities, edges):
     stored = wiki.upsert_pages(pages.select("entity_type", "title", "markdown", "confidence_avg").withColumns({"created_at": F.lit(T0).cast("timestamp_ntz"), "updated_at": F.lit(T0).cast("timestamp_ntz")}), pages.limit(1), as_of())
     assert stored.count() == 2 and stored.filter("created_at = timestamp_ntz'2024-01-01 00:00:00'").count() == 2
     assert wiki.list_pages(pages, "Team").count() == 1
+    titles = spark.createDataFrame([(entities.first()["source_document_id"], "The handbook")], "document_id string, title string")
+    titled = wiki.compile_pages(entities, edges, documents=titles)
+    assert titled.count() == 2 and titled.filter("markdown like '%- The handbook%'").count() > 0
 
 
 def test_no_context_is_insufficient(spark, entities, edges):
@@ -300,6 +303,48 @@ def test_snapshots(spark, tmp_path, entities):
     assert spark.read.parquet(at).count() == 0
 
 
+def test_snapshots_survive_a_stopped_writer(spark, tmp_path, entities):
+    at = tmp_path / "snapshot"
+    assert sinks.snapshot(spark, str(at)) is None
+    sinks.swap(entities, str(at))
+    at.rename(f"{at}.old")
+    assert sinks.snapshot(spark, str(at)).count() == 3 and at.exists()
+    # An older remainder gives way, and what can't be read is no missing snapshot.
+    sinks.swap(entities, f"{at}.old")
+    sinks.swap(sinks.snapshot(spark, str(at)).filter("entity_id <> '1'"), str(at))
+    assert sinks.snapshot(spark, str(at)).count() == 2 and not (tmp_path / "snapshot.old").exists()
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|footer|schema"):
+        sinks.snapshot(spark, str(broken)).count()
+
+
+def test_late_writes_find_their_place(spark, tmp_path):
+    from sagebrook.streaming import state
+
+    schema = "session_id string, key string, value string, agent string, step_number int, created_at timestamp_ntz, expires_at timestamp_ntz, seq long"
+    day = dt.timedelta(days=1)
+    batches = [[("s", "k", "new", "x", 0, T0 + 2 * day, T0 + 90 * day, 5), ("s", "gone", "v", "x", 0, T0, T0, 6)], [("s", "k", "late", "x", 0, T0 + day, T0 + 90 * day, 3)], [("s", "k", "new", "x", 0, T0 + 2 * day, T0 + 90 * day, 5)]]
+    at = str(tmp_path / "state")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        state.upsert_stream(stream, at, str(tmp_path / "checkpoint"), as_of()).awaitTermination()
+        row = sinks.snapshot(spark, at).collect()
+        assert [(r["key"], r["value"]) for r in row] == [("k", "new")]
+        assert row[0]["created_at"] == T0 + (2 if i == 0 else 1) * day
+
+
+def test_feedback_by_response(spark, entities):
+    records = spark.createDataFrame([(1, "r1", "correct", T0), (2, "r1", "nonsense", T0), (3, "r9", "correct", T0), (4, "r2", "incorrect", T0)], "feedback_id int, response_id string, judgment string, created_at timestamp_ntz")
+    responses = spark.createDataFrame([("r1", "b1"), ("r2", "b9")], "response_id string, bundle_id string")
+    bundles = spark.createDataFrame([("b1", ["1", "1", "none"])], "bundle_id string, entity_ids array<string>")
+    out, errors = folds.feedback_by_response(entities, records, responses, bundles)
+    assert {r["entity_id"]: r["n_changes"] for r in out.collect()} == {"1": 1, "2": 0, "3": 0}
+    assert {(r["feedback_id"], r["error"]) for r in errors.collect()} == {(2, "unknown judgment"), (3, "unknown response"), (4, "unknown response")}
+
+
 def test_readers(spark, tmp_path):
     folder = tmp_path / "docs"
     (folder / "All docs").mkdir(parents=True)
