@@ -1,6 +1,7 @@
 """Brute-force versions, written apart from the operators."""
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter, defaultdict
@@ -136,3 +137,130 @@ def chunked(data, c):
         out.append((last, min(last + c.MAX, len(data))))
         last = out[-1][1]
     return out
+
+
+ADDED = (
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+)
+
+
+def more_personal(text):
+    """All spans (start, rank, kind, end) of a text: the base ones, account numbers that pass
+    their check, and social security numbers with a word that says so within 40 characters."""
+    text, out = text or "", personal(text)
+    for rank, (kind, pattern) in enumerate(ADDED, len(PII)):
+        found = list(pattern.finditer(text))
+        for i, m in enumerate(found):
+            if kind == "iban":
+                plain = m[0].replace(" ", "")
+                if not 15 <= len(plain) <= 34 or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
+                    continue
+            else:
+                before = text[found[i - 1].end() if i else 0 : m.start()][-40:]
+                after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)][:40]
+                if re.match("000|666|9", m[0]) or "-00-" in m[0] or m[0].endswith("-0000") or not re.search("(?i)ssn|social|security|tax", f"{before} {after}"):
+                    continue
+            out.append((m.start(), rank, kind, m.end()))
+    return sorted(out)
+
+
+def joined(spans):
+    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in spans)
+
+
+def without_chunks(docs, c):
+    """{doc_id: (n_bytes, n_chunks, n_repeated, n_removed, n_spans, sha of what stays)}: chunk
+    by chunk in the order of doc_id, with a set of what has been seen."""
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        data = (t or "").encode()
+        parts = chunked(data, c)
+        runs, repeated = [], 0
+        for lo, hi in parts:
+            if data[lo:hi] in seen:
+                repeated += hi - lo
+                if runs and runs[-1][1] == lo:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+            seen.add(data[lo:hi])
+        runs = [r for r in runs if r[1] - r[0] >= c.MIN_RUN]
+        kept, at = b"", 0
+        for lo, hi in runs:
+            kept, at = kept + data[at:lo], hi
+        kept += data[at:]
+        out[d] = (len(data), len(parts), repeated, len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+WIDE = 2**64 - 1
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & WIDE
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & WIDE
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    if len(word) > 32:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    h = mixed((len(word) * GOLDEN + 1) & WIDE)
+    for i in range(0, len(word), 8):
+        h = mixed(h ^ int.from_bytes(word[i : i + 8], "little"))
+    return h
+
+
+def quality_features(text, bits, back=4):
+    """{index: value} of a text: the share of each n-gram in its family."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    salts = [mixed((i * GOLDEN + mixed(31)) & WIDE) for i in range(1, 6)]
+    hashes = [word_hash(bytes(b + 32 if 65 <= b <= 90 else b for b in w)) for w in words]
+    shapes = []
+    for w in words:
+        code = min((len(w) + 1).bit_length() - 1, 7)
+        for pattern in (rb"[A-Z]", rb"[a-z]", rb"[0-9]", rb"[!-/:-@\[-`{-~]"):
+            code = code * 4 + min(len(re.findall(pattern, w)), 3)
+        shapes.append(mixed(code + 977))
+    families = [[] for _ in range(5)]
+    for i, h in enumerate(hashes):
+        same = next((d for d in range(1, back + 1) if i >= d and hashes[i - d] == h), 0)
+        families[0].append(h)
+        families[2].append(shapes[i])
+        families[4].append(mixed(same * 8191 + 13))
+        if i:
+            families[1].append((h * GOLDEN + hashes[i - 1]) & WIDE)
+            families[3].append((shapes[i] * GOLDEN + shapes[i - 1]) & WIDE)
+    out = Counter({1 << bits: 1.0})
+    for salt, keys in zip(salts, families):
+        for key in keys:
+            out[mixed(key ^ salt) >> (64 - bits)] += 1 / len(keys)
+    return out
+
+
+def sigmoid(x):
+    return 1 / (1 + math.exp(-max(min(x, 35), -35)))
+
+
+def ftrl(rows, epochs, alpha, beta, l1, l2):
+    """The weight of an index after passes over (features, label), an index at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for features, label in rows:
+            w = {i: weight(i) for i in features}
+            p = sigmoid(sum(w[i] * x for i, x in features.items()))
+            for i, x in features.items():
+                g = (p - label) * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    return weight

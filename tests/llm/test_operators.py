@@ -460,6 +460,25 @@ def test_quality(spark, sf_dir, documents, rows, clashing, empty):
     assert quality.quality(empty, mine).count() == 0
 
 
+def test_scores_are_those_of_plain_loops(spark, documents, rows):
+    """Every score against features and updates written apart, one number at a time."""
+    import zlib
+
+    given = [(i, i % 3 % 2) for i in range(85)] + [(87, 1), (None, 1), (83, None)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int")
+    got = quality.quality(documents, labels).collect()
+    texts = [r[:2] for r in rows]
+    order = {r["d"]: r["o"] for r in spark.range(100).select(F.col("id").alias("d"), F.xxhash64("id", F.lit(29)).alias("o")).collect()}
+    known = {d: q for d, q in given if d is not None and q is not None and zlib.crc32(str(d).encode()) % 5}
+    taught = [(order[d], known[d], t) for d, t in texts if d in known]
+    features = {t: helpers.quality_features(t, quality.BITS) for _, t in texts}
+    weight = helpers.ftrl([(features[t], q) for _, q, t in sorted(taught, key=lambda r: r[0])], quality.EPOCHS, quality.ALPHA, quality.BETA, quality.L1, quality.L2)
+    want = Counter((d, round(helpers.sigmoid(sum(weight(i) * x for i, x in features[t].items())), 6)) for d, t in texts)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+    assert len({s for _, s in want}) > 20
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in got)
+
+
 def test_held_out_labels_teach_nothing(spark, documents):
     import zlib
 

@@ -1,11 +1,12 @@
 """Registered queries against their SQL, and the pipeline against brute force."""
 
+import hashlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from sagebrook.llm import minhash, quality, queries
+from sagebrook.llm import chunks, minhash, quality, queries
 
 from ..conftest import compare
 from . import helpers
@@ -16,7 +17,7 @@ def test_matches_sql(spark, sf_dir, duck, name):
     compare(queries.QUERIES[name](spark, sf_dir), duck, queries.oracles()[name])
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_minhash", "op7_pii", "op8_suffixes"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op2_minhash", "op6_chunks", "op7_pii", "op8_suffixes"])
 def test_whole_tables(spark, sf_dir, name):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: r for r in queries.QUERIES[name](spark, sf_dir).collect()}
@@ -31,6 +32,11 @@ def test_whole_tables(spark, sf_dir, name):
         for d, text in docs:
             kinds = [s[2] for s in helpers.personal(text)]
             assert [got[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+            base = helpers.joined(helpers.personal(text))
+            assert (got[d]["base_sha256"], got[d]["spans"]) == (hashlib.sha256(base.encode()).hexdigest(), helpers.joined(helpers.more_personal(text)))
+    elif name.startswith("op6"):
+        for d, want in helpers.without_chunks(docs, chunks).items():
+            assert tuple(got[d][c] for c in ("n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans", "kept_sha256")) == want
     else:
         for (d, _), want in zip(docs, helpers.repeats([t for _, t in docs])):
             assert tuple(got[d][c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) == want
