@@ -35,6 +35,18 @@ def test_decontamination(spark, rows, documents, clashing):
     assert bag(decontaminate.contamination(clashing, items.withColumn("phrase", F.lit(1))), *names) == want
 
 
+def test_near_matches(spark):
+    """Words put in, left out and exchanged hide a window from exact matches alone."""
+    item = "one two three four five six seven eight nine ten"
+    docs = [
+        (1, f"so {item} on"), (2, "one two three four extra word five six seven eight nine ten"), (3, "two one three four five six eight seven nine ten"),
+        (4, "one two three four five a b c d e six seven eight nine ten"), (5, "ten nine eight"), (6, None), (7, "alpha beta gamma"), (8, "beta alpha"), (9, "solo"),
+    ]
+    items = spark.createDataFrame([(1, item), (2, "alpha beta"), (3, "solo"), (4, item)], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    assert {r["doc_id"]: (r["n_items"], r["n_near"]) for r in got.collect()} == {1: (2, 2), 2: (0, 2), 3: (0, 2), 4: (0, 0), 5: (0, 0), 6: (0, 0), 7: (1, 1), 8: (0, 1), 9: (1, 1)}
+
+
 def test_decontamination_of_nothing(spark, documents, empty):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
     assert decontaminate.contamination(empty, items).count() == 0
