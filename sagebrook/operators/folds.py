@@ -20,31 +20,70 @@ def feedback_delta(judgment: Column, config: Config = CONFIG) -> Column:
     return out
 
 
-def fold(entities: DataFrame, changes: DataFrame, config: Config = CONFIG) -> DataFrame:
+#: Changes of one entity that are folded in one row; those of more go through ordered blocks.
+FOLD_ROWS = 100_000
+
+
+def _blocks(changes: DataFrame, below: float) -> DataFrame:
+    """(entity_id, blocks, n): the changes of each entity as ordered blocks.
+
+    Rows are dealt by ranges of (entity_id, seq), so one entity is spread over as many blocks as
+    it has rows for.  Each block's clamped steps become one function of the confidence before
+    it, least(hi, greatest(lo, c + shift)), and the bound under which that confidence passes
+    below ``below`` at some decrease.
+    """
+    ranged = changes.repartitionByRange("entity_id", "seq").withColumn("__block", F.spark_partition_id())
+    lists = ranged.groupBy("entity_id", "__block").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
+    inf = float("inf")
+    start = F.struct(F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), F.lit(0.0).alias("shift"), F.lit(-inf).alias("drop"))
+
+    def step(a: Column, s: Column) -> Column:
+        d = s["delta"]
+        lo, hi, shift = a["lo"] + d, a["hi"] + d, a["shift"] + d
+        lo = F.when(d >= 0, F.least(lo, F.lit(1.0))).otherwise(F.greatest(lo, F.lit(0.0)))
+        hi = F.when(d >= 0, F.least(hi, F.lit(1.0))).otherwise(F.greatest(hi, F.lit(0.0)))
+        under = F.when(hi < below, F.lit(inf)).when(lo < below, F.lit(below) - shift).otherwise(F.lit(-inf))
+        drop = F.when(d < 0, F.greatest(a["drop"], under)).otherwise(a["drop"])
+        return F.struct(lo.alias("lo"), hi.alias("hi"), shift.alias("shift"), drop.alias("drop"))
+
+    composed = lists.select("entity_id", "__block", F.aggregate("steps", start, step).alias("f"), F.size("steps").alias("n"))
+    return composed.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("__block", "f"))).alias("blocks"), F.sum("n").cast("int").alias("n"))
+
+
+def fold(entities: DataFrame, changes: DataFrame, config: Config = CONFIG, most: int = FOLD_ROWS) -> DataFrame:
     """Entities after ``changes`` (entity_id, seq, delta), in the order of seq.
 
-    Adds ``n_changes``.  Changes of unknown entities, and null deltas, have no effect.
+    Adds ``n_changes``.  Changes of unknown entities, and null deltas, have no effect.  An entity
+    with more than ``most`` changes is folded block by block, which gives the same but for the
+    rounding of sums.
     """
-    steps = changes.filter("delta is not null").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    joined = entities.join(steps, "entity_id", "left")
-    start = F.struct(F.col("confidence").alias("c"), (F.col("lifecycle_state") == "ARCHIVED").alias("gone"), F.col("lifecycle_state").alias("state"))
+    changes = changes.filter("delta is not null and entity_id is not null").select("entity_id", "seq", "delta")
+    hot = changes.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("entity_id")
+    usual = changes.join(hot, "entity_id", "left_anti")
+    steps = usual.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
+    blocks = _blocks(changes.join(hot, "entity_id", "left_semi"), config.archive_below)
+    joined = entities.join(steps, "entity_id", "left").join(blocks, "entity_id", "left")
+    start = F.struct(F.col("confidence").alias("c"), F.col("lifecycle_state").alias("state"))
+
+    def after(a: Column, c: Column, drop: Column) -> Column:
+        return F.struct(c.alias("c"), F.when(drop & (a["state"] == "TRUSTED"), F.lit("ARCHIVED")).otherwise(a["state"]).alias("state"))
 
     def step(a: Column, s: Column) -> Column:
         c = F.when(s["delta"] >= 0, F.least(a["c"] + s["delta"], F.lit(1.0))).otherwise(F.greatest(a["c"] + s["delta"], F.lit(0.0)))
-        drop = (s["delta"] < 0) & (c < config.archive_below) & (a["state"] == "TRUSTED")
-        return F.struct(c.alias("c"), (a["gone"] | drop).alias("gone"), F.when(drop, F.lit("ARCHIVED")).otherwise(a["state"]).alias("state"))
+        return after(a, c, (s["delta"] < 0) & (c < config.archive_below))
+
+    def block(a: Column, b: Column) -> Column:
+        f = b["f"]
+        return after(a, F.least(f["hi"], F.greatest(f["lo"], a["c"] + f["shift"])), a["c"] < f["drop"])
 
-    end = F.aggregate("steps", start, step)
-    touched = F.col("steps").isNotNull()
-    folded = joined.withColumn("__end", F.when(touched, end))
+    end = F.when(F.col("steps").isNotNull(), F.aggregate("steps", start, step)).when(F.col("blocks").isNotNull(), F.aggregate("blocks", start, block))
+    folded = joined.withColumn("__end", F.coalesce(end, start))
     return folded.select(
         *[
-            F.when(touched, F.col("__end.c")).otherwise(F.col("confidence")).alias("confidence") if c == "confidence"
-            else F.when(touched, F.col("__end.state")).otherwise(F.col("lifecycle_state")).alias("lifecycle_state") if c == "lifecycle_state"
-            else F.col(c)
+            F.col("__end.c").alias("confidence") if c == "confidence" else F.col("__end.state").alias("lifecycle_state") if c == "lifecycle_state" else F.col(c)
             for c in entities.columns
         ],
-        F.coalesce(F.size("steps"), F.lit(0)).alias("n_changes"),
+        F.coalesce(F.size("steps"), "n", F.lit(0)).alias("n_changes"),
     )
 
 

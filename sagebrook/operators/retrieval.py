@@ -8,6 +8,8 @@ sent to every task where there are at most QUERY_ROWS.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +26,8 @@ NEEDLES = 2_000
 SLICE = 1024
 #: Blocks that more query vectors are dealt into.
 QUERY_BLOCKS = 64
+#: Pivots that cached vectors are dealt by, and parts of a cell.
+PIVOTS, SALTS = 16, 8
 
 
 def within_bounds(df: DataFrame) -> bool:
@@ -364,18 +368,69 @@ def evidence_chain(entities: DataFrame, documents: DataFrame, config: Config = C
     return facts.unionByName(texts)
 
 
+def _distances(pivots: np.ndarray):
+    """Distances of unit vectors to every pivot; one zero for vectors of another length."""
+
+    @F.pandas_udf("array<double>")
+    def run(units: pd.Series) -> pd.Series:
+        out = [[0.0]] * len(units)
+        at = [i for i, u in enumerate(units) if pivots.ndim == 2 and len(u) == pivots.shape[1]]
+        if at:
+            rows = np.stack([units.iloc[i] for i in at])
+            gaps = np.sqrt(np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0))
+            for i, gap in zip(at, gaps.tolist()):
+                out[i] = gap
+        return pd.Series(out)
+
+    return run
+
+
+def _units(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``unit``, a vector over its norm; rows without one that is finite are left out."""
+    usable = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = df.filter(F.col(column).isNotNull() & usable).withColumn("__norm", vector.norm(F.col(column))).filter("__norm > 0")
+    return df.withColumn("unit", F.transform(column, lambda x: x / F.col("__norm"))).drop("__norm")
+
+
+def near_entries(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(query_id, near): the nearest of ``entries`` (query_embedding, created_at, id,
+    response_json) to each ``asked`` (query_id, vector) with cosine ``least`` or more.
+
+    Equal vectors are one row on both sides.  Entries lie in the cell of their nearest pivot; a
+    query goes to the cells that the triangle inequality leaves open to it, and a cell is cut
+    into SALTS parts, so no pair outside of these cells is formed and none within reach is lost.
+    """
+    newest = F.max(F.struct("created_at", "id", "response_json")).alias("e")
+    there = _units(entries.groupBy("query_embedding").agg(newest), "query_embedding").select("unit", "e")
+    wanted = _units(asked.select("vector").distinct(), "vector").select("vector", "unit")
+    sample = there.orderBy(F.xxhash64("unit"), "e").limit(PIVOTS).select("unit").collect()
+    size = max((len(r["unit"]) for r in sample), default=0)
+    gaps = _distances(np.array([r["unit"] for r in sample if len(r["unit"]) == size]))
+    # Similarities are rounded to six digits before they are compared.
+    reach = math.sqrt(2 * (1 - least)) + 1e-4
+    there = there.withColumn("d", gaps("unit")).withColumn("gap", F.array_min("d")).withColumn("cell", F.array_position("d", F.col("gap")))
+    there = there.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS)).cast("int"))
+    wanted = wanted.withColumn("d", gaps("unit")).select("vector", F.col("unit").alias("q"), "d", F.array_min("d").alias("first"))
+    wanted = wanted.select("vector", "q", "first", F.posexplode("d").alias("cell", "reached")).filter(F.col("reached") - F.col("first") <= 2 * reach)
+    wanted = wanted.withColumn("cell", F.col("cell").cast("long") + 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.size("unit") == F.size("q")) & (F.abs(F.col("gap") - F.col("reached")) <= reach)
+    pairs = there.join(wanted, ["cell", "salt"]).filter(same)
+    pairs = pairs.withColumn("similarity", F.round(vector.dot(F.col("unit"), F.col("q")), 6)).filter(F.col("similarity") >= least)
+    best = pairs.groupBy("vector").agg(F.max(F.struct("similarity", "e")).alias("b"))
+    near = F.struct(F.col("b.e.response_json").alias("response_json"), F.col("b.similarity").alias("similarity"))
+    return asked.join(best, "vector").select("query_id", near.alias("near"))
+
+
 def cache_lookup(queries: DataFrame, cache: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:
     """For each (query_id, query, vector): the newest live entry of the same query, else the
-    nearest live entry by vector if it is near enough."""
+    nearest live entry by vector if it is near enough.  Only queries without the first look
+    for the second; vectors that are zero or not finite are near to nothing."""
     live = cache.filter(F.col("expires_at") > as_of)
     asked = queries.withColumn("query_hash", text.query_hash(F.col("query")))
     exact = live.groupBy("query_hash").agg(F.max_by("response_json", F.struct("created_at", "id")).alias("exact"))
-    near = live.filter("query_embedding is not null").join(small_side(queries.select("query_id", "vector")))
-    near = near.withColumn("similarity", F.round(vector.cosine(F.col("query_embedding"), F.col("vector")), 6))
-    best = near.filter(F.col("similarity") >= config.cache_similarity).groupBy("query_id").agg(
-        F.max_by(F.struct("response_json", "similarity"), F.struct("similarity", "created_at", "id")).alias("near")
-    )
-    joined = asked.join(exact, "query_hash", "left").join(best, "query_id", "left")
+    found = asked.join(exact, "query_hash", "left")
+    best = near_entries(found.filter("exact is null").select("query_id", "vector"), live, config.cache_similarity)
+    joined = found.join(best, "query_id", "left")
     return joined.select(
         "query_id",
         F.when(F.col("exact").isNotNull(), F.lit("exact")).when(F.col("near").isNotNull(), F.lit("semantic")).otherwise(F.lit("miss")).alias("hit"),

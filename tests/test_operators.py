@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +94,39 @@ def test_fold_stays_within_bounds(spark, deltas):
     assert 0.0 <= folds.fold(one, changes).first()["confidence"] <= 1.0
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.sampled_from([-0.5, -0.25, -0.125, 0.0, 0.125, 0.5]), min_size=1, max_size=40))
+def test_blocks_of_changes_fold_alike(spark, deltas):
+    rows = [(str(i), state, c) for i, (state, c) in enumerate([("TRUSTED", 0.5), ("STAGING", 0.75), ("TRUSTED", 1.0), ("TRUSTED", 0.0625)])]
+    some = spark.createDataFrame(rows, "entity_id string, lifecycle_state string, confidence double")
+    changes = [(e, i, d) for e, _, _ in rows for i, d in enumerate(deltas)] + [("0", 99, None), (None, 1, 0.5)]
+    changes = spark.createDataFrame(changes, "entity_id string, seq int, delta double")
+    whole, blocks = (sorted(map(tuple, folds.fold(some, changes, most=most).collect())) for most in (1000, 0))
+    assert whole == blocks
+    assert {r[3] for r in whole} == {len(deltas)}
+
+
+def test_near_entries_equal_all_pairs(spark):
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(6, 8))
+    def some(n):
+        return [(centres[i % 6] + random.normal(size=8) * 0.25).round(3).tolist() for i in range(n)]
+    held, asked = some(60), some(40)
+    held[7], held[8], held[9], held[10] = held[6], [0.0] * 8, [float("nan")] * 8, [1.0, 2.0]
+    asked[3], asked[4], asked[5], asked[6] = held[6], [0.0] * 8, None, [2.0, 4.0]
+    entries = spark.createDataFrame([(v, T0 + dt.timedelta(days=i % 3), str(i), f"r{i}") for i, v in enumerate(held)], "query_embedding array<double>, created_at timestamp_ntz, id string, response_json string")
+    got = retrieval.near_entries(spark.createDataFrame(list(enumerate(asked)), "query_id int, vector array<double>"), entries, 0.95)
+    want = {}
+    for q, v in enumerate(asked):
+        for i, e in enumerate(held):
+            if v and len(v) == len(e) and any(v) and any(e):
+                alike = round(float(np.dot(v, e) / np.linalg.norm(v) / np.linalg.norm(e)), 6)
+                if alike >= 0.95:
+                    want[q] = max(want.get(q, ()), (alike, i % 3, str(i)))
+    assert {r["query_id"]: (r["near"]["similarity"], r["near"]["response_json"]) for r in got.collect()} == {q: (w[0], f"r{w[2]}") for q, w in want.items()}
+    assert len(want) > 10
+
+
 def test_unknown_judgments(spark):
     rows = spark.createDataFrame([("correct",), ("maybe",), (None,)], "judgment string")
     assert folds.invalid_feedback(rows).count() == 2
