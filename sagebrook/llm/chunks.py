@@ -25,7 +25,8 @@ WINDOW = 16
 BITS = 5
 #: Bounds of a chunk's bytes; the last chunk of a text may be shorter.
 MIN, MAX = 16, 512
-#: Repeated chunks are taken out where they make up a run of at least so many bytes.
+#: Repeated chunks are taken out where they make up a run of at least so many bytes, or a whole
+#: text: shorter ones inside a text are common turns of phrase.
 MIN_RUN = 64
 GEAR = kernel.stream(41, 256).astype(np.uint32)
 
@@ -118,7 +119,7 @@ def _remove(min_run: int):
             start, end = start[order], (start + size)[order]
             new = np.concatenate(([True], start[1:] != end[:-1]))
             lo, hi = start[new], end[np.concatenate((new[1:], [True]))]
-            long = hi - lo >= min_run
+            long = (hi - lo >= min_run) | (hi - lo == len(text))
             out, at = [], 0
             for a, b in zip(lo[long].tolist(), hi[long].tolist()):
                 out.append(text[at:a])
@@ -175,7 +176,8 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN, id_col: str = "doc_id",
     kept_sha256) for every row of ``docs``.
 
     ``n_shared`` counts bytes in chunks that occur more than once, ``n_repeated`` those that
-    stood earlier, ``n_removed`` those taken out; ``first_doc_id`` is the least document that
+    stood earlier, ``n_removed`` those taken out, in runs of ``min_run`` bytes or more and in
+    shorter texts of nothing but repeated chunks; ``first_doc_id`` is the least document that
     a chunk of this one stands in.  Null texts are empty and have no chunks.  Rows equal in
     doc_id and text count as one document; a row without doc_id comes first in order.  Other
     columns are ignored; an empty table gives an empty result.

@@ -188,6 +188,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         *[many(kind) for kind in KINDS[:BASE]],
+        F.size("pii").cast("long").alias("n_spans"),
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
     )

@@ -185,7 +185,7 @@ def without_chunks(docs, c):
                 else:
                     runs.append([lo, hi])
             seen.add(data[lo:hi])
-        runs = [r for r in runs if r[1] - r[0] >= c.MIN_RUN]
+        runs = [r for r in runs if r[1] - r[0] >= c.MIN_RUN or r[1] - r[0] == len(data)]
         kept, at = b"", 0
         for lo, hi in runs:
             kept, at = kept + data[at:lo], hi

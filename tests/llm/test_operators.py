@@ -364,6 +364,12 @@ def test_chunks(rows, documents, clashing, empty):
     assert chunks.deduplicate(empty).count() == 0
 
 
+def test_short_copies_go_whole(spark):
+    rows = [(1, "a short text"), (2, "a short text"), (3, ""), (4, None), (5, "another"), (6, "a short text")]
+    got = chunks.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in got.collect()} == {1: (0, 0), 2: (12, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (12, 1)}
+
+
 def test_cuts_resist_shifts():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)

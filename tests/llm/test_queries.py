@@ -32,6 +32,7 @@ def test_whole_tables(spark, sf_dir, name):
         for d, text in docs:
             kinds = [s[2] for s in helpers.personal(text)]
             assert [got[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in ("email", "ip", "card", "phone")]
+            assert got[d]["n_spans"] == len(helpers.more_personal(text))
             base = helpers.joined(helpers.personal(text))
             assert (got[d]["base_sha256"], got[d]["spans"]) == (hashlib.sha256(base.encode()).hexdigest(), helpers.joined(helpers.more_personal(text)))
     elif name.startswith("op6"):
