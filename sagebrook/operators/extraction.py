@@ -94,10 +94,11 @@ def name_groups(names: list[str], size: int) -> list[list[str]]:
     return [a + b for a, b in combinations(blocks, 2)] or [names]
 
 
-def extract(
+def extracted(
     chunks: DataFrame, extractor: Extractor | None = None, max_chars: int = CONFIG.extract_chars, max_names: int = CONFIG.extract_names, compat: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) of chunks (document_id, chunk_index, chunk_text), with seq.
+) -> DataFrame:
+    """(document_id, chunk_index, x): what the extractor finds in each chunk (document_id,
+    chunk_index, chunk_text), entities as x.e and relationships as x.r.
 
     Whole chunks are read.  Extractors with a prompt are given pieces of at most ``max_chars``
     and groups of at most ``max_names`` of a chunk's names; with ``compat`` any extractor
@@ -122,7 +123,11 @@ def extract(
             linked.append([dict(zip(("source_name", "relationship_type", "target_name", "confidence", "source_sentence"), r)) for r in links])
         return pd.DataFrame({"e": found, "r": linked})
 
-    done = chunks.select("document_id", "chunk_index", run("chunk_text").alias("x"))
+    return chunks.select("document_id", "chunk_index", run("chunk_text").alias("x"))
+
+
+def by_kind(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of what ``extracted`` gave, one row each, with their order."""
 
     def flat(column: str) -> DataFrame:
         rows = done.select("document_id", "chunk_index", F.posexplode(f"x.{column}").alias("place", "row"))
@@ -132,6 +137,11 @@ def extract(
     return flat("e"), flat("r")
 
 
+def extract(chunks: DataFrame, *args, **kwargs) -> tuple[DataFrame, DataFrame]:
+    """(entities, relationships) of chunks; the parameters are those of ``extracted``."""
+    return by_kind(extracted(chunks, *args, **kwargs))
+
+
 def _as_struct(schema: str) -> str:
     return ",".join(":".join(part.split()) for part in schema.split(", "))
 

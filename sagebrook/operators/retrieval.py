@@ -219,6 +219,10 @@ def expand_context(chunks: DataFrame, hits: DataFrame, config: Config = CONFIG,
     return fresh.withColumn("similarity", F.round(F.col("doc_similarity") * config.expansion_factor, 6)).drop("doc_similarity")
 
 
+def _sided(words: Column, side: str) -> Column:
+    return F.transform(words, lambda w: F.struct(F.lit(side).alias("side"), w.alias("needle")))
+
+
 def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keyword_results, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
     """Chunks by weighted hits of phrases, keywords and title words: the best k, with rank."""
     words = text.search_keywords(F.col("query"))
@@ -233,11 +237,18 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
             "query_id", F.lit(i).alias("kind"), "pos", "needle", F.lit(rows).alias("rows"), F.lit(weight).alias("weight"), F.lit(where).alias("side")
         )
         needles = part if needles is None else needles.unionByName(part)
-    hits, words = None, words_of(needles)
-    for side, column in (("text", "chunk_text"), ("title", "document_title")):
-        slim = chunks.select("document_id", "chunk_index", column)
-        part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), words, bounded).drop(column, "needle")
-        hits = part if hits is None else hits.unionByName(part)
+    words, sides = words_of(needles), (("text", "chunk_text"), ("title", "document_title"))
+    if words is None:
+        hits = None
+        for side, column in sides:
+            slim = chunks.select("document_id", "chunk_index", column)
+            part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), None, bounded).drop(column, "needle")
+            hits = part if hits is None else hits.unionByName(part)
+    else:
+        # Texts and titles in one pass over the chunks.
+        found = F.concat(*[_sided(found_words([F.col(column)], words), side) for side, column in sides])
+        found = chunks.select("document_id", "chunk_index", F.explode(found).alias("f")).select("document_id", "chunk_index", "f.*")
+        hits = found.join(small_side(needles, bounded), ["side", "needle"]).drop("side", "needle")
     # Without an order of their own, the rows of a needle are the first by document and place.
     most = max(rows for _, _, rows, _, _ in kinds)
     kept = _top(hits, [F.col("document_id"), F.col("chunk_index")], most, "query_id", "kind", "pos").filter("rank <= rows")

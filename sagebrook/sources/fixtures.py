@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,9 +21,13 @@ class Tables:
 
     spark: SparkSession
     sf_dir: str
+    _read: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table, whose files are listed once however often it is asked for."""
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def _named(self) -> DataFrame:
         parts = [
