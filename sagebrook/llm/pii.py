@@ -192,3 +192,59 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.col("pii")).alias("spans"),
     )
+
+
+def op7_sql() -> str:
+    """The same for DuckDB, whose patterns look neither ahead nor behind: where a kind must
+    stand free of its neighbours, runs of their characters are put between two marks first."""
+    free = "chr(1) || '\\1' || chr(2)"
+    # (pattern, characters of the runs between marks, whether a match is confirmed)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", None, "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", None, "list_bool_and([coalesce(try_cast(p AS INTEGER) <= 255, false) for p in string_split(m, '.')])"),
+        "card": (
+            r"[0-9](?:[ -]?[0-9])+",
+            None,
+            """length(d) BETWEEN 14 AND 19 AND list_sum([CASE WHEN i % 2 = 0 THEN substr(d, length(d) - i, 1)::INTEGER
+            ELSE substr('0246813579', substr(d, length(d) - i, 1)::INTEGER + 1, 1)::INTEGER END for i in range(length(d))]) % 10 = 0""",
+        ),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", None, "length(d) BETWEEN 10 AND 15"),
+        "iban": (
+            r"\x01[A-Z]{2}[0-9]{2}(?:(?:\x02 \x01)?[A-Z0-9]{4}){2,7}(?:(?:\x02 \x01)?[A-Z0-9]{1,3})?\x02",
+            "A-Za-z0-9",
+            f"""length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_sum([substr(v, length(v) - i, 1)::INTEGER * {[pow(10, k, 97) for k in range(2 * 34)]}[i + 1]
+            for i in range(length(v))]) % 97 = 1""",
+        ),
+        "ssn": (
+            r"\x01[0-9]{3}-[0-9]{2}-[0-9]{4}\x02",
+            "0-9-",
+            f"""NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, '{CONTEXT["ssn"]}')""",
+        ),
+    }
+    parts, confirmed = [], []
+    for rank, (kind, (pattern, run, ok)) in enumerate(kinds.items()):
+        text = f"regexp_replace(t, '([{run}]+)', {free}, 'g')" if run else "t"
+        parts.append(f"SELECT r, {rank} AS rank, regexp_extract_all({text}, '{pattern}') AS ms, string_split_regex({text}, '{pattern}') AS gs FROM docs")
+        confirmed.append(f"WHEN {rank} THEN {ok}")
+    bare = "translate({}, chr(1) || chr(2), '')"
+    capital, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    many = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{kind}" for i, kind in enumerate(KINDS[:BASE]))
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), '..') AS t FROM documents),
+        cut AS ({" UNION ALL ".join(parts)}),
+        one AS (SELECT r, rank, i, {bare.format("ms[i]")} AS m, {bare.format("gs[i]")} AS g, {bare.format("gs[i + 1]")} AS after
+            FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM cut WHERE len(ms) > 0)),
+        placed AS (SELECT r, rank, m, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i)::BIGINT AS stop,
+            regexp_replace(m, '[^0-9]', '', 'g') AS d,
+            translate(right(g, {CONTEXT_CHARS}) || ' ' || left(after, {CONTEXT_CHARS}), '{capital}', '{small}') AS near,
+            CASE WHEN rank = {KINDS.index("iban")} THEN array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END
+                for c in string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), '')], '') END AS v
+            FROM one),
+        spans AS (SELECT r, rank, stop - length(m) AS start, {list(KINDS)}[rank + 1] || ':' || (stop - length(m)) || ':' || stop AS s
+            FROM placed WHERE CASE rank {" ".join(confirmed)} END),
+        joined AS (SELECT r, {many}, count(*) AS n_spans,
+            string_agg(s, ',' ORDER BY start, rank) FILTER (rank < {BASE}) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans
+            FROM spans GROUP BY r)
+        SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS[:BASE])}, coalesce(n_spans, 0) AS n_spans,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN joined USING (r)"""

@@ -25,6 +25,7 @@ def oracles() -> dict[str, str]:
         "op2_minhash": minhash.op2_sql(),
         "op3_vectors": vectors.op3_sql(),
         "op5_warc": warc.op5_sql(),
+        "op7_pii": pii.op7_sql(),
         "op8_suffixes": suffixes.op8_sql(),
         "op10_sharding": sharding.op10_sql(),
     }

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sagebrook.llm import chunks, minhash, quality, queries
+from sagebrook.llm import chunks, minhash, pii, quality, queries
 
 from ..conftest import compare
 from . import helpers
@@ -133,3 +133,21 @@ def test_rows_without_ids_are_near_copies_too(spark, sf_dir):
     left = [corpus_pipeline.one_of_each(spark, d, sf_dir).collect() for d in (df, df.orderBy("text").repartition(3))]
     assert Counter(left[0]) == Counter(left[1])
     assert Counter(r["doc_id"] for r in left[0]) == {None: 3, 7: 1, 9: 1}
+
+
+def test_personal_data_in_sql(rows):
+    """The SQL is itself right on awkward rows: marks, separators and neighbours of runs."""
+    import duckdb
+
+    more = ["123-45-6789" + "é" * 38 + "tax 123-45-6780-1", "SSN 123-45-6789, 123-45-6788 tax 000-12-3456 social 12-123-45-6789"]
+    more += ["\U0001f600 GB82 WEST 1234 5698 7654 32 xDE89370400440532013000 \x01DE89370400440532013000\x02", "4111  1111 4111111111111111 4111-1111 1111-1111"]
+    docs = [r[:2] for r in rows] + list(enumerate(more, 200))
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    got = connection.execute(f"SELECT doc_id, n_spans, base_sha256, spans FROM ({pii.op7_sql()})").fetchall()
+    want = []
+    for d, text in docs:
+        every = helpers.more_personal(text)
+        want.append((d, len(every), hashlib.sha256(helpers.joined(helpers.personal(text)).encode()).hexdigest(), helpers.joined(every)))
+    assert sorted(map(str, got)) == sorted(map(str, want))
