@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..sources.stored import materialize
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = CONFIG.max_hops, state: str | None = "TRUSTED") -> DataFrame:
     """(seed, entity_id, hop): what is reached from each seed (entity_id) over edges in either
     direction, at the least number of hops.
 
-    A hop is one join of the frontier with the edges; entities already reached leave it.
+    A hop is one join of the frontier with the edges; entities already reached leave it.  Each
+    frontier but the last is written as a table, so the plan grows by one join a hop, and a
+    small one is sent to the edges without a shuffle of them.
     """
     used = edges if state is None else edges.filter(F.col("lifecycle_state") == state)
     one = used.select(F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("next"))
-    both = one.unionByName(one.select(F.col("next").alias("entity_id"), F.col("entity_id").alias("next"))).distinct()
+    both = one.unionByName(one.select(F.col("next").alias("entity_id"), F.col("entity_id").alias("next")))
     reached = seeds.select(F.col("entity_id").alias("seed"), "entity_id", F.lit(0).alias("hop")).distinct()
     frontier = reached
     for hop in range(1, hops + 1):
         step = frontier.select("seed", "entity_id").join(both, "entity_id").select("seed", F.col("next").alias("entity_id")).distinct()
         frontier = step.join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("hop", F.lit(hop))
+        if hop < hops:
+            frontier = materialize(frontier, "frontier")
         reached = reached.unionByName(frontier)
     return reached

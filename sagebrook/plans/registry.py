@@ -13,6 +13,7 @@ from ..operators import folds, graph, lifecycle, listing, memory, resolution, re
 from ..operators import rules as rules_
 from ..sources import sinks
 from ..sources.fixtures import AS_OF, Tables
+from ..sources.stored import materialize
 from . import oracles as oracles_
 from . import pipeline
 from .questions import QUESTIONS
@@ -503,6 +504,13 @@ def maintenance(t):
     return pipeline.maintenance(t.entities, t.rules, memory.upsert(t.memory_writes), as_of())
 
 
+def _settled(result: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """A result of few rows, written as a table so that what it was made from can be released."""
+    out = materialize(result, "result")
+    pipeline.release(parts)
+    return out
+
+
 @_query
 def ingest_documents(t):
     docs = t.raw("documents").select(
@@ -510,12 +518,12 @@ def ingest_documents(t):
         F.concat(F.lit("The AlphaTeam owns the PayService. PayService uses the LedgerDB. PayService depends on the LedgerDB. "), "text").alias("text"),
     )
     out = pipeline.ingest(docs, t.entities, t.edges, as_of())
-    return out["entities"].groupBy("entity_type", "lifecycle_state").agg(F.count(F.lit(1)).alias("n"))
+    return _settled(out["entities"].groupBy("entity_type", "lifecycle_state").agg(F.count(F.lit(1)).alias("n")), out)
 
 
 def _bundle(t: Tables) -> DataFrame:
     parts = pipeline.context(asked(t), t.entities, t.edges, t.chunks, t.rules, t.sessions)
-    return pipeline.bundle(asked(t), parts)
+    return _settled(pipeline.bundle(asked(t), parts), parts)
 
 
 @_query
@@ -527,7 +535,7 @@ def context_bundle(t):
 def fallback_answers(t):
     parts = pipeline.context(asked(t), t.entities, t.edges, t.chunks, t.rules, t.sessions)
     out = pipeline.answers(pipeline.prompts(asked(t), parts, t.chunks))
-    return out.select("query_id", "answer", "confidence", "confidence_level")
+    return _settled(out.select("query_id", "answer", "confidence", "confidence_level"), parts)
 
 
 def queries() -> dict[str, Query]:

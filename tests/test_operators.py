@@ -233,6 +233,18 @@ def test_k_hop(spark, edges):
     chain = spark.createDataFrame([(str(i), str(i), str(i + 1), "X", 0.5, "TRUSTED") for i in range(4)], R)
     seeds = spark.createDataFrame([("1",)], "entity_id string")
     assert {(r["entity_id"], r["hop"]) for r in graph.k_hop(chain, seeds, 2).collect()} == {("1", 0), ("0", 1), ("2", 1), ("3", 2)}
+    # Repeated edges and edges in both directions count once; farther hops take the least number.
+    ring = chain.unionByName(chain).unionByName(spark.createDataFrame([("r", "2", "1", "X", 0.5, "TRUSTED")], R))
+    far = graph.k_hop(ring, seeds, 4).collect()
+    assert sorted((r["entity_id"], r["hop"]) for r in far) == [("0", 1), ("1", 0), ("2", 1), ("3", 2), ("4", 3)]
+
+
+def test_kept_tables_are_released(spark, sf_dir):
+    from sagebrook.plans import registry
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert registry.queries()["fallback_answers"](spark, sf_dir).count() > 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
 CASES = [
