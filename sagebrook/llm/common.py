@@ -2,44 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import discard, materialize, shared_dir  # noqa: F401
+
 #: Upper bounds of one Arrow batch handed to a Python worker.
 ARROW_RECORDS = 1000
 ARROW_BYTES = 4 << 20
 
-#: The folder used where the session names none.
-_own: list[str] = []
-
 #: Stands for a missing doc_id inside join keys.
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
-
-    Only where that is unset and Spark runs on one machine (tests) a local folder is chosen;
-    on a cluster a missing setting is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="sagebrook-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        at = "file://" + _own[0]
-    return at.rstrip("/")
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Bound what one batch sent to a Python worker holds, whatever the length of texts."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
@@ -48,30 +26,6 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage and
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` made and that nothing still to be read rests on."""
-    for df in tables:
-        path = getattr(df, "_stored_at", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
