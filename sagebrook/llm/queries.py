@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
+from . import chunks, decontaminate, merkle, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffixes": suffixes.op8,
     "op9_quality": quality.op9,
     "op10_sharding": sharding.op10,
+    "op11_merkle": merkle.op11,
 }
 
 
@@ -28,4 +29,5 @@ def oracles() -> dict[str, str]:
         "op7_pii": pii.op7_sql(),
         "op8_suffixes": suffixes.op8_sql(),
         "op10_sharding": sharding.op10_sql(),
+        "op11_merkle": merkle.op11_sql(),
     }
