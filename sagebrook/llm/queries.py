@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, merkle, minhash, mixing, pii, quality, sharding, suffixes, vectors, warc
+from . import chunks, decontaminate, merkle, minhash, mixing, packing, pii, quality, resampling, sharding, suffixes, vectors, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9,
     "op10_sharding": sharding.op10,
     "op11_merkle": merkle.op11,
+    "op12_packing": packing.op12,
+    "op13_resampling": resampling.op13,
 }
 
 
@@ -30,4 +32,5 @@ def oracles() -> dict[str, str]:
         "op8_suffixes": suffixes.op8_sql(),
         "op10_sharding": sharding.op10_sql(),
         "op11_merkle": merkle.op11_sql(),
+        "op13_resampling": resampling.op13_sql(),
     }
