@@ -22,9 +22,8 @@ from .common import batched, discard, materialize, narrow, table
 from .crc import crc32_sql
 
 ARITY = 16
-#: Levels of a block.
+#: Levels of a block, which so has up to 4096 leaves.
 DEPTH = 3
-BLOCK = ARITY**DEPTH
 #: The fields of a document that its leaf covers, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows of one batch of proofs: some 5 KB each.
@@ -166,76 +165,84 @@ def _numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return ranged.join(narrow(parts), same).withColumn("pos", F.col("at") + F.col("shift")).drop("at", "tree_", "task_", "shift")
 
 
-def _blocks(nodes: DataFrame, items: Sequence[str], name: str) -> DataFrame:
+def _blocks(nodes: DataFrame, items: Sequence[str], depth: int, name: str) -> DataFrame:
     """The stored blocks (tree, block, height, nodes) of (tree, pos, height, digest, *items): at
-    most BLOCK nodes in a row, in order."""
+    most 16**depth nodes in a row, in order."""
     one = F.struct("pos", "digest", *items)
-    rows = nodes.groupBy("tree", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), "height").agg(
+    rows = nodes.groupBy("tree", F.expr(f"pos div {ARITY**depth}").alias("block"), "height").agg(
         F.array_sort(F.collect_list(one)).alias("nodes")
     )
     return materialize(rows, name)
 
 
-def _root(batch: pa.RecordBatch) -> pa.RecordBatch:
-    levels = [min(DEPTH, h) for h in batch.column(2).to_pylist()]
-    roots = [block_root(d, k) for d, k in zip(batch.column(3).to_pylist(), levels)]
-    left = [h - k for h, k in zip(batch.column(2).to_pylist(), levels)]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(left, pa.int32()), pa.array(roots, pa.string())],
-        names=["tree", "pos", "height", "digest"],
-    )
+def _root(depth: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        heights = batch.column(2).to_pylist()
+        levels = [min(depth, h) for h in heights]
+        roots = [block_root(d, k) for d, k in zip(batch.column(3).to_pylist(), levels)]
+        left = [h - k for h, k in zip(heights, levels)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(left, pa.int32()), pa.array(roots, pa.string())],
+            names=["tree", "pos", "height", "digest"],
+        )
+
+    return run
 
 
-def _climb(blocks: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
+def _climb(blocks: DataFrame, depth: int, name: str) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of all rounds, from the leaves up, and (tree, digest, round) of every tree's root."""
     rounds, done = [blocks], None
     while True:
         given = rounds[-1].select("tree", "block", "height", F.transform("nodes", lambda n: n["digest"]).alias("digests"))
-        ups = materialize(batched(given, _root, "tree string, pos long, height int, digest string"), f"{name}-roots")
+        ups = materialize(batched(given, _root(depth), "tree string, pos long, height int, digest string"), f"{name}-roots")
         ready = ups.filter("height = 0").select("tree", "digest", F.lit(len(rounds) - 1).alias("round"))
         done = ready if done is None else done.unionByName(ready)
         above = ups.filter("height > 0")
         if above.isEmpty():
             return rounds, done
-        rounds.append(_blocks(above, [], f"{name}-blocks"))
+        rounds.append(_blocks(above, [], depth, f"{name}-blocks"))
 
 
-def _walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _walk(depth: int):
     """One row a node of each block: its fields and its path, with the path above the block."""
-    step = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
-    trees, heights = batch.column(0), batch.column(1).to_pylist()
-    for row in range(batch.num_rows):
-        nodes = batch.column(2)[row].values
-        fields = dict(zip([nodes.type.field(i).name for i in range(nodes.type.num_fields)], nodes.flatten()))
-        above = [(p["left"], p["right"]) for p in batch.column(3)[row].as_py() or ()]
-        paths = traverse(fields["digest"].to_pylist(), min(DEPTH, heights[row]))
-        for at in range(0, len(nodes), PROOFS):
-            size = min(PROOFS, len(nodes) - at)
-            flat, ends = [], [0]
-            for _, path in zip(range(size), paths):
-                flat += path
-                flat += above
-                ends.append(len(flat))
-            steps = pa.StructArray.from_arrays(
-                [pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.string())], names=["left", "right"]
-            )
-            tree = pa.array([trees[row].as_py()] * size, pa.string())
-            arrays = [tree, *(v.slice(at, size) for v in fields.values())]
-            path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps).cast(step)
-            yield pa.RecordBatch.from_arrays([*arrays, path], names=["tree", *fields, "path"])
-
 
-def _paths(blocks: DataFrame, above: DataFrame) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
+        trees, heights = batch.column(0), batch.column(1).to_pylist()
+        for row in range(batch.num_rows):
+            nodes = batch.column(2)[row].values
+            fields = dict(zip([nodes.type.field(i).name for i in range(nodes.type.num_fields)], nodes.flatten()))
+            above = [(p["left"], p["right"]) for p in batch.column(3)[row].as_py() or ()]
+            paths = traverse(fields["digest"].to_pylist(), min(depth, heights[row]))
+            for at in range(0, len(nodes), PROOFS):
+                size = min(PROOFS, len(nodes) - at)
+                flat, ends = [], [0]
+                for _, path in zip(range(size), paths):
+                    flat += path
+                    flat += above
+                    ends.append(len(flat))
+                steps = pa.StructArray.from_arrays(
+                    [pa.array([p[0] for p in flat], pa.string()), pa.array([p[1] for p in flat], pa.string())], names=["left", "right"]
+                )
+                tree = pa.array([trees[row].as_py()] * size, pa.string())
+                arrays = [tree, *(v.slice(at, size) for v in fields.values())]
+                path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps).cast(step)
+                yield pa.RecordBatch.from_arrays([*arrays, path], names=["tree", *fields, "path"])
+
+    return run
+
+
+def _paths(blocks: DataFrame, above: DataFrame, depth: int) -> DataFrame:
     """(tree, pos, digest, *items, path) of every node of ``blocks``; ``above``: (tree_, block_,
     above), the path of each block's root."""
     same = F.col("tree").eqNullSafe(F.col("tree_")) & (F.col("block") == F.col("block_"))
     given = blocks.join(above, same).select("tree", "height", "nodes", "above")
     item = blocks.schema["nodes"].dataType.elementType
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in item.fields)
-    return batched(given, _walk, f"tree string, {fields}, path {_STEP}")
+    return batched(given, _walk(depth), f"tree string, {fields}, path {_STEP}")
 
 
-def _descend(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
+def _descend(rounds: list[DataFrame], tops: DataFrame, depth: int) -> DataFrame:
     """The paths of the nodes of the first round; ``tops``: (tree, round, path), the path above
     every tree's root and the round at which the tree has one node left."""
     found = None
@@ -243,7 +250,7 @@ def _descend(rounds: list[DataFrame], tops: DataFrame) -> DataFrame:
         above = tops.filter(F.col("round") == i).select(F.col("tree").alias("tree_"), F.lit(0).cast("long").alias("block_"), F.col("path").alias("above"))
         if found is not None:
             above = above.unionByName(found.select(F.col("tree").alias("tree_"), F.col("pos").alias("block_"), F.col("path").alias("above")))
-        found = _paths(rounds[i], above)
+        found = _paths(rounds[i], above, depth)
     return found
 
 
@@ -258,6 +265,7 @@ class Manifest:
     source_roots: DataFrame
     #: The name of every carried column, by its name in the blocks.
     carried: dict[str, str]
+    depth: int
 
     def root(self) -> DataFrame:
         """(root): one row, none for an empty data set."""
@@ -267,18 +275,18 @@ class Manifest:
         """(tree, pos, digest, *carried, path, subroot, root): every leaf with its siblings up to
         the root."""
         none = F.array().cast(_STEP)
-        sources = _descend(self.source_rounds, self.source_roots.select("tree", "round", none.alias("path")))
+        sources = _descend(self.source_rounds, self.source_roots.select("tree", "round", none.alias("path")), self.depth)
         sources = sources.select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path").crossJoin(F.broadcast(self.root()))
         sources = materialize(sources, "merkle-sources")
         known = sources.select(F.col("tree").alias("tree_"), "subroot", "root")
         tops = self.subroots.join(
             narrow(sources.select(F.col("tree").alias("tree_"), "path")), F.col("tree").eqNullSafe(F.col("tree_"))
         ).select("tree", "round", "path")
-        leaves = _descend(self.rounds, tops)
+        leaves = _descend(self.rounds, tops, self.depth)
         return leaves.join(narrow(known), F.col("tree").eqNullSafe(F.col("tree_"))).drop("tree_").withColumnsRenamed(self.carried)
 
 
-def manifest(leaves: DataFrame, tree: str = "source", order: Sequence[str] = ("doc_id",), leaf: str = "leaf", name: str = "merkle") -> Manifest:
+def manifest(leaves: DataFrame, tree: str = "source", order: Sequence[str] = ("doc_id",), leaf: str = "leaf", depth: int = DEPTH, name: str = "merkle") -> Manifest:
     """The trees over ``leaves``: one for each value of ``tree``, its leaves in ``order``.
 
     A null ``tree`` is a tree of its own, first among the others; equal orders are settled by the
@@ -299,16 +307,17 @@ def manifest(leaves: DataFrame, tree: str = "source", order: Sequence[str] = ("d
     powers = F.array(*[F.lit(ARITY**k) for k in range(16)])
     levels = F.size(F.filter(powers, lambda p: p < F.col("size"))).alias("height")
     ranked = ranked.select("*", levels)
-    blocks = _blocks(ranked, list(plain.values()), f"{name}-blocks")
-    rounds, subroots = _climb(blocks, name)
+    blocks = _blocks(ranked, list(plain.values()), depth, f"{name}-blocks")
+    rounds, subroots = _climb(blocks, depth, name)
     subroots = materialize(subroots, f"{name}-subroots")
 
     tops = subroots.select(F.lit("").alias("tree"), "digest", F.col("tree").alias("name"))
     tops = _numbered(tops, ["name"], f"{name}-sources")
     n = tops.count()
-    source_rounds, source_roots = _climb(_blocks(tops.withColumn("height", F.lit(height(n))), ["name"], f"{name}-sources-blocks"), f"{name}-sources")
+    tops = _blocks(tops.withColumn("height", F.lit(height(n))), ["name"], depth, f"{name}-sources-blocks")
+    source_rounds, source_roots = _climb(tops, depth, f"{name}-sources")
     discard(rows)
-    return Manifest(subroots, rounds, source_rounds, source_roots, {v: k for k, v in plain.items()})
+    return Manifest(subroots, rounds, source_rounds, source_roots, {v: k for k, v in plain.items()}, depth)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
