@@ -1,7 +1,8 @@
 """Confidence under a sequence of changes: an ordered, clamped fold per entity.
 
 Clamping makes the order matter, and a decrease below the threshold archives a trusted entity
-for good, so the changes of an entity are folded one by one in order.
+for good.  A run of changes still is one small function of the confidence before it, and functions
+compose in any grouping: so changes are folded in a tree, in whole numbers, without rounding.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
+from ..sources.stored import materialize
 
 
 def feedback_delta(judgment: Column, config: Config = CONFIG) -> Column:
@@ -20,71 +22,94 @@ def feedback_delta(judgment: Column, config: Config = CONFIG) -> Column:
     return out
 
 
-#: Changes of one entity that are folded in one row; those of more go through ordered blocks.
-FOLD_ROWS = 100_000
+#: Confidences and changes are whole numbers of this fraction while they are folded, so that sums
+#: have no rounding and any grouping of the changes gives the same.
+UNIT = 1_000_000
+#: Changes, or functions, that one row composes.
+BLOCK = 1024
+_FAR = 2**62
 
 
-def _blocks(changes: DataFrame, below: float) -> DataFrame:
-    """(entity_id, blocks, n): the changes of each entity as ordered blocks.
+def units(value: Column) -> Column:
+    """A confidence or a change in millionths."""
+    return F.round(value * UNIT).cast("long")
 
-    Rows are dealt by ranges of (entity_id, seq), so one entity is spread over as many blocks as
-    it has rows for.  Each block's clamped steps become one function of the confidence before
-    it, least(hi, greatest(lo, c + shift)), and the bound under which that confidence passes
-    below ``below`` at some decrease.
+
+def change(delta: Column, config: Config = CONFIG) -> Column:
+    """What a change in millionths does to the confidence c before it, as a function
+
+        least(hi, greatest(lo, c + shift)), and below the threshold at a decrease where c < drop.
     """
-    ranged = changes.repartitionByRange("entity_id", "seq").withColumn("__block", F.spark_partition_id())
-    lists = ranged.groupBy("entity_id", "__block").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    inf = float("inf")
-    start = F.struct(F.lit(-inf).alias("lo"), F.lit(inf).alias("hi"), F.lit(0.0).alias("shift"), F.lit(-inf).alias("drop"))
+    up = delta >= 0
+    return F.struct(
+        F.when(up, F.lit(-_FAR)).otherwise(F.lit(0)).cast("long").alias("lo"),
+        F.when(up, F.lit(UNIT)).otherwise(F.lit(_FAR)).cast("long").alias("hi"),
+        delta.alias("shift"),
+        F.when(up, F.lit(-_FAR)).otherwise(F.lit(round(config.archive_below * UNIT)) - delta).cast("long").alias("drop"),
+    )
+
+
+def then(f: Column, g: Column) -> Column:
+    """First ``f``, then ``g``, as one function of the same form."""
 
-    def step(a: Column, s: Column) -> Column:
-        d = s["delta"]
-        lo, hi, shift = a["lo"] + d, a["hi"] + d, a["shift"] + d
-        lo = F.when(d >= 0, F.least(lo, F.lit(1.0))).otherwise(F.greatest(lo, F.lit(0.0)))
-        hi = F.when(d >= 0, F.least(hi, F.lit(1.0))).otherwise(F.greatest(hi, F.lit(0.0)))
-        under = F.when(hi < below, F.lit(inf)).when(lo < below, F.lit(below) - shift).otherwise(F.lit(-inf))
-        drop = F.when(d < 0, F.greatest(a["drop"], under)).otherwise(a["drop"])
-        return F.struct(lo.alias("lo"), hi.alias("hi"), shift.alias("shift"), drop.alias("drop"))
+    def clamped(x: Column) -> Column:
+        return F.least(g["hi"], F.greatest(g["lo"], x + g["shift"]))
 
-    composed = lists.select("entity_id", "__block", F.aggregate("steps", start, step).alias("f"), F.size("steps").alias("n"))
-    return composed.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("__block", "f"))).alias("blocks"), F.sum("n").cast("int").alias("n"))
+    # Where f's outcome is under g's threshold: always, from some confidence down, or never.
+    under = F.when(f["hi"] < g["drop"], F.lit(_FAR)).when(f["lo"] < g["drop"], g["drop"] - f["shift"]).otherwise(F.lit(-_FAR))
+    return F.struct(
+        clamped(f["lo"]).alias("lo"), clamped(f["hi"]).alias("hi"), (f["shift"] + g["shift"]).alias("shift"),
+        F.greatest(f["drop"], under).cast("long").alias("drop"),
+    )
 
 
-def fold(entities: DataFrame, changes: DataFrame, config: Config = CONFIG, most: int = FOLD_ROWS) -> DataFrame:
+def _composed(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """One row (entity_id, ..., at, n, f) of each group of functions ``f``, in the order of ``at``."""
+    parts = F.array_sort(F.collect_list(F.struct("at", "n", "f"))).alias("parts")
+    grouped = rows.groupBy("entity_id", *by).agg(parts)
+    kept = [c for c in grouped.columns if c != "parts"]
+    first = F.element_at("parts", 1)
+    rest = F.slice("parts", 2, F.size("parts"))
+    f = F.aggregate(rest, first["f"], lambda a, p: then(a, p["f"]))
+    n = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    return grouped.select(*kept, first["at"].alias("at"), n.alias("n"), f.alias("f"))
+
+
+def composed(changes: DataFrame, config: Config = CONFIG, block: int = BLOCK) -> DataFrame:
+    """(entity_id, n, f): the changes (entity_id, seq, delta) of each entity, in the order of seq,
+    as one function and their number.
+
+    Changes are range-sorted by entity and order, so an entity is spread over as many tasks as it
+    has rows for, and composed in a tree: blocks of rows that follow each other, then blocks of
+    blocks, until an entity has few enough for one row.
+    """
+    keys = ["entity_id", "seq", "delta"]
+    ranged = changes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    rows = ranged.select("entity_id", "at", F.lit(1).cast("long").alias("n"), change(F.col("delta"), config).alias("f"))
+    width = block
+    rows = materialize(_composed(rows, F.expr(f"at div {width}").alias("block")).drop("block"), "fold")
+    while (rows.groupBy("entity_id").count().agg(F.max("count")).first()[0] or 0) > block:
+        width *= block
+        rows = materialize(_composed(rows, F.expr(f"at div {width}").alias("block")).drop("block"), "fold")
+    return _composed(rows).drop("at")
+
+
+def fold(entities: DataFrame, changes: DataFrame, config: Config = CONFIG, block: int = BLOCK) -> DataFrame:
     """Entities after ``changes`` (entity_id, seq, delta), in the order of seq.
 
-    Adds ``n_changes``.  Changes of unknown entities, and null deltas, have no effect.  An entity
-    with more than ``most`` changes is folded block by block, which gives the same but for the
-    rounding of sums.
+    Adds ``n_changes``.  Changes of unknown entities, and null deltas, have no effect; an entity
+    without a confidence stays so.  A confidence that changes is a whole number of millionths.
     """
-    changes = changes.filter("delta is not null and entity_id is not null").select("entity_id", "seq", "delta")
-    hot = changes.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("entity_id")
-    usual = changes.join(hot, "entity_id", "left_anti")
-    steps = usual.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
-    blocks = _blocks(changes.join(hot, "entity_id", "left_semi"), config.archive_below)
-    joined = entities.join(steps, "entity_id", "left").join(blocks, "entity_id", "left")
-    start = F.struct(F.col("confidence").alias("c"), F.col("lifecycle_state").alias("state"))
-
-    def after(a: Column, c: Column, drop: Column) -> Column:
-        return F.struct(c.alias("c"), F.when(drop & (a["state"] == "TRUSTED"), F.lit("ARCHIVED")).otherwise(a["state"]).alias("state"))
-
-    def step(a: Column, s: Column) -> Column:
-        c = F.when(s["delta"] >= 0, F.least(a["c"] + s["delta"], F.lit(1.0))).otherwise(F.greatest(a["c"] + s["delta"], F.lit(0.0)))
-        return after(a, c, (s["delta"] < 0) & (c < config.archive_below))
-
-    def block(a: Column, b: Column) -> Column:
-        f = b["f"]
-        return after(a, F.least(f["hi"], F.greatest(f["lo"], a["c"] + f["shift"])), a["c"] < f["drop"])
-
-    end = F.when(F.col("steps").isNotNull(), F.aggregate("steps", start, step)).when(F.col("blocks").isNotNull(), F.aggregate("blocks", start, block))
-    folded = joined.withColumn("__end", F.coalesce(end, start))
-    return folded.select(
-        *[
-            F.col("__end.c").alias("confidence") if c == "confidence" else F.col("__end.state").alias("lifecycle_state") if c == "lifecycle_state" else F.col(c)
-            for c in entities.columns
-        ],
-        F.coalesce(F.size("steps"), "n", F.lit(0)).alias("n_changes"),
-    )
+    changes = changes.filter("delta is not null and entity_id is not null").select("entity_id", "seq", units(F.col("delta")).alias("delta"))
+    joined = entities.join(composed(changes, config, block), "entity_id", "left")
+    f, before = F.col("f"), units(F.col("confidence"))
+    after = F.least(f["hi"], F.greatest(f["lo"], before + f["shift"])) / F.lit(float(UNIT))
+    dropped = (before < f["drop"]) & (F.col("lifecycle_state") == "TRUSTED")
+    new = {
+        "confidence": F.when(f.isNotNull() & F.col("confidence").isNotNull(), after).otherwise(F.col("confidence")),
+        "lifecycle_state": F.when(dropped, F.lit("ARCHIVED")).otherwise(F.col("lifecycle_state")),
+    }
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in entities.columns], F.coalesce("n", F.lit(0)).cast("int").alias("n_changes"))
 
 
 def feedback(entities: DataFrame, records: DataFrame, config: Config = CONFIG) -> DataFrame:

@@ -244,17 +244,17 @@ cross_m AS (
 
 
 def _fold(changes: str) -> str:
-    """An ordered fold by recursion: one change of every entity a step."""
+    """An ordered fold by recursion: one change of every entity a step, in whole millionths."""
     return f"""
 {changes},
-steps AS (SELECT entity_id, delta, row_number() OVER (PARTITION BY entity_id ORDER BY s1, s2) AS i FROM chg WHERE delta IS NOT NULL),
+steps AS (SELECT entity_id, CAST(round(delta * 1000000) AS BIGINT) AS delta, row_number() OVER (PARTITION BY entity_id ORDER BY s1, s2) AS i FROM chg WHERE delta IS NOT NULL),
 fold AS (
-  SELECT entity_id, confidence AS c, lifecycle_state AS s, CAST(0 AS BIGINT) AS i FROM ent WHERE entity_id IN (SELECT entity_id FROM steps)
+  SELECT entity_id, CAST(round(confidence * 1000000) AS BIGINT) AS c, lifecycle_state AS s, CAST(0 AS BIGINT) AS i FROM ent WHERE entity_id IN (SELECT entity_id FROM steps)
   UNION ALL
-  SELECT f.entity_id, CASE WHEN delta >= 0 THEN least(c + delta, 1.0) ELSE greatest(c + delta, 0.0) END,
-         CASE WHEN delta < 0 AND greatest(c + delta, 0.0) < 0.40 AND s = 'TRUSTED' THEN 'ARCHIVED' ELSE s END, f.i + 1
+  SELECT f.entity_id, CASE WHEN delta >= 0 THEN least(c + delta, 1000000) ELSE greatest(c + delta, 0) END,
+         CASE WHEN delta < 0 AND greatest(c + delta, 0) < 400000 AND s = 'TRUSTED' THEN 'ARCHIVED' ELSE s END, f.i + 1
   FROM fold f JOIN steps t ON f.entity_id = t.entity_id AND t.i = f.i + 1),
-folded AS (SELECT entity_id, c, s, CAST(i AS INTEGER) AS n_changes FROM fold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY i DESC) = 1)"""
+folded AS (SELECT entity_id, c / 1000000 AS c, s, CAST(i AS INTEGER) AS n_changes FROM fold QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY i DESC) = 1)"""
 
 
 def _with(*parts: str, recursive: bool = False) -> str:

@@ -94,16 +94,39 @@ def test_fold_stays_within_bounds(spark, deltas):
     assert 0.0 <= folds.fold(one, changes).first()["confidence"] <= 1.0
 
 
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.sampled_from([-0.5, -0.25, -0.125, 0.0, 0.125, 0.5]), min_size=1, max_size=40))
-def test_blocks_of_changes_fold_alike(spark, deltas):
-    rows = [(str(i), state, c) for i, (state, c) in enumerate([("TRUSTED", 0.5), ("STAGING", 0.75), ("TRUSTED", 1.0), ("TRUSTED", 0.0625)])]
+def plain_fold(c, state, deltas):
+    """One change after the other, in hundredths."""
+    c = round(c * 100)
+    for d in (round(d * 100) for d in deltas):
+        c = min(c + d, 100) if d >= 0 else max(c + d, 0)
+        state = "ARCHIVED" if d < 0 and c < 40 and state == "TRUSTED" else state
+    return c / 100, state, len(deltas)
+
+
+def histories(n, longest, seed=4):
+    """Short histories with the deltas in use, many of them around the threshold."""
+    rng = np.random.default_rng(seed)
+    rows = [(str(i), ("TRUSTED", "STAGING")[i % 7 == 0], int(rng.integers(0, 101)) / 100) for i in range(n)]
+    return rows, {e: rng.choice([0.03, -0.05, -0.02, 0.0, 0.01], size=rng.integers(0, longest)).tolist() for e, _, _ in rows}
+
+
+@pytest.mark.parametrize("block", [2, 3, 1024])
+def test_any_grouping_of_changes_folds_alike(spark, block):
+    rows, deltas = histories(400, 40)
+    rows.append(("hot", "TRUSTED", 0.46))
+    deltas["hot"] = np.random.default_rng(8).choice([0.03, -0.05, -0.02], size=3000).tolist()
     some = spark.createDataFrame(rows, "entity_id string, lifecycle_state string, confidence double")
-    changes = [(e, i, d) for e, _, _ in rows for i, d in enumerate(deltas)] + [("0", 99, None), (None, 1, 0.5)]
-    changes = spark.createDataFrame(changes, "entity_id string, seq int, delta double")
-    whole, blocks = (sorted(map(tuple, folds.fold(some, changes, most=most).collect())) for most in (1000, 0))
-    assert whole == blocks
-    assert {r[3] for r in whole} == {len(deltas)}
+    changes = [(e, i, d) for e in deltas for i, d in enumerate(deltas[e])] + [("0", 99, None), (None, 1, 0.5)]
+    changes = spark.createDataFrame(changes, "entity_id string, seq int, delta double").repartition(3)
+    got = {r["entity_id"]: (r["confidence"], r["lifecycle_state"], r["n_changes"]) for r in folds.fold(some, changes, block=block).collect()}
+    assert got == {e: plain_fold(c, s, deltas[e]) for e, s, c in rows}
+
+
+def test_fold_has_no_rounding(spark):
+    """0.46 less three times 0.02 is the threshold, not under it."""
+    one = spark.createDataFrame([("1", "TRUSTED", 0.46), ("2", "TRUSTED", None)], "entity_id string, lifecycle_state string, confidence double")
+    changes = spark.createDataFrame([(e, i, -0.02) for e in "12" for i in range(3)], "entity_id string, seq int, delta double")
+    assert sorted(map(tuple, folds.fold(one, changes).collect())) == [("1", "TRUSTED", 0.4, 3), ("2", "TRUSTED", None, 3)]
 
 
 def test_near_entries_equal_all_pairs(spark):
@@ -436,7 +459,36 @@ def test_schemas(spark, entities):
     assert whole.filter(schemas.valid("entities")).count() == 3
 
 
-def test_streams(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
+def test_late_changes_fold_like_a_batch(spark, tmp_path, rocksdb):
+    """Changes that come in any order over many batches end as if all had come at once."""
+    from sagebrook.streaming import state
+
+    rows, deltas = histories(12, 60, seed=9)
+    changes = [(e, 7 * i, d, c, s) for e, s, c in rows for i, d in enumerate(deltas[e])]
+    schema = "entity_id string, seq long, delta double, confidence double, lifecycle_state string"
+    order = np.random.default_rng(1).permutation(len(changes))
+    for i, part in enumerate(np.array_split(order, 4)):
+        spark.createDataFrame([changes[j] for j in part], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    last = {}
+
+    def keep(batch, _):
+        last.update({r["entity_id"]: (r["confidence"], r["lifecycle_state"], r["n_changes"]) for r in batch.collect()})
+
+    query = state.fold_stream(stream, width=64).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert last == {e: plain_fold(c, s, deltas[e]) for e, s, c in rows if deltas[e]}
+
+
+def test_streams(spark, tmp_path, rocksdb):
     from sagebrook.streaming import state
 
     source = str(tmp_path / "in")
