@@ -276,7 +276,8 @@ class Manifest:
         the root."""
         none = F.array().cast(_STEP)
         sources = _descend(self.source_rounds, self.source_roots.select("tree", "round", none.alias("path")), self.depth)
-        sources = sources.select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path").crossJoin(F.broadcast(self.root()))
+        root = self.source_roots.select("tree", F.col("digest").alias("root"))
+        sources = sources.join(F.broadcast(root), "tree").select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "path", "root")
         sources = materialize(sources, "merkle-sources")
         known = sources.select(F.col("tree").alias("tree_"), "subroot", "root")
         tops = self.subroots.join(
