@@ -15,8 +15,10 @@ whatever the number of documents, and pieces find their place in it by a join wi
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,9 @@ CAPACITY = 2048
 #: The mark after each document.
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps, and the longest kept one.
-CACHED = 200_000
-CACHED_LENGTH = 64
+#: Words, and characters of words, whose ids a worker keeps.
+WORDS = 600_000
+CHARACTERS = 1 << 24
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -45,8 +47,9 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 class WordIds:
     """Token ids of whole texts through those of their words.
 
-    The vocabulary's rules drop white space and join nothing across it, so that a text's ids are
-    those of its words in order; each different word of a batch is encoded once.
+    The vocabulary's rules drop white space and join nothing across it, nor a letter or digit of Latin-1 with
+    one of some marks after it, so that a text's ids are those of its parts in order.  Each
+    different part is encoded once while it is kept; the ids of all kept ones stand in one array.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,26 +59,52 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, list[int]] = {}
-
-    def _of(self, words: list[str]) -> list[list[int]]:
-        if len(self.kept) > CACHED:
-            self.kept.clear()
+        # What the rules before the model make of single letters; words of these need no more rules.
+        first = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): first(c)[0][0] for c in map(chr, range(256)) if c.isalpha() and c == c.lower() and c not in "ªµº"}
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.characters = 0
+        self.stop = np.zeros(1, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        plain = list(map(self.plain, words))
+        odd = self.tokenizer.encode_batch([w for w, p in zip(words, plain) if not p], add_special_tokens=False)
+        odd = iter(odd)
+        return [[t.id for t in tokenize(w.lower().translate(letters))] if p else next(odd).ids for w, p in zip(words, plain)]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The place of every word among the kept ones."""
         kept = self.kept
-        new = [w for w in words if w not in kept]
-        found = {w: e.ids for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        kept.update((w, ids) for w, ids in found.items() if len(w) <= CACHED_LENGTH)
-        return [found[w] if w in found else kept[w] for w in words]
+        at = list(map(kept.get, words))
+        new = [w for w, i in zip(words, at) if i is None]
+        if not new:
+            return np.array(at, dtype=np.int64)
+        self.characters += sum(map(len, new))
+        if kept and (len(kept) + len(new) > WORDS or self.characters > CHARACTERS):
+            self.clear()
+            return self._numbers(words)
+        ids = self._encode(new)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.stop = np.concatenate((self.stop, self.stop[-1] + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(size.sum()))))
+        kept.update(zip(new, range(len(kept), len(kept) + len(new))))
+        return np.array(list(map(kept.__getitem__, words)), dtype=np.int64)
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, and where each text's ids stop."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        apart = pc.replace_substring_regex(pc.fill_null(texts, ""), pattern='([A-Za-z0-9À-ÖØ-öø-ÿ])([,.;:!?()"])', replacement="\\1 \\2")
+        lists = pc.ascii_split_whitespace(apart)
         words = lists.flatten().dictionary_encode()
         per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        each = self._of(words.dictionary.to_pylist())
-        length = np.array([len(x) for x in each], dtype=np.int64)
-        start = np.cumsum(length) - length
-        flat = np.fromiter((i for x in each for i in x), dtype=np.int32, count=int(length.sum()))
+        number = self._numbers(words.dictionary.to_pylist())
+        flat, start = self.flat, self.stop[number]
+        length = self.stop[number + 1] - start
         word = words.indices.to_numpy(zero_copy_only=False)
         size = length[word]
         stop = np.cumsum(size)
@@ -87,11 +116,15 @@ class WordIds:
         return out, np.cumsum(each_doc + 1)
 
 
+#: What a worker keeps from task to task, by the vocabulary's path.
+_encoders: dict[str, WordIds] = {}
+
+
 def _pieces(path: str, capacity: int, end: int):
     """The pieces of a task's documents.  ``nth`` numbers those of one length within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = WordIds(path), TaskContext.get().partitionId()
+        encode, task = _encoders.get(path) or _encoders.setdefault(path, WordIds(path)), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
