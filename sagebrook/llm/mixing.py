@@ -2,9 +2,9 @@
 
 Documents are counted by exact length within each source.  What a source still needs after
 whole passes over it is first shared out in proportion to those counts; the remainder, which
-no longer depends on the size of the corpus, is filled by bounded-knapsack dynamic
-programming over the counts that are left.  The documents of a length are then taken in the
-order of a seeded hash.
+no longer depends on the size of the corpus, is fitted by bounded-knapsack dynamic programming
+over what may still be added and what may be taken back.  The documents of a length are then
+taken in the order of a seeded hash.
 
 Only (source, length, count) rows are grouped: as many as there are distinct lengths.
 """
@@ -26,8 +26,10 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 SEED = 17
-#: The largest remainder left to dynamic programming.
-LAST = 1 << 15
+#: Lengths, the shortest ones, that are tried before all.
+FIRST = 256
+#: Bits of all sets of sums of one source at most.
+BITS = 1 << 32
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -60,12 +62,74 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
     )
 
 
+def _reach(lengths: list[int], counts: list[int], most: int) -> list[int]:
+    """Bit sets of the sums up to ``most`` of the first 0, 1, ... lengths, each up to its count.
+    A count is split in binary, so a length takes as many shifts as its count has digits."""
+    mask, out = (1 << (most + 1)) - 1, [1]
+    for length, count in zip(lengths, counts):
+        sums, left, step = out[-1], min(count, most // length), 1
+        while left > 0:
+            step = min(step, left)
+            sums |= sums << (step * length) & mask
+            left, step = left - step, step * 2
+        out.append(sums)
+    return out
+
+
+def _taken(reach: list[int], lengths: list[int], sum_: int) -> list[int]:
+    """How many of each length make up a sum that ``reach`` has."""
+    out = [0] * len(lengths)
+    for i in range(len(lengths) - 1, -1, -1):
+        while not reach[i] >> sum_ & 1:
+            sum_ -= lengths[i]
+            out[i] += 1
+    return out
+
+
+def _nearest(more: int, less: int, gap: int, way: int, within: int) -> int | None:
+    """The least e >= 0, up to ``within``, for which a sum of ``more`` and one of ``less`` differ by
+    gap + way * e.  Bits are smeared over doubled widths, then the width is halved down."""
+
+    def meet(low: int, width: int) -> bool:
+        # Some e with low <= e < low + width: smear the sums of ``more``, then compare.
+        at = gap + low if way > 0 else gap - low - width + 1
+        smeared, have = more, 1
+        while have < width:
+            step = min(have, width - have)
+            smeared, have = smeared | smeared >> step, have + step
+        return bool((smeared >> at if at >= 0 else more_left(smeared, more, -at, width)) & less)
+
+    def more_left(smeared: int, plain: int, shift: int, width: int) -> int:
+        # Sums of ``more`` below zero's place are smeared to the left before the shift.
+        out, have = plain << shift, 1
+        while have < width:
+            step = min(have, width - have)
+            out, have = out | out >> step, have + step
+        return out
+
+    low, width = 0, 1
+    while not meet(low, width):
+        low, width = low + width, width * 2
+        if low > within:
+            return None
+    while width > 1:
+        width //= 2
+        low = low if meet(low, width) else low + width
+    return low if low <= within else None
+
+
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many items of each length to take for a sum as near to ``budget`` as possible.
+    """How many items of each length to take for a sum as near to ``budget`` as possible, below it
+    at equal distance.
 
-    A budget over LAST is first shared out in proportion, then longest first until LAST is
-    left; the rest is exact bounded-knapsack dynamic programming, for the sum nearest to what
-    is left, below it at equal distance.
+    Lengths are divided by their common divisor.  The budget is shared out in proportion to the
+    counts, then longest first.  What is still missing is settled by bounded-knapsack dynamic
+    programming over what may be added and what may be taken back: sums of either kind are bit
+    sets, first up to a few of the longest lengths, then up to more, until the nearest sum there
+    can be is found or sums reach twice the square of the longest length, beyond which no better
+    one needs to look.  Only if that takes over ``BITS`` bits for all lengths is the best one found
+    before taken: documents of many different lengths of which none fits, and tens of thousands of
+    words long.
     """
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -74,42 +138,49 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return taken
     if budget >= total:
         return counts.copy()
-    left = budget
-    if left > LAST:
-        taken = np.array([c * budget // total for c in counts.tolist()], dtype=np.int64)
-        left -= int((lengths * taken).sum())
-        for i in np.argsort(-lengths, kind="stable"):
-            if left <= LAST:
-                break
-            size = int(lengths[i])
-            more = min(int(counts[i] - taken[i]), -((LAST - left) // size), left // size)
-            taken[i] += more
-            left -= more * size
-    # came[s]: the length whose item, added last, first reached the sum s.
-    spare = counts - taken
-    top = left + min(left, int(lengths[spare > 0].max()) if (spare > 0).any() else 0) + 1
-    reached = np.zeros(top, dtype=bool)
-    reached[0] = True
-    came = np.full(top, -1, dtype=np.int64)
-    for i in np.argsort(lengths, kind="stable"):
-        size, have = int(lengths[i]), int(spare[i])
-        if size >= top or have <= 0 or reached[left]:
-            continue
-        front = reached.copy()
-        for _ in range(min(have, top // size)):
-            step = np.zeros(top, dtype=bool)
-            step[size:] = front[:-size]
-            step &= ~reached
-            if not step.any():
-                break
-            reached |= step
-            came[step] = i
-            front = step
-    sums = np.flatnonzero(reached)
-    best = int(sums[np.lexsort((sums, np.abs(sums - left)))[0]])
-    while best:
-        taken[came[best]] += 1
-        best -= int(lengths[came[best]])
+    there = np.flatnonzero((counts > 0) & (lengths > 0))
+    unit = int(np.gcd.reduce(lengths[there]))
+    sizes, have = (lengths[there] // unit).tolist(), counts[there].tolist()
+    wanted, over = divmod(budget, unit)
+    whole = total // unit
+    took = [c * wanted // whole for c in have]
+    gap = wanted - sum(n * t for n, t in zip(sizes, took))
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        more = min(have[i] - took[i], gap // sizes[i])
+        took[i] += more
+        gap -= more * sizes[i]
+    longest = max(sizes)
+    farthest = min(whole, 2 * longest * longest + gap)
+    # The shortest lengths nearly always hit the budget; if not, all lengths are tried.
+    by_size = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    used, most = by_size[:FIRST], 0
+    while True:
+        n = [sizes[i] for i in used]
+        most = min(farthest, most * 8 or 8 * n[-1] + gap)
+        more = _reach(n, [have[i] - took[i] for i in used], most)
+        less = _reach(n, [took[i] for i in used], most)
+        # Sums at or under the budget miss it by ``over`` and whole units, those above by the rest.
+        down = _nearest(more[-1], less[-1], gap, -1, gap)
+        up = _nearest(more[-1], less[-1], gap + 1, 1, down)
+        if down == 0 and (over * 2 <= unit or up == 0):
+            break
+        if len(used) < len(sizes):
+            following = by_size, 0
+        elif most < farthest:
+            following = by_size, most
+        else:
+            break
+        if len(sizes) * (following[1] * 8 or 8 * longest + gap) > BITS:
+            break
+        used, most = following
+    near = up is None or down * unit + over <= (up + 1) * unit - over
+    aim = gap - down if near else gap + 1 + up
+    both = more[-1] >> aim & less[-1] if aim >= 0 else more[-1] << -aim & less[-1]
+    back = (both & -both).bit_length() - 1
+    added, removed = _taken(more, n, back + aim), _taken(less, n, back)
+    for i, x, y in zip(used, added, removed):
+        took[i] += x - y
+    taken[there] = took
     return taken
 
 
@@ -124,8 +195,8 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
 
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(kernel.count_words(batch.column(2)))],
-        names=["doc_id", "source", "size"],
+        [batch.column(0), batch.column(1), pa.array(kernel.count_words(batch.column(2))), batch.column(3)],
+        names=["doc_id", "source", "size", "h"],
     )
 
 
@@ -142,8 +213,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.col("text").cast("string").alias("text"),
+        # The order in which documents are taken; those without an id are interchangeable.
+        F.when(F.col("doc_id").isNull(), F.floor(F.rand(seed) * 2**53)).otherwise(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))).alias("h"),
     )
-    sized = materialize(batched(measured, _measure, "doc_id long, source string, size long"), f"{name}-sizes")
+    sized = materialize(batched(measured, _measure, "doc_id long, source string, size long, h long"), f"{name}-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(by_source, weights, share).withColumn(
         "sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")
@@ -157,8 +230,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED
     plan = counts.groupBy("sid").applyInPandas(_plan, "sid long, size long, n long, passes long, extra long")
     plan = materialize(plan, f"{name}-plan")
 
-    order = F.xxhash64("doc_id", F.lit(seed))
-    rows = placed.join(plan, ["sid", "size"], "left").withColumn("h", order)
+    rows = placed.join(plan, ["sid", "size"], "left")
     some = "extra > 0 and extra < n"
     # A length with many documents is dealt out by about the square root of their number of
     # hash ranges: whole ranges first, then documents of the range where the take ends.
