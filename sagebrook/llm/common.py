@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.stored import discard, materialize, shared_dir  # noqa: F401
+from ..sources.stored import discard, materialize, scratch, session_dir  # noqa: F401
 
 #: Upper bounds of one Arrow batch handed to a Python worker.
 ARROW_RECORDS = 1000

@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, materialize, narrow, shared_dir, table
+from .common import batched, discard, materialize, narrow, session_dir, table
 
 #: Payloads under this many bytes are stored with every record's type left at response.
 MIN_BYTES = 0
@@ -61,11 +62,13 @@ def _headers(date: str) -> Column:
         F.lit(CRLF + CRLF),
     )
     own = F.octet_length(http) + F.when(kind == "response", F.col("payload_bytes")).otherwise(F.lit(0))
-    name = F.concat_ws("|", F.lit("page"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    # The row's number tells rows apart that are equal in all else.
+    parts = ("page_id", "url", "sha256", "number")
+    name = F.concat_ws("|", F.lit("page"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", kind),
-        _line("WARC-Record-ID", _urn(F.concat(name, F.coalesce(F.col("url"), F.lit(""))))),
+        _line("WARC-Record-ID", _urn(name)),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Page-ID", F.col("page_id")),
@@ -94,14 +97,16 @@ def _unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
         if hashlib.sha256(data).hexdigest() != digest.as_py():
             raise ValueError(f"the stored payload does not have its digest {digest.as_py()}")
         out.append(data)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["header", "payload"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(3)], names=["header", "payload", "url"])
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date: str = DATE) -> None:
     """Archive ``pages`` (page_id, url, html) in the folder ``path``.
 
     A null page is an empty payload.  Rows that repeat a page_id and its payload are equal
-    records; a null page_id is below every other.  Further columns are ignored.
+    records, each with a Record-ID of its own; a null page_id is below every other.  A line break
+    in a url, which no header can hold, is written as %0A there; the exact url is kept beside the
+    header.  Further columns are ignored.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -115,6 +120,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
             "sha256",
             F.octet_length("payload").cast("long").alias("payload_bytes"),
             base32(F.sha1("payload")).alias("payload_digest"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "warc-known",
     )
@@ -125,25 +131,27 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date:
         .withColumn("record_type", F.when(is_first, F.lit("response")).otherwise(F.lit("revisit")))
         .withColumn("refers_to", F.when(~is_first, F.col("first")))
     )
-    records.select(F.encode(_headers(date), "UTF-8").alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
+    records.select(F.encode(_headers(date), "UTF-8").alias("header"), "sha256", "url").write.option("compression", "zstd").parquet(f"{path}/records")
     # Payloads travel compressed.  Copies are told by digest and page together, so those of
     # one payload are spread over all tasks; what is left holds a payload more than once only
     # where whole rows repeat.
     others = known.join(first, "sha256").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("sha256", "page_id").distinct()
-    others = narrow(materialize(others, "warc-copies").select(F.col("sha256").alias("digest"), F.col("page_id").alias("copy")))
+    copies = materialize(others, "warc-copies")
+    others = narrow(copies.select(F.col("sha256").alias("digest"), F.col("page_id").alias("copy")))
     packed = batched(rows.select("page_id", "sha256", "payload"), _pack, "page_id long, sha256 string, packed binary")
     is_copy = (F.col("sha256") == F.col("digest")) & F.col("page_id").eqNullSafe(F.col("copy"))
     stored = packed.join(others, is_copy, "left_anti").select("sha256", "packed")
     stored.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    discard(known, first, copies)
 
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload) of every record of an archive; a payload that does not have its
-    digest, or is missing, is an error."""
+    """(header, payload, url) of every record of an archive, the url as it was given; a payload
+    that does not have its digest, or is missing, is an error."""
     payloads = spark.read.schema("sha256 string, packed binary").parquet(f"{path}/payloads")
-    records = spark.read.schema("header binary, sha256 string").parquet(f"{path}/records")
-    joined = records.join(payloads, "sha256", "left").select("header", "sha256", "packed")
-    return batched(joined, _unpack, "header binary, payload binary")
+    records = spark.read.schema("header binary, sha256 string, url string").parquet(f"{path}/records")
+    joined = records.join(payloads, "sha256", "left").select("header", "sha256", "packed", "url")
+    return batched(joined, _unpack, "header binary, payload binary, url string")
 
 
 def _field(header: Column, name: str) -> Column:
@@ -152,8 +160,10 @@ def _field(header: Column, name: str) -> Column:
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """What restored records say: one row per record, digest and size taken from the payload."""
+    """What restored records say: one row per record, digest and size taken from the payload, the
+    url from the header where it does not stand beside it."""
     text = F.decode("header", "UTF-8")
+    url = F.col("url") if "url" in records.columns else _field(text, "WARC-Target-URI")
     return records.select(
         _field(text, "WARC-Page-ID").cast("long").alias("page_id"),
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -161,43 +171,66 @@ def parse(records: DataFrame) -> DataFrame:
         _field(text, "WARC-Type").alias("record_type"),
         _field(text, "WARC-Refers-To-Page-ID").cast("long").alias("refers_to"),
         _field(text, "WARC-Payload-Digest").alias("stated_digest"),
-        _field(text, "WARC-Target-URI").alias("url"),
+        url.alias("url"),
+        _field(text, "WARC-Record-ID").alias("record_id"),
     )
 
 
 def write_files(records: DataFrame, path: str) -> None:
-    """Restored records (header, payload) as .warc files; a revisit's block has no payload."""
+    """Restored records (header, payload) as .warc files; a revisit's block has no payload.  A null
+    payload is empty, records without a header are left out, and other columns are ignored; an
+    empty table gives empty files."""
     header = F.decode("header", "UTF-8")
-    block = F.when(_field(header, "WARC-Type") == "response", F.decode("payload", "UTF-8")).otherwise(F.lit(""))
-    records.select(F.concat(header, block)).write.option("lineSep", CRLF + CRLF).text(path)
-
-
-def _records(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out = []
-    for cell in batch.column(0):
-        data, at = cell.as_py(), 0
-        while at < len(data):
-            end = data.index(b"\r\n\r\n", at) + 4
-            head = data[at:end]
-            size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", head)[1])
-            block = data[end : end + size]
-            cut = block.index(b"\r\n\r\n") + 4
-            out.append((head + block[:cut], block[cut:]))
-            at = end + size + 4
-    return pa.RecordBatch.from_arrays(
-        [pa.array([h for h, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["header", "payload"]
-    )
+    is_response = _field(header, "WARC-Type") == "response"
+    block = F.when(is_response, F.coalesce(F.decode("payload", "UTF-8"), F.lit(""))).otherwise(F.lit(""))
+    rows = records.filter("header is not null").select(F.concat(header, block))
+    rows.write.option("lineSep", CRLF + CRLF).text(path)
+
+
+def _cut_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(header, payload) of the records of a file, one after the other."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at) + 4
+        head = data[at:end]
+        size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", head)[1])
+        block = data[end : end + size]
+        if not head.startswith(b"WARC/") or len(block) < size:
+            raise ValueError("no WARC record, or a short one")
+        cut = block.index(b"\r\n\r\n") + 4
+        yield head + block[:cut], block[cut:]
+        at = end + size + 4
+
+
+def _records(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for path, cell in zip(batch.column(0), batch.column(1)):
+        rows, error = [], None
+        try:
+            for header, payload in _cut_records(cell.as_py()):
+                rows.append((header, payload, None))
+        except (ValueError, TypeError) as e:
+            error = f"damaged after {len(rows)} records: {e}"
+            rows.append((None, None, error))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([path.as_py()] * len(rows), pa.string())] + [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.string()))],
+            names=["path", "header", "payload", "error"],
+        )
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(header, payload) of the records of .warc files; a file is read whole by one task."""
-    return batched(spark.read.format("binaryFile").load(path).select("content"), _records, "header binary, payload binary")
+    """(path, header, payload, error) of the records of .warc files.
+
+    A file is read whole by one task, so it should be of the usual size of about 1 GB at most.
+    Where a file is damaged, the records before the damage are followed by one row that has only
+    the error; an empty file has no rows.
+    """
+    return batched(spark.read.format("binaryFile").load(path).select("path", "content"), _records, "path string, header binary, payload binary, error string")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the archive back, one row per page."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(pages, path, min_bytes)
     return parse(restore(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
