@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import as_text, table
 
 #: Kinds in their order: the first four are the base, the others are added.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = 4
 
 PATTERNS = {
@@ -25,6 +25,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    # Keys and tokens: long runs of letters and digits, told from words by context.
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+",
 }
 #: Texts in which a kind cannot occur are told by a cheaper test.
 HINTS = {
@@ -34,9 +36,10 @@ HINTS = {
     "phone": r"\+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}[ A-Z0-9]",
     "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "secret": r"[A-Za-z0-9+/_=-]{20}",
 }
 #: The score of a confirmed span, and what a context word adds.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT_SCORE = 0.3
 #: Added kinds need this score; base spans stay whatever theirs.
 LEAST_SCORE = 0.5
@@ -48,6 +51,7 @@ CONTEXT = {
     "phone": r"phone|call|tel|fax|mobile|contact|handy|movil",
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "ssn": r"ssn|social|security|tax",
+    "secret": r"token|secret|passw|key|credential|bearer",
 }
 #: Lengths are summed in blocks of this many.
 BLOCK = 256
@@ -95,6 +99,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.char_length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34) & mod97(match)
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9)") & ~match.rlike("-00-|-0000$")
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -162,15 +168,18 @@ def detect(docs: DataFrame, text_col: str = "text", columns: list[str] | None =
     score, ok) in the order of start and kind; code points, end exclusive.
 
     Null and empty texts have none.  Every row is judged by itself, so repeated rows, null
-    ids and empty tables need no rule; a column named ``pii`` is replaced.
+    ids and empty tables need no rule; a column named ``pii`` is replaced, others pass through
+    whatever they are called.
     """
-    keep = [c for c in (docs.columns if columns is None else columns) if c != "pii"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], as_text(text_col).alias("__text"))
+    keep = [c for c in (docs.columns if columns is None else columns) if c.lower() != "pii"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], as_text(text_col).alias("__text"))
     for step in (_cut, _sums):
         for kind in KINDS:
             rows = step(rows, kind)
     spans = F.array_sort(F.flatten(F.array(*[_spans(kind) for kind in KINDS])))
-    return rows.select(*[F.col(f"`{c}`") for c in keep], spans.alias("pii"))
+    # Named only once the spans are made: a new name in one list could stand for an inner column.
+    made = rows.select(*[f"c{i}" for i in range(len(keep))], spans.alias("pii"))
+    return made.toDF(*keep, "pii")
 
 
 def _joined(spans: Column) -> Column:
@@ -220,6 +229,11 @@ def op7_sql() -> str:
             "0-9-",
             f"""NOT regexp_matches(m, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, '{CONTEXT["ssn"]}')""",
         ),
+        "secret": (
+            r"\x01[A-Za-z0-9+/_=-]{20,}\x02",
+            "A-Za-z0-9+/_=-",
+            f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(near, '{CONTEXT['secret']}')",
+        ),
     }
     parts, confirmed = [], []
     for rank, (kind, (pattern, run, ok)) in enumerate(kinds.items()):
