@@ -64,12 +64,12 @@ def place(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str
     """
     spark = docs.sparkSession
     owners = lookup_table(shard_names(shards), slots)
-    lookup = spark.createDataFrame(list(enumerate(owners)), "__slot long, shard int")
-    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard", "__slot")]
-    placed = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("__slot", slot_of(F.col(id_col), slots))
-    return placed.join(F.broadcast(lookup), "__slot").select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__slot").alias("slot"), "shard"
-    )
+    lookup = spark.createDataFrame(list(enumerate(owners)), "slot long, shard int")
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "shard")]
+    # Numbered, so that no name of theirs is one of the lookup's.
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], slot_of(F.col(f"`{id_col}`"), slots).alias("slot"))
+    placed = rows.join(F.broadcast(lookup), "slot").select(*[f"c{i}" for i in range(len(kept))], "slot", "shard")
+    return placed.toDF(*kept, "slot", "shard")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
