@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from sagebrook.llm import decontaminate, minhash, mixing, quality, sharding
-from sagebrook.llm.common import materialize, narrow, table
+from sagebrook.llm.common import discard, materialize, narrow, scratch, table
 
 
 def _named(docs: DataFrame) -> list:
@@ -135,10 +135,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each written and read again before the next.  What a stage
+    stored for itself goes when it is written, and what it was given when the next one is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with scratch(spark):
+            docs = materialize(stage(spark, before, sf_dir), f"pipeline-{name}", keep=True)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
