@@ -26,7 +26,7 @@ def rows():
     out += [(70 + i, f"{prose(rng, 40)} {passage} {prose(rng, 30)}") for i in range(5)]
     out += [(80, None), (81, ""), (82, " \n\t "), (83, "one"), (84, "ONE"), (85, "é" * 300), (86, "ab " * 3000), (87, prose(rng, 6000)), (88, "x" * 50_000), (None, base), (None, None)]
     out += [(90, "Mail a.b@c-d.example.org, 10.0.0.255 or 1.2.3.256; card 4111 1111 1111 1111 and +1 (555) 010-9999."), (91, "a@b.c@d.e_f@g.h 1.2.3.4.5.6.7.8 +12 4111-1111-1111-1112"), (90, "again, another text")]
-    out += [(92, "The iban of this account is DE89370400440532013000 and ssn 123-45-6789."), (3, out[3][1])]
+    out += [(92, "The iban of this account is DE89370400440532013000 and ssn 123-45-6789. token = b44e15e09fd311c3cf3163b66d5a9875b883d8ce"), (3, out[3][1])]
     return [(d, t, rng.choice(["en", "fr", None]), rng.choice(["a", "b", "B", None]) if i % 3 else "hot", None if t is None else len(t)) for i, (d, t) in enumerate(out)]
 
 
@@ -40,7 +40,8 @@ def clashing(spark, rows):
     """The documents under more columns, named like what operators use inside."""
     from pyspark.sql import functions as F
 
-    more = ["k1", "k2", "rep", "n", "h", "u", "key", "term", "pos", "slot", "shard", "size", "score", "__id", "pii", "target"]
+    more = ["k1", "k2", "rep", "n", "h", "u", "key", "term", "pos", "slot", "shard", "size", "score", "__id", "pii", "target",
+            "__text", "__m_email", "__g_ip", "__l_card", "__b_phone", "__slot", "__source", "__key", "__pos", "c0", "c1", "digest", "path"]
     return spark.createDataFrame(rows, DOCUMENTS).withColumns({c: F.lit(i) for i, c in enumerate(more)})
 
 

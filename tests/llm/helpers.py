@@ -142,12 +142,13 @@ def chunked(data, c):
 ADDED = (
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")),
 )
 
 
 def more_personal(text):
     """All spans (start, rank, kind, end) of a text: the base ones, account numbers that pass
-    their check, and social security numbers with a word that says so within 40 characters."""
+    their check, and social security numbers and keys with a word that says so within 40 characters."""
     text, out = text or "", personal(text)
     for rank, (kind, pattern) in enumerate(ADDED, len(PII)):
         found = list(pattern.finditer(text))
@@ -159,7 +160,10 @@ def more_personal(text):
             else:
                 before = text[found[i - 1].end() if i else 0 : m.start()][-40:]
                 after = text[m.end() : found[i + 1].start() if i + 1 < len(found) else len(text)][:40]
-                if re.match("000|666|9", m[0]) or "-00-" in m[0] or m[0].endswith("-0000") or not re.search("(?i)ssn|social|security|tax", f"{before} {after}"):
+                if kind == "secret":
+                    if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]) or not re.search("(?i)token|secret|passw|key|credential|bearer", f"{before} {after}"):
+                        continue
+                elif re.match("000|666|9", m[0]) or "-00-" in m[0] or m[0].endswith("-0000") or not re.search("(?i)ssn|social|security|tax", f"{before} {after}"):
                     continue
             out.append((m.start(), rank, kind, m.end()))
     return sorted(out)

@@ -280,6 +280,49 @@ def test_fill_is_exact_where_it_can_be(seed):
         assert abs(got - budget) == min(abs(s - budget) for s in reachable) or budget >= total
 
 
+@pytest.mark.parametrize("unit, most", [(1, 300), (7, 60), (1000, 40), (4001, 12)])
+def test_fill_is_exact_for_long_documents(unit, most):
+    """Lengths and budgets far above any bound of a plain table over sums."""
+    rng = np.random.default_rng(unit)
+    for _ in range(40):
+        lengths = np.unique(rng.integers(1, most, rng.integers(1, 6))) * unit
+        counts = rng.integers(0, 6, len(lengths))
+        total = int((lengths * counts).sum())
+        reachable = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            reachable = {s + n * k for s in reachable for k in range(c + 1)}
+        for budget in rng.integers(0, total + 10, 6).tolist():
+            took = mixing.fill(lengths, counts, budget)
+            assert (took <= counts).all() and (took >= 0).all()
+            assert int((took * lengths).sum()) == min(reachable, key=lambda s: (abs(s - budget), s)) or budget >= total
+
+
+def test_fill_reaches_what_can_be_reached():
+    for lengths, counts, budget in [([39_000, 20_000], [1, 3], 60_000), ([39_000, 20_000], [10, 30], 100_000), ([39_999, 20_000], [10**6] * 2, 2 * 10**9 + 7777)]:
+        took = mixing.fill(np.array(lengths), np.array(counts), budget)
+        assert int((took * np.array(lengths)).sum()) == budget
+
+
+def test_mixing_of_a_whole_table(spark, sf_dir):
+    """All rows, targets by hand, and no other take of a source's documents nearer to its target."""
+    docs = [(r["doc_id"], r["source"], len((r["text"] or "").split())) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    sizes = Counter()
+    for _, source, n in docs:
+        sizes[source] += n
+    want, got = brute_targets(sizes), {r["doc_id"]: r for r in mixing.op4(spark, sf_dir).collect()}
+    assert {(r["doc_id"], r["size"]) for r in got.values()} == {(d, n) for d, _, n in docs}
+    for source, target in want.items():
+        mine = [(got[d], n) for d, s, n in docs if s == source]
+        assert all(r["source_size"] == sizes[source] and abs(r["target"] - target) < 1e-6 for r, _ in mine)
+        assert all(r["taken"] in (0, n, 2 * n) for r, n in mine)
+        sums = 1
+        for _, n in mine:
+            sums |= sums << n
+        rest = round(target) - round(target) // sizes[source] * sizes[source] if round(target) < 2 * sizes[source] else 0
+        miss = next(e for e in range(10**6) if rest - e >= 0 and sums >> (rest - e) & 1 or sums >> (rest + e) & 1)
+        assert abs(sum(r["taken"] for r, _ in mine) - round(target)) == miss
+
+
 def test_fill_hits_large_budgets():
     lengths, counts = np.arange(1, 3000), np.full(2999, 50)
     took = mixing.fill(lengths, counts, 12_345_678)
@@ -325,7 +368,22 @@ def test_archive_holds_each_payload_once_and_files_round_trip(spark, tmp_path):
     whole = [(bytes(r["header"]), bytes(r["payload"])) for r in records.collect()]
     revisit = [(h, b"" if b"WARC-Type: revisit" in h else p) for h, p in whole]
     assert Counter((bytes(r["header"]), bytes(r["payload"])) for r in back.collect()) == Counter(revisit)
-    assert all(b"sha1:" + r["payload_digest"].encode() == r["stated_digest"].encode() for r in warc.parse(records).collect())
+    said = warc.parse(records).collect()
+    assert all(r["stated_digest"] == "sha1:" + r["payload_digest"] for r in said)
+    # Equal rows are records of their own, and urls come back as they were.
+    assert len({r["record_id"] for r in said}) == len(PAGES) and Counter(r["url"] for r in said) == Counter(p[1] for p in PAGES)
+
+
+def test_damaged_files_are_rows(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES[:3], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, f"file://{tmp_path}/a")
+    warc.write_files(warc.restore(spark, f"file://{tmp_path}/a").coalesce(1), f"file://{tmp_path}/f")
+    whole = next((tmp_path / "f").glob("part-*")).read_bytes()
+    (tmp_path / "g").mkdir()
+    for name, data in {"whole": whole, "cut": whole[:-40], "empty": b"", "other": b"no archive"}.items():
+        (tmp_path / "g" / name).write_bytes(data)
+    rows = [(r["path"].rsplit("/", 1)[1], r["error"] is None) for r in warc.read_files(spark, f"file://{tmp_path}/g/*").collect()]
+    assert Counter(rows) == Counter({("whole", True): 3, ("cut", True): 2, ("cut", False): 1, ("other", False): 1})
 
 
 def test_damaged_archives_are_refused(spark, tmp_path):
@@ -389,8 +447,14 @@ def test_personal_data(rows, documents, clashing, empty):
         base = [(s["start"], s["rank"], s["kind"], s["end"]) for s in r["pii"] if s["rank"] < pii.BASE]
         assert base == helpers.personal(r["text"])
     added = {s["kind"] for r in found for s in r["pii"] if s["rank"] >= pii.BASE}
-    assert added == {"iban", "ssn"}
-    assert pii.detect(clashing).count() == len(rows) and pii.detect(empty).count() == 0
+    assert added == {"iban", "ssn", "secret"}
+    wide = pii.detect(clashing)
+    assert set(wide.columns) == set(clashing.columns) and pii.detect(empty).count() == 0
+    values = {r["text"]: r["pii"] for r in found}
+    same = [c for c in clashing.columns if c not in ("pii", *documents.columns)]
+    expected = clashing.first().asDict()
+    for r in wide.collect():
+        assert r["pii"] == values[r["text"]] and all(r[c] == expected[c] for c in same)
 
 
 def test_many_matches_and_hostile_texts(spark):
