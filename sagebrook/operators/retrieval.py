@@ -2,32 +2,24 @@
 
 Queries are a DataFrame (query_id, query), so any number of questions share each scan.  Only
 its keywords and phrases, a few per query, meet the corpus: up to NEEDLES different ones are
-searched for in one pass that lower-cases a text once, and more are joined.  Query vectors are
-sent to every task where there are at most QUERY_ROWS.
+searched for in one pass that lower-cases a text once, and more through an index of trigrams.
+A needle's best rows are kept before the questions that share it are joined.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
-from ..functions import text, vector
+from ..functions import text
+from ..sources.stored import materialize
+from . import keywords, nearest
 from .listing import display_name, with_endpoints
 
 QUERY_ROWS = 20_000
 #: The most different needles that one pass over texts looks for.
-NEEDLES = 2_000
-#: Vectors of a batch and queries of a slice whose similarities are held at once.
-SLICE = 1024
-#: Blocks that more query vectors are dealt into.
-QUERY_BLOCKS = 64
-#: Pivots that cached vectors are dealt by, and parts of a cell.
-PIVOTS, SALTS = 16, 8
+NEEDLES = 3_000
 
 
 def within_bounds(df: DataFrame) -> bool:
@@ -66,15 +58,20 @@ def found_words(fields: list[Column], words: list[str]) -> Column:
     return F.flatten(F.transform(lowered, lambda row: F.filter(all_, lambda needle: hit(row, needle))))
 
 
-def with_needles(rows: DataFrame, fields: list[Column], needles: DataFrame, words: list[str] | None, bounded: bool | None = None) -> DataFrame:
-    """``rows`` once for each row of ``needles`` (needle, in lower case, ...) that one of the
-    fields contains, with its columns.  ``words`` are the different needles."""
+def containing(rows: DataFrame, fields: list[Column], needles: DataFrame, words: list[str] | None) -> DataFrame:
+    """``rows`` once for each of the different ``needles`` (needle, in lower case) that one of the
+    fields contains.  ``words`` are these needles where one pass over the rows looks for all; more
+    are looked up in an index of trigrams, which is made for them."""
     if words is None:
-        hit = F.lit(False)
-        for field in fields:
-            hit = hit | text.contains(field, F.col("needle"))
-        return rows.join(small_side(needles, bounded), hit)
-    return rows.withColumn("needle", F.explode(found_words(fields, words))).join(small_side(needles, bounded), "needle")
+        return keywords.build(rows, fields).hits(needles)
+    return rows.withColumn("needle", F.explode(found_words(fields, words)))
+
+
+def first_containing(rows: DataFrame, fields: list[Column], needles: DataFrame, words: list[str] | None, order: list[Column], n: int) -> DataFrame:
+    """Of ``containing`` the first n rows of each needle in ``order``, with their ``rank``."""
+    if words is None:
+        return keywords.build(rows, fields, order).first(needles, n)
+    return _top(containing(rows, fields, needles, words), order, n, "needle")
 
 
 def _top(df: DataFrame, order: list[Column], n: int, *by: str, name: str = "rank") -> DataFrame:
@@ -85,9 +82,11 @@ def entity_matches(queries: DataFrame, entities: DataFrame, config: Config = CON
     """Trusted entities by keyword, at most so many each: rows (query_id, pos, rank, ...)."""
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     trusted = entities.filter("lifecycle_state = 'TRUSTED'")
-    hits = with_needles(trusted, [F.col("extracted_text"), F.col("source_sentence")], needles, words_of(needles), bounded)
     order = [F.col("confidence").desc(), F.col("access_count").desc(), F.col("entity_id")]
-    return _top(hits, order, config.entities_per_keyword, "query_id", "pos")
+    fields = [F.col("extracted_text"), F.col("source_sentence")]
+    # Ranked once a needle, before the questions that share it are joined.
+    best = first_containing(trusted, fields, needles, words_of(needles), order, config.entities_per_keyword)
+    return best.join(small_side(needles, bounded), "needle")
 
 
 def _merged(matches: DataFrame, key: str, n: int) -> DataFrame:
@@ -124,11 +123,10 @@ def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, co
     needles = _needles(queries, text.entity_keywords(F.col("query")), config.max_keywords)
     words = words_of(needles)
     trusted = edges.filter("lifecycle_state = 'TRUSTED'")
-    different = needles.select("needle").distinct()
-    named = with_needles(entities.select("entity_id", display_name().alias("__name")), [F.col("__name")], different, words, bounded)
+    named = containing(entities.select("entity_id", display_name().alias("__name")), [F.col("__name")], needles, words)
     named = named.groupBy("entity_id").agg(F.collect_set("needle").alias("__words"))
     if words is None:
-        kinds = with_needles(trusted.select("relationship_type").distinct(), [F.col("relationship_type")], different, words, bounded)
+        kinds = containing(trusted.select("relationship_type").distinct(), [F.col("relationship_type")], needles, words)
         kinds = kinds.groupBy("relationship_type").agg(F.collect_set("needle").alias("__of_type"))
         hits = trusted.join(kinds, "relationship_type", "left")
     else:
@@ -139,73 +137,27 @@ def retrieve_edges(queries: DataFrame, edges: DataFrame, entities: DataFrame, co
     none = F.array().cast("array<string>")
     sets = [F.coalesce(f"__of_{c}", none) for c in ("type", "source", "target")]
     hits = hits.withColumn("needle", F.explode(F.array_distinct(F.concat(*sets)))).drop("__of_type", "__of_source", "__of_target")
-    joined = with_endpoints(hits, entities).join(small_side(needles, bounded), "needle")
     order = [F.col("confidence").desc(), F.col("relationship_id")]
-    matches = _top(joined, order, config.edges_per_keyword, "query_id", "pos")
+    best = _top(with_endpoints(hits, entities), order, config.edges_per_keyword, "needle")
+    matches = best.join(small_side(needles, bounded), "needle")
     return _merged(matches, "relationship_id", config.edges_per_keyword)
 
 
-def _nearest(queries: list[tuple], k: int):
-    """The k nearest rows of a task for each query (id, vector): one matrix product a slice."""
-    groups: dict[int, tuple[list, list]] = {}
-    for id_, v in queries:
-        if v is not None and None not in v and np.isfinite(v).all() and np.any(v):
-            ids, rows = groups.setdefault(len(v), ([], []))
-            ids.append(id_)
-            rows.append(np.asarray(v, dtype=np.float64) / np.linalg.norm(v))
-    sides = {size: (ids, np.array(rows)) for size, (ids, rows) in groups.items()}
-
-    def run(frames):
-        best: dict[tuple, list[tuple]] = {}
-        for frame in frames:
-            sizes = frame["embedding"].map(len).to_numpy()
-            for size, (ids, asked) in sides.items():
-                at = np.flatnonzero(sizes == size)
-                for lo in range(0, len(at), SLICE):
-                    some = at[lo : lo + SLICE]
-                    rows = np.stack(frame["embedding"].to_numpy()[some]).astype(np.float64)
-                    documents, places = frame["document_id"].to_numpy()[some], frame["chunk_index"].to_numpy()[some]
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-                    for q in range(0, len(ids), SLICE):
-                        alike = np.round(rows @ asked[q : q + SLICE].T, 6)
-                        alike[np.isnan(alike)] = -2.0
-                        for j in range(alike.shape[1]):
-                            have = best.get((size, q + j), [])
-                            column = alike[:, j]
-                            least = -have[-1][0] if len(have) == k else -1.5
-                            if len(column) > k:
-                                least = max(least, float(np.partition(column, len(column) - k)[len(column) - k]))
-                            new = np.flatnonzero(column >= least)
-                            have = have + [(-float(column[i]), documents[i], int(places[i])) for i in new if column[i] > -1.5]
-                            best[size, q + j] = sorted(have)[:k]
-        out = [(sides[size][0][i], d, c, -s) for (size, i), rows in best.items() for s, d, c in rows]
-        yield pd.DataFrame(out, columns=["query_id", "document_id", "chunk_index", "similarity"])
-
-    return run
-
-
-def vector_top_k(chunks: DataFrame, vectors: DataFrame, k: int = CONFIG.vector_top_k, doc_type: str | None = None, bounded: bool | None = None) -> DataFrame:
-    """(query_id, document_id, chunk_index, similarity, rank): the k chunks nearest to each
-    query vector (query_id, vector).  A task keeps its k best for each query."""
-    rows = chunks.filter("embedding is not null")
-    if doc_type is not None:
-        rows = rows.filter(F.col("document_type") == doc_type)
+def vector_table(chunks: DataFrame, doc_type: str | None = None) -> nearest.VectorTable:
+    """The stored table that ``vector_top_k`` searches, of all chunks or of one type."""
+    rows = chunks if doc_type is None else chunks.filter(F.col("document_type") == doc_type)
     rows = rows.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
-    order = [F.col("similarity").desc(), F.col("document_id"), F.col("chunk_index")]
-    if within_bounds(vectors) if bounded is None else bounded:
-        asked = [(r["query_id"], r["vector"]) for r in vectors.select("query_id", "vector").collect()]
-        kind = vectors.schema["query_id"].dataType.simpleString()
-        scored = rows.mapInPandas(_nearest(asked, k), f"query_id {kind}, document_id string, chunk_index int, similarity double")
-        return _top(scored, order, k, "query_id")
-    # Beyond the bound queries are dealt into blocks, and every block meets all rows.
-    blocks = vectors.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(QUERY_BLOCKS)).cast("int"))
-    blocks = blocks.withColumn("__norm", vector.norm(F.col("vector")))
-    spread = rows.withColumn("__length", vector.norm(F.col("embedding"))).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1))))
-    scored = spread.join(blocks, (spread["__block"] == blocks["__block"]) & (F.size("embedding") == F.size("vector")))
-    cosine = F.try_divide(vector.dot(F.col("embedding"), F.col("vector")), F.col("__length") * F.col("__norm"))
-    scored = scored.select("query_id", "document_id", "chunk_index", F.round(cosine, 6).alias("similarity"))
-    return _top(scored.filter("similarity is not null"), order, k, "query_id")
+    return nearest.build(rows, "embedding", ["document_id", "chunk_index"])
+
+
+def vector_top_k(
+    chunks: DataFrame, vectors: DataFrame, k: int = CONFIG.vector_top_k, doc_type: str | None = None, table: nearest.VectorTable | None = None
+) -> DataFrame:
+    """(query_id, document_id, chunk_index, similarity, rank): the k chunks nearest to each
+    query vector (query_id, vector).  A stored ``table`` of the chunks saves making one."""
+    table = vector_table(chunks, doc_type) if table is None else table
+    order = [("document_id", "ascending"), ("chunk_index", "ascending")]
+    return table.near(vectors, k, order, ["document_id", "chunk_index"])
 
 
 def expand_context(chunks: DataFrame, hits: DataFrame, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
@@ -238,20 +190,21 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
         )
         needles = part if needles is None else needles.unionByName(part)
     words, sides = words_of(needles), (("text", "chunk_text"), ("title", "document_title"))
+    # Without an order of their own, the rows of a needle are the first by document and place.
+    order = [F.col("document_id"), F.col("chunk_index")]
+    most = max(rows for _, _, rows, _, _ in kinds)
     if words is None:
-        hits = None
+        first = None
         for side, column in sides:
             slim = chunks.select("document_id", "chunk_index", column)
-            part = with_needles(slim, [F.col(column)], needles.filter(F.col("side") == side).drop("side"), None, bounded).drop(column, "needle")
-            hits = part if hits is None else hits.unionByName(part)
+            part = first_containing(slim, [F.col(column)], needles.filter(F.col("side") == side), None, order, most).drop(column).withColumn("side", F.lit(side))
+            first = part if first is None else first.unionByName(part)
     else:
         # Texts and titles in one pass over the chunks.
         found = F.concat(*[_sided(found_words([F.col(column)], words), side) for side, column in sides])
-        found = chunks.select("document_id", "chunk_index", F.explode(found).alias("f")).select("document_id", "chunk_index", "f.*")
-        hits = found.join(small_side(needles, bounded), ["side", "needle"]).drop("side", "needle")
-    # Without an order of their own, the rows of a needle are the first by document and place.
-    most = max(rows for _, _, rows, _, _ in kinds)
-    kept = _top(hits, [F.col("document_id"), F.col("chunk_index")], most, "query_id", "kind", "pos").filter("rank <= rows")
+        hits = chunks.select("document_id", "chunk_index", F.explode(found).alias("f")).select("document_id", "chunk_index", "f.*")
+        first = _top(hits, order, most, "side", "needle")
+    kept = first.join(small_side(needles, bounded), ["side", "needle"]).filter("rank <= rows")
     scores = kept.groupBy("query_id", "document_id", "chunk_index").agg(F.sum("weight").cast("long").alias("keyword_hits"))
     best = F.max("keyword_hits").over(Window.partitionBy("query_id"))
     likeness = F.least(F.lit(0.5) + F.lit(0.4) * F.col("keyword_hits") / F.greatest(best, F.lit(1)), F.lit(0.85))
@@ -259,11 +212,12 @@ def keyword_chunks(queries: DataFrame, chunks: DataFrame, k: int = CONFIG.keywor
     return _top(scored, [F.col("keyword_hits").desc(), F.col("document_id"), F.col("chunk_index")], k, "query_id")
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = CONFIG.vector_top_k, config: Config = CONFIG, bounded: bool | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = CONFIG.vector_top_k, config: Config = CONFIG, bounded: bool | None = None, table: nearest.VectorTable | None = None) -> DataFrame:
     """Vector hits, their documents' context, and keyword hits that neither has, in order of
     ``position``: expanded documents first, then other hits, then keyword hits."""
     bounded = within_bounds(queries) if bounded is None else bounded
-    hits = vector_top_k(chunks, vectors, k, bounded=bounded)
+    # A few rows a question, read by all that follows.
+    hits = materialize(vector_top_k(chunks, vectors, k, table=table), "hits")
     context = expand_context(chunks, hits, config, bounded)
     per = hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("best"))
     ranks = _top(per, [F.col("best")], config.expanded_documents, "query_id", name="doc_rank").drop("best")
@@ -379,57 +333,21 @@ def evidence_chain(entities: DataFrame, documents: DataFrame, config: Config = C
     return facts.unionByName(texts)
 
 
-def _distances(pivots: np.ndarray):
-    """Distances of unit vectors to every pivot; one zero for vectors of another length."""
-
-    @F.pandas_udf("array<double>")
-    def run(units: pd.Series) -> pd.Series:
-        out = [[0.0]] * len(units)
-        at = [i for i, u in enumerate(units) if pivots.ndim == 2 and len(u) == pivots.shape[1]]
-        if at:
-            rows = np.stack([units.iloc[i] for i in at])
-            gaps = np.sqrt(np.maximum(2.0 - 2.0 * (rows @ pivots.T), 0.0))
-            for i, gap in zip(at, gaps.tolist()):
-                out[i] = gap
-        return pd.Series(out)
-
-    return run
-
-
-def _units(df: DataFrame, column: str) -> DataFrame:
-    """Adds ``unit``, a vector over its norm; rows without one that is finite are left out."""
-    usable = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    df = df.filter(F.col(column).isNotNull() & usable).withColumn("__norm", vector.norm(F.col(column))).filter("__norm > 0")
-    return df.withColumn("unit", F.transform(column, lambda x: x / F.col("__norm"))).drop("__norm")
-
-
 def near_entries(asked: DataFrame, entries: DataFrame, least: float) -> DataFrame:
     """(query_id, near): the nearest of ``entries`` (query_embedding, created_at, id,
-    response_json) to each ``asked`` (query_id, vector) with cosine ``least`` or more.
+    response_json) to each ``asked`` (query_id, vector) with cosine ``least`` or more, the newest
+    of equally near ones.
 
-    Equal vectors are one row on both sides.  Entries lie in the cell of their nearest pivot; a
-    query goes to the cells that the triangle inequality leaves open to it, and a cell is cut
-    into SALTS parts, so no pair outside of these cells is formed and none within reach is lost.
+    Equal vectors are one row on both sides; only cells within reach of a query are searched.
     """
     newest = F.max(F.struct("created_at", "id", "response_json")).alias("e")
-    there = _units(entries.groupBy("query_embedding").agg(newest), "query_embedding").select("unit", "e")
-    wanted = _units(asked.select("vector").distinct(), "vector").select("vector", "unit")
-    sample = there.orderBy(F.xxhash64("unit"), "e").limit(PIVOTS).select("unit").collect()
-    size = max((len(r["unit"]) for r in sample), default=0)
-    gaps = _distances(np.array([r["unit"] for r in sample if len(r["unit"]) == size]))
-    # Similarities are rounded to six digits before they are compared.
-    reach = math.sqrt(2 * (1 - least)) + 1e-4
-    there = there.withColumn("d", gaps("unit")).withColumn("gap", F.array_min("d")).withColumn("cell", F.array_position("d", F.col("gap")))
-    there = there.withColumn("salt", F.pmod(F.xxhash64("unit"), F.lit(SALTS)).cast("int"))
-    wanted = wanted.withColumn("d", gaps("unit")).select("vector", F.col("unit").alias("q"), "d", F.array_min("d").alias("first"))
-    wanted = wanted.select("vector", "q", "first", F.posexplode("d").alias("cell", "reached")).filter(F.col("reached") - F.col("first") <= 2 * reach)
-    wanted = wanted.withColumn("cell", F.col("cell").cast("long") + 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.size("unit") == F.size("q")) & (F.abs(F.col("gap") - F.col("reached")) <= reach)
-    pairs = there.join(wanted, ["cell", "salt"]).filter(same)
-    pairs = pairs.withColumn("similarity", F.round(vector.dot(F.col("unit"), F.col("q")), 6)).filter(F.col("similarity") >= least)
-    best = pairs.groupBy("vector").agg(F.max(F.struct("similarity", "e")).alias("b"))
-    near = F.struct(F.col("b.e.response_json").alias("response_json"), F.col("b.similarity").alias("similarity"))
-    return asked.join(best, "vector").select("query_id", near.alias("near"))
+    there = entries.groupBy("query_embedding").agg(newest).select("query_embedding", "e.*")
+    table = nearest.build(there, "query_embedding", ["created_at", "id"], "cache")
+    wanted = asked.select("vector").distinct().withColumn("query_id", F.col("vector"))
+    fields = ["created_at", "id", "response_json"]
+    found = table.near(wanted, 1, [(c, "descending") for c in fields], fields, least)
+    best = found.select(F.col("query_id").alias("vector"), F.struct("response_json", "similarity").alias("near"))
+    return asked.join(best, "vector").select("query_id", "near")
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:

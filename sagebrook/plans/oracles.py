@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .questions import QUESTIONS
-
 ENTITIES = """
 named AS (
   SELECT 'Region' AS entity_type, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region
@@ -98,14 +96,18 @@ SEARCH_STOP = (
 VECTORS = "qvec AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)"
 
 
-def _asked(many: bool = False) -> str:
-    rows = ", ".join(f"({i}, '{q}', {v}, '{s}')" for i, q, v, s in QUESTIONS)
-    source = f"(VALUES {rows}) AS v(query_id, query, vec_id, session_id)"
-    if many:
-        source = f"(SELECT e.vec_id AS query_id, query, e.vec_id, session_id FROM embeddings e JOIN (SELECT * FROM {source}) s ON s.query_id = 1 + e.vec_id // 100 % {len(QUESTIONS)} WHERE e.vec_id % 100 = 0)"
+def _asked(vectors: bool = False) -> str:
+    """Every turn of a user after the name of a part, or with ``vectors`` the first turns of as many
+    conversations as there are stored vectors whose id is divisible by 100."""
+    asked = "qry AS (SELECT query_id, query, session_id FROM qsts)"
+    if vectors:
+        asked = """qry AS (SELECT vec_id AS query_id, query, session_id FROM embeddings JOIN qsts ON opening AND session_id = CAST(vec_id // 100 AS VARCHAR) WHERE vec_id % 100 = 0),
+qvec AS (SELECT vec_id AS query_id, embedding AS vector FROM embeddings JOIN qry ON vec_id = query_id)"""
     return f"""
-qry AS (SELECT * FROM {source}),
-qvec AS (SELECT query_id, embedding AS vector FROM qry JOIN embeddings USING (vec_id)),
+qsts AS (
+  SELECT CAST(conv_id * 100 + turn AS BIGINT) AS query_id, p_name || ' ' || text AS query, CAST(conv_id AS VARCHAR) AS session_id, turn = min(turn) OVER (PARTITION BY conv_id) AS opening
+  FROM conversations JOIN part ON p_partkey = (conv_id * 8 + turn) % (SELECT max(p_partkey) FROM part) + 1 WHERE role = 'user'),
+{asked},
 ekw AS (
   SELECT query_id, generate_subscripts(ks, 1) - 1 AS pos, unnest(ks) AS needle FROM (
     SELECT query_id, list_filter(list_transform(list_filter(regexp_split_to_array(trim(lower(query)), '\\s+'),
@@ -366,7 +368,7 @@ def _chars(size: int, overlap: int) -> str:
 
 
 def oracles() -> dict[str, str]:
-    a, e = _asked(), ENTITIES
+    a, v, e = _asked(), _asked(vectors=True), ENTITIES
     ee = (e, EDGES)
     customers = "lifecycle_state = 'TRUSTED' AND confidence >= 0.3 AND entity_type = 'Customer'"
     all_edges = "edges_ AS (SELECT * FROM edg)"
@@ -395,13 +397,13 @@ UNION ALL SELECT 'edge', relationship_type, count(*) FROM edg WHERE source_docum
         "vector_topk_typed": _with(CHUNKS, VECTORS, _vector("hits", 20, "document_type = 'src3'")) + "SELECT query_id, document_id, chunk_index, similarity, rank FROM hits",
         "context_expansion": _with(CHUNKS, VECTORS, _vector("hits", 6), _expansion("hits")) + "SELECT query_id, document_id, chunk_index, doc_rank, similarity FROM ctx",
         "keyword_chunks": _with(CHUNKS, a, KEYWORDS) + "SELECT query_id, document_id, chunk_index, keyword_hits, similarity, rank FROM kfound",
-        "hybrid_search": _with(CHUNKS, _asked(many=True), _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID) + "SELECT * FROM hyb",
+        "hybrid_search": _with(CHUNKS, v, _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID) + "SELECT * FROM hyb",
         "applicable_rules": _with(e, a, R1, RULES, APPLICABLE) + "SELECT query_id, rule_name, priority, rank FROM app",
         "session_context": _with(SESSIONS) + """SELECT session_id, turn, row_number() OVER (PARTITION BY session_id ORDER BY created_at, turn) AS position FROM (
   SELECT * FROM ses QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, turn DESC) <= 5)""",
         "uncertainty_report": _with(*ee, CHUNKS, a, R1, R2, KEYWORDS, "docs_found AS (SELECT query_id FROM kfound)", UNCERTAIN)
         + "SELECT query_id, overall_confidence, recommendation, high_facts, medium_facts, low_facts, low_items, reasons FROM report",
-        "evidence_chain": _with(e, CHUNKS, a, R1, _vector("hits", 20)) + """SELECT query_id, 'entity' AS kind, entity_id AS source, position, confidence FROM efound WHERE position <= 5 AND confidence >= 0.7
+        "evidence_chain": _with(e, CHUNKS, v, R1, _vector("hits", 20)) + """SELECT query_id, 'entity' AS kind, entity_id AS source, position, confidence FROM efound WHERE position <= 5 AND confidence >= 0.7
 UNION ALL SELECT query_id, 'document', document_id || '#' || chunk_index, rank, similarity FROM hits WHERE rank <= 3 AND similarity >= 0.7""",
         "dup_groups": _with(e) + """SELECT lower(coalesce(extracted_text, source_sentence)) AS label, entity_type, string_agg(entity_id, ',' ORDER BY confidence DESC, entity_id) AS ids,
   string_agg(DISTINCT source_document_id, ',' ORDER BY source_document_id) AS documents, count(*) AS n FROM ent WHERE lifecycle_state = 'STAGING' GROUP BY 1, 2 HAVING count(*) > 1""",
@@ -466,7 +468,7 @@ SELECT rule_name, CAST(CASE action WHEN 'raise' THEN priority + 1 WHEN 'lower' T
     AND NOT EXISTS (SELECT 1 FROM rfound r WHERE r.query_id = x.query_id AND r.relationship_type = 'SUPPLIES' AND r.target_entity_id = x.entity_id) GROUP BY query_id),
 kinds AS (SELECT query_id, rule_name, CASE WHEN contains(lower(condition), 'must have') AND contains(lower(condition), 'owner') THEN 'owner' WHEN contains(lower(condition), 'circuit breaker') THEN 'circuit_breaker'
   WHEN contains(lower(condition), 'escalation') THEN 'escalation' ELSE 'none' END AS kind FROM app)
-SELECT query_id, rule_name, kind, CASE WHEN kind = 'owner' AND u IS NOT NULL THEN 'violation' WHEN kind = 'escalation' AND query_id = 1 THEN 'caveat' ELSE 'pass' END AS outcome,
+SELECT query_id, rule_name, kind, CASE WHEN kind = 'owner' AND u IS NOT NULL THEN 'violation' WHEN kind = 'escalation' AND query_id % 2 = 0 THEN 'caveat' ELSE 'pass' END AS outcome,
   CASE WHEN kind = 'owner' THEN u END AS detail FROM kinds LEFT JOIN unowned USING (query_id)""",
         "owner_violations": _with(*ee, a, R1, R2) + """SELECT query_id, first(entity_id ORDER BY position, entity_id) AS entity_id, 'warning' AS severity FROM efound x WHERE entity_type = 'Part'
   AND NOT EXISTS (SELECT 1 FROM rfound r WHERE r.query_id = x.query_id AND r.relationship_type = 'SUPPLIES' AND r.target_entity_id = x.entity_id) GROUP BY query_id""",
@@ -494,10 +496,10 @@ FROM pg JOIN fc USING (entity_type, k) LEFT JOIN srcs USING (entity_type, k) LEF
         "wm_get_all": _with(MEMORY) + "SELECT key, value, step_number, row_number() OVER (ORDER BY step_number, created_at, key) AS position FROM mem WHERE session_id = '7' AND expires_at > TIMESTAMP '2024-01-20'",
         "wm_delete": _with(MEMORY) + "SELECT count(*) AS deleted FROM mem WHERE session_id = '7'",
         "ttl_cleanup": _with(MEMORY) + "SELECT session_id, count(*) AS n FROM mem WHERE NOT expires_at < TIMESTAMP '2024-01-20' GROUP BY session_id",
-        "cache_lookup": _with(SESSIONS) + f""", pl AS (SELECT *, CAST(session_id AS BIGINT) AS vec_id, regexp_replace(query_text, '[^ -~]', '', 'g') AS plain FROM ses),
-cch AS (SELECT session_id || ':' || turn AS id, sha256(lower(trim(plain))) AS h, embedding AS qe, 'answer ' || session_id AS rj, created_at, created_at + to_days(CAST(vec_id % 40 AS INTEGER)) AS expires_at FROM pl LEFT JOIN embeddings USING (vec_id)),
+        "cache_lookup": _with(SESSIONS) + f""", pl AS (SELECT *, CAST(session_id AS BIGINT) AS vec_id FROM ses),
+cch AS (SELECT session_id || ':' || turn AS id, sha256(lower(trim(query_text))) AS h, embedding AS qe, 'answer ' || session_id AS rj, created_at, created_at + to_days(CAST(vec_id % 40 AS INTEGER)) AS expires_at FROM pl LEFT JOIN embeddings USING (vec_id)),
 live AS (SELECT * FROM cch WHERE expires_at > TIMESTAMP '2024-01-20'),
-q AS (SELECT vec_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN upper(plain) ELSE 'x' || plain END AS query, embedding AS v FROM pl JOIN embeddings USING (vec_id)),
+q AS (SELECT vec_id * 1000 + turn AS query_id, CASE WHEN turn % 3 = 0 THEN translate(query_text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE 'x' || query_text END AS query, embedding AS v FROM pl JOIN embeddings USING (vec_id)),
 ex AS (SELECT h, first(rj ORDER BY created_at DESC, id DESC) AS rj FROM live GROUP BY h),
 nr AS (SELECT query_id, rj, {COSINE.format('qe', 'v')} AS sim, created_at, id FROM live, q WHERE qe IS NOT NULL),
 nb AS (SELECT query_id, first(rj ORDER BY sim DESC, created_at DESC, id DESC) AS rj, max(sim) AS sim FROM nr WHERE sim >= 0.95 GROUP BY query_id)
@@ -520,7 +522,7 @@ SELECT entity_type, lifecycle_state, count(*) AS n, round(sum(confidence), 4) AS
 UNION ALL SELECT 'stale', least(100, count(*)) FROM ent WHERE lifecycle_state = 'TRUSTED' AND (last_accessed IS NULL OR last_accessed < TIMESTAMP '2024-01-20' - INTERVAL 90 DAY)
 UNION ALL SELECT 'rules_changed', count(*) FROM rul WHERE enabled AND ((times_applied >= 50 AND times_violated / greatest(times_applied, 1) > 0.8) OR (times_applied >= 20 AND (times_violated = 0 OR times_violated / greatest(times_applied, 1) BETWEEN 0.4 AND 0.8)))
 UNION ALL SELECT 'expired', count(*) FROM mem WHERE expires_at < TIMESTAMP '2024-01-20'""",
-        "context_bundle": _with(*ee, CHUNKS, a, R1, R2, RULES, APPLICABLE, SESSIONS, _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID, "docs_found AS (SELECT query_id FROM hyb)", UNCERTAIN)
+        "context_bundle": _with(*ee, CHUNKS, v, R1, R2, RULES, APPLICABLE, SESSIONS, _vector("hits", 20), _expansion("hits"), KEYWORDS, HYBRID, "docs_found AS (SELECT query_id FROM hyb)", UNCERTAIN)
         + """SELECT q.query_id, q.query, overall_confidence, recommendation, high_facts, medium_facts, low_facts,
   coalesce((SELECT string_agg(entity_id, ',' ORDER BY position) FROM efound x WHERE x.query_id = q.query_id), '') AS entity_ids,
   coalesce((SELECT string_agg(relationship_id, ',' ORDER BY position) FROM rfound x WHERE x.query_id = q.query_id), '') AS relationship_ids,

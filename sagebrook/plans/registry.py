@@ -16,7 +16,6 @@ from ..sources.fixtures import AS_OF, Tables
 from ..sources.stored import materialize
 from . import oracles as oracles_
 from . import pipeline
-from .questions import QUESTIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -31,10 +30,11 @@ def as_of():
 
 
 def asked(t: Tables) -> DataFrame:
-    """(query_id, query, session_id, vector): questions with a stored vector each."""
-    rows = t.spark.createDataFrame(QUESTIONS, "query_id int, query string, vec_id long, session_id string")
-    vectors = t.raw("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    return rows.join(vectors, "vec_id").drop("vec_id")
+    """(query_id, query, session_id, vector): every stored vector whose id is divisible by 100, with
+    the first question of the conversation of a hundredth of its number."""
+    first = t.questions.filter("opening").select("query", "session_id")
+    vectors = asked_vectors(t).withColumn("session_id", (F.col("query_id") / 100).cast("long").cast("string"))
+    return vectors.join(first, "session_id").select("query_id", "query", "session_id", "vector")
 
 
 def asked_vectors(t: Tables) -> DataFrame:
@@ -42,15 +42,9 @@ def asked_vectors(t: Tables) -> DataFrame:
     return t.raw("embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def asked_many(t: Tables) -> DataFrame:
-    """(query_id, query): a question for each of ``asked_vectors``, in turns."""
-    rows = t.spark.createDataFrame([(i - 1, q) for i, q, *_ in QUESTIONS], "turn long, query string")
-    turn = (F.col("query_id") / 100).cast("long") % len(QUESTIONS)
-    return asked_vectors(t).select("query_id", turn.alias("turn")).join(F.broadcast(rows), "turn").select("query_id", "query")
-
-
 def texts(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([q[:2] for q in QUESTIONS], "query_id int, query string")
+    """(query_id, query): all questions."""
+    return t.questions.select("query_id", "query")
 
 
 def _numbered(df: DataFrame, *order, limit: int, offset: int = 0) -> DataFrame:
@@ -150,7 +144,7 @@ def keyword_chunks(t):
 
 @_query
 def hybrid_search(t):
-    return retrieval.hybrid_search(asked_many(t), asked_vectors(t), t.chunks)
+    return retrieval.hybrid_search(asked(t).select("query_id", "query"), asked(t).select("query_id", "vector"), t.chunks)
 
 
 @_query
@@ -174,7 +168,7 @@ def uncertainty_report(t):
 
 @_query
 def evidence_chain(t):
-    found = retrieval.retrieve_entities(texts(t), t.entities)
+    found = retrieval.retrieve_entities(asked(t).select("query_id", "query"), t.entities)
     docs = retrieval.vector_top_k(t.chunks, asked(t).select("query_id", "vector")).withColumnRenamed("rank", "position")
     return retrieval.evidence_chain(found, docs)
 
@@ -349,7 +343,7 @@ def rule_validation(t):
     found = retrieval.retrieve_entities(texts(t), t.entities)
     links = retrieval.retrieve_edges(texts(t), t.edges, t.entities)
     applicable = retrieval.applicable_rules(retrieval.types_of(found), t.rules)
-    said = t.spark.createDataFrame([(1, "A Critical path"), (2, "fine")], "query_id int, answer string")
+    said = texts(t).select("query_id", F.when(F.col("query_id") % 2 == 0, F.lit("A Critical path")).otherwise(F.lit("fine")).alias("answer"))
     return rules_.validate(applicable, said, found, links, "Part", "SUPPLIES")
 
 
@@ -429,20 +423,16 @@ def ttl_cleanup(t):
     return memory.cleanup(memory.upsert(t.memory_writes), as_of())[0].groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _turns(t: Tables) -> DataFrame:
-    """Past questions in ASCII, which alone has the same upper and lower case everywhere."""
-    return t.sessions.withColumns({"vec_id": F.col("session_id").cast("long"), "plain": F.regexp_replace("query_text", "[^ -~]", "")})
-
-
 @_query
 def cache_lookup(t):
     vectors = t.raw("embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    turns = _turns(t).join(vectors, "vec_id", "left")
+    turns = t.sessions.withColumn("vec_id", F.col("session_id").cast("long")).join(vectors, "vec_id", "left")
     cache = turns.select(
-        F.concat_ws(":", "session_id", "turn").alias("id"), text_.query_hash(F.col("plain")).alias("query_hash"), F.col("vector").alias("query_embedding"),
+        F.concat_ws(":", "session_id", "turn").alias("id"), text_.query_hash(F.col("query_text")).alias("query_hash"), F.col("vector").alias("query_embedding"),
         F.concat(F.lit("answer "), "session_id").alias("response_json"), "created_at", F.expr("created_at + make_dt_interval(cast(vec_id % 40 as int))").alias("expires_at"),
     )
-    again = F.when(F.col("turn") % 3 == 0, F.upper("plain")).otherwise(F.concat(F.lit("x"), "plain"))
+    # Asked again in other letters, or as another question.
+    again = F.when(F.col("turn") % 3 == 0, F.translate("query_text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.lit("x"), "query_text"))
     asked_ = turns.filter("vector is not null").select(
         (F.col("vec_id") * 1000 + F.col("turn")).alias("query_id"), again.alias("query"), "vector"
     )

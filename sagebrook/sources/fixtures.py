@@ -114,6 +114,21 @@ class Tables:
             F.concat(F.lit("doc-"), (F.col("a") % 50).cast("string")).alias("source_document_id"),
         )
 
+    @cached_property
+    def questions(self) -> DataFrame:
+        """(query_id, query, session_id, opening): every turn of a user, after the name of a part."""
+        by = Window.partitionBy("conv_id")
+        turns = self.raw("conversations").filter("role = 'user'").withColumn("opening", F.col("turn") == F.min("turn").over(by))
+        last = self.raw("part").agg(F.max("p_partkey").alias("last"))
+        part = ((F.col("conv_id") * 8 + F.col("turn")) % F.col("last") + 1).alias("p_partkey")
+        named = turns.join(F.broadcast(last)).select("conv_id", "turn", "text", "opening", part).join(self.raw("part").select("p_partkey", "p_name"), "p_partkey")
+        return named.select(
+            (F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("query_id"),
+            F.concat_ws(" ", "p_name", "text").alias("query"),
+            F.col("conv_id").cast("string").alias("session_id"),
+            "opening",
+        )
+
     @cached_property
     def chunks(self) -> DataFrame:
         """Fixed slices of documents with the vector of their document, where it has one."""
