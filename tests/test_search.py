@@ -113,7 +113,7 @@ def test_nearest_vectors(spark, spread, part_rows):
 def test_cells_out_of_reach_are_not_searched(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(30, 16))
-    rows = [(i, (centres[i % 30] + rng.normal(size=16) * 0.02).tolist()) for i in range(3000)]
+    rows = [(i, (centres[i % 30] + rng.normal(size=16) * 0.02).tolist()) for i in range(3600)]
     table = nearest.build(spark.createDataFrame(rows, "k int, v array<double>"), "v", ["k"])
     asked = spark.createDataFrame([(0, "x", rows[0][1])], "query_id int, note string, vector array<double>").select("query_id", "vector", F.lit(0.9).alias("bound"))
     visits = asked.mapInArrow(nearest._visits(table.pivots, table.cells, table.parts, 5, False, False), "query_id int, vector array<double>, cell int, part int")
