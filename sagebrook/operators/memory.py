@@ -23,6 +23,12 @@ def upsert(writes: DataFrame, stored: DataFrame | None = None, keep_seq: bool =
     if stored is not None:
         known = [F.col(c) if c in stored.columns else F.lit(-1).cast("long").alias(c) for c in ("seq", "first_seq")]
         rows = stored.select(*columns, *known).unionByName(rows)
+    out = merged(rows)
+    return out if keep_seq else out.drop("seq", "first_seq")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One row a key of states and writes (..., seq, first_seq), in any order and grouping."""
     return (
         rows.groupBy("session_id", "key")
         .agg(
@@ -31,7 +37,7 @@ def upsert(writes: DataFrame, stored: DataFrame | None = None, keep_seq: bool =
             F.max("seq").alias("seq"),
             F.min("first_seq").alias("first_seq"),
         )
-        .select("session_id", "key", "v.*", "created_at", *(("seq", "first_seq") if keep_seq else ()))
+        .select("session_id", "key", "v.*", "created_at", "seq", "first_seq")
     )
 
 

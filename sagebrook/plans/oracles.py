@@ -245,6 +245,15 @@ cross_m AS (
   WHERE s.lifecycle_state = 'STAGING' AND t.lifecycle_state = 'TRUSTED' AND s.entity_id <> t.entity_id)"""
 
 
+#: Two rounds: staged duplicates go to the best of them, then staged ones to a trusted one.
+ROUNDS = MERGE + """,
+one AS (SELECT e.* REPLACE (CASE WHEN p.entity_id <> p.survivor THEN 'ARCHIVED' ELSE e.lifecycle_state END AS lifecycle_state), CASE WHEN p.entity_id <> p.survivor THEN p.survivor END AS m
+  FROM ent e LEFT JOIN mplan p USING (entity_id)),
+two AS (SELECT s.entity_id, first(t.entity_id ORDER BY t.confidence DESC, t.entity_id) AS r FROM one s JOIN one t ON lower(s.extracted_text) = lower(t.extracted_text) AND s.entity_type = t.entity_type
+  WHERE s.lifecycle_state = 'STAGING' AND t.lifecycle_state = 'TRUSTED' GROUP BY s.entity_id),
+ended AS (SELECT o.entity_id, m, w.r, x.r AS rm, CASE WHEN w.r IS NOT NULL THEN 'ARCHIVED' ELSE lifecycle_state END AS state FROM one o LEFT JOIN two w USING (entity_id) LEFT JOIN two x ON x.entity_id = m)"""
+
+
 def _fold(changes: str) -> str:
     """An ordered fold by recursion: one change of every entity a step, in whole millionths."""
     return f"""
@@ -429,6 +438,10 @@ gone AS (SELECT staging_id AS entity_id, first(trusted_id ORDER BY tc DESC, trus
 SELECT entity_id, CASE WHEN survivor IS NOT NULL THEN 'ARCHIVED' ELSE lifecycle_state END AS lifecycle_state,
   round(CASE WHEN n > 0 THEN least(confidence + n * 0.03::DOUBLE, 1.0::DOUBLE) ELSE confidence END, 6) AS confidence, survivor AS resolved_into
 FROM ent LEFT JOIN boost USING (entity_id) LEFT JOIN gone USING (entity_id)""",
+        "conflict_history": _with(e, ROUNDS) + """SELECT entity_id, state AS lifecycle_state, concat_ws(',', 'dedup_merge:' || m, 'cross_doc_resolution:' || r) AS steps, true AS updated FROM ended WHERE m IS NOT NULL OR r IS NOT NULL""",
+        "lineage_survivors": _with(e, ROUNDS) + "SELECT entity_id, coalesce(r, rm, m) AS survivor, CAST(1 + CAST(rm IS NOT NULL AS INTEGER) AS BIGINT) AS steps FROM ended WHERE m IS NOT NULL OR r IS NOT NULL",
+        "lineage_edges": _with(*ee, ROUNDS) + """SELECT relationship_id, coalesce(s.r, s.rm, s.m, source_entity_id) AS source_entity_id, coalesce(t.r, t.rm, t.m, target_entity_id) AS target_entity_id
+FROM edg LEFT JOIN ended s ON s.entity_id = source_entity_id LEFT JOIN ended t ON t.entity_id = target_entity_id""",
         "endpoint_validation": _with(*ee) + """, ok AS (SELECT lower(trim(entity_id)) AS k FROM ent WHERE lifecycle_state = 'TRUSTED')
 SELECT relationship_id FROM edg WHERE lower(source_entity_id) IN (SELECT k FROM ok) AND lower(target_entity_id) IN (SELECT k FROM ok)""",
         "orphan_edges": _with(*ee) + """SELECT relationship_id, CASE WHEN s.entity_id IS NULL AND t.entity_id IS NULL THEN 'both' WHEN s.entity_id IS NULL THEN 'source' ELSE 'target' END AS missing

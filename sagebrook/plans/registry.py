@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, vector
 from ..functions import text as text_
-from ..operators import folds, graph, lifecycle, listing, memory, resolution, retrieval, scoring, wiki
+from ..operators import folds, graph, lifecycle, lineage, listing, memory, resolution, retrieval, scoring, wiki
 from ..operators import rules as rules_
 from ..sources import sinks
 from ..sources.fixtures import AS_OF, Tables
@@ -240,6 +240,32 @@ def cross_doc_resolve(t):
     return out.select("entity_id", "lifecycle_state", F.round("confidence", 6).alias("confidence"), "resolved_into")
 
 
+def _merged_rounds(t: Tables):
+    """(entities, lineage) after two rounds: duplicates merged, then resolved across documents."""
+    start = t.entities.withColumns({"conflicts": F.array().cast("array<struct<merged_into:string,reason:string>>"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    one, edges = resolution.merge_staging_duplicates(start, t.edges, as_of=as_of())
+    history = lineage.record(lineage.empty(t.spark), one, "merged_into", "dedup_merge", 1)
+    two, _ = resolution.resolve_cross_document(one.drop("merged_into", "merge_reason"), edges, as_of=as_of())
+    return two, lineage.record(history, two, "resolved_into", "cross_doc_resolution", 2)
+
+
+@_query
+def conflict_history(t):
+    entities, _ = _merged_rounds(t)
+    steps = F.transform("conflicts", lambda c: F.concat_ws(":", c["reason"], c["merged_into"]))
+    return entities.filter(F.size("conflicts") > 0).select("entity_id", "lifecycle_state", F.concat_ws(",", steps).alias("steps"), (F.col("updated_at") == as_of()).alias("updated"))
+
+
+@_query
+def lineage_survivors(t):
+    return lineage.survivors(_merged_rounds(t)[1])
+
+
+@_query
+def lineage_edges(t):
+    return lineage.lead(t.edges, _merged_rounds(t)[1]).select("relationship_id", "source_entity_id", "target_entity_id")
+
+
 @_query
 def endpoint_validation(t):
     named = t.edges.select("relationship_id", F.col("source_entity_id").alias("source_name"), F.col("target_entity_id").alias("target_name"))

@@ -12,23 +12,24 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import CONFIG, Config
 from ..operators import folds
-from ..operators.memory import cleanup, upsert
-from ..sources.sinks import snapshot, swap
+from ..sources.keyed import KeyedTable
 
 _FAR = 2**62
 
 
 def upsert_stream(writes: DataFrame, path: str, checkpoint: str, as_of: Column | None = None):
-    """Keeps the snapshot at ``path`` current with a stream of writes, a batch at a time.
+    """Keeps the ``KeyedTable`` at ``path`` current with a stream of writes, a delta a batch.
 
-    A batch that is run again gives the same snapshot, and a late write with an older seq
-    changes nothing but, if it is the first, the time of creation.  With ``as_of`` what expired
-    before it goes with every batch.
+    A batch that is run again changes nothing, and a late write with an older seq changes nothing
+    but, if it is the first, the time of creation.  With ``as_of`` what expired before it goes with
+    every batch.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        state = upsert(batch, snapshot(batch.sparkSession, path), keep_seq=True)
-        swap(state if as_of is None else cleanup(state, as_of)[0], path)
+    def apply(batch: DataFrame, number: int) -> None:
+        table = KeyedTable(batch.sparkSession, path)
+        table.write(batch, number)
+        if as_of is not None:
+            table.compact(as_of)
 
     return writes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

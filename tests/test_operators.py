@@ -390,6 +390,7 @@ def test_snapshots_survive_a_stopped_writer(spark, tmp_path, entities):
 
 
 def test_late_writes_find_their_place(spark, tmp_path):
+    from sagebrook.sources.keyed import KeyedTable
     from sagebrook.streaming import state
 
     schema = "session_id string, key string, value string, agent string, step_number int, created_at timestamp_ntz, expires_at timestamp_ntz, seq long"
@@ -400,7 +401,7 @@ def test_late_writes_find_their_place(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         state.upsert_stream(stream, at, str(tmp_path / "checkpoint"), as_of()).awaitTermination()
-        row = sinks.snapshot(spark, at).collect()
+        row = KeyedTable(spark, at).read().collect()
         assert [(r["key"], r["value"]) for r in row] == [("k", "new")]
         assert row[0]["created_at"] == T0 + (2 if i == 0 else 1) * day
 
@@ -502,7 +503,9 @@ def test_streams(spark, tmp_path, rocksdb):
     writes.write.parquet(str(tmp_path / "w"))
     stream = spark.readStream.schema(writes.schema).parquet(str(tmp_path / "w"))
     state.upsert_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "state")).first()["value"] == "b"
+    from sagebrook.sources.keyed import KeyedTable
+
+    assert [r["value"] for r in KeyedTable(spark, str(tmp_path / "state")).read().collect()] == ["b"]
 
 
 def test_report_and_command_line(spark, tmp_path, capsys):
