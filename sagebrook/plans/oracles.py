@@ -245,6 +245,27 @@ cross_m AS (
   WHERE s.lifecycle_state = 'STAGING' AND t.lifecycle_state = 'TRUSTED' AND s.entity_id <> t.entity_id)"""
 
 
+def _page_parts(ent: str = "ent", edg: str = "edg", titled: bool = False, most: int = 20) -> str:
+    """Pages in parts of ``most`` lines."""
+    titles = "SELECT 'doc-' || doc_id AS source_document_id, min('Document ' || lang || ' ' || doc_id) AS title FROM documents WHERE doc_id < 50 AND doc_id % 2 = 0 GROUP BY 1"
+    return f"""
+mem AS (SELECT *, lower(extracted_text) AS k FROM {ent} WHERE lifecycle_state = 'TRUSTED' AND extracted_text IS NOT NULL),
+fc AS (SELECT entity_type, k, round(avg(confidence), 6) AS c, count(*) AS n FROM mem GROUP BY 1, 2),
+titles AS ({titles}{'' if titled else ' HAVING false'}),
+tch AS (SELECT m.entity_type, m.k, e.relationship_id, e.relationship_type, e.confidence, e.target_entity_id AS other, '->' AS arrow FROM {edg} e JOIN mem m ON m.entity_id = e.source_entity_id WHERE e.lifecycle_state = 'TRUSTED'
+  UNION ALL SELECT m.entity_type, m.k, e.relationship_id, e.relationship_type, e.confidence, e.source_entity_id, '<-' FROM {edg} e JOIN mem m ON m.entity_id = e.target_entity_id WHERE e.lifecycle_state = 'TRUSTED'),
+one_ AS (SELECT * FROM tch QUALIFY row_number() OVER (PARTITION BY entity_type, k, relationship_id ORDER BY arrow DESC, other DESC) = 1),
+lns AS (
+  SELECT x.entity_type, k, 'relationships' AS section, row_number() OVER (PARTITION BY x.entity_type, k ORDER BY x.confidence DESC, relationship_id) - 1 AS i,
+         '- ' || arrow || ' **' || relationship_type || '** ' || coalesce(o.extracted_text, o.source_sentence, '') AS line FROM one_ x JOIN {ent} o ON o.entity_id = other
+  UNION ALL SELECT entity_type, k, 'sources', row_number() OVER (PARTITION BY entity_type, k ORDER BY source_document_id) - 1, '- ' || coalesce(title, source_document_id)
+  FROM (SELECT DISTINCT entity_type, k, source_document_id FROM mem WHERE source_document_id IS NOT NULL) LEFT JOIN titles USING (source_document_id)),
+prt AS (
+  SELECT entity_type, k, section, CAST(i // {most} AS INTEGER) AS part, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS text FROM lns GROUP BY ALL
+  UNION ALL SELECT entity_type, k, 'facts', 0, 3, 'Type: ' || entity_type || chr(10) || 'Confidence: ' || CAST(floor(c * 100 + 0.5) AS INTEGER) || '%' || chr(10) || 'Entities: ' || n FROM fc)
+SELECT entity_type, title, section, part, n_lines, text FROM (SELECT DISTINCT entity_type, extracted_text AS title, k FROM mem) JOIN prt USING (entity_type, k)"""
+
+
 #: Two rounds: staged duplicates go to the best of them, then staged ones to a trusted one.
 ROUNDS = MERGE + """,
 one AS (SELECT e.* REPLACE (CASE WHEN p.entity_id <> p.survivor THEN 'ARCHIVED' ELSE e.lifecycle_state END AS lifecycle_state), CASE WHEN p.entity_id <> p.survivor THEN p.survivor END AS m
@@ -503,6 +524,11 @@ ln AS (SELECT one.entity_type, one.k, count(*) AS n_edges, string_agg('- ' || ar
 SELECT pg.entity_type, pg.title, confidence_avg, n_entities, coalesce(n_edges, 0) AS n_edges, n_sources,
   '# ' || pg.title || chr(10) || 'Type: ' || pg.entity_type || chr(10) || 'Confidence: ' || CAST(floor(confidence_avg * 100 + 0.5) AS INTEGER) || '%' || chr(10) || '## Relationships' || chr(10) || coalesce(txt, 'None') || chr(10) || '## Sources' || chr(10) || src AS markdown
 FROM pg JOIN fc USING (entity_type, k) LEFT JOIN srcs USING (entity_type, k) LEFT JOIN ln USING (entity_type, k)""",
+        "wiki_page_parts": _with(*ee, _page_parts(titled=True)),
+        "wiki_refresh": _with(*ee, """
+ent2 AS (SELECT * REPLACE (CASE WHEN lifecycle_state = 'STAGING' AND confidence >= 0.9 THEN 'TRUSTED' ELSE lifecycle_state END AS lifecycle_state) FROM ent),
+edg2 AS (SELECT g.* REPLACE (CASE WHEN g.lifecycle_state = 'STAGING' AND s.lifecycle_state = 'TRUSTED' AND t.lifecycle_state = 'TRUSTED' THEN 'TRUSTED' ELSE g.lifecycle_state END AS lifecycle_state)
+  FROM edg g LEFT JOIN ent2 s ON s.entity_id = source_entity_id LEFT JOIN ent2 t ON t.entity_id = target_entity_id)""", _page_parts("ent2", "edg2")),
         "wiki_list": _with(e) + """SELECT title, row_number() OVER (ORDER BY title) AS position FROM (
   SELECT DISTINCT extracted_text AS title FROM ent WHERE lifecycle_state = 'TRUSTED' AND entity_type = 'Part' AND contains(lower(extracted_text), 'ring') ORDER BY title LIMIT 20)""",
         "wm_upsert": _with(MEMORY) + "SELECT * FROM mem",

@@ -421,6 +421,25 @@ def wiki_pages(t):
     return wiki.compile_pages(t.entities, t.edges, documents=t.titles)
 
 
+@_query
+def wiki_page_parts(t):
+    return wiki.compile_parts(t.entities, t.edges, documents=t.titles, most=20)
+
+
+@_query
+def wiki_refresh(t):
+    """Parts that were compiled before all staged entities of high confidence were promoted, refreshed."""
+    before = wiki.compile_parts(t.entities, t.edges, most=20)
+    entities, edges = lifecycle.promote_all(t.entities, t.edges, 0.9)
+    was, is_ = t.entities, entities
+
+    def changed(a, b, key):
+        ids = materialize(a.alias("a").join(b.alias("b"), key).filter("a.lifecycle_state <> b.lifecycle_state").select(key), "changed")
+        return a.join(ids, key, "left_semi").unionByName(b.join(ids, key, "left_semi"))
+
+    return wiki.refresh(before, is_, edges, changed(was, is_, "entity_id"), changed(t.edges, edges, "relationship_id"), most=20)
+
+
 @_query
 def wiki_list(t):
     pages = wiki.candidates(t.entities)

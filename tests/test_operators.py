@@ -446,6 +446,35 @@ def test_docx():
     assert readers.docx_text(data.getvalue()) == "One\nTwo"
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_refreshed_pages_equal_full_compilation(spark, seed):
+    """Random changes of names, states, confidences and edges, hub pages in several parts."""
+    rng = np.random.default_rng(seed)
+    kinds, states, names = ["A", "B"], ["TRUSTED", "TRUSTED", "STAGING"], ["Hub", "hub", "x", "y", "Z", None]
+
+    def entity(i):
+        return (f"e{i}", str(rng.choice(kinds)), str(rng.choice(states)), int(rng.integers(0, 100)) / 100, f"d{rng.integers(0, 6)}" if i % 5 else None, f"s{i}", names[int(rng.integers(0, len(names)))])
+
+    def edge(i):
+        return (f"r{i}", f"e{rng.integers(0, 42)}", f"e{rng.integers(0, 42)}", "X", str(rng.choice(states)), int(rng.integers(0, 100)) / 100)
+
+    e_schema = "entity_id string, entity_type string, lifecycle_state string, confidence double, source_document_id string, source_sentence string, extracted_text string"
+    r_schema = "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, lifecycle_state string, confidence double"
+    was_e, was_r = [entity(i) for i in range(40)], [edge(i) for i in range(120)]
+    # Changed, deleted and new ones.
+    some = set(rng.choice(40, 4, replace=False).tolist())
+    is_e = [entity(i) if i in some else x for i, x in enumerate(was_e) if i != 7] + [entity(40)]
+    some_r = set(rng.choice(120, 5, replace=False).tolist())
+    is_r = [edge(i) if i in some_r else x for i, x in enumerate(was_r) if i != 9] + [edge(120)]
+    frames = [spark.createDataFrame(x, s) for x, s in ((was_e, e_schema), (is_e, e_schema), (was_r, r_schema), (is_r, r_schema))]
+    diff_e = spark.createDataFrame([x for x in was_e if x not in is_e] + [x for x in is_e if x not in was_e], e_schema)
+    diff_r = spark.createDataFrame([x for x in was_r if x not in is_r] + [x for x in is_r if x not in was_r], r_schema)
+    before = wiki.compile_parts(frames[0], frames[2], most=4)
+    want = sorted(map(tuple, wiki.compile_parts(frames[1], frames[3], most=4).collect()))
+    got = wiki.refresh(before, frames[1], frames[3], diff_e, diff_r, most=4)
+    assert sorted(map(tuple, got.collect())) == want and max(r[4] for r in want) == 4 and max(r[3] for r in want) > 1
+
+
 def test_synthetic(spark):
     small = synthetic.small(spark)
     assert [small[k].count() for k in ("entities", "relationships", "documents", "rules")] == [12, 13, 4, 4]
