@@ -7,25 +7,41 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..sources.stored import materialize
+from .places import numbered
+
+
+#: Seeds that share a word of bits.
+WORD = 64
+
+
+def _both_ways(edges: DataFrame, state: str | None) -> DataFrame:
+    used = edges if state is None else edges.filter(F.col("lifecycle_state") == state)
+    one = used.select(F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("next"))
+    return one.unionByName(one.select(F.col("next").alias("entity_id"), F.col("entity_id").alias("next")))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = CONFIG.max_hops, state: str | None = "TRUSTED") -> DataFrame:
     """(seed, entity_id, hop): what is reached from each seed (entity_id) over edges in either
     direction, at the least number of hops.
 
-    A hop is one join of the frontier with the edges; entities already reached leave it.  Each
-    frontier but the last is written as a table, so the plan grows by one join a hop, and a
-    small one is sent to the edges without a shuffle of them.
+    Seeds are numbered, and what 64 of them have reached is one word of bits a node: a hop joins
+    the words of the frontier with the edges and takes the bits of a node together, so that a hub
+    is expanded once for 64 seeds.  Bits that a node has already leave the frontier.  Frontiers are
+    written as tables; only the result has a row a seed.
     """
-    used = edges if state is None else edges.filter(F.col("lifecycle_state") == state)
-    one = used.select(F.col("source_entity_id").alias("entity_id"), F.col("target_entity_id").alias("next"))
-    both = one.unionByName(one.select(F.col("next").alias("entity_id"), F.col("entity_id").alias("next")))
-    reached = seeds.select(F.col("entity_id").alias("seed"), "entity_id", F.lit(0).alias("hop")).distinct()
-    frontier = reached
+    both = _both_ways(edges, state)
+    distinct = seeds.select("entity_id").distinct()
+    known = materialize(numbered(distinct.withColumn("__all", F.lit(0)), ["__all"], [F.col("entity_id")], "seeds").select(F.col("entity_id").alias("seed"), "pos"), "seeds")
+    bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
+    start = known.select(F.col("seed").alias("entity_id"), F.expr(f"pos div {WORD}").alias("word"), bit.alias("bits"))
+    frontier = materialize(start.withColumn("hop", F.lit(0)), "frontier")
+    reached = frontier
     for hop in range(1, hops + 1):
-        step = frontier.select("seed", "entity_id").join(both, "entity_id").select("seed", F.col("next").alias("entity_id")).distinct()
-        frontier = step.join(reached.select("seed", "entity_id"), ["seed", "entity_id"], "left_anti").withColumn("hop", F.lit(hop))
-        if hop < hops:
-            frontier = materialize(frontier, "frontier")
+        step = frontier.select("entity_id", "word", "bits").join(both, "entity_id").groupBy(F.col("next").alias("entity_id"), "word").agg(F.bit_or("bits").alias("bits"))
+        seen = reached.groupBy("entity_id", "word").agg(F.bit_or("bits").alias("seen"))
+        fresh = step.join(seen, ["entity_id", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0)))))
+        frontier = materialize(fresh.filter("bits <> 0").select("entity_id", "word", "bits", F.lit(hop).alias("hop")), "frontier")
         reached = reached.unionByName(frontier)
-    return reached
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit("bits", i) == 1)
+    rows = reached.select("entity_id", "hop", "word", F.explode(places).alias("bit")).withColumn("pos", F.col("word") * WORD + F.col("bit"))
+    return rows.join(known, "pos").select("seed", "entity_id", "hop")

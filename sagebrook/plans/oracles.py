@@ -552,6 +552,10 @@ UNION ALL SELECT 'difficulty', lower(difficulty), count(*), count(*) FILTER (pas
         "khop_2": _with(*ee, all_edges, """both_ AS (SELECT source_entity_id AS x, target_entity_id AS y FROM edges_ WHERE lifecycle_state = 'TRUSTED' UNION SELECT target_entity_id, source_entity_id FROM edges_ WHERE lifecycle_state = 'TRUSTED'),
 walk AS (SELECT s AS seed, s AS entity_id, 0 AS hop FROM (VALUES ('Region:2'), ('Supplier:3')) AS v(s) UNION SELECT seed, y, hop + 1 FROM walk JOIN both_ ON x = entity_id WHERE hop < 2)""", recursive=True)
         + "SELECT seed, entity_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2",
+        "khop_suppliers": _with(*ee, """both_ AS (SELECT source_entity_id AS x, target_entity_id AS y FROM edg WHERE lifecycle_state = 'TRUSTED' AND relationship_type <> 'SUPPLIES'
+  UNION SELECT target_entity_id, source_entity_id FROM edg WHERE lifecycle_state = 'TRUSTED' AND relationship_type <> 'SUPPLIES'),
+walk AS (SELECT 'Supplier:' || s_suppkey AS seed, 'Supplier:' || s_suppkey AS entity_id, 0 AS hop FROM supplier UNION SELECT seed, y, hop + 1 FROM walk JOIN both_ ON x = entity_id WHERE hop < 2)""", recursive=True)
+        + "SELECT seed, hop, count(*) AS n FROM (SELECT seed, entity_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2) GROUP BY 1, 2",
         "insert_entities": _with(e) + """, fresh AS (SELECT 'Customer:' || (c_custkey + 500) AS id FROM customer)
 SELECT entity_type, lifecycle_state, count(*) AS n, round(sum(confidence), 4) AS confidence FROM (SELECT entity_type, lifecycle_state, confidence FROM ent
   UNION ALL SELECT 'Customer', 'STAGING', 0.95::DOUBLE FROM fresh WHERE id NOT IN (SELECT entity_id FROM ent)) GROUP BY 1, 2""",

@@ -252,6 +252,27 @@ def test_levels(spark, confidence, level):
     assert spark.range(1).select(retrieval.confidence_level(F.lit(confidence)).alias("x")).first()["x"] == level
 
 
+def test_k_hop_of_many_seeds(spark):
+    """More seeds than a word has bits, a hub, loops, seeds without edges and seeds given twice."""
+    rng = np.random.default_rng(5)
+    pairs = [(f"n{rng.integers(0, 150)}", f"n{rng.integers(0, 150)}") for _ in range(160)] + [("hub", f"n{i}") for i in range(0, 150, 3)] + [("n1", "n1")]
+    edges = spark.createDataFrame([(a, b, "TRUSTED") for a, b in pairs] + [("n1", "far", "STAGING")], "source_entity_id string, target_entity_id string, lifecycle_state string")
+    seeds = [f"n{i}" for i in range(140)] + ["hub", "hub", "alone"]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for s in set(seeds):
+        hops, frontier = {s: 0}, {s}
+        for hop in (1, 2, 3):
+            frontier = {n for x in frontier for n in near.get(x, ())} - set(hops)
+            hops.update(dict.fromkeys(frontier, hop))
+        want |= {(s, n, h) for n, h in hops.items()}
+    got = graph.k_hop(edges, spark.createDataFrame([(s,) for s in seeds], "entity_id string"), 3).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_k_hop(spark, edges):
     chain = spark.createDataFrame([(str(i), str(i), str(i + 1), "X", 0.5, "TRUSTED") for i in range(4)], R)
     seeds = spark.createDataFrame([("1",)], "entity_id string")
