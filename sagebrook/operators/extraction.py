@@ -35,31 +35,46 @@ class Extractor(Protocol):
 
 
 class PatternExtractor:
-    """The default: names by their endings, relationships by verbs between two names."""
+    """The default: names by their endings or the words before them, relationships by verbs
+    between two names; all types are among them."""
 
     prompted = False
-    NAMES = re.compile(r"\b([A-Z][A-Za-z]*(?:Service|Team|DB|Cache|Queue))\b")
-    KINDS = {"Service": "Service", "Team": "Team", "DB": "Database", "Cache": "Cache", "Queue": "Queue"}
-    VERBS = {"owns": "OWNS", "depends on": "DEPENDS_ON", "calls": "CALLS", "supports": "SUPPORTS"}
+    #: Endings and numbers of names, and what they say; people are named after a role or a title.
+    NAMES = re.compile(
+        r"\b(?:([A-Z][A-Za-z]*(?:Service|Component|Team|Database|DB|Cache|Queue))|(INC-[0-9]+)"
+        r"|(?:(?:[Ee]ngineer|[Mm]anager|[Ll]ead|[Oo]wner|[Dd]eveloper|Dr|Mr|Ms)\.? )([A-Z][a-z]+(?: [A-Z][a-z]+)?))\b"
+    )
+    KINDS = {"Service": "Service", "Component": "Component", "Team": "Team", "Database": "Database", "DB": "Database", "Cache": "Cache", "Queue": "Queue"}
+    VERBS = {
+        "owns": "OWNS", "depends on": "DEPENDS_ON", "relies on": "DEPENDS_ON", "calls": "CALLS", "supports": "SUPPORTS", "is a member of": "MEMBER_OF",
+        "belongs to": "MEMBER_OF", "was caused by": "CAUSED_BY", "is caused by": "CAUSED_BY", "affects": "AFFECTS", "affected": "AFFECTS",
+    }
 
     def _sentences(self, text: str) -> list[str]:
         return [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
 
-    def entities(self, text: str) -> list[tuple[str, str, float, str]]:
+    def _named(self, sentence: str) -> list[tuple[str, str, int, int]]:
+        """(name, type, start, end) of the names in a sentence."""
         out = []
-        for sentence in self._sentences(text):
-            for name in self.NAMES.findall(sentence):
-                kind = next(v for k, v in self.KINDS.items() if name.endswith(k))
-                out.append((name, kind, 0.8, sentence))
+        for m in self.NAMES.finditer(sentence):
+            at = next(i for i in (1, 2, 3) if m[i])
+            kind = "Incident" if at == 2 else "Person" if at == 3 else next(v for k, v in self.KINDS.items() if m[1].endswith(k))
+            out.append((m[at], kind, m.start(at), m.end(at)))
         return out
 
+    def entities(self, text: str) -> list[tuple[str, str, float, str]]:
+        return [(name, kind, 0.8, sentence) for sentence in self._sentences(text) for name, kind, _, _ in self._named(sentence)]
+
     def relationships(self, text: str, names: list[str]) -> list[tuple[str, str, str, float, str]]:
         out, known = [], set(names)
         for sentence in self._sentences(text):
-            for verb, kind in self.VERBS.items():
-                for m in re.finditer(rf"\b(\w+) {verb} (?:the )?(\w+)", sentence):
-                    if m[1] in known and m[2] in known:
-                        out.append((m[1], kind, m[2], 0.7, sentence))
+            places = re.finditer(r"(?<!\w)(" + "|".join(sorted(map(re.escape, known), key=len, reverse=True)) + r")(?!\w)", sentence) if known else ()
+            found = [(m[1], m.start(), m.end()) for m in places]
+            for (a, _, end), (b, start, _) in zip(found, found[1:]):
+                between = re.fullmatch(r" (.+?) (?:the |a |an )?(?:[a-z]+ )?", sentence[end:start])
+                kind = between and self.VERBS.get(between[1])
+                if kind:
+                    out.append((a, kind, b, 0.7, sentence))
         return out
 
 

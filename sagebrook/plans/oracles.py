@@ -556,6 +556,23 @@ walk AS (SELECT s AS seed, s AS entity_id, 0 AS hop FROM (VALUES ('Region:2'), (
   UNION SELECT target_entity_id, source_entity_id FROM edg WHERE lifecycle_state = 'TRUSTED' AND relationship_type <> 'SUPPLIES'),
 walk AS (SELECT 'Supplier:' || s_suppkey AS seed, 'Supplier:' || s_suppkey AS entity_id, 0 AS hop FROM supplier UNION SELECT seed, y, hop + 1 FROM walk JOIN both_ ON x = entity_id WHERE hop < 2)""", recursive=True)
         + "SELECT seed, hop, count(*) AS n FROM (SELECT seed, entity_id, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2) GROUP BY 1, 2",
+        "ingest_documents": _with(*ee, ROUNDS, """
+cml AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), '') AS c FROM part),
+lst AS (SELECT max(p_partkey) AS last FROM part),
+rpt AS (SELECT a.c AS a, b.c AS b, c.c AS c FROM documents, lst JOIN cml a ON a.p_partkey = doc_id % last + 1 JOIN cml b ON b.p_partkey = doc_id * 3 % last + 1 JOIN cml c ON c.p_partkey = doc_id * 7 % last + 1)""")
+        + """SELECT 'entity' AS kind, entity_type AS type, state AS lifecycle_state, count(*) AS n FROM ended JOIN ent USING (entity_id) GROUP BY 1, 2, 3
+UNION ALL SELECT 'entity', 'Team', 'STAGING', count(DISTINCT a) FROM rpt UNION ALL SELECT 'entity', 'Service', 'STAGING', count(DISTINCT b) FROM rpt UNION ALL SELECT 'entity', 'Database', 'STAGING', count(DISTINCT c) FROM rpt
+UNION ALL SELECT 'edge', relationship_type, lifecycle_state, count(*) FROM edg GROUP BY 1, 2, 3
+UNION ALL SELECT 'edge', 'OWNS', 'STAGING', count(DISTINCT (a, b)) FROM rpt UNION ALL SELECT 'edge', 'DEPENDS_ON', 'STAGING', count(DISTINCT (b, c)) FROM rpt""",
+        "name_mentions": _with(_asked(), """
+nms AS (SELECT DISTINCT translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS name FROM (
+  SELECT regexp_extract(text, '^\\S+\\s+\\S+\\s+\\S+') AS name FROM benchmark UNION ALL SELECT p_name FROM part UNION ALL SELECT n_name FROM nation) WHERE name <> ''),
+txt AS (SELECT document_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM (
+  SELECT 'd-' || doc_id AS document_id, text FROM documents UNION ALL SELECT 'q-' || query_id, query FROM qsts)),
+met AS (SELECT document_id, name, t, string_split(t, name) AS gaps FROM txt JOIN nms ON contains(t, name)),
+plc AS (SELECT document_id, name, t, unnest(list_transform(range(1, len(gaps)), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * length(name))) AS s FROM met)""")
+        + """SELECT document_id, name, CAST(s AS INTEGER) AS start, CAST(s + length(name) AS INTEGER) AS end FROM plc
+WHERE NOT regexp_matches(substr(t, CAST(s AS BIGINT), 1), '^[a-z0-9]$') AND NOT regexp_matches(substr(t, CAST(s + length(name) + 1 AS BIGINT), 1), '^[a-z0-9]$') OR (s = 0 AND NOT regexp_matches(substr(t, length(name) + 1, 1), '^[a-z0-9]$'))""",
         "insert_entities": _with(e) + """, fresh AS (SELECT 'Customer:' || (c_custkey + 500) AS id FROM customer)
 SELECT entity_type, lifecycle_state, count(*) AS n, round(sum(confidence), 4) AS confidence FROM (SELECT entity_type, lifecycle_state, confidence FROM ent
   UNION ALL SELECT 'Customer', 'STAGING', 0.95::DOUBLE FROM fresh WHERE id NOT IN (SELECT entity_id FROM ent)) GROUP BY 1, 2""",

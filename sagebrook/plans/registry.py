@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, vector
 from ..functions import text as text_
-from ..operators import folds, graph, lifecycle, lineage, listing, memory, resolution, retrieval, scoring, wiki
+from ..operators import folds, graph, lifecycle, lineage, listing, memory, mentions, resolution, retrieval, scoring, wiki
 from ..operators import rules as rules_
 from ..sources import sinks
 from ..sources.fixtures import AS_OF, Tables
@@ -554,14 +554,34 @@ def _settled(result: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _reports(t: Tables) -> DataFrame:
+    """Documents after a line about three parts: who owns what, and what that depends on."""
+    last = t.raw("part").agg(F.max("p_partkey").alias("last"))
+    rows = t.raw("documents").select("doc_id", "text").join(F.broadcast(last))
+    for name, times in (("a", 1), ("b", 3), ("c", 7)):
+        part = t.raw("part").select(F.col("p_partkey").alias(f"k{name}"), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")).alias(name))
+        rows = rows.withColumn(f"k{name}", F.col("doc_id") * times % F.col("last") + 1).join(part, f"k{name}")
+    line = F.concat(F.lit("The "), "a", F.lit("Team owns the "), "b", F.lit("Service. "), "b", F.lit("Service depends on the "), "c", F.lit("DB.\n"), "text")
+    return rows.select(F.col("doc_id").cast("string").alias("document_id"), line.alias("text"))
+
+
 @_query
 def ingest_documents(t):
-    docs = t.raw("documents").select(
-        F.col("doc_id").cast("string").alias("document_id"),
-        F.concat(F.lit("The AlphaTeam owns the PayService. PayService uses the LedgerDB. PayService depends on the LedgerDB. "), "text").alias("text"),
-    )
-    out = pipeline.ingest(docs, t.entities, t.edges, as_of())
-    return _settled(out["entities"].groupBy("entity_type", "lifecycle_state").agg(F.count(F.lit(1)).alias("n")), out)
+    out = pipeline.ingest(_reports(t), t.entities, t.edges, as_of())
+    count = F.count(F.lit(1)).alias("n")
+    entities = out["entities"].groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("type"), "lifecycle_state").agg(count)
+    edges = out["edges"].groupBy(F.lit("edge").alias("kind"), F.col("relationship_type").alias("type"), "lifecycle_state").agg(count)
+    return _settled(entities.unionByName(edges), out)
+
+
+@_query
+def name_mentions(t):
+    """Where documents and questions mention parts, nations, or the first words of benchmark items."""
+    first = t.raw("benchmark").select(F.regexp_extract("text", r"^\S+\s+\S+\s+\S+", 0).alias("name"))
+    names = first.union(t.raw("part").select("p_name")).union(t.raw("nation").select("n_name"))
+    texts_ = t.raw("documents").select(F.concat(F.lit("d-"), "doc_id").alias("document_id"), "text")
+    asked_ = t.questions.select(F.concat(F.lit("q-"), "query_id").alias("document_id"), F.col("query").alias("text"))
+    return mentions.mentions(texts_.union(asked_), names)
 
 
 def _bundle(t: Tables) -> DataFrame:

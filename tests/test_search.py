@@ -119,3 +119,36 @@ def test_cells_out_of_reach_are_not_searched(spark):
     visits = asked.mapInArrow(nearest._visits(table.pivots, table.cells, table.parts, 5, False, False), "query_id int, vector array<double>, cell int, part int")
     seen = sum(table.cells[r["cell"]][0] for r in visits.select("cell").collect())
     assert seen < 1000 and len(table.cells) > 8
+
+
+def test_mentions_in_blocks(spark):
+    """Whole words, overlaps, letters of two bytes, names in one automaton or in several."""
+    from sagebrook.operators import mentions
+
+    names = ["Blue Bolt", "bolt", "BOLT gear", "é", "x-1", "", None, "blue bolt"]
+    rows = [(1, "A blue bolt gear, bolts; BOLT"), (2, "é Blue\nBolt xx-1 x-1."), (3, None), (4, ""), (5, "bolté boltz 1bolt")]
+    texts = spark.createDataFrame(rows, "document_id int, text string")
+    want = {(1, "blue bolt", 2, 11), (1, "bolt", 7, 11), (1, "bolt gear", 7, 16), (1, "bolt", 25, 29), (2, "é", 0, 1), (2, "bolt", 7, 11), (2, "x-1", 17, 20), (5, "bolt", 0, 4), (5, "é", 4, 5)}
+    # A letter outside A-Z ends a word; one inside does not.
+    want -= {(5, "é", 4, 5)}
+    for most in (200_000, 2):
+        got = {tuple(r) for r in mentions.mentions(texts, spark.createDataFrame([(n,) for n in names], "name string"), most=most).collect()}
+        assert got == want
+
+
+def test_default_extractor_knows_all_types():
+    from sagebrook.operators.extraction import ENTITY_TYPES, RELATIONSHIP_TYPES, PatternExtractor
+
+    text = (
+        "The PayTeam owns the PayService. PayService depends on the LedgerDB! ApiService calls PayService. CoreComponent supports the PayService.\n"
+        "Engineer Ada Byron is a member of the PayTeam. INC-42 was caused by the EventQueue. INC-42 affects the HotCache. Dr Grace wrote it."
+    )
+    model = PatternExtractor()
+    found = {(n, k) for n, k, _, _ in model.entities(text)}
+    assert {k for _, k in found} == set(ENTITY_TYPES) and ("Ada Byron", "Person") in found and ("Grace", "Person") in found
+    links = {(a, k, b) for a, k, b, _, _ in model.relationships(text, [n for n, _ in found])}
+    assert links == {
+        ("PayTeam", "OWNS", "PayService"), ("PayService", "DEPENDS_ON", "LedgerDB"), ("ApiService", "CALLS", "PayService"), ("CoreComponent", "SUPPORTS", "PayService"),
+        ("Ada Byron", "MEMBER_OF", "PayTeam"), ("INC-42", "CAUSED_BY", "EventQueue"), ("INC-42", "AFFECTS", "HotCache"),
+    }
+    assert {k for _, k, _ in links} == set(RELATIONSHIP_TYPES)
