@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import CONFIG, Config
 from ..sources.stored import materialize
 
@@ -139,6 +140,20 @@ def feedback_by_response(
     return fold(entities, changes, config), judged.filter("error is not null").select("feedback_id", "response_id", "error")
 
 
+def feedback_records(records: DataFrame, responses: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The rows to store of feedback (feedback_id, response_id, judgment, human_correction, severity,
+    created_at), in the columns of the feedback table: what was asked and answered, and the entities
+    of the response's bundle, null where it has none.
+
+    Feedback on unknown responses, with an unknown judgment or an unknown severity makes no row.
+    """
+    held = responses.select("response_id", "bundle_id", "query_text", F.col("answer").alias("response_text"))
+    involved = bundles.select("bundle_id", F.array_distinct("entity_ids").alias("entities_involved"))
+    found = records.join(held, "response_id").join(involved, "bundle_id", "left").withColumn("id", F.col("feedback_id").cast("string"))
+    found = found.withColumn("entities_involved", F.when(F.size("entities_involved") > 0, F.col("entities_involved")))
+    return schemas.conform(found.filter(schemas.valid("feedback")), "feedback")
+
+
 def invalid_feedback(records: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Records whose judgment is not one of the known ones."""
     return records.filter(F.col("judgment").isNull() | ~F.col("judgment").isin(*[n for n, _ in config.feedback_deltas]))

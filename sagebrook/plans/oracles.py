@@ -487,6 +487,10 @@ ORDER BY access_count, last_accessed NULLS FIRST, entity_id LIMIT 100""",
         "feedback_by_response": _with(e, _fold("""j AS (SELECT event_id, ts, CAST(CASE event_type WHEN 'purchase' THEN 0.03 WHEN 'error' THEN -0.05 WHEN 'click' THEN -0.02 WHEN 'view' THEN 0 END AS DOUBLE) AS delta, event_id % 500 AS b FROM events WHERE event_id % 7 <> 0),
 chg AS (SELECT 'Customer:' || b AS entity_id, ts AS s1, event_id AS s2, delta FROM j WHERE b < 400 UNION ALL SELECT 'Supplier:' || (b % 10), ts, event_id, delta FROM j WHERE b < 400)"""), recursive=True)
         + "SELECT entity_id, s AS lifecycle_state, round(c, 6) AS confidence, n_changes FROM folded",
+        "feedback_records": """SELECT CAST(event_id AS VARCHAR) AS id, 'b' || (event_id % 500) AS bundle_id, 'what did ' || user_id || ' do?' AS query_text, event_type AS response_text,
+  CASE event_type WHEN 'purchase' THEN 'correct' WHEN 'error' THEN 'incorrect' WHEN 'click' THEN 'partial' ELSE 'uncertain' END AS judgment, CASE WHEN event_id % 3 = 0 THEN 'major' END AS severity,
+  CASE WHEN event_id % 500 < 400 THEN 'Customer:' || (event_id % 500) || ',Supplier:' || (event_id % 500 % 10) END AS entities
+FROM events WHERE event_type <> 'signup' AND event_id % 7 <> 0 AND event_id % 3 <> 1""",
         "feedback_errors": """SELECT event_id AS feedback_id, CASE WHEN event_id % 7 = 0 THEN 'none' ELSE 'r' || event_id END AS response_id,
   CASE WHEN event_type = 'signup' THEN 'unknown judgment' ELSE 'unknown response' END AS error FROM events WHERE event_type = 'signup' OR event_id % 7 = 0 OR event_id % 500 >= 400""",
         "fileback_fold": _with(e, _fold("""resp AS (SELECT event_id, user_id, CAST(CASE WHEN event_id % 10 / 10.0 < 0.4 THEN -0.02 ELSE 0.01 END AS DOUBLE) AS delta FROM events),

@@ -337,6 +337,14 @@ def feedback_by_response(t):
     return out.filter("n_changes > 0").select("entity_id", "lifecycle_state", F.round("confidence", 6).alias("confidence"), "n_changes")
 
 
+@_query
+def feedback_records(t):
+    severity = F.when(F.col("feedback_id") % 3 == 0, F.lit("major")).when(F.col("feedback_id") % 3 == 1, F.lit("unheard of"))
+    given = t.response_feedback.withColumns({"human_correction": F.lit(None).cast("string"), "severity": severity})
+    rows = folds.feedback_records(given, t.responses, t.bundles)
+    return rows.select("id", "bundle_id", "query_text", "response_text", "judgment", "severity", F.array_join("entities_involved", ",").alias("entities"))
+
+
 @_query
 def feedback_errors(t):
     return folds.feedback_by_response(t.entities, t.response_feedback, t.responses, t.bundles)[1]

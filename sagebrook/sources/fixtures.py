@@ -202,7 +202,8 @@ class Tables:
     def responses(self) -> DataFrame:
         """An answer for every event; its bundle is one of 500 ids."""
         return self.raw("events").select(
-            F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response_id"), F.concat(F.lit("b"), (F.col("event_id") % 500).cast("string")).alias("bundle_id")
+            F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("response_id"), F.concat(F.lit("b"), (F.col("event_id") % 500).cast("string")).alias("bundle_id"),
+            F.concat(F.lit("what did "), F.col("user_id").cast("string"), F.lit(" do?")).alias("query_text"), F.col("event_type").alias("answer"),
         )
 
     @cached_property
