@@ -588,9 +588,9 @@ def test_prompts_and_reasoners(spark, sf_dir):
     t = Tables(spark, sf_dir)
     parts = pipeline.context(registry.asked(t), t.entities, t.edges, t.chunks, t.rules, t.sessions)
     prompted = pipeline.prompts(registry.asked(t), parts, t.chunks)
-    text = prompted.filter("query_id = 1").first()["prompt"]
+    text = prompted.filter("query_id = 100").first()["prompt"]
     assert text.startswith("# Question") and "## Entities" in text and "## Documents" in text
-    got = pipeline.answers(prompted, Echo()).filter("query_id = 1").first()
+    got = pipeline.answers(prompted, Echo()).filter("query_id = 100").first()
     assert (got["answer"], got["confidence_level"]) == ("seen", "high")
 
 
