@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Every round is two aggregations by node that combine before the shuffle and two joins that
-Spark may split where a node is hot; no neighbour list is ever gathered.
+Spark may split where a node is hot; no neighbour list is ever gathered.  The rounds end with
+the first whose edges are stars.
 """
 
 from __future__ import annotations
@@ -9,62 +10,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import NARROW_ROWS, discard, materialize
 
 #: More rounds than any graph needs: the method ends after O(log n) of them.
 MAX_ROUNDS = 60
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-    ).first()
-    return row["n"], row["s"]
+def _settled(edges: DataFrame) -> bool:
+    """Whether ``edges`` (u, v) are stars: every u has one v, and no v is a u."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(
+        F.min("e.to").alias("lo"), F.max("e.to").alias("hi"), F.max(F.col("e.to").isNull()).alias("below")
+    )
+    return nodes.filter("lo < hi or (lo is not null and below)").count() == 0
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, few: bool) -> DataFrame:
+    """A large star and a small star.  ``few``: the least neighbours of all nodes may be
+    sent to every executor, which spares the shuffles of the edges."""
+    sent = F.broadcast if few else lambda df: df
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.filter(F.col("v") > F.col("u"))
-        .join(least, "u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .filter("u <> v")
-        .distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # Both stars have a row for each edge at most, so one distinct at the end will do.
+    down = both.filter(F.col("v") > F.col("u")).join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = down.join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the least node reachable from every node of ``edges`` (u, v).
+def stars(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(u, v), a stored table: the least node v reachable from every other node u of ``edges`` (u, v).
 
     Self-links and repeated links change nothing; null ends are ignored; without links the
     result is empty.
     """
     now = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .filter("u is not null and v is not null and u <> v")
-        .distinct(),
+        .filter("u is not null and v is not null and u <> v"),
         name,
     )
-    was = _checksum(now)
-    for _ in range(MAX_ROUNDS):
-        if not was[0]:
-            break
-        before, now = now, materialize(_small_star(_large_star(now)), name)
+    n = now.count()
+    for _ in range(MAX_ROUNDS if n else 0):
+        before, now = now, materialize(_round(now, 2 * n <= NARROW_ROWS), name)
         discard(before)
-        is_now = _checksum(now)
-        if is_now == was:
+        if _settled(now):
             break
-        was = is_now
     else:
-        raise RuntimeError("components did not settle")
-    rooted = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if n:
+            raise RuntimeError("components did not settle")
+    return now
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(node, component): the least node reachable from every node of ``edges`` (u, v)."""
+    rooted = stars(edges, name).select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = rooted.select(F.col("component").alias("node"), "component").distinct()
     return rooted.union(roots)

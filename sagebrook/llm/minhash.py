@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import arrow_limits, batched, discard, materialize, narrow, table
-from .components import components
+from .components import stars
 
 M = 14
 A = 2
@@ -182,11 +182,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _parted(reps: DataFrame, found: DataFrame) -> DataFrame:
-    """``reps`` with the component of each, as ``part``."""
-    nodes = found.select(F.col("node").alias("rep"), "component")
+    """``reps`` with the component of each, as ``part``; ``found`` holds those of other nodes than its least."""
+    nodes = found.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     return reps.join(narrow(nodes), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
 
 
+def _lifted(links: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` and ``links`` (u, v), each between the components of its ends."""
+    for end in ("u", "v"):
+        to = narrow(found.select(F.col("u").alias(end), F.col("v").alias("to")))
+        links = links.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return found.select("u", "v").union(links.select("u", "v"))
+
+
 def _mixed(rows: DataFrame, name: str) -> DataFrame:
     """Rows of the sub-keys (i, k) that more than one component has."""
     several = rows.groupBy("i", "k").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1")
@@ -457,7 +465,7 @@ def near_duplicates(
     sets = sets_of(met)
     first = judged = materialize(_verify(star, sets, percent), f"{name}-star")
     links = judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    found = materialize(components(links, f"{name}-parts"), f"{name}-found")
+    found = stars(links, f"{name}-parts")
     discard(star, met, sets)
 
     # All tables: classes that still share sub-keys of both collections with other components.
@@ -479,8 +487,9 @@ def near_duplicates(
     star = star.select(F.least("rep", "y_rep").alias("x"), F.greatest("rep", "y_rep").alias("y")).distinct()
     star = materialize(star.join(judged.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
     second = materialize(_verify(star, sets, percent), f"{name}-star")
-    links = links.union(second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
-    found = materialize(components(links, f"{name}-parts"), f"{name}-found")
+    links = second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    before, found = found, stars(_lifted(links, found), f"{name}-parts")
+    discard(before)
     # Then the classes still apart, with those of their groups' other components, by blocks.
     open_ = _reopen(hopeful, found, f"{name}-open")
     more = materialize(_blocked(open_, sets, percent, name), f"{name}-rest")
@@ -492,12 +501,12 @@ def near_duplicates(
         .join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
         .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     )
-    found = components(links.union(more).union(same), f"{name}-parts").withColumnRenamed("node", "rep")
-    found = materialize(found, f"{name}-found")
-    discard(first, second, more)
+    before, found = found, stars(_lifted(more.union(same), found), f"{name}-parts")
+    discard(before, first, second, more)
 
     # Copies follow their class.
-    where = classes.select("n", "d1", "d2", "rep").join(found, "rep", "left").select(
+    ends = found.select(F.col("u").alias("rep"), F.col("v").alias("component"))
+    where = classes.select("n", "d1", "d2", "rep").join(ends, "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component")
     )
     joined = sketch.select("doc_id", "n", "d1", "d2").join(where, ["n", "d1", "d2"], "left")

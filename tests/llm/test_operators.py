@@ -168,6 +168,20 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_components_stop_at_stars(spark, monkeypatch, bound):
+    """One round settles what one round can settle, with what is sent to all or shuffled."""
+    made = []
+    monkeypatch.setattr(components, "NARROW_ROWS", bound, raising=False)
+    monkeypatch.setattr(components, "materialize", lambda *a: made.append(a) or common.materialize(*a))
+    pairs = [(0, i) for i in range(1, 40)] + [(i, 0) for i in range(5)] + [(50, 51), (52, 51), (None, 7)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert found == {i: 0 for i in range(40)} | {i: 50 for i in (50, 51, 52)}
+    assert len(made) == 2
+    chain = [(i, i + 1) for i in range(60)]
+    assert {r["component"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()} == {0}
+
+
 # 3
 
 
