@@ -28,14 +28,20 @@ def _settled(edges: DataFrame) -> bool:
 def _round(edges: DataFrame, few: bool) -> DataFrame:
     """A large star and a small star.  ``few``: the least neighbours of all nodes may be
     sent to every executor, which spares the shuffles of the edges."""
-    sent = F.broadcast if few else lambda df: df
+    # Few rows need no more tasks and files than there are cores, whatever the number of shuffle partitions.
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df.coalesce(cores)) if few else df
+
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # Both stars have a row for each edge at most, so one distinct at the end will do.
     down = both.filter(F.col("v") > F.col("u")).join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     hung = down.join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    out = hung.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return out.coalesce(cores) if few else out
 
 
 def stars(edges: DataFrame, name: str = "components") -> DataFrame:

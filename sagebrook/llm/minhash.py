@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import arrow_limits, batched, discard, materialize, narrow, table
+from .common import NARROW_ROWS, arrow_limits, batched, discard, materialize, narrow, table
 from .components import stars
 
 M = 14
@@ -158,27 +158,44 @@ def _confirm(percent: int):
     return run
 
 
-def _star(classes: DataFrame, name: str) -> DataFrame:
-    """(x, y): every class of a bucket of the tables (i, i) with the bucket's least class."""
+def _sent(df: DataFrame, most: int, name: str) -> DataFrame:
+    """``df`` as the small side of a join.  It has at most ``most`` rows: if so many may be
+    broadcast, it is neither stored nor counted before."""
+    if most <= NARROW_ROWS:
+        return F.broadcast(df)
+    kept = materialize(df, name)
+    side = narrow(kept)
+    side._stored_at = kept._stored_at
+    return side
+
+
+def _ids(reps: DataFrame, most: int, name: str) -> DataFrame:
+    """The right side of a semi join, where repeated ids do no harm while they are few."""
+    return _sent(reps if most <= NARROW_ROWS else reps.distinct(), most, name)
+
+
+def _star(classes: DataFrame, most: int, percent: int, name: str) -> DataFrame:
+    """(x, y): every class of a bucket of the tables (i, i) with the bucket's least class, if
+    their sizes allow a link; there are at most ``most`` buckets of several."""
     both = F.arrays_zip("a", "b")
-    rows = classes.select("rep", F.posexplode(both).alias("i", "p")).select(
-        F.xxhash64("i", "p.a", "p.b").alias("key"), "rep"
+    rows = classes.select("rep", "n", F.posexplode(both).alias("i", "p")).select(
+        F.xxhash64("i", "p.a", "p.b").alias("key"), "rep", "n"
     )
-    least = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("x"))
-    # A table of its own, so that the join's sides are plain and a hot bucket can be split.
-    least = materialize(least.filter("c > 1").select("key", "x"), f"{name}-least")
-    return rows.join(narrow(least), "key").filter("rep <> x").select("x", F.col("rep").alias("y")).distinct()
+    least = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("x"), F.min_by("n", "rep").alias("x_n"))
+    # If it is large, a table of its own, so that the join's sides are plain and a hot bucket can be split.
+    least = _sent(least.filter("c > 1").select("key", "x", "x_n"), most, f"{name}-least")
+    met = rows.join(least, "key").filter(f"rep <> x and 100 * x_n >= {percent} * n and 100 * n >= {percent} * x_n")
+    return met.select("x", F.col("rep").alias("y")).distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y, linked) for candidate pairs (x, y)."""
+    """(x, y, linked) for candidate pairs (x, y), for each of the texts of x and y."""
     loaded = (
         pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("s").alias("sx")), "x")
         .join(sets.select(F.col("doc_id").alias("y"), F.col("s").alias("sy")), "y")
         .select("x", "y", "sx", "sy")
     )
-    judged = batched(loaded, _confirm(percent), "x long, y long, linked boolean")
-    return judged.groupBy("x", "y").agg(F.max("linked").alias("linked"))
+    return batched(loaded, _confirm(percent), "x long, y long, linked boolean")
 
 
 def _parted(reps: DataFrame, found: DataFrame) -> DataFrame:
@@ -195,32 +212,29 @@ def _lifted(links: DataFrame, found: DataFrame) -> DataFrame:
     return found.select("u", "v").union(links.select("u", "v"))
 
 
-def _mixed(rows: DataFrame, name: str) -> DataFrame:
-    """Rows of the sub-keys (i, k) that more than one component has."""
+def _mixed(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows of the sub-keys (i, k) that more than one component has, at most ``most`` sub-keys."""
     several = rows.groupBy("i", "k").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 < p1")
-    several = materialize(several.select("i", "k"), f"{name}-several")
-    return materialize(rows.join(narrow(several), ["i", "k"]), f"{name}-mixed")
+    return materialize(rows.join(_sent(several.select("i", "k"), most, f"{name}-several"), ["i", "k"]), f"{name}-mixed")
 
 
-def _open(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+def _open(classes: DataFrame, n: int, m: int, found: DataFrame, name: str) -> DataFrame:
     """(rep, n, part, i, k): the sub-keys of the first collection that another component
-    shares, of the classes that share one of the second collection too."""
+    shares, of the classes that share one of the second collection too.  There are ``n``
+    classes with ``m`` sub-keys of either collection."""
     placed = _parted(classes.select("rep", "n", "a", "b"), found)
-    first = _mixed(placed.select("rep", "n", "part", F.posexplode("a").alias("i", "k")), name)
-    some = materialize(first.select("rep").distinct(), f"{name}-some")
+    first = _mixed(placed.select("rep", "n", "part", F.posexplode("a").alias("i", "k")), n * m // 2, name)
+    rows = first.count()
+    some = _ids(first.select("rep"), rows, f"{name}-some")
     second = _mixed(
-        placed.join(narrow(some), "rep", "left_semi").select("rep", "part", F.posexplode("b").alias("i", "k")), name
+        placed.join(some, "rep", "left_semi").select("rep", "part", F.posexplode("b").alias("i", "k")), min(n, rows) * m // 2, name
     )
-    both = materialize(second.select("rep").distinct(), f"{name}-some")
-    out = _mixed(first.join(narrow(both), "rep", "left_semi"), name)
+    both = _ids(second.select("rep"), second.count(), f"{name}-some")
+    out = _mixed(first.join(both, "rep", "left_semi"), rows // 2, name)
     discard(first, some, second, both)
     return out
 
 
-def _reopen(open_: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    return _mixed(_parted(open_.drop("part"), found), name)
-
-
 def _tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
     ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
@@ -234,10 +248,11 @@ def _lone(sets: DataFrame) -> DataFrame:
     return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
 
-def _hopeful(open_: DataFrame, percent: int, name: str) -> DataFrame:
-    """Open rows of classes that can still link with a class of the sizes in their groups."""
-    least = materialize(open_.groupBy("i", "k").agg(F.min("n_min").alias("s")), f"{name}-sizes")
-    per_rep = open_.join(narrow(least), ["i", "k"]).groupBy("rep").agg(F.min("s").alias("s"))
+def _hopeful(open_: DataFrame, most: int, percent: int, name: str) -> DataFrame:
+    """Of ``most`` open rows those of classes that can still link with a class of the sizes in
+    their groups."""
+    least = _sent(open_.groupBy("i", "k").agg(F.min("n_min").alias("s")), most, f"{name}-sizes")
+    per_rep = _sent(open_.join(least, ["i", "k"]).groupBy("rep").agg(F.min("s").alias("s")), most, f"{name}-sizes")
     both = "(n_max - u)"
     possible = f"100 * {both} >= {percent} * (n_min + greatest(s, {both}) - {both})"
     return open_.join(per_rep, "rep").filter(f"texts > 1 or {possible}").drop("s")
@@ -373,7 +388,7 @@ def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
     block = F.when(main, F.col("r") + F.pmod(spread, F.col("d"))).otherwise(F.pmod(spread, F.col("r"))).cast("int")
     last = F.when(main, F.col("r") - 1).otherwise(F.col("r") + F.col("d") - 1)
     return (
-        members.join(groups, GROUP)
+        members.join(narrow(groups), GROUP)
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
         .select(
@@ -383,8 +398,11 @@ def _dealt(members: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def _blocked(open_: DataFrame, sets: DataFrame, percent: int, name: str, block: int = BLOCK, cut: int = CUT) -> DataFrame:
-    """Links (u, v) among open classes in different components.
+def _blocked(
+    open_: DataFrame, sets: DataFrame, percent: int, name: str, block: int = BLOCK, cut: int = CUT, once: bool = False
+) -> DataFrame:
+    """Links (u, v) among open classes in different components; ``once``: every class has one
+    text, and so is there once under a sub-key.
 
     The classes that agree on a sub-key of the first collection are a group; a large one is
     cut by the sub-keys of the second.  A group's largest component is dealt into blocks, and
@@ -392,25 +410,27 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int, name: str, block:
     other block, so a task never holds more than two blocks of a group, a set is sent once for
     each block of the rest, and only links come out.
     """
-    members = materialize(
-        open_.groupBy("i", "k", "rep", "part").agg(F.max("n").alias("n")).select("i", "k", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("l"), "rep", "part", "n"),
-        f"{name}-members",
-    )
+    members = open_ if once else open_.groupBy("i", "k", "rep", "part").agg(F.max("n").alias("n"))
+    members = members.select("i", "k", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("l"), "rep", "part", "n")
+    if not once:
+        members = materialize(members, f"{name}-members")
     groups = _groups(members, block, name)
     large = groups.filter(f"r > {cut}").select("i", "k")
-    keys = sets.select(F.col("doc_id").alias("rep"), F.posexplode("b").alias("j", "l"))
-    pieces = members.drop("j", "l").join(large, ["i", "k"]).join(keys, "rep").select(*GROUP, "rep", "part", "n").distinct()
-    pieces = materialize(pieces, f"{name}-pieces")
-    tasks = _dealt(members, groups.filter(f"r <= {cut}")).unionByName(_dealt(pieces, _groups(pieces, block, name)))
+    tasks = _dealt(members, groups.filter(f"r <= {cut}"))
+    if large.count():
+        keys = sets.select(F.col("doc_id").alias("rep"), F.posexplode("b").alias("j", "l"))
+        pieces = members.drop("j", "l").join(large, ["i", "k"]).join(keys, "rep").select(*GROUP, "rep", "part", "n").distinct()
+        pieces = materialize(pieces, f"{name}-pieces")
+        tasks = tasks.unionByName(_dealt(pieces, _groups(pieces, block, name)))
     mine = sets.withColumnRenamed("doc_id", "rep")
     rows = tasks.join(mine, "rep").select(*GROUP, "p", "q", "rep", "part", "first", "s", "a", "b")
     arrow_limits(open_.sparkSession)
-    return (
+    links = (
         rows.repartition(*GROUP, "p", "q")
         .sortWithinPartitions(*GROUP, "p", "q")
         .mapInArrow(_judge_blocks(percent), "u long, v long")
-        .distinct()
     )
+    return links if once else links.distinct()
 
 
 def near_duplicates(
@@ -439,69 +459,74 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
     )
     classes = materialize(classes, f"{name}-classes")
-    # A rep that stands for several classes is there with each size.
-    sizes = classes.groupBy("rep").agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("texts")
-    )
+    n = classes.count()
+    # Only where documents have several texts, a class or a component is more than one text's.
+    again = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id")
+    once = again.count() == 0
+
+    def sized(rows: DataFrame) -> DataFrame:
+        if once:
+            return rows.withColumns({"n_min": F.col("n"), "n_max": F.col("n"), "texts": F.lit(1)})
+        # A rep that stands for several classes is there with each size.
+        sizes = classes.groupBy("rep").agg(
+            F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.count(F.lit(1)).alias("texts")
+        )
+        return rows.join(sizes, "rep")
 
-    def sets_of(reps: DataFrame) -> DataFrame:
-        some = docs.join(narrow(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    def sets_of(reps: DataFrame, most: int) -> DataFrame:
+        ids = _ids(reps.select(F.col("rep").alias("doc_id")), most, f"{name}-met")
         schema = "doc_id long, s binary, a array<long>, b array<long>"
-        return materialize(batched(some, _sets(m, a, k), schema), f"{name}-sets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        x = sizes.select(F.col("rep").alias("x"), F.col("n_min").alias("x0"), F.col("n_max").alias("x1"))
-        y = sizes.select(F.col("rep").alias("y"), F.col("n_min").alias("y0"), F.col("n_max").alias("y1"))
-        return (
-            pairs.join(x, "x")
-            .join(y, "y")
-            .filter(f"100 * x1 >= {percent} * y0 and 100 * y1 >= {percent} * x0")
-            .select("x", "y")
-        )
+        out = materialize(batched(docs.join(ids, "doc_id", "left_semi"), _sets(m, a, k), schema), f"{name}-sets")
+        discard(ids)
+        return out
 
     # The tables (i, i): every class of a bucket with the bucket's least class.
-    star = materialize(sized(_star(classes, name)), f"{name}-pairs")
-    met = materialize(star.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), f"{name}-met")
-    sets = sets_of(met)
+    star = materialize(_star(classes, n * m // 2, percent, name), f"{name}-pairs")
+    sets = sets_of(star.select(F.explode(F.array("x", "y")).alias("rep")), 2 * star.count())
     first = judged = materialize(_verify(star, sets, percent), f"{name}-star")
     links = judged.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     found = stars(links, f"{name}-parts")
-    discard(star, met, sets)
+    discard(star, sets)
 
     # All tables: classes that still share sub-keys of both collections with other components.
     # A shingle that no other class in question has can be in no intersection, which bounds
     # what a class can link with; most are settled by that, without a pair.
-    met = _open(classes, found, f"{name}-open")
-    sets = sets_of(materialize(met.select("rep").distinct(), f"{name}-met"))
-    lone = materialize(_lone(sets), f"{name}-lone")
+    met = _open(classes, n, m, found, f"{name}-open")
+    rows = met.count()
+    sets = sets_of(met, rows)
+    lone = _sent(_lone(sets), min(n, rows), f"{name}-lone")
     # Of a rep that stands for several texts nothing is known.
     alone = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(F.lit(0))
-    placed = met.join(narrow(lone), "rep", "left").join(sizes, "rep").withColumn("u", alone)
-    hopeful = _mixed(materialize(_hopeful(materialize(placed, f"{name}-placed"), percent, name), f"{name}-able"), f"{name}-hopeful")
-    discard(met, lone)
+    placed = materialize(sized(met.join(lone, "rep", "left")).withColumn("u", alone), f"{name}-placed")
+    able = materialize(_hopeful(placed, rows, percent, name), f"{name}-able")
+    hopeful = _mixed(able, rows // 2, f"{name}-hopeful")
+    discard(met, lone, placed, able)
     # A second star, around the class of each group with the fewest shingles of its own.
+    rows = hopeful.count()
     core = hopeful.groupBy("i", "k").agg(F.min(F.struct("u", "rep", "n_min", "n_max", "part")).alias("c"))
     core = core.select("i", "k", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("rep", "u", "n_min", "n_max", "part")])
-    core = materialize(core, f"{name}-core")
-    star = hopeful.join(narrow(core), ["i", "k"]).filter(f"part <> y_part and {_bound(percent)}")
+    core = _sent(core, rows // 2, f"{name}-core")
+    star = hopeful.join(core, ["i", "k"]).filter(f"part <> y_part and {_bound(percent)}")
     star = star.select(F.least("rep", "y_rep").alias("x"), F.greatest("rep", "y_rep").alias("y")).distinct()
-    star = materialize(star.join(judged.select("x", "y"), ["x", "y"], "left_anti"), f"{name}-pairs")
+    star = materialize(star.join(narrow(judged.select("x", "y")), ["x", "y"], "left_anti"), f"{name}-pairs")
     second = materialize(_verify(star, sets, percent), f"{name}-star")
     links = second.filter("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     before, found = found, stars(_lifted(links, found), f"{name}-parts")
     discard(before)
     # Then the classes still apart, with those of their groups' other components, by blocks.
-    open_ = _reopen(hopeful, found, f"{name}-open")
-    more = materialize(_blocked(open_, sets, percent, name), f"{name}-rest")
+    open_ = _mixed(_parted(hopeful.drop("part"), found), rows // 2, f"{name}-open")
+    more = materialize(_blocked(open_, sets, percent, name, once=once), f"{name}-rest")
     discard(hopeful, core, star, open_, sets)
-    again = sketch.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    same = (
-        sketch.select("doc_id", "n", "d1", "d2")
-        .join(again, "doc_id")
-        .join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
-        .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    )
-    before, found = found, stars(_lifted(more.union(same), found), f"{name}-parts")
+    links = more
+    if not once:
+        same = (
+            sketch.select("doc_id", "n", "d1", "d2")
+            .join(again, "doc_id")
+            .join(classes.select("n", "d1", "d2", "rep"), ["n", "d1", "d2"])
+            .select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        )
+        links = more.union(same)
+    before, found = found, stars(_lifted(links, found), f"{name}-parts")
     discard(before, first, second, more)
 
     # Copies follow their class.

@@ -92,6 +92,40 @@ def test_near_duplicates_of_nothing(empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_stored_sides(rows, documents, monkeypatch):
+    """Where ids and sub-keys are too many to be broadcast uncounted, they are stored and the result is the same."""
+    made = []
+    monkeypatch.setattr(minhash, "NARROW_ROWS", -1, raising=False)
+    monkeypatch.setattr(components, "NARROW_ROWS", 0)
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: made.append(name) or common.materialize(df, name))
+    check_groups(minhash.near_duplicates(documents), rows)
+    assert {"minhash-least", "minhash-open-several", "minhash-open-some", "minhash-met", "minhash-lone", "minhash-core"} <= set(made)
+
+
+def test_near_duplicates_take_few_tasks(spark):
+    """What is small is not stored and counted between two shuffles, which costs a task for each of their partitions."""
+    rng = random.Random(4)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else "x" for w in words[i % 20])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    now = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup("few tasks", "")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in now.items():
+            spark.conf.set(key, value)
+    assert got == helpers.near_duplicates(rows)
+    track = context.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("few tasks") for s in track.getJobInfo(j).stageIds}
+    wide = [i for i in map(track.getStageInfo, stages) if i and i.numCompletedTasks >= 40]
+    assert 0 < len(wide) <= 35, len(wide)
+
+
 def test_large_group_of_near_copies(spark):
     """Copies edited so much that many do not link: every component is right all the same."""
     rng = random.Random(3)
