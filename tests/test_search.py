@@ -60,6 +60,41 @@ def test_index_is_opened_again(spark, tmp_path):
     assert empty.hits(spark.createDataFrame([("a",), ("abc",)], "needle string")).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 10**6])
+def test_needles_are_found_by_their_words(spark, monkeypatch, block):
+    """Phrases over lines and tabs, words within words, spaces around, blocks of needles; an index for one search has no trigrams."""
+    monkeypatch.setattr(keywords, "BLOCK", block)
+    texts = ["cold gears and bolts", "a COLD\n gear", "cold\tgear", "old gear, x", "cold  gear", "", " ", "gears old", "cold gear of old " * 3, "x" * 500 + "old gear"]
+    needles = ["old gear", "cold gear", "d gears and b", "old\tgear", "gear", " old", "old ", "d\n g", "ear", "x" * 70, " ", "gear of o", "gears  and", "nowhere at all"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, a string").repartition(3)
+    index = keywords.build(rows, [F.col("a")], [F.col("k")])
+    assert index.grams is None and index.postings is None
+    want = {(k, n) for k, t in enumerate(texts) for n in needles if n in t.lower()}
+    asked = spark.createDataFrame([(n,) for n in needles], "needle string")
+    got = [(r["k"], r["needle"]) for r in index.hits(asked).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    best = {(r["k"], r["needle"], r["rank"]) for r in index.first(asked, 2).collect()}
+    assert best == {(k, n, i + 1) for n in needles for i, k in enumerate(sorted(k for k, m in want if m == n)[:2])}
+
+
+def test_texts_are_sliced_after_their_join(spark, sf_dir):
+    """No join where no vector is asked for, and none that takes a whole text along for every slice."""
+    plan = Tables(spark, sf_dir).chunks.select("document_id", "chunk_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    plan = Tables(spark, sf_dir).chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_vectors_of_one_id_stay_two(spark, sf_dir, tmp_path):
+    """A vector's id that occurs twice gives a chunk twice, as a join does."""
+    t = Tables(spark, sf_dir)
+    t.raw("documents").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = t.raw("embeddings")
+    vectors.union(vectors.limit(1)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    again = Tables(spark, str(tmp_path)).chunks.select("document_id")
+    assert again.count() > t.chunks.select("document_id").count()
+
+
 def test_retrieval_is_the_same_through_the_index(spark, sf_dir, monkeypatch):
     """Whether needles are looked for in one pass or looked up: the same rows, and no join but on keys."""
     t = Tables(spark, sf_dir)
