@@ -273,6 +273,27 @@ def test_k_hop_of_many_seeds(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("most", [0, 2, 64])
+def test_k_hop_counts(spark, monkeypatch, most):
+    """Twins, a hub, loops, seeds without edges, given twice, and classes of any bound: what k_hop finds, counted."""
+    monkeypatch.setattr(graph, "TWIN_NEIGHBOURS", most)
+    rng = np.random.default_rng(6)
+    pairs = [(f"n{rng.integers(0, 40)}", f"n{rng.integers(0, 40)}") for _ in range(40)] + [(f"leaf{i}", f"n{i % 4}") for i in range(30)]
+    pairs += [(f"two{i}", f"n{k}") for i in range(5) for k in (1, 2)] + [("n1", "n1"), ("pair1", "pair2"), ("leaf1", "leaf1")]
+    edges = spark.createDataFrame([(a, b, "TRUSTED") for a, b in pairs] + [("n1", "far", "STAGING")], "source_entity_id string, target_entity_id string, lifecycle_state string")
+    seeds = spark.createDataFrame([(s,) for s in [*sorted({a for a, _ in pairs}), "leaf1", "alone"]], "entity_id string")
+    for hops in (1, 2, 3):
+        want = graph.k_hop(edges, seeds, hops).groupBy("seed", "hop").count().collect()
+        assert sorted(map(tuple, graph.k_hop_counts(edges, seeds, hops).collect())) == sorted(map(tuple, want))
+
+
+def test_k_hop_counts_searches_classes(spark):
+    """A hub's thousand leaves are one class."""
+    edges = spark.range(1000).selectExpr("concat('leaf', id) source_entity_id", "'hub' target_entity_id", "'TRUSTED' lifecycle_state")
+    of, sizes, between = graph._classes(edges, edges.select(F.col("source_entity_id").alias("entity_id")), "TRUSTED")
+    assert of.count() == 1001 and sorted(r["n"] for r in sizes.collect()) == [1, 1000] and between.count() == 2
+
+
 def test_k_hop(spark, edges):
     chain = spark.createDataFrame([(str(i), str(i), str(i + 1), "X", 0.5, "TRUSTED") for i in range(4)], R)
     seeds = spark.createDataFrame([("1",)], "entity_id string")
