@@ -294,6 +294,22 @@ def test_k_hop_counts_searches_classes(spark):
     assert of.count() == 1001 and sorted(r["n"] for r in sizes.collect()) == [1, 1000] and between.count() == 2
 
 
+def test_rules_are_ranked_once_for_equal_types(spark):
+    """Rules meet the different lists of types, never each question."""
+    rules = spark.createDataFrame([(f"r{i}", i % 7, i % 5 > 0, [None, [], ["A"], ["B", "C"]][i % 4]) for i in range(40)], "rule_name string, priority int, enabled boolean, applies_to_entity_types array<string>")
+    types = [["A"], ["B"], ["A", "C"], ["D"], []]
+    asked = spark.createDataFrame([(q, types[q % 5]) for q in range(300)], "query_id int, types array<string>")
+    got = retrieval.applicable_rules(asked, rules)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(types" in plan and "windowspecdefinition(query_id" not in plan
+    scopes = {f"r{i}": (i % 7, [None, [], ["A"], ["B", "C"]][i % 4]) for i in range(40) if i % 5}
+    want = set()
+    for q in range(300):
+        fit = sorted((-p, r) for r, (p, scope) in scopes.items() if types[q % 5] and (not scope or set(scope) & set(types[q % 5])))
+        want |= {(q, r, i + 1) for i, (_, r) in enumerate(fit[:10])}
+    assert {(r["query_id"], r["rule_name"], r["rank"]) for r in got.collect()} == want
+
+
 def test_k_hop(spark, edges):
     chain = spark.createDataFrame([(str(i), str(i), str(i + 1), "X", 0.5, "TRUSTED") for i in range(4)], R)
     seeds = spark.createDataFrame([("1",)], "entity_id string")
