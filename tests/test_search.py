@@ -77,6 +77,30 @@ def test_needles_are_found_by_their_words(spark, monkeypatch, block):
     assert best == {(k, n, i + 1) for n in needles for i, k in enumerate(sorted(k for k, m in want if m == n)[:2])}
 
 
+@pytest.mark.parametrize("needles", [0, 100])
+@pytest.mark.parametrize("share", [2, 64])
+def test_edges_in_two_stretches(spark, monkeypatch, needles, share):
+    """Keywords that the surest edges settle, that need the others, and that are nowhere; ties, dangling edges, none of a confidence."""
+    monkeypatch.setattr(retrieval, "NEEDLES", needles)
+    monkeypatch.setattr(retrieval, "EDGE_SHARE", share)
+    rng = random.Random(4)
+    names = {f"e{i}": rng.choice(["Red gear", "blue Ring", "old bolt"]) + (" rare" if i in (3, 4) else "") for i in range(60)}
+    entities = spark.createDataFrame([(k, "Part", "TRUSTED", v, "") for k, v in names.items()], "entity_id string, entity_type string, lifecycle_state string, extracted_text string, source_sentence string")
+    rows = [(f"r{i}", f"e{rng.randrange(64)}", f"e{rng.randrange(60)}", rng.choice(["OWNS", "USES"]), "TRUSTED" if i % 9 else "STAGING", None if i % 50 == 0 else rng.randrange(12) / 10) for i in range(400)]
+    edges = spark.createDataFrame(rows, "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, lifecycle_state string, confidence double")
+    asked = {1: "red gear", 2: "rare", 3: "own bolt", 4: "nowhere", 5: "uses rare ring"}
+    want = set()
+    for q, text in asked.items():
+        found = []
+        for word in text.split():
+            held = [r for r in rows if r[4] == "TRUSTED" and r[1] in names and r[2] in names and any(word in x.lower() for x in (r[3], names[r[1]], names[r[2]]))]
+            held.sort(key=lambda r: (r[5] is None, -(r[5] or 0), r[0]))
+            found += [r[0] for r in held[:40] if r[0] not in found]
+        want |= {(q, r, i + 1) for i, r in enumerate(found[:40])}
+    got = retrieval.retrieve_edges(spark.createDataFrame(list(asked.items()), "query_id int, query string"), edges, entities)
+    assert sorted((r["query_id"], r["relationship_id"], r["position"]) for r in got.collect()) == sorted(want)
+
+
 def test_texts_are_sliced_after_their_join(spark, sf_dir):
     """No join where no vector is asked for, and none that takes a whole text along for every slice."""
     plan = Tables(spark, sf_dir).chunks.select("document_id", "chunk_text")._jdf.queryExecution().optimizedPlan().toString()
